@@ -123,14 +123,45 @@ STUDY_COLUMNS = ("rsi", "cci", "obv", "macd", "macd_signal", "macd_hist", "stoch
 
 
 def studies(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """Every study with its default length."""
-    s = rsi(df, keys, pos)
-    s = cci(s, keys, pos)
-    s = obv(s, keys, pos)
-    s = macd(s, keys, pos)
-    s = stoch(s, keys, pos)
-    s = bbands(s, keys, pos)
-    s = adx(s, keys, pos)
-    s = atr(s, keys, pos, {"atr14": 14})
-    s = sma(s, keys, pos, 50, out="sma50")
-    return ema(s, keys, pos, {"ema9": 9})
+    """Every study with its default length: one look-back pass, one recurrence pass, and one for the two second-level averages."""
+    o, h, l, x = (F.col(c) for c in ("open", "high", "low", "close"))
+    tp = (h + l + x) / 3
+
+    def first(w):
+        b = lambda n: w.rowsBetween(-(n - 1), 0)
+        full = lambda n, c: F.when(F.count(F.lit(1)).over(b(n)) == n, c)
+        lo, hi = F.min("low").over(b(14)), F.max("high").over(b(14))
+        return {"_ph": F.lag("high").over(w), "_pl": F.lag("low").over(w), "_pc": F.lag("close").over(w),
+                "sma50": full(50, F.avg("close").over(b(50))), "bb_middle": full(20, F.avg("close").over(b(20))),
+                "_sd": full(20, F.stddev_pop("close").over(b(20))), "_tpm": F.avg(tp).over(b(14)),
+                "_tps": full(14, F.collect_list(tp).over(b(14))),
+                "_fk": full(14, F.try_divide((x - lo) * 100, hi - lo))}
+
+    def smooth3(col, name):
+        return lambda w: {name: F.when(F.count(col).over(w.rowsBetween(-2, 0)) == 3, F.avg(col).over(w.rowsBetween(-2, 0)))}
+    s = rolling(df, keys, pos, 49, first)
+    s = rolling(s, keys, pos, 2, smooth3("_fk", "stoch_k"))
+    s = rolling(s, keys, pos, 2, smooth3("stoch_k", "stoch_d"))
+    up, dn, d = h - F.col("_ph"), F.col("_pl") - l, x - F.col("_pc")
+    mad = F.aggregate("_tps", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("_tpm"))) / 14
+    lo, hi = F.col("bb_middle") - 2 * F.col("_sd"), F.col("bb_middle") + 2 * F.col("_sd")
+    s = s.withColumns({
+        "_tr": F.when(F.col("_pc").isNotNull(), F.greatest(h - l, F.abs(h - F.col("_pc")), F.abs(l - F.col("_pc")))),
+        "_up": F.when((up > dn) & (up > 0), up).otherwise(0.0), "_dn": F.when((dn > up) & (dn > 0), dn).otherwise(0.0),
+        "_g": F.greatest(d, F.lit(0.0)), "_l": F.greatest(-d, F.lit(0.0)),
+        "_sv": F.when(F.col("_pc").isNull(), 1.0).otherwise(F.signum(d)) * F.col("volume"),
+        "cci": F.try_divide(tp - F.col("_tpm"), mad * 0.015), "bb_lower": lo, "bb_upper": hi,
+        "bb_width": F.try_divide((hi - lo) * 100, F.col("bb_middle")), "bb_percent_b": F.try_divide(x - lo, hi - lo)})
+    s = running_sum(s, keys, pos, "_sv", "obv")
+    s = recurrence(s, keys, pos, [
+        Smooth("ema9", "close", 9), Smooth("_f", "close", 12), Smooth("_s", "close", 26),
+        *[Smooth(name, v, 14, wilder=True, start=2) for name, v in
+          (("atr14", "_tr"), ("_pu", "_up"), ("_pd", "_dn"), ("_ag", "_g"), ("_al", "_l"))]])
+    plus, minus = F.try_divide(F.col("_pu"), F.col("atr14")) * 100, F.try_divide(F.col("_pd"), F.col("atr14")) * 100
+    s = s.withColumns({"rsi": F.try_divide(F.col("_ag") * 100, F.col("_ag") + F.col("_al")), "macd": F.col("_f") - F.col("_s"),
+                       "plus_di": plus, "minus_di": minus})
+    a, b = F.col("plus_di"), F.col("minus_di")
+    s = s.withColumn("_dx", F.when(a.isNotNull(), F.coalesce(F.try_divide(F.abs(a - b), a + b) * 100, F.lit(0.0))))
+    s = recurrence(s, keys, pos, [Smooth("macd_signal", "macd", 9, start=26), Smooth("adx", "_dx", 14, wilder=True, start=15)])
+    s = s.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    return s.drop(*[c for c in s.columns if c.startswith("_")])

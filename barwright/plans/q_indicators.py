@@ -83,7 +83,7 @@ def _(t):
 
 
 @query("indicator_cci", """select symbol, d::varchar as d, round(case when n = 14 then (tp - m) / nullif(0.015::double * mad, 0) end, 6)
- as cci from (select *, list_avg(list_transform(lst, x -> abs(x - m))) as mad from (
+ as cci from (select *, list_avg(list_transform(lst, lambda x: abs(x - m))) as mad from (
   select symbol, d, tp, count(*) over w as n, avg(tp) over w as m, list(tp) over w as lst from
    (select *, (high + low + close) / 3 as tp from dpos)
   window w as (partition by symbol order by pos rows between 13 preceding and current row)))""")
@@ -142,7 +142,7 @@ CTES["dsegtr"] = """select * from (select symbol, seg, sp as pos, d, greatest(h
 add_smooth("dsegatr", "dsegtr", "symbol, seg", "tr", 3, wilder=True, start=2)
 
 
-@query("indicator_segment_restart", """select symbol, d::varchar as d, a.seg, a.sp as pos, round(y, 6) as atr from dseg a
+@query("indicator_segment_restart", """select a.symbol, a.d::varchar as d, a.seg, a.sp as pos, round(y, 6) as atr from dseg a
  left join dsegatr b on a.symbol = b.symbol and a.seg = b.seg and a.sp = b.pos""")
 def _(t):
     holes = t.daily.withColumn("high", F.when(F.dayofmonth("d") % 9 != 0, F.col("high"))).withColumn("y", F.year("d"))
@@ -234,7 +234,7 @@ def _(t):
 
 CTES["opening"] = """select c.symbol, c.day, case when close > open then 1.0 when close < open then -1.0 else 0.0 end::double as dir,
  volume / nullif(mv, 0) as orv from candles c left join profile p on p.symbol = c.symbol and p.slot = 0
- where tf = 5 and session = 'rth' and slot = 0 and covered"""
+ where tf = 5 and session = 'rth' and c.slot = 0 and covered"""
 
 
 def opening_five(t):
@@ -364,7 +364,8 @@ CTES["cg"] = """select *, case when day = lag(day) over w and session = lag(sess
 
 
 def swing_cte(n: int) -> str:
-    return f"""select *, case when cn = {n} and g = 0 then sh end as swing_high, case when cn = {n} and g = 0 then sl end as swing_low from (
+    g = " and g = 0" if n > 1 else ""
+    return f"""select *, case when cn = {n}{g} then sh end as swing_high, case when cn = {n}{g} then sl end as swing_low from (
  select *, max(high) over a as sh, min(low) over a as sl, count(*) over a as cn, coalesce(sum(gap) over b, 0) as g from cg
  window a as (partition by symbol, tf, series order by cpos rows between {n - 1} preceding and current row),
  b as (partition by symbol, tf, series order by cpos rows between {max(n - 2, 0)} preceding and current row))"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .tables import BASE_DATE, Tables, tables
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+BODIES: dict[str, str] = {}
 CTES: dict[str, str] = {}
 
 
@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_ctes(sql)
+            BODIES[name] = sql
         return fn
     return deco
 
@@ -44,11 +44,31 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
 
 
 def out(df: DataFrame, keep: str, rounded: str = "") -> DataFrame:
-    """Final projection: ``keep`` as is (``day`` = session number), ``rounded`` to six digits."""
+    """Final projection: ``keep`` as is (``day`` = session number), ``rounded`` half-up to six digits."""
     cols = []
     for c in keep.split():
         cols.append(F.datediff("et_date", F.lit(BASE_DATE)).alias("day") if c == "day" else F.col(c))
-    return df.select(*cols, *[F.round(F.col(c), 6).alias(c) for c in rounded.split()])
+    return df.select(*cols, *[round6(F.col(c)).alias(c) for c in rounded.split()])
+
+
+def round6(c):
+    """Half-up to six digits in plain double arithmetic, so that both engines give the same bits on exact ties."""
+    return F.floor(c * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+
+
+def spell_round(sql: str) -> str:
+    """Write every ``round(x, 6)`` of a query as the same arithmetic."""
+    at = 0
+    while (at := sql.find("round(", at)) >= 0:
+        depth, end = 1, at + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[at + 6:end - 1]
+        if inner.endswith(", 6"):
+            sql = f"{sql[:at]}(floor(({inner[:-3]}) * 1e6 + 0.5::double) / 1e6){sql[end:]}"
+        at += 6
+    return sql
 
 
 def r6(cols: str) -> str:
@@ -56,6 +76,10 @@ def r6(cols: str) -> str:
     return ", ".join(f"round({c}, 6) as {c}" for c in cols.split())
 
 
+def oracles() -> dict[str, str]:
+    return {name: spell_round(with_ctes(body)) for name, body in BODIES.items()}
+
+
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, fn=fn: fn(tables(spark, sf_dir))) for name, fn in QUERIES.items()}
 
