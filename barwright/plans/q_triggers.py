@@ -433,12 +433,12 @@ CTES["lvlong"] = " union all ".join(f"select symbol, day, et_min, session, close
                                     for k, v in _LV.items())
 
 
-@query("levels_long_form", """select symbol, day, level, count(*) as n, round(avg(price), 6) as mean_price, max(price) as max_price
+@query("levels_long_form", """select symbol, day, level, count(*) as n, round(avg(price), 6) as mean_price, round(max(price), 6) as max_price
  from lvlong group by all""")
 def _(t):
     x = tr.level_long(tr.with_ema_levels(inputs(t))).groupBy("symbol", "et_date", "level").agg(
         F.count(F.lit(1)).alias("n"), F.avg("price").alias("mean_price"), F.max("price").alias("max_price"))
-    return out(x, "symbol day level n max_price", "mean_price")
+    return out(x, "symbol day level n", "mean_price max_price")
 
 
 @query("trigger_cross_above", fire("lvlong", "prev_close <= price and close > price", "cross_above", "level", "long", "price", "1"))
@@ -525,7 +525,7 @@ CTES["c5st"] = """select symbol, cpos, k as v, case when count(k) over w = 3 the
 CTES["c5bb"] = """select symbol, cpos, m, sd, (close - (m - 2 * sd)) / nullif((m + 2 * sd) - (m - 2 * sd), 0) as v from (select symbol, cpos, close, count(*) over w as n,
  avg(close) over w as m, stddev_pop(close) over w as sd from c5 window w as (partition by symbol order by cpos rows between 19 preceding and current row)) where n = 20"""
 _STUDY_SQL = {"ta_macd_hist_cross": ("c5hist", 0), "ta_rsi_cross": ("c5rsi", 50), "ta_stoch_k_cross": ("c5st", 50), "ta_cci_cross": ("c5cci", 100),
-              "ta_bb_percent_b_cross": ("c5bb", 0.9), "ta_adx_cross": ("c5adx", 10)}
+              "ta_bb_percent_b_cross": ("c5bb", 0.9), "ta_adx_cross": ("c5adx", 15)}
 _STUDY = {"ta_macd_hist_cross": ind.macd, "ta_rsi_cross": ind.rsi, "ta_stoch_k_cross": ind.stoch, "ta_cci_cross": ind.cci,
           "ta_bb_percent_b_cross": ind.bbands, "ta_adx_cross": ind.adx}
 

@@ -44,7 +44,7 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
 
 
 def out(df: DataFrame, keep: str, rounded: str = "") -> DataFrame:
-    """Final projection: ``keep`` as is (``day`` = session number), ``rounded`` half-up to six digits."""
+    """Final projection: ``keep`` as is (``day`` = session number), ``rounded`` to six digits."""
     cols = []
     for c in keep.split():
         cols.append(F.datediff("et_date", F.lit(BASE_DATE)).alias("day") if c == "day" else F.col(c))
@@ -52,8 +52,9 @@ def out(df: DataFrame, keep: str, rounded: str = "") -> DataFrame:
 
 
 def round6(c):
-    """Half-up to six digits in plain double arithmetic, so that both engines give the same bits on exact ties."""
-    return F.floor(c * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+    """Six digits in plain double arithmetic, the same in both engines.  The boundary lies off the decimal grid: prices are
+    short decimals, and their exact halves would otherwise round by the last bit of a sum."""
+    return F.floor(c * F.lit(1e6) + F.lit(0.4987654)) / F.lit(1e6)
 
 
 def spell_round(sql: str) -> str:
@@ -66,7 +67,7 @@ def spell_round(sql: str) -> str:
             end += 1
         inner = sql[at + 6:end - 1]
         if inner.endswith(", 6"):
-            sql = f"{sql[:at]}(floor(({inner[:-3]}) * 1e6 + 0.5::double) / 1e6){sql[end:]}"
+            sql = f"{sql[:at]}(floor(({inner[:-3]}) * 1e6 + 0.4987654::double) / 1e6){sql[end:]}"
         at += 6
     return sql
 
