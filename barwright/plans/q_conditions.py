@@ -48,30 +48,36 @@ def register(name, value, op, thr, sql_value, src="cb", make=base, missing=False
     @query(f"condition_{name}", cond_sql(src, sql_value, op, thr, str(missing).lower()))
     def _(t):
         d = make(t)
-        return show(d, value, cd.passed(value, op, thr, missing))
-
-
-C, D = F.col, F.col("direction")
-register("price", C("price"), "gte", 100.0, "close")
-register("avg_vol_20d", C("avg_vol_20d"), "gte", 900_000.0, "adv20")
-register("avg_dollar_vol_20d", C("avg_dollar_vol_20d"), "gte", 4e8, "case when prior_close <> 0 then adv20 * prior_close end")
-register("atr_pct", C("atr_pct"), "gte", 500.0, "atr_d1 / prior_close * 100")
-register("session_volume", C("session_volume"), "gte", 500_000.0, "cum_volume")
-register("rvol", C("rvol"), "gte", 1.0, "rvol")
-register("gap_pct_abs", F.abs(C("gap_pct")), "gte", 1.0, "abs((session_open - prior_close) / prior_close * 100)")
-register("gap_pct_signed", C("gap_pct"), "gte", 1.0, "(session_open - prior_close) / prior_close * 100")
-register("dist_vwap_pct_abs", F.abs(C("dist_vwap_pct")), "gte", 2.0, "abs((last_close - vwap) / vwap * 100)")
-register("dist_vwap_pct_trade", cd.side_value(C("dist_vwap_pct"), "trade", D), "gte", 2.0, "(last_close - vwap) / vwap * 100 * sgn")
-register("atr_extension_d1", cd.side_value(C("atr_extension_d1"), "trade", D), "gte", 2.0, "(close - ema8_d) / nullif(atr14_d1, 0) * sgn")
-register("day_range_pos", C("day_range_pos"), "lte", 0.8, "(last_close - day_low) / nullif(day_high - day_low, 0)")
-register("rth_chg_pct", F.abs(C("rth_chg_pct")), "gte", 2.0, "abs((last_close - session_open) / session_open * 100)")
-register("mom_15m_pct", F.abs(C("mom_15m_pct")), "gte", 1.0, "abs((close - close_15ago) / close_15ago * 100)")
-register("time_et", C("time_et"), "gte", 1030.0, "floor((et_min + 1) / 60) * 100 + (et_min + 1) % 60")
-register("dist_level_prior_high", cd.level_distance(C("close"), C("prior_high")), "lte", 0.5,
+        return show(d, value(), cd.passed(value(), op, thr, missing))
+
+
+C = F.col
+
+
+def D():
+    return F.col("direction")
+
+
+register("price", lambda: C("price"), "gte", 100.0, "close")
+register("avg_vol_20d", lambda: C("avg_vol_20d"), "gte", 900_000.0, "adv20")
+register("avg_dollar_vol_20d", lambda: C("avg_dollar_vol_20d"), "gte", 4e8, "case when prior_close <> 0 then adv20 * prior_close end")
+register("atr_pct", lambda: C("atr_pct"), "gte", 500.0, "atr_d1 / prior_close * 100")
+register("session_volume", lambda: C("session_volume"), "gte", 500_000.0, "cum_volume")
+register("rvol", lambda: C("rvol"), "gte", 1.0, "rvol")
+register("gap_pct_abs", lambda: F.abs(C("gap_pct")), "gte", 1.0, "abs((session_open - prior_close) / prior_close * 100)")
+register("gap_pct_signed", lambda: C("gap_pct"), "gte", 1.0, "(session_open - prior_close) / prior_close * 100")
+register("dist_vwap_pct_abs", lambda: F.abs(C("dist_vwap_pct")), "gte", 2.0, "abs((last_close - vwap) / vwap * 100)")
+register("dist_vwap_pct_trade", lambda: cd.side_value(C("dist_vwap_pct"), "trade", D()), "gte", 2.0, "(last_close - vwap) / vwap * 100 * sgn")
+register("atr_extension_d1", lambda: cd.side_value(C("atr_extension_d1"), "trade", D()), "gte", 2.0, "(close - ema8_d) / nullif(atr14_d1, 0) * sgn")
+register("day_range_pos", lambda: C("day_range_pos"), "lte", 0.8, "(last_close - day_low) / nullif(day_high - day_low, 0)")
+register("rth_chg_pct", lambda: F.abs(C("rth_chg_pct")), "gte", 2.0, "abs((last_close - session_open) / session_open * 100)")
+register("mom_15m_pct", lambda: F.abs(C("mom_15m_pct")), "gte", 1.0, "abs((close - close_15ago) / close_15ago * 100)")
+register("time_et", lambda: C("time_et"), "gte", 1030.0, "floor((et_min + 1) / 60) * 100 + (et_min + 1) % 60")
+register("dist_level_prior_high", lambda: cd.level_distance(C("close"), C("prior_high")), "lte", 0.5,
          "case when prior_high > 0 then abs(close - prior_high) / prior_high * 100 end")
-register("dist_level_pm_low_atr", cd.level_distance(C("close"), C("pm_low"), 1, C("atr_d1")), "lte", 0.5,
+register("dist_level_pm_low_atr", lambda: cd.level_distance(C("close"), C("pm_low"), 1, C("atr_d1")), "lte", 0.5,
          "case when pm_low > 0 then (close - pm_low) / nullif(atr_d1, 0) * 100 end")
-register("void_pct", cd.by_direction(C("void_long"), C("void_short"), D), "gte", 1.0,
+register("void_pct", lambda: cd.by_direction(C("void_long"), C("void_short"), D()), "gte", 1.0,
          """case when highs_60 is null then null when direction = 'long' then
  coalesce((list_min(list_filter(highs_60, lambda x: x > close)) - close) / close * 100, 999.0)
  else coalesce((close - list_max(list_filter(lows_60, lambda x: x < close))) / close * 100, 999.0) end""")
@@ -100,9 +106,9 @@ def with_fundamentals(t):
                 ["market_cap", "float_shares", "short_pct_float"])
 
 
-register("market_cap", C("market_cap"), "gte", 3000.0, "x.m", "fb", with_fundamentals, True)
-register("float_shares", C("float_shares"), "lte", 20_000_000.0, "x.f", "fb", with_fundamentals, True)
-register("short_pct_float", C("short_pct_float"), "gte", 10.0, "x.s", "fb", with_fundamentals, True)
+register("market_cap", lambda: C("market_cap"), "gte", 3000.0, "x.m", "fb", with_fundamentals, True)
+register("float_shares", lambda: C("float_shares"), "lte", 20_000_000.0, "x.f", "fb", with_fundamentals, True)
+register("short_pct_float", lambda: C("short_pct_float"), "gte", 10.0, "x.s", "fb", with_fundamentals, True)
 
 
 # ---- opening candle ------------------------------------------------------------------------------------------------------------
@@ -120,9 +126,9 @@ def with_opening(t):
                           "opening_rank": F.when(seen & (F.col("coverage") >= 0.8), F.col("opening_rank"))})
 
 
-register("opening_direction_m5", cd.side_value(C("opening_direction"), "trade", D), "gte", 1.0, "dir * sgn", "cbo", with_opening)
-register("opening_rvol_m5", C("opening_rvol"), "gte", 1.0, "orv", "cbo", with_opening)
-register("opening_rvol_rank", C("opening_rank"), "lte", 10.0, "rnk", "cbo", with_opening)
+register("opening_direction_m5", lambda: cd.side_value(C("opening_direction"), "trade", D()), "gte", 1.0, "dir * sgn", "cbo", with_opening)
+register("opening_rvol_m5", lambda: C("opening_rvol"), "gte", 1.0, "orv", "cbo", with_opening)
+register("opening_rvol_rank", lambda: C("opening_rank"), "lte", 10.0, "rnk", "cbo", with_opening)
 
 
 # ---- completed-candle values -------------------------------------------------------------------------------------------------
@@ -144,22 +150,22 @@ CTES["vh5"] = """select symbol, cpos, case when n = 5 and nv = 5 and g = 0 then
  select *, count(*) over w as n, count(vwap) over w as nv, sum(case when close > vwap then 1 else 0 end) over w as a,
   sum(case when close < vwap then 1 else 0 end) over w as bl, sum(gap) over (partition by symbol order by cpos rows between 3 preceding and current row) as g
  from cg where tf = 5 window w as (partition by symbol order by cpos rows between 4 preceding and current row))"""
-candle_register("vwap_hold", cd.by_direction(C("hold_above"), C("hold_below"), D), "gte", 4.0, "vh5", "case when direction = 'long' then ha else hb end",
+candle_register("vwap_hold", lambda: cd.by_direction(C("hold_above"), C("hold_below"), D()), "gte", 4.0, "vh5", "case when direction = 'long' then ha else hb end",
                 lambda t: cd.vwap_hold(t.candles), ["hold_above", "hold_below"], 5)
 CTES["eh5"] = """select symbol, cpos, case when cpos >= 9 then sum(case when close > y then 1.0 else 0.0 end) over w end::double as ha,
  case when cpos >= 9 then sum(case when close < y then 1.0 else 0.0 end) over w end::double as hb from c5 join ehema using (symbol, cpos)
  window w as (partition by symbol order by cpos rows between 2 preceding and current row)"""
 CTES["ehema"] = """select symbol, cpos, close as y from c5 where cpos = 1 union all
  select s.symbol, s.cpos, 0.2::double * s.close + 0.8::double * r.y from ehema r join c5 s on s.symbol = r.symbol and s.cpos = r.cpos + 1"""
-candle_register("ema_hold", cd.by_direction(C("hold_above"), C("hold_below"), D), "gte", 3.0, "eh5", "case when direction = 'long' then ha else hb end",
+candle_register("ema_hold", lambda: cd.by_direction(C("hold_above"), C("hold_below"), D()), "gte", 3.0, "eh5", "case when direction = 'long' then ha else hb end",
                 lambda t: cd.ema_hold(t.candles), ["hold_above", "hold_below"], 5)
 for _p in (8, 21):
     add_smooth(f"re1x{_p}", "rc1", "symbol, series", "close", _p, pos="rpos")
 CTES["es1"] = """select f.symbol, f.series, f.rpos, (f.y - s.y) / nullif(s.y, 0) * 100 as sep from re1x8 f join re1x21 s
  on s.symbol = f.symbol and s.series = f.series and s.rpos = f.rpos"""
-candle_register("ema_stack", cd.side_value(C("stack"), "trade", D), "gte", 0.0, "es1", "sep * sgn", lambda t: cd.ema_stack(t.candles), ["stack"], 1, "rpos", "rbefore")
+candle_register("ema_stack", lambda: cd.side_value(C("stack"), "trade", D()), "gte", 0.0, "es1", "sep * sgn", lambda t: cd.ema_stack(t.candles), ["stack"], 1, "rpos", "rbefore")
 CTES["e15"] = "select symbol, rpos, y as ema9 from re15x9"
-candle_register("dist_ema9_pct", F.abs((C("close") - C("ema9")) / C("ema9") * 100), "gte", 2.0, "e15", "abs((close - ema9) / ema9 * 100)",
+candle_register("dist_ema9_pct", lambda: F.abs((C("close") - C("ema9")) / C("ema9") * 100), "gte", 2.0, "e15", "abs((close - ema9) / ema9 * 100)",
                 lambda t: cd.dist_ema9(t.candles, 15), ["ema9"], 15, "rpos", "rbefore")
 
 _ser = co.SERIES
@@ -190,7 +196,7 @@ CTES["c5obv"] = """select symbol, cpos, sum(case when pc is null then volume els
 for _id, (_fn, _col, _op, _thr, _cte, _val) in _STUDIES.items():
     _only = f"xs_{_id}"
     CTES[_only] = f"select symbol, cpos, {_val} as xv from {_cte}"
-    candle_register(_id, C(_col), _op, _thr, _only, "xv", lambda t, fn=_fn: fn(co.covered(t.candles, 5), _ser, "cpos"), [_col], 5)
+    candle_register(_id, lambda col=_col: C(col), _op, _thr, _only, "xv", lambda t, fn=_fn: fn(co.covered(t.candles, 5), _ser, "cpos"), [_col], 5)
 
 
 # ---- values inside the date ------------------------------------------------------------------------------------------------------
@@ -205,16 +211,16 @@ def day_register(name, value, op, thr, cte, sql_value, values, cols, tf, warming
     def _(t):
         b = t.bars.where("session = 'rth'").withColumn("direction", F.when(F.col("close") >= F.col("open"), "long").otherwise("short"))
         d = co.bars_with_candle(b, cd.day_asof(t.candles, tf, values(t), cols), tf)
-        return show(d, value, cd.passed(value, op, thr, False, warming))
+        return show(d, value(), cd.passed(value(), op, thr, False, warming() if warming else None))
 
 
 CTES["vdp"] = """select symbol, day, slot, sum(case when close > vwap then 1 else 0 end) over w * 100.0::double / count(*) over w as pa,
  sum(case when close < vwap then 1 else 0 end) over w * 100.0::double / count(*) over w as pb from candles where covered and tf = 5 and session = 'rth'
  window w as (partition by symbol, day order by slot rows unbounded preceding)"""
-day_register("vwap_day_pct", cd.by_direction(C("pct_above"), C("pct_below"), D), "gte", 50.0, "vdp", "case when direction = 'long' then pa else pb end",
+day_register("vwap_day_pct", lambda: cd.by_direction(C("pct_above"), C("pct_below"), D()), "gte", 50.0, "vdp", "case when direction = 'long' then pa else pb end",
              lambda t: cd.vwap_day_pct(t.candles), ["pct_above", "pct_below"], 5)
 CTES["stk5"] = "select symbol, day, slot, streak from streak where tf = 5 and session = 'rth'"
-day_register("consec_candles", F.abs(C("streak")).cast("double"), "lte", 3.0, "stk5", "abs(streak)",
+day_register("consec_candles", lambda: F.abs(C("streak")).cast("double"), "lte", 3.0, "stk5", "abs(streak)",
              lambda t: qi.streaks(co.covered(t.candles, 5)).where("key_session = 'rth'"), ["streak"], 5)
 CTES["n5"] = "select symbol, day, slot, row_number() over (partition by symbol, day order by slot) as n5 from candles where tf = 5 and covered and session = 'rth'"
 CTES["m5x"] = "select symbol, day, slot, n5, raw from n5 left join m5raw using (symbol, day, slot)"
@@ -228,8 +234,8 @@ def rrs_values(t, bench="S00"):
     return c.select("symbol", "et_date", "key_session", "slot", "n5").join(r, ["symbol", "et_date", "slot"], "left")
 
 
-day_register("rrs_m5", cd.side_value(C("rrs_m5"), "trade", D), "gt", 0.0, "m5x", "raw * sgn", rrs_values, ["n5", "rrs_m5"], 5,
-             F.coalesce(C("n5"), F.lit(0)) < 12, "coalesce(n5, 0) < 12")
+day_register("rrs_m5", lambda: cd.side_value(C("rrs_m5"), "trade", D()), "gt", 0.0, "m5x", "raw * sgn", rrs_values, ["n5", "rrs_m5"], 5,
+             lambda: F.coalesce(C("n5"), F.lit(0)) < 12, "coalesce(n5, 0) < 12")
 
 
 def rrs_slopes(t):
@@ -240,14 +246,14 @@ def rrs_slopes(t):
 
 
 CTES["m5s"] = "select * from (select symbol, day, slot, raw - lag(raw, 3) over (partition by symbol, day order by pos) as slope from m5raw) where slope is not null"
-day_register("rrs_slope", cd.side_value(C("slope"), "trade", D), "gte", 0.3, "m5s", "slope * sgn", rrs_slopes, ["slope"], 5)
+day_register("rrs_slope", lambda: cd.side_value(C("slope"), "trade", D()), "gte", 0.3, "m5s", "slope * sgn", rrs_slopes, ["slope"], 5)
 CTES["s5in"] = CTES["m5in"].replace("'S00'", "'S01'")
 CTES["s5tr"] = CTES["m5tr"].replace("m5in", "s5in")
 add_smooth("s5_as", "s5tr", "symbol, day", "ts", 12, wilder=True, start=2)
 add_smooth("s5_ab", "s5tr", "symbol, day", "tb", 12, wilder=True, start=2)
 CTES["s5raw"] = CTES["m5raw"].replace("m5in", "s5in").replace("m5tr", "s5tr").replace("m5_as", "s5_as").replace("m5_ab", "s5_ab")
 CTES["s5x"] = "select symbol, day, slot, raw from s5raw"
-day_register("rrs_sector_m5", cd.side_value(C("rrs_m5"), "trade", D), "gt", 0.0, "s5x", "raw * sgn",
+day_register("rrs_sector_m5", lambda: cd.side_value(C("rrs_m5"), "trade", D()), "gt", 0.0, "s5x", "raw * sgn",
              lambda t: qi.rrs_m5(t.candles, "S01").where("rrs_m5 is not null"), ["rrs_m5"], 5)
 
 # rel_vol: the every-bar ratio, with the completed-candle ratio as fallback from 5 minutes up
@@ -267,7 +273,7 @@ def with_rel_vol(t):
     return cd.on_bars(r, t.candles, k, ["by_candle"], 5).withColumn("rel_vol", F.coalesce("rolling", "by_candle") * 100)
 
 
-register("rel_vol", C("rel_vol"), "gte", 200.0, "pct", "relv", with_rel_vol)
+register("rel_vol", lambda: C("rel_vol"), "gte", 200.0, "pct", "relv", with_rel_vol)
 
 CTES["regime"] = """select day, et_min, case when vwap is null or vwap <= 0 then 'neutral' when (close - vwap) / vwap > 0.001 then 'bullish'
  when (close - vwap) / vwap < -0.001 then 'bearish' else 'neutral' end as regime, coalesce(lead(et_min) over (partition by day order by et_min) - 1, 1200) as upto
@@ -281,7 +287,7 @@ def with_regime(t):
     return b.join(tr.per_minute(s, ["regime"]).withColumnRenamed("bench_regime", "regime"), ["et_date", "et_min"], "left")
 
 
-register("market_align", cd.market_align(C("regime"), D, C("et_min")), "gte", 1.0,
+register("market_align", lambda: cd.market_align(C("regime"), D(), C("et_min")), "gte", 1.0,
          "case when et_min < 600 then 1 when regime is null then null when direction = 'long' and regime = 'bearish' then 0 when direction = 'short' and regime = 'bullish' then 0 else 1 end",
          "cbr", with_regime)
 
