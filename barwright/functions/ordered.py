@@ -151,3 +151,44 @@ def segments(df: DataFrame, keys: list[str], chunk: list[str], order: list, need
 def previous(df: DataFrame, keys: list[str], pos: str, cols: dict[str, str], back: int = 1) -> DataFrame:
     """``cols`` maps a new name to the column whose value ``back`` rows ago it holds."""
     return rolling(df, keys, pos, back, lambda w: {new: F.lag(old, back).over(w) for new, old in cols.items()})
+
+
+def running(df: DataFrame, keys: list[str], chunk: list[str], order: list, specs: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Running values up to and including each row; ``specs`` maps a name to ('max' | 'min' | 'sum' | 'last', column).
+
+    Works inside (keys, chunk); one row per chunk carries the value of the earlier chunks over.
+    """
+    inside = Window.partitionBy(*keys, *chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+    agg = {"max": F.max, "min": F.min, "sum": F.sum}
+    src = df.withColumns({f"_x_{n}": c for n, (_, c) in specs.items()})
+    at = F.struct(*order)
+    ends = src.groupBy(*keys, *chunk).agg(*[
+        (F.max_by(f"_x_{n}", F.when(F.col(f"_x_{n}").isNotNull(), at)) if k == "last" else agg[k](f"_x_{n}")).alias(f"_e_{n}")
+        for n, (k, _) in specs.items()])
+    carry = ends.select(*keys, *chunk, *[
+        (F.last(f"_e_{n}", ignorenulls=True) if k == "last" else agg[k](f"_e_{n}")).over(before).alias(f"_k_{n}")
+        for n, (k, _) in specs.items()])
+    local = src.withColumns({f"_i_{n}": (F.last(f"_x_{n}", ignorenulls=True) if k == "last" else agg[k](f"_x_{n}")).over(inside)
+                             for n, (k, _) in specs.items()})
+    j = local.join(carry, [*keys, *chunk])
+
+    def combined(n, k):
+        i, c = F.col(f"_i_{n}"), F.col(f"_k_{n}")
+        if k == "last":
+            return F.coalesce(i, c)
+        if k == "sum":
+            return F.when(i.isNull() & c.isNull(), None).otherwise(F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0)))
+        return F.greatest(i, c) if k == "max" else F.least(i, c)
+    done = j.withColumns({n: combined(n, k) for n, (k, _) in specs.items()})
+    return done.drop(*[f"_{p}_{n}" for n in specs for p in "xik"])
+
+
+def lagged(df: DataFrame, keys: list[str], chunk: list[str], order: list, cols: dict[str, str]) -> DataFrame:
+    """``cols`` maps a new name to the column whose previous value (along keys, chunk, order) it holds."""
+    w = Window.partitionBy(*keys, *chunk).orderBy(*order)
+    ends = df.groupBy(*keys, *chunk).agg(F.max_by(F.struct(*cols.values()), F.struct(*order)).alias("_end"))
+    cw = Window.partitionBy(*keys).orderBy(*chunk)
+    carry = ends.select(*keys, *chunk, F.lag("_end").over(cw).alias("_carry"))
+    j = df.withColumn("_rn", F.row_number().over(w)).withColumns({n: F.lag(c).over(w) for n, c in cols.items()}).join(carry, [*keys, *chunk])
+    return j.withColumns({n: F.when(F.col("_rn") == 1, F.col("_carry")[c]).otherwise(F.col(n)) for n, c in cols.items()}).drop("_rn", "_carry")

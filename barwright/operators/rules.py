@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.ordered import lagged
+
 W = Window
 DAY = ["symbol", "et_date"]
 
@@ -204,13 +206,17 @@ def page_after(events: DataFrame, cursor: int, limit: int, seq: str = "seq") ->
         .where(F.col("_rn") <= limit).drop("_rn")
 
 
-def feed_gaps(events: DataFrame) -> DataFrame:
-    """Consumer check per session: duplicate, sequence gap (with the missing count), not-live and unarchived flags."""
-    w = W.partitionBy("session_id").orderBy("seq", "recv")
-    prev = F.lag("seq").over(w)
-    return events.withColumns({"duplicate": F.coalesce(F.col("seq") == prev, F.lit(False)),
-                               "missing_before": F.greatest(F.lit(0), F.coalesce(F.col("seq") - prev - 1, F.lit(0))).cast("long"),
-                               "eligible": F.col("mode") == "live"})
+def feed_gaps(events: DataFrame, span: int = 100_000) -> DataFrame:
+    """Consumer check per session: duplicate, sequence gap (with the missing count) and not-live flags.
+
+    A session may hold most of the events, so the previous number is looked up in slices of ``span`` numbers.
+    """
+    e = events.withColumn("_slice", F.floor(F.col("seq") / span))
+    e = lagged(e, ["session_id"], ["_slice"], ["seq", "recv"], {"_prev": "seq"})
+    prev = F.col("_prev")
+    return e.withColumns({"duplicate": F.coalesce(F.col("seq") == prev, F.lit(False)),
+                          "missing_before": F.greatest(F.lit(0), F.coalesce(F.col("seq") - prev - 1, F.lit(0))).cast("long"),
+                          "eligible": F.col("mode") == "live"}).drop("_slice", "_prev")
 
 
 def activity(outcomes: DataFrame, minutes: int) -> DataFrame:
