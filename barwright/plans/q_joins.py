@@ -42,7 +42,7 @@ def _(t):
         F.col("symbol").alias("etf"), "et_date", "et_min", F.col("close").alias("sector_close"), F.col("et_min").alias("sector_min"))
     w = Window.partitionBy("etf", "et_date").orderBy("et_min")
     until = F.coalesce(F.lead("et_min").over(w) - 1, F.lit(1200))
-    per = right.withColumn("et_min", F.explode(F.sequence("et_min", until)))
+    per = right.withColumn("_to", until).withColumn("et_min", F.explode(F.sequence("et_min", "_to"))).drop("_to")
     return out(b.join(per, ["etf", "et_date", "et_min"], "left"), "symbol day et_min etf sector_close sector_min")
 
 
@@ -55,7 +55,7 @@ def _(t):
 CTES["q20"] = "select 'S' || lpad(cast(user_id % 20 as varchar), 2, '0') as symbol, cast(event_id // 1500 as int) as day, cast(540 + event_id % 420 as int) as et_min, event_id as seq, value from events"
 
 
-@query("join_quote_at_alert", """select a.setup, a.symbol, a.day, a.et_min, arg_max(q.value, q.day * 1000000000 + q.et_min * 1000000::bigint + q.seq) as quote from spaced_or a left join q20 q on q.symbol = a.symbol
+@query("join_quote_at_alert", """select a.setup, a.symbol, a.day, a.et_min, arg_max(q.value, q.day::bigint * 1000000000000 + q.et_min::bigint * 100000000 + q.seq) as quote from spaced_or a left join q20 q on q.symbol = a.symbol
  and q.day * 10000 + q.et_min <= a.day * 10000 + a.et_min group by all""")
 def _(t):
     i = F.col("event_id")
