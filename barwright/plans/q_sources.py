@@ -87,7 +87,6 @@ def plan(t):
 
 
 CTES["lastday"] = "select least(9, max(day)) as need_last, min(day) as need_first from sessions where day between 0 and 9"
-CTES["spans"] = """with_dummy"""
 CTES["spans"] = """select symbol, mode, s.a as span_start, s.b as span_end from (select b.symbol, case when ok then 'incremental' else 'full' end as mode,
  unnest(list_filter([case when not ok then struct_pack(a := 0, b := 9) when f > need_first and b.symbol not in ('S09', 'S10') then struct_pack(a := 0, b := f) end,
   case when ok and last_day < need_last and not (b.symbol = 'S09') then struct_pack(a := case when b.symbol = 'S10' then greatest(last_day, 6) else last_day end, b := 9) end], lambda x: x is not null)) as s
@@ -303,17 +302,17 @@ def _(t):
     return t.spark.read.option("header", True).csv(path).select("symbol", "result")
 
 
-@query("source_bar_identity", "select symbol, day, et_min, source || ':' || symbol || ':1m:' || strftime(timestamp '2000-01-03' + to_days(day) + to_minutes(et_min::bigint) + interval 5 hour, '%Y-%m-%dT%H:%M:%SZ') as bar_id from bars where day < 80")
+@query("source_bar_identity", "select symbol, day, et_min, source || ':' || symbol || ':1m:' || strftime(timestamp '2000-01-03' + to_days(day) + to_minutes(et_min::bigint) + to_hours(case when day between 90 and 299 then 4 else 5 end), '%Y-%m-%dT%H:%M:%SZ') as bar_id from bars")
 def _(t):
-    b = t.bars.where("et_date < date_add(date'2000-01-03', 80)").withColumn("bar_id", archive.source_bar_id(F.col("source"), F.col("symbol"), F.col("ts")))
+    b = t.bars.withColumn("bar_id", archive.source_bar_id(F.col("source"), F.col("symbol"), F.col("ts")))
     return out(b, "symbol day et_min bar_id")
 
 
-@query("revision_digests", """select symbol, d::varchar as d, sha256('{"close":' || close || '}') is not null as has_digest, 64 as len, 8 as short_len from daily""")
+@query("revision_digests", """select symbol, d::varchar as d, sha256('{"d":"' || d || '","symbol":"' || symbol || '"}') as revision, substr(sha1('{"d":"' || d || '","symbol":"' || symbol || '"}'), 1, 8) as short_hash
+ from daily""")
 def _(t):
-    doc = F.struct("close", "symbol")
-    return t.daily.select("symbol", F.col("d").cast("string").alias("d"), archive.revision(doc).isNotNull().alias("has_digest"), F.length(archive.revision(doc)).alias("len"),
-                          F.length(archive.short_hash(doc)).alias("short_len"))
+    doc = F.struct("d", "symbol")
+    return t.daily.select("symbol", F.col("d").cast("string").alias("d")).select("symbol", "d", archive.revision(doc).alias("revision"), archive.short_hash(doc).alias("short_hash"))
 
 
 CTES["fentries"] = """select s_suppkey, date '2024-03-01' + (s_suppkey % 20)::int as fetched, s_suppkey % 4 <> 0 as ok, s_suppkey % 9 = 0 as limited, case when s_suppkey % 3 = 0 then date '2024-03-05' + (s_suppkey % 15)::int end as ne from supplier"""
