@@ -85,20 +85,26 @@ def combinations(matched: DataFrame, mode: str) -> DataFrame:
 OUTCOMES = "setup string, symbol string, et_date date, et_min int, outcome string, direction string, lead string, n_evidence int, reason string"
 
 
-def fold_setups(matched: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Every mode with repeat times, retry while blocked and clear-on-accept: rows of outcomes (sent / blocked / repeat / waiting).
-
-    ``verdicts``: setup, symbol, et_date, et_min, ok - the screen decision on each bar.  Latches move only when an alert is
-    accepted, so (setup, symbol, date) groups - the fires of a session, not its bars - are folded in order.
-    """
+def evaluation_rows(matched: DataFrame) -> DataFrame:
+    """Bars on which a setup has to be looked at: its fires, and the minutes after them while a combination may still be pending."""
     hit = F.struct("idx", "instance", "trigger", "option", "direction", "trigger_repeat")
     keys = ["setup", *DAY]
     cfg = ["mode", "repeat_sec", "and_window_min", "min_triggers", "n_triggers"]
     hits = matched.groupBy(*keys, *cfg, "et_min").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
-    # bars after a fire on which a pending combination may still be accepted
-    later = (hits.where("mode <> 'or'").select(*keys, *cfg, F.explode(F.sequence(F.col("et_min") + 1, F.col("et_min") + F.col("and_window_min")))
-                                               .alias("et_min")).distinct().join(hits.select(*keys, "et_min"), [*keys, "et_min"], "left_anti"))
-    rows = hits.unionByName(later, allowMissingColumns=True).join(verdicts, [*keys, "et_min"])
+    later = F.when(F.col("mode") == "or", F.array()).otherwise(F.sequence(F.col("et_min") + 1, F.col("et_min") + F.col("and_window_min")))
+    spread = hits.select(*keys, *cfg, F.explode(F.concat(F.array("et_min"), later)).alias("m"), "et_min", "hits")
+    own = F.first(F.when(F.col("m") == F.col("et_min"), F.col("hits")), ignorenulls=True)
+    return spread.groupBy(*keys, *cfg, "m").agg(own.alias("hits")).withColumnRenamed("m", "et_min")
+
+
+def fold_setups(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Every mode with repeat times, retry while blocked and clear-on-accept: rows of outcomes (sent / blocked / repeat / waiting).
+
+    ``rows``: the evaluation rows; ``verdicts``: setup, symbol, et_date, et_min, ok - the screen decision on those bars.  Latches
+    move only when an alert is accepted, so (setup, symbol, date) groups - the fires of a session, not its bars - are folded in order.
+    """
+    keys = ["setup", *DAY]
+    rows = rows.join(verdicts, [*keys, "et_min"])
 
     def fold(pdf):
         import pandas as pd

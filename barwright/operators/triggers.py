@@ -34,12 +34,24 @@ class Inputs:
         return co.covered(self.candles, *tfs)
 
 
+def _lit(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def event(cond: Column, trigger: str, option, direction, value, tf=None) -> Column:
+    """The fire a row produces when ``cond`` holds, else NULL."""
+    return F.when(cond, F.struct(
+        F.lit(trigger).alias("trigger"), _lit(option).cast("string").alias("option"), (F.col("tf") if tf is None else _lit(tf)).cast("int").alias("tf"),
+        _lit(direction).alias("direction"), _lit(value).cast("double").alias("value")))
+
+
+def emit(df: DataFrame, *events: Column) -> DataFrame:
+    """All fires of a row in one pass: both sides of a detector share one evaluation of their input."""
+    return df.select(*DAY, "et_min", "session", F.inline(F.array_compact(F.array(*events))))
+
+
 def fires(df: DataFrame, cond: Column, trigger: str, option, direction, value, tf=None) -> DataFrame:
-    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.where(cond).select(
-        *DAY, "et_min", "session", F.lit(trigger).alias("trigger"), lit(option).cast("string").alias("option"),
-        (F.col("tf") if tf is None else lit(tf)).cast("int").alias("tf"), lit(direction).alias("direction"),
-        lit(value).cast("double").alias("value"))
+    return emit(df, event(cond, trigger, option, direction, value, tf))
 
 
 def both(*frames: DataFrame) -> DataFrame:
@@ -56,43 +68,51 @@ def cross(level: Column, up: bool, prev: Column | None = None, cur: Column | Non
     return (prev <= level) & (cur > level) if up else (prev >= level) & (cur < level)
 
 
+def edges(df: DataFrame, conds: dict[str, Column], keys=("tf",), order="et_min") -> DataFrame:
+    """Flags of the rows on which a condition turns true; NULL leaves its latch untouched.  A latch lives one (symbol, date)."""
+    w = W.partitionBy(*DAY, *[k for k in keys if k in df.columns]).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    d = df.withColumns({f"_c_{n}": c for n, c in conds.items()})
+    latched = lambda n: F.coalesce(F.last(f"_c_{n}", ignorenulls=True).over(w), F.lit(False))
+    return d.withColumns({n: F.coalesce(F.col(f"_c_{n}") & ~latched(n), F.lit(False)) for n in conds}).drop(*[f"_c_{n}" for n in conds])
+
+
 def edge(df: DataFrame, cond: Column, keys=("tf",), order="et_min") -> DataFrame:
-    """Rows where ``cond`` turns true; NULL leaves the latch untouched.  The latch lives one (symbol, date)."""
-    w = W.partitionBy(*DAY, *[k for k in keys if k in df.columns]).orderBy(order)
-    latch = F.coalesce(F.last("_cond", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
-    return df.withColumn("_cond", cond).withColumn("_on", F.col("_cond") & ~latch).where("_on").drop("_cond", "_on")
+    return edges(df, {"_on": cond}, keys, order).where("_on").drop("_on")
+
+
+def firsts(df: DataFrame, conds: dict[str, Column], *keys: str, order="et_min") -> DataFrame:
+    """Flags of the first qualifying row per (symbol, date, keys), one flag per condition."""
+    w = W.partitionBy(*DAY, *keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    d = df.withColumns({f"_c_{n}": F.coalesce(c, F.lit(False)) for n, c in conds.items()})
+    seen = lambda n: F.coalesce(F.max(f"_c_{n}").over(w), F.lit(False))
+    return d.withColumns({n: F.col(f"_c_{n}") & ~seen(n) for n in conds}).drop(*[f"_c_{n}" for n in conds])
 
 
 def once(df: DataFrame, *keys: str, order="et_min") -> DataFrame:
-    """First qualifying row per (symbol, date, keys)."""
-    w = W.partitionBy(*DAY, *keys).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """First row per (symbol, date, keys)."""
+    return firsts(df, {"_on": F.lit(True)}, *keys, order=order).where("_on").drop("_on")
 
 
 def in_sessions(df: DataFrame, *sessions: str) -> DataFrame:
     return df.where(F.col("session").isin(*sessions))
 
 
-def sides(fn, *options) -> DataFrame:
-    return both(*[fn(o) for o in options])
-
-
 # ---- minute-bar detectors ------------------------------------------------------------------------------------------------
 
 def new_extreme(i: Inputs, trigger: str = "hod") -> DataFrame:
     """New high/low of the day (regular session) or of the whole day including premarket."""
     hi, lo = ("prev_day_high", "prev_day_low") if trigger == "hod" else ("prev_ext_high", "prev_ext_low")
     b = in_sessions(i.bars, "rth") if trigger == "hod" else i.day_bars
-    return both(fires(b, F.col("high") > F.col(hi), trigger, "high", "long", F.col("high"), 1),
-                fires(b, F.col("low") < F.col(lo), trigger, "low", "short", F.col("low"), 1))
+    return emit(b, event(F.col("high") > F.col(hi), trigger, "high", "long", F.col("high"), 1),
+                event(F.col("low") < F.col(lo), trigger, "low", "short", F.col("low"), 1))
 
 
 def hod_breakout(i: Inputs) -> DataFrame:
     """Plain breakout: the value is the distance beyond the earlier extreme."""
     b = in_sessions(i.bars, "rth")
-    return both(fires(b, F.col("high") > F.col("prev_day_high"), "hod_breakout", "long", "long",
+    return emit(b, event(F.col("high") > F.col("prev_day_high"), "hod_breakout", "long", "long",
                       F.col("high") - F.col("prev_day_high"), 1),
-                fires(b, F.col("low") < F.col("prev_day_low"), "hod_breakout", "short", "short",
+                event(F.col("low") < F.col("prev_day_low"), "hod_breakout", "short", "short",
                       F.col("prev_day_low") - F.col("low"), 1))
 
 
@@ -102,7 +122,8 @@ def first_breach(i: Inputs, trigger: str, hi_level: str, lo_level: str, extended
     p = "prev_ext" if extended else "prev_day"
     up = (F.col("high") > F.col(hi_level)) & F.coalesce(F.col(f"{p}_high") <= F.col(hi_level), F.lit(True))
     dn = (F.col("low") < F.col(lo_level)) & F.coalesce(F.col(f"{p}_low") >= F.col(lo_level), F.lit(True))
-    return both(fires(b, up, trigger, "high", "long", F.col(hi_level), 1), fires(b, dn, trigger, "low", "short", F.col(lo_level), 1))
+    return emit(b, event(up, trigger, "high", "long", F.col(hi_level), 1),
+                event(dn, trigger, "low", "short", F.col(lo_level), 1))
 
 
 def candle_atr(i: Inputs, tf: int, n: int = 20) -> DataFrame:
@@ -115,31 +136,33 @@ def with_asof(i: Inputs, values: DataFrame, cols: list[str], tf: int, pos: str =
     return co.bars_with_candle(i.day_bars, cur, tf)
 
 
+def _near(b: DataFrame, hi: str, lo: str, names: tuple[str, str], option, tf: int) -> DataFrame:
+    """Closing within one ATR inside a level without touching it."""
+    up, dn, atr = F.col(hi) - F.col("close"), F.col("close") - F.col(lo), F.col("atr")
+    e = edges(b, {"_up": F.when((atr > 0) & F.col(hi).isNotNull(), (up > 0) & (up < atr) & (F.col("high") <= F.col(hi))),
+                  "_dn": F.when((atr > 0) & F.col(lo).isNotNull(), (dn > 0) & (dn < atr) & (F.col("low") >= F.col(lo)))})
+    opts = ("high", "low") if option is None else (option, option)
+    return emit(e, event(F.col("_up"), names[0], opts[0], "long", up, tf), event(F.col("_dn"), names[1], opts[1], "short", dn, tf))
+
+
 def near_hod(i: Inputs) -> DataFrame:
     b = in_sessions(with_asof(i, candle_atr(i, 1), ["atr"], 1), "rth")
-
-    def side(s):
-        lvl = F.col("prev_day_high" if s == "high" else "prev_day_low")
-        dist = lvl - F.col("close") if s == "high" else F.col("close") - lvl
-        inside = F.col("high") <= lvl if s == "high" else F.col("low") >= lvl
-        cond = F.when((F.col("atr") > 0) & lvl.isNotNull(), (dist > 0) & (dist < F.col("atr")) & inside)
-        return fires(edge(b, cond), F.lit(True), "near_hod", s, "long" if s == "high" else "short", dist)
-    return sides(side, "high", "low")
+    return _near(b, "prev_day_high", "prev_day_low", ("near_hod", "near_hod"), None, 1)
 
 
 def pct_change(i: Inputs, pct: float = 5.0) -> DataFrame:
     ref = F.col("prior_close")
     cur, prev = (F.col("close") / ref - 1) * 100.0, (F.col("prev_close") / ref - 1) * 100.0
     ok = (ref != 0) & F.col("prev_close").isNotNull()
-    return both(fires(i.day_bars, ok & (prev < pct) & (cur >= pct), "pct_change", "up", "long", cur, 1),
-                fires(i.day_bars, ok & (prev > -pct) & (cur <= -pct), "pct_change", "down", "short", cur, 1))
+    return emit(i.day_bars, event(ok & (prev < pct) & (cur >= pct), "pct_change", "up", "long", cur, 1),
+                event(ok & (prev > -pct) & (cur <= -pct), "pct_change", "down", "short", cur, 1))
 
 
 def gap(i: Inputs, min_pct: float = 2.0) -> DataFrame:
     g = F.try_divide(F.col("session_open"), F.col("prior_close"))
     b = once(in_sessions(i.bars, "rth")).withColumn("g", (g - 1) * 100.0)
-    return both(fires(b, F.col("g") >= min_pct, "gap", "up", "long", F.col("g"), 1),
-                fires(b, F.col("g") <= -min_pct, "gap", "down", "short", F.col("g"), 1))
+    return emit(b, event(F.col("g") >= min_pct, "gap", "up", "long", F.col("g"), 1),
+                event(F.col("g") <= -min_pct, "gap", "down", "short", F.col("g"), 1))
 
 
 def rvol_cross(bars_rvol: DataFrame, threshold: float = 2.0) -> DataFrame:
@@ -159,8 +182,8 @@ def rs_benchmark(i: Inputs, benchmark: str, pct: float = 0.5) -> DataFrame:
     b = in_sessions(i.bars, "rth")
     bench = per_minute(b.where(F.col("symbol") == benchmark), ["mom_15m_pct"])
     j = b.join(bench, ["et_date", "et_min"], "left").withColumn("rs", F.col("mom_15m_pct") - F.col("bench_mom_15m_pct"))
-    return both(fires(edge(j, F.col("rs") >= pct), F.lit(True), "rs_spy", "strong", "long", F.col("rs"), 1),
-                fires(edge(j, F.col("rs") <= -pct), F.lit(True), "rs_spy", "weak", "short", F.col("rs"), 1))
+    e = edges(j, {"_up": F.col("rs") >= pct, "_dn": F.col("rs") <= -pct})
+    return emit(e, event(F.col("_up"), "rs_spy", "strong", "long", F.col("rs"), 1), event(F.col("_dn"), "rs_spy", "weak", "short", F.col("rs"), 1))
 
 
 def momentum_burst(i: Inputs, mult: float = 0.25, close_pct: float = 70.0) -> DataFrame:
@@ -168,9 +191,8 @@ def momentum_burst(i: Inputs, mult: float = 0.25, close_pct: float = 70.0) -> Da
     big = (F.col("rng") > 0) & (F.col("atr_d1") != 0) & (F.col("rng") >= F.col("atr_d1") * mult)
     pos = F.try_divide(F.col("close") - F.col("low"), F.col("rng"))
     v = F.try_divide(F.col("rng"), F.col("atr_d1"))
-    return both(
-        fires(b, big & (F.col("close") >= F.col("open")) & (pos >= close_pct / 100), "momentum_burst", "up", "long", v, 1),
-        fires(b, big & (F.col("close") <= F.col("open")) & (1 - pos >= close_pct / 100), "momentum_burst", "down", "short", v, 1))
+    return emit(b, event(big & (F.col("close") >= F.col("open")) & (pos >= close_pct / 100), "momentum_burst", "up", "long", v, 1),
+                event(big & (F.col("close") <= F.col("open")) & (1 - pos >= close_pct / 100), "momentum_burst", "down", "short", v, 1))
 
 
 def running(i: Inputs, min_pct: float = 0.5, unit: str = "pct") -> DataFrame:
@@ -190,8 +212,8 @@ def running(i: Inputs, min_pct: float = 0.5, unit: str = "pct") -> DataFrame:
         b = with_asof(i, base, ["base"], 1).withColumn("chg", F.when(F.col("base") > 0, move / F.col("base")))
     b = b.where(F.col("prev_close") != 0)
     name = "running"
-    return both(fires(b, F.col("chg") >= min_pct, name, "up", "long", F.col("chg"), 1),
-                fires(b, F.col("chg") <= -min_pct, name, "down", "short", F.col("chg"), 1))
+    return emit(b, event(F.col("chg") >= min_pct, name, "up", "long", F.col("chg"), 1),
+                event(F.col("chg") <= -min_pct, name, "down", "short", F.col("chg"), 1))
 
 
 def through_vwap(i: Inputs, mult: float = 3.0) -> DataFrame:
@@ -201,8 +223,8 @@ def through_vwap(i: Inputs, mult: float = 3.0) -> DataFrame:
     b = i.bars.withColumn("avg_rng", F.when(F.count(F.lit(1)).over(prior) == 10, F.avg(rng).over(prior))).where("session = 'rth'")
     big = (F.col("avg_rng") > 0) & (rng >= F.col("avg_rng") * mult)
     v = F.try_divide(rng, F.col("avg_rng"))
-    return both(fires(b, cross(F.col("vwap"), True) & big, "through_vwap", "above", "long", v, 1),
-                fires(b, cross(F.col("vwap"), False) & big, "through_vwap", "below", "short", v, 1))
+    return emit(b, event(cross(F.col("vwap"), True) & big, "through_vwap", "above", "long", v, 1),
+                event(cross(F.col("vwap"), False) & big, "through_vwap", "below", "short", v, 1))
 
 
 # ---- bars against the newest completed candle ----------------------------------------------------------------------------
@@ -215,42 +237,31 @@ def swing_levels(i: Inputs, tf: int, n: int) -> DataFrame:
 
 
 def new_candle_extreme(i: Inputs, tf: int, since: int = 1) -> DataFrame:
+    hi, lo = F.col("swing_high"), F.col("swing_low")
     b = with_asof(i, swing_levels(i, tf, since), ["swing_high", "swing_low"], tf)
-    up = once(b.where(F.col("high") > F.col("swing_high")), "key_session", "slot")
-    dn = once(b.where(F.col("low") < F.col("swing_low")), "key_session", "slot")
-    return both(fires(up, F.lit(True), "new_candle_high", str(tf), "long", F.col("swing_high"), tf),
-                fires(dn, F.lit(True), "new_candle_low", str(tf), "short", F.col("swing_low"), tf))
+    b = firsts(b, {"_up": F.col("high") > hi, "_dn": F.col("low") < lo}, "key_session", "slot")
+    return emit(b, event(F.col("_up"), "new_candle_high", str(tf), "long", hi, tf), event(F.col("_dn"), "new_candle_low", str(tf), "short", lo, tf))
 
 
 def break_recent(i: Inputs, tf: int, lookback: int = 5) -> DataFrame:
+    hi, lo = F.col("swing_high"), F.col("swing_low")
     b = with_asof(i, swing_levels(i, tf, lookback), ["swing_high", "swing_low"], tf)
-    up = once(b.where(cross(F.col("swing_high"), True)), "key_session", "slot")
-    dn = once(b.where(cross(F.col("swing_low"), False)), "key_session", "slot")
-    return both(fires(up, F.lit(True), "break_recent_high", str(tf), "long", F.col("swing_high"), tf),
-                fires(dn, F.lit(True), "break_recent_low", str(tf), "short", F.col("swing_low"), tf))
+    b = firsts(b, {"_up": cross(hi, True), "_dn": cross(lo, False)}, "key_session", "slot")
+    return emit(b, event(F.col("_up"), "break_recent_high", str(tf), "long", hi, tf), event(F.col("_dn"), "break_recent_low", str(tf), "short", lo, tf))
 
 
 def near_last(i: Inputs, tf: int, lookback: int = 5) -> DataFrame:
     lv = ind.atr(swing_levels(i, tf, lookback), SERIES, "cpos", {"atr": 20})
     b = with_asof(i, lv, ["swing_high", "swing_low", "atr"], tf)
-
-    def side(s):
-        lvl = F.col(f"swing_{s}")
-        dist = lvl - F.col("close") if s == "high" else F.col("close") - lvl
-        inside = F.col("high") <= lvl if s == "high" else F.col("low") >= lvl
-        cond = F.when((F.col("atr") > 0) & lvl.isNotNull(), (dist > 0) & (dist < F.col("atr")) & inside)
-        return fires(edge(b, cond), F.lit(True), f"near_last_{s}", str(tf), "long" if s == "high" else "short", dist, tf)
-    return sides(side, "high", "low")
+    return _near(b, "swing_high", "swing_low", ("near_last_high", "near_last_low"), str(tf), tf)
 
 
 def opening_range_break(i: Inputs, tf: int) -> DataFrame:
     first = (i.covered(tf).where("key_session = 'rth' and slot = 0")
               .select(*DAY, F.col("high").alias("or_high"), F.col("low").alias("or_low")))
     b = in_sessions(i.bars, "rth").where(F.col("et_min") >= clock.RTH_OPEN + tf).join(first, DAY)
-    up = once(b.where(cross(F.col("or_high"), True)))
-    dn = once(b.where(cross(F.col("or_low"), False)))
-    return both(fires(up, F.lit(True), "orb_breakout", str(tf), "long", F.col("or_high"), tf),
-                fires(dn, F.lit(True), "orb_breakdown", str(tf), "short", F.col("or_low"), tf))
+    b = firsts(b, {"_up": cross(F.col("or_high"), True), "_dn": cross(F.col("or_low"), False)})
+    return emit(b, event(F.col("_up"), "orb_breakout", str(tf), "long", F.col("or_high"), tf), event(F.col("_dn"), "orb_breakdown", str(tf), "short", F.col("or_low"), tf))
 
 
 def candle_emas(i: Inputs, tf: int, periods: list[int]) -> DataFrame:
@@ -269,18 +280,17 @@ def back_to_ema(i: Inputs, tf: int, period: int, away_pct: float = 0.5, n: int =
                 "below": ok & (F.min((F.col("high") < e * (1 - a)).cast("int")).over(b) == 1)}
     c = rolling(candle_emas(i, tf, [period]), SERIES, "rpos", max(n - 1, 1), cols)
     b = with_asof(i, c, [f"ema{period}", "above", "below"], tf, "rpos", "rbefore")
-    up = b.where(F.col("above") & (F.col("low") <= e) & (e <= F.col("close")))
-    dn = b.where(F.col("below") & (F.col("high") >= e) & (e >= F.col("close")))
+    b = firsts(b, {"_up": F.col("above") & (F.col("low") <= e) & (e <= F.col("close")),
+                   "_dn": F.col("below") & (F.col("high") >= e) & (e >= F.col("close"))}, "key_session", "slot")
     opt = f"ema{period}_{tf}"
-    return both(fires(once(up, "key_session", "slot"), F.lit(True), "back_to_ema", opt, "long", e, tf),
-                fires(once(dn, "key_session", "slot"), F.lit(True), "back_to_ema", opt, "short", e, tf))
+    return emit(b, event(F.col("_up"), "back_to_ema", opt, "long", e, tf), event(F.col("_dn"), "back_to_ema", opt, "short", e, tf))
 
 
 def ema_cross_ema(i: Inputs, tf: int = 1, fast: int = 3, slow: int = 9) -> DataFrame:
     b = with_asof(i, candle_emas(i, tf, [fast, slow]), [f"ema{fast}", f"ema{slow}"], tf, "rpos", "rbefore")
     f, s = F.col(f"ema{fast}"), F.col(f"ema{slow}")
-    return both(fires(edge(b, f > s), F.lit(True), "ema_cross_ema", "up", "long", f, tf),
-                fires(edge(b, f < s), F.lit(True), "ema_cross_ema", "down", "short", f, tf))
+    b = edges(b, {"_up": f > s, "_dn": f < s})
+    return emit(b, event(F.col("_up"), "ema_cross_ema", "up", "long", f, tf), event(F.col("_dn"), "ema_cross_ema", "down", "short", f, tf))
 
 
 def range_break(i: Inputs, tf: int = 5, n: int = 5, width: float = 1.5, unit: str = "pct", vol_mult: float = 1.5) -> DataFrame:
@@ -304,11 +314,10 @@ def range_break(i: Inputs, tf: int = 5, n: int = 5, width: float = 1.5, unit: st
     tight = (hi + lo > 0) & (hi - lo <= limit)
     strong = (F.col("r_vol") > 0) & (F.col("volume") >= F.col("r_vol") * vol_mult)
 
-    def side(s):
-        outside = F.col("close") > hi if s == "up" else F.col("close") < lo
-        cond = F.when(tight & ~outside, False).when(tight & outside & strong, True)
-        return fires(edge(x, cond), F.lit(True), "range_break", s, "long" if s == "up" else "short", hi if s == "up" else lo, tf)
-    return sides(side, "up", "down")
+    def turned(outside):
+        return F.when(tight & ~outside, False).when(tight & outside & strong, True)
+    x = edges(x, {"_up": turned(F.col("close") > hi), "_dn": turned(F.col("close") < lo)})
+    return emit(x, event(F.col("_up"), "range_break", "up", "long", hi, tf), event(F.col("_dn"), "range_break", "down", "short", lo, tf))
 
 
 # ---- completed candles, seen by the next bar of the date ------------------------------------------------------------------
@@ -322,8 +331,8 @@ def completed(df: DataFrame, *sessions: str) -> DataFrame:
 def candle_close(i: Inputs, *tfs: int) -> DataFrame:
     d = completed(i.covered(*tfs))
     opt = F.col("tf")
-    return both(fires(d, F.col("close") > F.col("open"), "bull_candle_close", opt, "long", F.col("close")),
-                fires(d, F.col("close") < F.col("open"), "bear_candle_close", opt, "short", F.col("close")))
+    return emit(d, event(F.col("close") > F.col("open"), "bull_candle_close", opt, "long", F.col("close")),
+                event(F.col("close") < F.col("open"), "bear_candle_close", opt, "short", F.col("close")))
 
 
 def session_lags(df: DataFrame, back: int, cols=("open", "high", "low", "close")) -> DataFrame:
@@ -340,13 +349,12 @@ def pair_patterns(i: Inputs, *tfs: int) -> DataFrame:
     red_green, green_red = (px < po) & (x > o), (px > po) & (x < o)
     inside, pinside = (h < ph) & (l > pl), (ph < F.col("high2")) & (pl > F.col("low2"))
     opt, wide = F.col("tf"), F.col("tf").isin(5, 15, 30, 60)
-    return both(
-        fires(c, red_green & (o <= px) & (x >= po) & (body > pbody), "bull_engulfing", opt, "long", x),
-        fires(c, green_red & (o >= px) & (x <= po) & (body > pbody), "bear_engulfing", opt, "short", x),
-        fires(c, red_green & (o >= px) & (x <= po) & (body < pbody), "bull_harami", opt, "long", x),
-        fires(c, green_red & (o <= px) & (x >= po) & (body < pbody), "bear_harami", opt, "short", x),
-        fires(c, wide & inside, "inside_bar", opt, "neutral", h - l),
-        fires(c, wide & inside & pinside, "double_inside_bar", opt, "neutral", h - l))
+    return emit(c, event(red_green & (o <= px) & (x >= po) & (body > pbody), "bull_engulfing", opt, "long", x),
+                event(green_red & (o >= px) & (x <= po) & (body > pbody), "bear_engulfing", opt, "short", x),
+                event(red_green & (o >= px) & (x <= po) & (body < pbody), "bull_harami", opt, "long", x),
+                event(green_red & (o <= px) & (x >= po) & (body < pbody), "bear_harami", opt, "short", x),
+                event(wide & inside, "inside_bar", opt, "neutral", h - l),
+                event(wide & inside & pinside, "double_inside_bar", opt, "neutral", h - l))
 
 
 def single_patterns(i: Inputs, *tfs: int, body_pct: float = 10.0, ratio: float = 2.0) -> DataFrame:
@@ -355,10 +363,9 @@ def single_patterns(i: Inputs, *tfs: int, body_pct: float = 10.0, ratio: float =
     body, rng = F.abs(x - o), h - l
     up, dn = h - F.greatest(o, x), F.least(o, x) - l
     opt, b = F.col("tf"), F.greatest(body, F.lit(1e-9))
-    return both(
-        fires(c, (rng > 0) & (F.try_divide(body, rng) * 100 <= body_pct), "doji", opt, "neutral", F.try_divide(body, rng) * 100),
-        fires(c, (up > 0) & (up / b >= ratio), "upper_shadow", opt, "short", up / b),
-        fires(c, (dn > 0) & (dn / b >= ratio), "lower_shadow", opt, "long", dn / b))
+    return emit(c, event((rng > 0) & (F.try_divide(body, rng) * 100 <= body_pct), "doji", opt, "neutral", F.try_divide(body, rng) * 100),
+                event((up > 0) & (up / b >= ratio), "upper_shadow", opt, "short", up / b),
+                event((dn > 0) & (dn / b >= ratio), "lower_shadow", opt, "long", dn / b))
 
 
 def reject_last(i: Inputs, *tfs: int, lookback: int = 5) -> DataFrame:
@@ -367,8 +374,8 @@ def reject_last(i: Inputs, *tfs: int, lookback: int = 5) -> DataFrame:
         return {"lvl_hi": F.when(ok, F.max("high").over(prior)), "lvl_lo": F.when(ok, F.min("low").over(prior))}
     c = completed(co.recent(i.covered(*tfs), lookback, cols), "rth")
     hi, lo, x, o = F.col("lvl_hi"), F.col("lvl_lo"), F.col("close"), F.col("open")
-    return both(fires(c, (F.col("high") >= hi) & (x < hi) & (x < o), "reject_last_high", F.col("tf"), "short", hi),
-                fires(c, (F.col("low") <= lo) & (x > lo) & (x > o), "reject_last_low", F.col("tf"), "long", lo))
+    return emit(c, event((F.col("high") >= hi) & (x < hi) & (x < o), "reject_last_high", F.col("tf"), "short", hi),
+                event((F.col("low") <= lo) & (x > lo) & (x > o), "reject_last_low", F.col("tf"), "long", lo))
 
 
 def volume_spike(i: Inputs, *tfs: int, ratio: float = 2.0, lookback: int = 10) -> DataFrame:
@@ -383,8 +390,8 @@ def consec_candles(streaks: DataFrame, count: int = 3) -> DataFrame:
     """``streaks``: completed candles with a signed ``streak`` (see the indicator)."""
     d = completed(streaks)
     run = F.when(F.col("session") == F.col("key_session"), F.col("streak")).otherwise(0)
-    return both(fires(edge(d, run >= count), F.lit(True), "consec_candles", "green", "long", float(count)),
-                fires(edge(d, run <= -count), F.lit(True), "consec_candles", "red", "short", float(count)))
+    d = edges(d, {"_up": run >= count, "_dn": run <= -count})
+    return emit(d, event(F.col("_up"), "consec_candles", "green", "long", float(count)), event(F.col("_dn"), "consec_candles", "red", "short", float(count)))
 
 
 def candle_level_cross(i: Inputs, tf: int, level: str = "vwap") -> DataFrame:
@@ -399,8 +406,8 @@ def candle_level_cross(i: Inputs, tf: int, level: str = "vwap") -> DataFrame:
         c = c.join(now, [*DAY, "et_min"])
         lp = lc = F.col("_lvl")
     x = F.col("close")
-    return both(fires(c, (F.col("pc") <= lp) & (x > lc), "cross_above", level, "long", lc),
-                fires(c, (F.col("pc") >= lp) & (x < lc), "cross_below", level, "short", lc))
+    return emit(c, event((F.col("pc") <= lp) & (x > lc), "cross_above", level, "long", lc),
+                event((F.col("pc") >= lp) & (x < lc), "cross_below", level, "short", lc))
 
 
 # level option -> column of the bar table
@@ -434,9 +441,12 @@ def level_long(bars_with_levels: DataFrame) -> DataFrame:
 
 
 def level_cross(bars_with_levels: DataFrame) -> DataFrame:
-    x = level_long(bars_with_levels)
-    return both(fires(x, cross(F.col("price"), True), "cross_above", F.col("level"), "long", F.col("price"), 1),
-                fires(x, cross(F.col("price"), False), "cross_below", F.col("level"), "short", F.col("price"), 1))
+    """Every level is tested on its own column; only the crossed ones become rows."""
+    events = []
+    for name in (*BAR_LEVELS, *EMA_LEVELS):
+        c = F.col(BAR_LEVELS.get(name, name))
+        events += [event(cross(c, True), "cross_above", name, "long", c, 1), event(cross(c, False), "cross_below", name, "short", c, 1)]
+    return emit(bars_with_levels, *events)
 
 
 def vwap_cross_confirmed(i: Inputs, *tfs: int) -> DataFrame:
@@ -445,8 +455,8 @@ def vwap_cross_confirmed(i: Inputs, *tfs: int) -> DataFrame:
     c = i.covered(*tfs).withColumns({"d0": d, "d1": F.lag(d, 1).over(w), "d2": F.lag(d, 2).over(w), "s2": F.lag("slot", 2).over(w)})
     c = completed(c, "rth").where("session = key_session and s2 = slot - 2")
     d0, d1, d2 = F.col("d0"), F.col("d1"), F.col("d2")
-    return both(fires(c, (d2 <= 0) & (d1 > 0) & (d0 > 0), "vwap_cross_confirmed", "above", "long", F.col("vwap")),
-                fires(c, (d2 >= 0) & (d1 < 0) & (d0 < 0), "vwap_cross_confirmed", "below", "short", F.col("vwap")))
+    return emit(c, event((d2 <= 0) & (d1 > 0) & (d0 > 0), "vwap_cross_confirmed", "above", "long", F.col("vwap")),
+                event((d2 >= 0) & (d1 < 0) & (d0 < 0), "vwap_cross_confirmed", "below", "short", F.col("vwap")))
 
 
 def vwap_hold_touch(i: Inputs, *tfs: int, tol: float = 3.0, atr_unit: bool = True) -> DataFrame:
@@ -459,10 +469,9 @@ def vwap_hold_touch(i: Inputs, *tfs: int, tol: float = 3.0, atr_unit: bool = Tru
         t = F.col("atr_d1") * tol / 100.0
     else:
         t = v * tol / 100.0
-    return both(
-        fires(c, (F.col("pc") > F.col("pv")) & F.col("low").between(v - t, v + t) & (x > v) & (x > F.col("open")),
+    return emit(c, event((F.col("pc") > F.col("pv")) & F.col("low").between(v - t, v + t) & (x > v) & (x > F.col("open")),
               "vwap_support", F.col("tf"), "long", v),
-        fires(c, (F.col("pc") < F.col("pv")) & F.col("high").between(v - t, v + t) & (x < v) & (x < F.col("open")),
+                event((F.col("pc") < F.col("pv")) & F.col("high").between(v - t, v + t) & (x < v) & (x < F.col("open")),
               "vwap_resistance", F.col("tf"), "short", v))
 
 
@@ -477,10 +486,9 @@ def vwap_v(i: Inputs, tf: int = 5, n: int = 6, away: float = 0.3, band: float =
     c = completed(c).where(f"session = key_session and n = {n} and atr_d1 > 0 and near <= {dwell} and high > low")
     v, x, rng = F.col("vwap"), F.col("close"), F.col("high") - F.col("low")
     b = a * band
-    return both(
-        fires(c, (F.col("far_up") >= a * away) & (F.col("low") <= v + b) & (x >= v + b) & (x > F.col("open"))
+    return emit(c, event((F.col("far_up") >= a * away) & (F.col("low") <= v + b) & (x >= v + b) & (x > F.col("open"))
               & (x - F.col("low") >= rng * 0.6), "vwap_v", "support", "long", v),
-        fires(c, (F.col("far_dn") >= a * away) & (F.col("high") >= v - b) & (x <= v - b) & (x < F.col("open"))
+                event((F.col("far_dn") >= a * away) & (F.col("high") >= v - b) & (x <= v - b) & (x < F.col("open"))
               & (F.col("high") - x >= rng * 0.6), "vwap_v", "resistance", "short", v))
 
 
@@ -496,7 +504,8 @@ def study_cross(study_candles: DataFrame, trigger: str, level: float | None = No
     c = rolling(study_candles, SERIES, "cpos", 1, lambda w: {"before": F.lag(col).over(w)})
     c = completed(c, "rth")
     b, a = F.col("before"), F.col(col)
-    return both(fires(c, (b <= level) & (a > level), trigger, "up", "long", a), fires(c, (b >= level) & (a < level), trigger, "down", "short", a))
+    return emit(c, event((b <= level) & (a > level), trigger, "up", "long", a),
+                event((b >= level) & (a < level), trigger, "down", "short", a))
 
 
 def failed_swing(i: Inputs, tf: int, lookback: int = 20, max_wait: int = 3, min_break_pct: float = 0.1) -> DataFrame:
@@ -540,15 +549,16 @@ def failed_swing(i: Inputs, tf: int, lookback: int = 20, max_wait: int = 3, min_
     f = (c.select(*DAY, "et_min", "key_session", "slot", "gaps", "close", "lvl_hi", "lvl_lo").groupBy(*DAY)
           .applyInPandas(fold, "symbol string, et_date date, et_min int, side string, level double"))
     f = f.withColumn("session", F.lit("rth"))
-    return both(fires(f, F.col("side") == "high", "failed_swing_high", str(tf), "short", F.col("level"), tf),
-                fires(f, F.col("side") == "low", "failed_swing_low", str(tf), "long", F.col("level"), tf))
+    return emit(f, event(F.col("side") == "high", "failed_swing_high", str(tf), "short", F.col("level"), tf),
+                event(F.col("side") == "low", "failed_swing_low", str(tf), "long", F.col("level"), tf))
 
 
 def extreme_events(i: Inputs, benchmark: str) -> DataFrame:
     """HOD/LOD event stream: strictly new regular-session extremes after the first bar, numbered per date."""
     b = in_sessions(i.bars, "rth").where(F.col("symbol") != benchmark)
-    e = both(b.where(F.col("high") > F.col("prev_day_high")).select(*DAY, "et_min", F.lit("HOD").alias("type"), F.col("high").alias("price")),
-             b.where(F.col("low") < F.col("prev_day_low")).select(*DAY, "et_min", F.lit("LOD").alias("type"), F.col("low").alias("price")))
+    kind = lambda cond, name, price: F.when(cond, F.struct(F.lit(name).alias("type"), F.col(price).alias("price")))
+    e = b.select(*DAY, "et_min", F.inline(F.array_compact(F.array(kind(F.col("high") > F.col("prev_day_high"), "HOD", "high"),
+                                                                  kind(F.col("low") < F.col("prev_day_low"), "LOD", "low")))))
     # numbered minute by minute: the counts of the earlier minutes of a date are at most 960 rows
     n = e.groupBy("et_date", "et_min").count()
     off = n.select("et_date", "et_min", F.coalesce(F.sum("count").over(

@@ -135,12 +135,10 @@ def _(t):
 
 
 def outcomes(t):
+    rows = ru.evaluation_rows(matched(t))
     values = cd.bar_values(bars_with_rvol(t)).where("session = 'rth'").select("symbol", "et_date", "et_min", *IDS)
-    s = setups(t)
-    names = s.select("setup").distinct()
-    every = values.withColumn("setup", F.explode(F.array(*[F.lit(r[0]) for r in SETUPS]))).join(names, "setup", "left_semi")
-    ok = ru.screen(every, values, s, IDS, cd.compare).groupBy("setup", "symbol", "et_date", "et_min").agg(F.every("passed").alias("ok"))
-    return ru.fold_setups(matched(t), ok)
+    ok = ru.screen(rows, values, setups(t), IDS, cd.compare).groupBy("setup", "symbol", "et_date", "et_min").agg(F.every("passed").alias("ok"))
+    return ru.fold_setups(rows, ok)
 
 
 @query("rules_fold_outcomes")
