@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.folds import fold_sorted
 from ..functions.ordered import lagged
 
 W = Window
@@ -97,63 +98,66 @@ def evaluation_rows(matched: DataFrame) -> DataFrame:
     return spread.groupBy(*keys, *cfg, "m").agg(own.alias("hits")).withColumnRenamed("m", "et_min")
 
 
-def fold_setups(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+def with_verdict(rows: DataFrame, values: DataFrame, setups: DataFrame, ids: list[str], pass_on_missing=()) -> DataFrame:
+    """``rows`` with ``ok``: all configured conditions of the row's setup hold for the values of its bar, in one pass.
+
+    The condition list of a setup travels with the row (the rules table is small enough for Spark to broadcast by size).
+    """
+    held = F.create_map(*[x for c in ids for x in (F.lit(c), F.col(c).cast("double"))])
+
+    def holds(p):
+        v = F.try_element_at(held, p["id"])
+        verdict = (F.when(p["op"] == "gte", v >= p["value"]).when(p["op"] == "lte", v <= p["value"])
+                    .when(p["op"] == "gt", v > p["value"]).when(p["op"] == "lt", v < p["value"]))
+        return F.coalesce(verdict, p["id"].isin(*pass_on_missing) if pass_on_missing else F.lit(False))
+    j = rows.join(values.select(*DAY, "et_min", *ids), [*DAY, "et_min"]).join(setups.select("setup", "parameters"), "setup")
+    return j.withColumn("ok", F.forall("parameters", holds)).drop("parameters", *ids)
+
+
+def fold_setups(rows: DataFrame) -> DataFrame:
     """Every mode with repeat times, retry while blocked and clear-on-accept: rows of outcomes (sent / blocked / repeat / waiting).
 
-    ``rows``: the evaluation rows; ``verdicts``: setup, symbol, et_date, et_min, ok - the screen decision on those bars.  Latches
-    move only when an alert is accepted, so (setup, symbol, date) groups - the fires of a session, not its bars - are folded in order.
+    ``rows``: evaluation rows with the screen decision ``ok``.  Latches move only when an alert is accepted, so the rows of a
+    (setup, symbol, date) are folded in order, streaming over sorted partitions.
     """
     keys = ["setup", *DAY]
-    rows = rows.join(verdicts, [*keys, "et_min"])
-
-    def fold(pdf):
-        import pandas as pd
-        pdf = pdf.sort_values("et_min")
-        first = pdf.iloc[0]
-        mode, rep, window = first["mode"], int(first["repeat_sec"]) / 60, int(first["and_window_min"])
-        need = int(first["n_triggers"]) if mode == "and" else min(max(1, int(first["min_triggers"])), int(first["n_triggers"]))
-        seen, last_trigger, last_alert, out = {}, {}, None, []
-
-        def emit(r, outcome, direction, lead, n, reason):
-            out.append((first["setup"], first["symbol"], first["et_date"], int(r.et_min), outcome, direction, lead, n, reason))
-        for r in pdf.itertuples(index=False):
-            now, fired = r.et_min, []
-            for h in (r.hits if r.hits is not None else []):
-                t = last_trigger.get(h["instance"])
-                if h["trigger_repeat"] and t is not None and (now - t) * 60 < h["trigger_repeat"]:
-                    emit(r, "repeat", h["direction"], h["instance"], 1, "trigger repeat")
-                else:
-                    fired.append(h)
-            if not fired and (mode == "or" or not seen):
-                continue
-            evidence = {h["instance"]: (now, h["direction"]) for h in fired}
-            if mode != "or":
-                seen.update(evidence)
-                seen = {k: v for k, v in seen.items() if v[0] >= now - window}
-                if len(seen) < need:
-                    if fired:
-                        emit(r, "waiting", fired[0]["direction"], fired[0]["instance"], len(seen), f"{len(seen)} of {need}")
-                    continue
-                evidence = dict(seen)
-            if rep and last_alert is not None and now - last_alert < rep:
+
+    def step(st, r):
+        mode, window, now, out = r["mode"], int(r["and_window_min"]), int(r["et_min"]), []
+        need = int(r["n_triggers"]) if mode == "and" else min(max(1, int(r["min_triggers"])), int(r["n_triggers"]))
+
+        def emit(outcome, direction, lead, n, reason):
+            out.append((*[r[k] for k in keys], now, outcome, direction, lead, n, reason))
+        fired = []
+        for h in (r["hits"] if r["hits"] is not None else []):
+            t = st["trigger"].get(h["instance"])
+            if h["trigger_repeat"] and t is not None and (now - t) * 60 < h["trigger_repeat"]:
+                emit("repeat", h["direction"], h["instance"], 1, "trigger repeat")
+            else:
+                fired.append(h)
+        if not fired and (mode == "or" or not st["seen"]):
+            return out
+        evidence = {h["instance"]: (now, h["direction"]) for h in fired}
+        if mode != "or":
+            st["seen"] = {k: v for k, v in {**st["seen"], **evidence}.items() if v[0] >= now - window}
+            if len(st["seen"]) < need:
                 if fired:
-                    emit(r, "repeat", fired[0]["direction"], fired[0]["instance"], len(evidence), "setup repeat")
-                continue
+                    emit("waiting", fired[0]["direction"], fired[0]["instance"], len(st["seen"]), f"{len(st['seen'])} of {need}")
+                return out
+            evidence = dict(st["seen"])
+        if r["repeat_sec"] and st["alert"] is not None and (now - st["alert"]) * 60 < r["repeat_sec"]:
             if fired:
-                lead, direction = fired[0]["instance"], fired[0]["direction"]
-            else:
-                lead = max(evidence, key=lambda k: evidence[k][0])
-                direction = evidence[lead][1]
-            if not r.ok:
-                emit(r, "blocked", direction, lead, len(evidence), "screen")
-                continue
-            emit(r, "sent", direction, lead, len(evidence), "")
-            last_alert = now
-            for k in evidence:
-                last_trigger[k] = now
-            seen = {}
-        return pd.DataFrame(out, columns=["setup", "symbol", "et_date", "et_min", "outcome", "direction", "lead", "n_evidence", "reason"])
-    return rows.groupBy(*keys).applyInPandas(fold, OUTCOMES)
+                emit("repeat", fired[0]["direction"], fired[0]["instance"], len(evidence), "setup repeat")
+            return out
+        lead = fired[0]["instance"] if fired else max(evidence, key=lambda k: evidence[k][0])
+        direction = evidence[lead][1]
+        if not r["ok"]:
+            emit("blocked", direction, lead, len(evidence), "screen")
+            return out
+        emit("sent", direction, lead, len(evidence), "")
+        st.update(alert=now, seen={}, trigger={**st["trigger"], **dict.fromkeys(evidence, now)})
+        return out
+    return fold_sorted(rows, keys, ["et_min"], lambda: {"seen": {}, "trigger": {}, "alert": None}, step, lambda st, key: [], OUTCOMES)
 
 
 def score(rvol: Column, n_evidence: Column) -> Column:

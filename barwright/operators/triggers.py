@@ -10,7 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import clock
-from ..functions.ordered import Smooth, recurrence, rolling
+from ..functions.folds import fold_sorted
+from ..functions.ordered import rolling
 from . import candles as co
 from . import indicators as ind
 
@@ -419,17 +420,17 @@ EMA_LEVELS = {"ema20_2": (2, 20), "ema9_5": (5, 9), "ema21_5": (5, 21), "ema9_15
 
 
 def with_ema_levels(i: Inputs, names=tuple(EMA_LEVELS)) -> DataFrame:
-    """Bars with the value each intraday EMA level had at that bar."""
-    b = i.day_bars
-    for tf in sorted({EMA_LEVELS[n][0] for n in names}):
-        mine = [n for n in names if EMA_LEVELS[n][0] == tf]
-        e = candle_emas(i, tf, [EMA_LEVELS[n][1] for n in mine])
-        cols = [f"ema{EMA_LEVELS[n][1]}" for n in mine]
-        cur = co.asof_candle(i.candles.where(F.col("tf") == tf), e, cols, "rpos", "rbefore")
-        b = co.bars_with_candle(b, cur, tf).drop("tf", "key_session", "slot")
-        for n, c in zip(mine, cols):
-            b = b.withColumnRenamed(c, n)
-    return b
+    """Bars with the value each intraday EMA level had at that bar: one recurrence for all timeframes, pivoted back per bar."""
+    tfs = sorted({EMA_LEVELS[n][0] for n in names})
+    cols = {f"ema{EMA_LEVELS[n][1]}": EMA_LEVELS[n][1] for n in names}
+    e = ind.ema(i.covered(*tfs).where("rpos is not null"), SERIES, "rpos", cols)
+    cur = co.asof_candle(i.candles.where(F.col("tf").isin(*tfs)), e, list(cols), "rpos", "rbefore")
+    m = F.col("et_min")
+    keyed = (i.day_bars.select(*DAY, "et_min", F.explode(F.array(*[F.lit(t) for t in tfs])).alias("tf"))
+                       .withColumn("key_session", clock.key_session(m)).withColumn("slot", clock.candle_slot(m, F.col("tf"))))
+    per_bar = keyed.join(cur, [*DAY, "tf", "key_session", "slot"]).groupBy(*DAY, "et_min").agg(*[
+        F.max(F.when(F.col("tf") == EMA_LEVELS[n][0], F.col(f"ema{EMA_LEVELS[n][1]}"))).alias(n) for n in names])
+    return i.day_bars.join(per_bar, [*DAY, "et_min"], "left")
 
 
 def level_long(bars_with_levels: DataFrame) -> DataFrame:
@@ -511,8 +512,8 @@ def study_cross(study_candles: DataFrame, trigger: str, level: float | None = No
 def failed_swing(i: Inputs, tf: int, lookback: int = 20, max_wait: int = 3, min_break_pct: float = 0.1) -> DataFrame:
     """A close beyond a frozen swing that returns within ``max_wait`` candles; a gap or session change cancels.
 
-    The pending break depends on earlier outcomes, so the candles of one (symbol, date) - at most a session - are folded in
-    order by a grouped pandas function.
+    The pending break depends on earlier outcomes, so the candles of a (symbol, date) are folded in order, streaming over sorted
+    partitions.
     """
     w = W.partitionBy(*DAY, "tf", "key_session").orderBy("slot")
     b = w.rowsBetween(-lookback, -1)
@@ -523,31 +524,23 @@ def failed_swing(i: Inputs, tf: int, lookback: int = 20, max_wait: int = 3, min_
     c = c.withColumns({"lvl_hi": F.when(prev_ok, F.max("high").over(b)), "lvl_lo": F.when(prev_ok, F.min("low").over(b))})
     c = completed(c, "rth")
 
-    def fold(pdf):
-        import pandas as pd
-        pdf = pdf.sort_values("et_min")
-        rows = []
-        for side, sign in (("high", 1.0), ("low", -1.0)):
-            pending = None
-            for r in pdf.itertuples(index=False):
-                if pending is not None:
-                    level, slot, sess, gaps = pending
-                    waited = r.slot - slot
-                    if r.key_session != sess or waited > max_wait or r.gaps != gaps:
-                        pending = None
-                    else:
-                        if sign * (r.close - level) < 0:
-                            rows.append((r.symbol, r.et_date, r.et_min, side, level))
-                            pending = None
-                        continue
-                level = r.lvl_hi if side == "high" else r.lvl_lo
-                if level == level and level is not None:
-                    margin = level * min_break_pct / 100
-                    if sign * (r.close - (level + sign * margin)) > 0:
-                        pending = (level, r.slot, r.key_session, r.gaps)
-        return pd.DataFrame(rows, columns=["symbol", "et_date", "et_min", "side", "level"])
-    f = (c.select(*DAY, "et_min", "key_session", "slot", "gaps", "close", "lvl_hi", "lvl_lo").groupBy(*DAY)
-          .applyInPandas(fold, "symbol string, et_date date, et_min int, side string, level double"))
+    def step(pending, r):
+        out = []
+        for side, sign, level in (("high", 1.0, r["lvl_hi"]), ("low", -1.0, r["lvl_lo"])):
+            frozen = pending.get(side)
+            if frozen is not None:
+                expired = r["key_session"] != frozen["sess"] or r["slot"] - frozen["slot"] > max_wait or r["gaps"] != frozen["gaps"]
+                if not expired:
+                    if sign * (r["close"] - frozen["level"]) < 0:
+                        out.append((r["symbol"], r["et_date"], r["et_min"], side, frozen["level"]))
+                        pending[side] = None
+                    continue
+                pending[side] = None
+            if level is not None and level == level and sign * (r["close"] - (level + sign * level * min_break_pct / 100)) > 0:
+                pending[side] = {"level": level, "slot": r["slot"], "sess": r["key_session"], "gaps": r["gaps"]}
+        return out
+    f = fold_sorted(c.select(*DAY, "et_min", "key_session", "slot", "gaps", "close", "lvl_hi", "lvl_lo"), DAY, ["et_min"], dict, step, lambda st, key: [],
+                    "symbol string, et_date date, et_min int, side string, level double")
     f = f.withColumn("session", F.lit("rth"))
     return emit(f, event(F.col("side") == "high", "failed_swing_high", str(tf), "short", F.col("level"), tf),
                 event(F.col("side") == "low", "failed_swing_low", str(tf), "long", F.col("level"), tf))

@@ -107,10 +107,10 @@ CTES["cbt"] = """select c.*, floor((et_min + 1) / 60) * 100 + (et_min + 1) % 60
  (last_close - day_low) / nullif(day_high - day_low, 0) as day_range_pos, (last_close - vwap) / vwap * 100 as dist_vwap_pct, (close - close_15ago) / close_15ago * 100 as mom_15m_pct from cb c"""
 _PARAMS = ", ".join(f"('{s[0]}', '{p[0]}', '{p[1]}', {p[2]}::double)" for s in SETUPS for p in s[9])
 CTES["par"] = f"select * from (values {_PARAMS}) v(setup, id, op, threshold)"
-CTES["scr"] = """select a.setup, a.symbol, a.day, a.et_min, p.id, coalesce(case when op = 'gte' then v >= threshold else v <= threshold end, false) as passed from (
+CTES["scr"] = """select a.setup, a.symbol, a.day, a.et_min, p.id, coalesce(case when op = 'gte' then a.x.v >= threshold else a.x.v <= threshold end, false) as passed from (
  select a.*, unnest([struct_pack(id := 'rvol', v := c.rvol), struct_pack(id := 'time_et', v := c.time_et), struct_pack(id := 'gap_pct', v := c.gap_pct),
   struct_pack(id := 'day_range_pos', v := c.day_range_pos)]) as x from (select distinct setup, symbol, day, et_min from hits) a join cbt c using (symbol, day, et_min)) a
- join par p on p.setup = a.setup and p.id = a.x.id cross join (select 1) where true""".replace("then v >=", "then a.x.v >=").replace("else v <=", "else a.x.v <=")
+ join par p on p.setup = a.setup and p.id = a.x.id"""
 IDS = ["rvol", "time_et", "gap_pct", "day_range_pos"]
 
 
@@ -126,7 +126,8 @@ def _(t):
 
 @query("rules_screen_verdict", "select setup, symbol, day, et_min, bool_and(passed) as ok from scr group by all")
 def _(t):
-    return out(screened(t).groupBy("setup", "symbol", "et_date", "et_min").agg(F.every("passed").alias("ok")), "setup symbol day et_min ok")
+    bars = matched(t).select("setup", "symbol", "et_date", "et_min").distinct()
+    return out(ru.with_verdict(bars, cd.bar_values(bars_with_rvol(t)), setups(t), IDS), "setup symbol day et_min ok")
 
 
 @query("rules_profile_stats", "select setup, id, count(*) as checked, count(*) filter (not passed) as blocked from scr group by all")
@@ -135,10 +136,8 @@ def _(t):
 
 
 def outcomes(t):
-    rows = ru.evaluation_rows(matched(t))
-    values = cd.bar_values(bars_with_rvol(t)).where("session = 'rth'").select("symbol", "et_date", "et_min", *IDS)
-    ok = ru.screen(rows, values, setups(t), IDS, cd.compare).groupBy("setup", "symbol", "et_date", "et_min").agg(F.every("passed").alias("ok"))
-    return ru.fold_setups(rows, ok)
+    values = cd.bar_values(bars_with_rvol(t)).where("session = 'rth'")
+    return ru.fold_setups(ru.with_verdict(ru.evaluation_rows(matched(t)), values, setups(t), IDS))
 
 
 @query("rules_fold_outcomes")
@@ -372,8 +371,6 @@ def _(t):
 
 
 @query("stock_info", """select l.symbol, l.day, l.close, n.n_name as sector, f.market_cap, f.float_shares, round(l.rvol, 6) as rvol, round(l.gap_pct, 6) as gap_pct from lastbar l
- left join (select symbol, arg_max(struct_pack(m := market_cap), day) as x, arg_max(market_cap, case when market_cap is not null then -1 end) as unused,
-   arg_max(struct_pack(m := market_cap, f := float_shares), day) as y from fund group by 1) g on g.symbol = l.symbol
  left join (select symbol, y.m as market_cap, y.f as float_shares from (select symbol, arg_max(struct_pack(m := market_cap, f := float_shares), day) as y from fund group by 1)) f on f.symbol = l.symbol
  left join supplier s on s.s_suppkey = cast(substr(l.symbol, 2) as int) left join nation n on n.n_nationkey = s.s_nationkey""")
 def _(t):

@@ -525,7 +525,7 @@ CTES["c5st"] = """select symbol, cpos, k as v, case when count(k) over w = 3 the
 CTES["c5bb"] = """select symbol, cpos, m, sd, (close - (m - 2 * sd)) / nullif((m + 2 * sd) - (m - 2 * sd), 0) as v from (select symbol, cpos, close, count(*) over w as n,
  avg(close) over w as m, stddev_pop(close) over w as sd from c5 window w as (partition by symbol order by cpos rows between 19 preceding and current row)) where n = 20"""
 _STUDY_SQL = {"ta_macd_hist_cross": ("c5hist", 0), "ta_rsi_cross": ("c5rsi", 50), "ta_stoch_k_cross": ("c5st", 50), "ta_cci_cross": ("c5cci", 100),
-              "ta_bb_percent_b_cross": ("c5bb", 0.9), "ta_adx_cross": ("c5adx", 15)}
+              "ta_bb_percent_b_cross": ("c5bb", 0.9), "ta_adx_cross": ("c5adx", 95)}
 _STUDY = {"ta_macd_hist_cross": ind.macd, "ta_rsi_cross": ind.rsi, "ta_stoch_k_cross": ind.stoch, "ta_cci_cross": ind.cci,
           "ta_bb_percent_b_cross": ind.bbands, "ta_adx_cross": ind.adx}
 

@@ -75,7 +75,7 @@ def test_fold_setups_equals_a_plain_model(spark):
     f = spark.createDataFrame([("X", D, m, "rth", t, "", 1, d, 1.0) for (t, m), d in fires.items()],
                               "symbol string, et_date date, et_min int, session string, trigger string, option string, tf int, direction string, value double")
     verdicts = spark.createDataFrame([(s[0], "X", D, m, ok(s[0], m)) for s in SETUP for m in range(570, 960)], "setup string, symbol string, et_date date, et_min int, ok boolean")
-    got = sorted((r.setup, r.et_min, r.outcome) for r in ru.fold_setups(ru.evaluation_rows(ru.match(f, ru.setups_table(spark, SETUP))), verdicts).collect())
+    got = sorted((r.setup, r.et_min, r.outcome) for r in ru.fold_setups(ru.evaluation_rows(ru.match(f, ru.setups_table(spark, SETUP))).join(verdicts, ["setup", "symbol", "et_date", "et_min"])).collect())
     assert got == plain_fold(fires, ok)
     assert {"sent", "blocked", "repeat", "waiting"} <= {g[2] for g in got}
 
