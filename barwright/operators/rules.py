@@ -121,6 +121,9 @@ def fold_setups(rows: DataFrame) -> DataFrame:
     (setup, symbol, date) are folded in order, streaming over sorted partitions.
     """
     keys = ["setup", *DAY]
+    # the fires of a bar as short text: cheaper to hand to Python than nested rows
+    text = F.array_join(F.transform("hits", lambda h: F.concat_ws(",", h["instance"], h["direction"], h["trigger_repeat"].cast("string"))), ";")
+    rows = rows.withColumn("hits", text)
 
     def step(st, r):
         mode, window, now, out = r["mode"], int(r["and_window_min"]), int(r["et_min"]), []
@@ -129,7 +132,9 @@ def fold_setups(rows: DataFrame) -> DataFrame:
         def emit(outcome, direction, lead, n, reason):
             out.append((*[r[k] for k in keys], now, outcome, direction, lead, n, reason))
         fired = []
-        for h in (r["hits"] if r["hits"] is not None else []):
+        for text in (r["hits"].split(";") if r["hits"] else ()):
+            instance, side, repeat = text.rsplit(",", 2)
+            h = {"instance": instance, "direction": side, "trigger_repeat": int(repeat)}
             t = st["trigger"].get(h["instance"])
             if h["trigger_repeat"] and t is not None and (now - t) * 60 < h["trigger_repeat"]:
                 emit("repeat", h["direction"], h["instance"], 1, "trigger repeat")

@@ -395,7 +395,7 @@ def consec_candles(streaks: DataFrame, count: int = 3) -> DataFrame:
     return emit(d, event(F.col("_up"), "consec_candles", "green", "long", float(count)), event(F.col("_dn"), "consec_candles", "red", "short", float(count)))
 
 
-def candle_level_cross(i: Inputs, tf: int, level: str = "vwap") -> DataFrame:
+def candle_level_cross(i: Inputs, tf: int, level: str = "vwap", name: str | None = None) -> DataFrame:
     """Two consecutive completed candles of one day on either side of a level (VWAP: each candle's own)."""
     c = co.recent(i.covered(tf), 1, lambda w: {
         "ok2": co.last_n_ok(w, 2), "pdate": F.lag("et_date").over(w), "pc": F.lag("close").over(w), "pv": F.lag("vwap").over(w)})
@@ -407,8 +407,8 @@ def candle_level_cross(i: Inputs, tf: int, level: str = "vwap") -> DataFrame:
         c = c.join(now, [*DAY, "et_min"])
         lp = lc = F.col("_lvl")
     x = F.col("close")
-    return emit(c, event((F.col("pc") <= lp) & (x > lc), "cross_above", level, "long", lc),
-                event((F.col("pc") >= lp) & (x < lc), "cross_below", level, "short", lc))
+    return emit(c, event((F.col("pc") <= lp) & (x > lc), "cross_above", name or level, "long", lc),
+                event((F.col("pc") >= lp) & (x < lc), "cross_below", name or level, "short", lc))
 
 
 # level option -> column of the bar table
@@ -441,10 +441,10 @@ def level_long(bars_with_levels: DataFrame) -> DataFrame:
         f"stack({len(names)}, {pairs}) as (level, price)")).where("price is not null")
 
 
-def level_cross(bars_with_levels: DataFrame) -> DataFrame:
+def level_cross(bars_with_levels: DataFrame, levels=(*BAR_LEVELS, *EMA_LEVELS)) -> DataFrame:
     """Every level is tested on its own column; only the crossed ones become rows."""
     events = []
-    for name in (*BAR_LEVELS, *EMA_LEVELS):
+    for name in levels:
         c = F.col(BAR_LEVELS.get(name, name))
         events += [event(cross(c, True), "cross_above", name, "long", c, 1), event(cross(c, False), "cross_below", name, "short", c, 1)]
     return emit(bars_with_levels, *events)
@@ -563,3 +563,8 @@ def extreme_events(i: Inputs, benchmark: str) -> DataFrame:
 def external_fires(external: DataFrame, detectors: list[DataFrame]) -> DataFrame:
     """System fires of another producer, passed through next to the native ones."""
     return both(external.select(*FIRE), *detectors)
+
+
+def members_only(events: DataFrame, members: DataFrame | None) -> DataFrame:
+    """Rows of listed symbols; an unresolved list (None) lets everything pass."""
+    return events if members is None else events.join(members, "symbol", "left_semi")

@@ -7,6 +7,7 @@ from ..functions.ordered import segments
 from ..operators import candles as co
 from ..operators import daily as dl
 from ..operators import indicators as ind
+from ..operators.catalog import streaks
 from ..operators import state as st
 from .registry import CTES, add_smooth, out, query, r6
 
@@ -325,19 +326,6 @@ def rolling_rel_volume(bars, tf: int, n: int, name: str = "ratio"):
     return bars.withColumn(name, F.when(full & (prior > 0), cur / prior))
 
 
-def streaks(covered):
-    """Signed colour run of consecutive-slot candles inside one session (0 on a doji)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("symbol", "et_date", "tf", "key_session").orderBy("slot")
-    sign = F.signum(F.col("close") - F.col("open")).cast("int")
-    c = covered.withColumn("_s", sign)
-    new = F.coalesce((F.col("_s") != F.lag("_s").over(w)) | (F.col("slot") != F.lag("slot").over(w) + 1), F.lit(True))
-    c = c.withColumn("_n", new.cast("int"))
-    c = c.withColumn("_isl", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("symbol", "et_date", "tf", "key_session", "_isl").orderBy("slot")
-    return c.withColumn("streak", (F.row_number().over(run) * F.col("_s")).cast("int")).drop("_s", "_n", "_isl")
-
-
 CTES["streak"] = """select * exclude (sg, isl), cast(row_number() over (partition by symbol, day, tf, session, isl order by slot) * sg as int)
  as streak from (select *, sum(case when sg = psg and slot = pslot + 1 then 0 else 1 end) over
  (partition by symbol, day, tf, session order by slot) as isl from (

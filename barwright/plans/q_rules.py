@@ -145,6 +145,25 @@ def _(t):
     return out(outcomes(t), "setup symbol day et_min outcome direction lead n_evidence")
 
 
+# Rule documents as a user writes them (JSON objects).
+DOCUMENTS = [
+    {"id": "doc_break", "mode": "or", "direction": "long", "sessions": ["rth"], "repeat_sec": 0,
+     "triggers": [{"id": "cross_above", "options": ["vwap"], "params": {"tf": 5}}, {"id": "hod", "options": ["high"]}],
+     "parameters": [{"id": "rvol", "op": "gte", "value": 1}, {"id": "dist_vwap_pct", "op": "gte", "value": 0.1, "option": "above"}, {"id": "ta_ema", "op": "gte", "value": 100, "params": {"tf": 5, "period": 9}}]},
+    {"id": "doc_fade", "mode": "or", "direction": "short", "sessions": ["rth"], "repeat_sec": 0,
+     "triggers": [{"id": "cross_below", "options": ["vwap"], "params": {"tf": 5}}], "parameters": [{"id": "gap_pct", "op": "lte", "value": 50, "option": "signed"}]},
+]
+
+
+@query("rules_run_documents", """select setup, symbol, day, et_min, case when ok then 'sent' else 'blocked' end as outcome from (
+ select distinct 'doc_break' as setup, f.symbol, f.day, f.et_min, coalesce(c.rvol >= 1 and c.dist_vwap_pct >= 0.1 and e.y >= 100, false) as ok from fx f join cbt c using (symbol, day, et_min)
+  join bc b on b.symbol = f.symbol and b.day = f.day and b.et_min = f.et_min and b.tf = 5 left join c5ema9 e on e.symbol = f.symbol and e.cpos = b.cbefore where f.direction = 'long'
+ union select 'doc_fade', f.symbol, f.day, f.et_min, coalesce(c.gap_pct <= 50, false) from fx f join cbt c using (symbol, day, et_min) where f.trigger = 'cross_below')""")
+def _(t):
+    from ..operators import catalog
+    return out(catalog.run_documents(tr.Inputs(bars_with_rvol(t), t.candles), DOCUMENTS), "setup symbol day et_min outcome")
+
+
 @query("activity_report")
 def _(t):
     return out(ru.activity(outcomes(t), 30), "setup symbol day status events")

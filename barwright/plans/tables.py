@@ -72,6 +72,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        spark.conf.set("spark.sql.session.timeZone", "UTC")      # stamps are UTC; New York time is always derived
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.tag = hashlib.sha1(f"{spark.sparkContext.applicationId}:{sf_dir}".encode()).hexdigest()[:10]
 
     def raw(self, name: str) -> DataFrame:
