@@ -127,12 +127,12 @@ CTES["dbb"] = """select symbol, d, pos, close, case when count(*) over w = 20 th
  window w as (partition by symbol order by pos rows between 19 preceding and current row)"""
 
 
-@query("indicator_bollinger", """select symbol, d::varchar as d, round(m - 2 * sd, 6) as bb_lower, round(m, 6) as bb_middle,
- round(m + 2 * sd, 6) as bb_upper, round(((m + 2 * sd) - (m - 2 * sd)) * 100 / m, 6) as bb_width,
- round((close - (m - 2 * sd)) / nullif((m + 2 * sd) - (m - 2 * sd), 0), 6) as bb_percent_b from dbb""")
+@query("indicator_bollinger", """select symbol, d::varchar as d, round(m - 2 * sd, 4) as bb_lower, round(m, 4) as bb_middle,
+ round(m + 2 * sd, 4) as bb_upper, round(((m + 2 * sd) - (m - 2 * sd)) * 100 / m, 4) as bb_width,
+ round((close - (m - 2 * sd)) / nullif((m + 2 * sd) - (m - 2 * sd), 0), 4) as bb_percent_b from dbb""")
 def _(t):
     return out(_day(ind.bbands(dl.with_pos(t.daily, "d"), SYM, "pos")), "symbol d",
-               "bb_lower bb_middle bb_upper bb_width bb_percent_b")
+               "bb_lower bb_middle bb_upper bb_width bb_percent_b", 4)
 
 
 CTES["dsegin"] = """select *, case when day(d) % 9 <> 0 then high end as h from dpos"""

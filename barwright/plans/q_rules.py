@@ -105,12 +105,9 @@ def _(t):
 
 CTES["cbt"] = """select c.*, floor((et_min + 1) / 60) * 100 + (et_min + 1) % 60 as time_et, (session_open - prior_close) / prior_close * 100 as gap_pct,
  (last_close - day_low) / nullif(day_high - day_low, 0) as day_range_pos, (last_close - vwap) / vwap * 100 as dist_vwap_pct, (close - close_15ago) / close_15ago * 100 as mom_15m_pct from cb c"""
-_PARAMS = ", ".join(f"('{s[0]}', '{p[0]}', '{p[1]}', {p[2]}::double)" for s in SETUPS for p in s[9])
-CTES["par"] = f"select * from (values {_PARAMS}) v(setup, id, op, threshold)"
-CTES["scr"] = """select a.setup, a.symbol, a.day, a.et_min, p.id, coalesce(case when op = 'gte' then a.x.v >= threshold else a.x.v <= threshold end, false) as passed from (
- select a.*, unnest([struct_pack(id := 'rvol', v := c.rvol), struct_pack(id := 'time_et', v := c.time_et), struct_pack(id := 'gap_pct', v := c.gap_pct),
-  struct_pack(id := 'day_range_pos', v := c.day_range_pos)]) as x from (select distinct setup, symbol, day, et_min from hits) a join cbt c using (symbol, day, et_min)) a
- join par p on p.setup = a.setup and p.id = a.x.id"""
+CTES["hv"] = "select h.setup, c.* from (select distinct setup, symbol, day, et_min from hits) h join cbt c on c.symbol = h.symbol and c.day = h.day and c.et_min = h.et_min"
+CTES["scr"] = " union all ".join(f"select setup, symbol, day, et_min, '{p[0]}' as id, coalesce({p[0]} {'>=' if p[1] == 'gte' else '<='} {p[2]}::double, false) as passed from hv where setup = '{s[0]}'"
+                                 for s in SETUPS for p in s[9])
 IDS = ["rvol", "time_et", "gap_pct", "day_range_pos"]
 
 

@@ -193,10 +193,10 @@ def _(t):
 
 
 @query("extreme_events_of_members", """select symbol, day, et_min, type, price from (select symbol, day, et_min, 'HOD' as type, high as price from state where session = 'rth' and symbol <> 'S00' and high > prev_day_high
- union all select symbol, day, et_min, 'LOD', low from state where session = 'rth' and symbol <> 'S00' and low < prev_day_low) where symbol in (select symbol from sessions group by symbol having max(high) > 8000)""")
+ union all select symbol, day, et_min, 'LOD', low from state where session = 'rth' and symbol <> 'S00' and low < prev_day_low) where symbol in (select symbol from sessions group by symbol having count(*) >= 8)""")
 def _(t):
-    """Events of the symbols in a list (here: symbols that traded above 8,000)."""
-    members = t.sessions.groupBy("symbol").agg(F.max("high").alias("top")).where("top > 8000").select("symbol")
+    """Events of the symbols in a list (here: symbols with at least eight sessions)."""
+    members = t.sessions.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where("n >= 8").select("symbol")
     return out(tr.members_only(tr.extreme_events(inputs(t), "S00"), members), "symbol day et_min type price")
 
 

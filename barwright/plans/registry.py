@@ -43,22 +43,22 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
     return "with recursive " + ",\n".join(f"{n} as ({known[n].strip()})" for n in order) + "\n" + body.strip()
 
 
-def out(df: DataFrame, keep: str, rounded: str = "") -> DataFrame:
-    """Final projection: ``keep`` as is (``day`` = session number), ``rounded`` to six digits."""
+def out(df: DataFrame, keep: str, rounded: str = "", digits: int = 6) -> DataFrame:
+    """Final projection: ``keep`` as is (``day`` = session number), ``rounded`` to six (or four) digits."""
     cols = []
     for c in keep.split():
         cols.append(F.datediff("et_date", F.lit(BASE_DATE)).alias("day") if c == "day" else F.col(c))
-    return df.select(*cols, *[round6(F.col(c)).alias(c) for c in rounded.split()])
+    return df.select(*cols, *[round_to(F.col(c), digits).alias(c) for c in rounded.split()])
 
 
-def round6(c):
-    """Six digits in plain double arithmetic, the same in both engines.  The boundary lies off the decimal grid: prices are
+def round_to(c, digits: int = 6):
+    """Rounding in plain double arithmetic, the same in both engines.  The boundary lies off the decimal grid: prices are
     short decimals, and their exact halves would otherwise round by the last bit of a sum."""
-    return F.floor(c * F.lit(1e6) + F.lit(0.4987654)) / F.lit(1e6)
+    return F.floor(c * F.lit(10.0 ** digits) + F.lit(0.4987654)) / F.lit(10.0 ** digits)
 
 
 def spell_round(sql: str) -> str:
-    """Write every ``round(x, 6)`` of a query as the same arithmetic."""
+    """Write every ``round(x, 6)`` and ``round(x, 4)`` of a query as the same arithmetic."""
     at = 0
     while (at := sql.find("round(", at)) >= 0:
         depth, end = 1, at + 6
@@ -66,8 +66,8 @@ def spell_round(sql: str) -> str:
             depth += {"(": 1, ")": -1}.get(sql[end], 0)
             end += 1
         inner = sql[at + 6:end - 1]
-        if inner.endswith(", 6"):
-            sql = f"{sql[:at]}(floor(({inner[:-3]}) * 1e6 + 0.4987654::double) / 1e6){sql[end:]}"
+        if inner[-3:] in (", 6", ", 4"):
+            sql = f"{sql[:at]}(floor(({inner[:-3]}) * 1e{inner[-1]} + 0.4987654::double) / 1e{inner[-1]}){sql[end:]}"
         at += 6
     return sql
 
