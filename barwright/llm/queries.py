@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality, substring_dedup, url_filter, warc
+from . import near_dedup, quality, substring_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +79,8 @@ def op10(spark, sf_dir):
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.repeats_removed(docs).select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+@query("op1_minhash_near_dedup")
+def op1(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
