@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near_dedup, quality, substring_dedup, url_filter, warc
+from . import decontam, near_dedup, packing, quality, substring_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,13 @@ def op4(spark, sf_dir):
 @query("op1_minhash_near_dedup")
 def op1(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_benchmark_decontamination")
+def op5(spark, sf_dir):
+    return decontam.find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_best_fit_packing")
+def op3(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
