@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, near_dedup, packing, quality, substring_dedup, url_filter, warc
+from . import decontam, language_id, lm_score, near_dedup, packing, quality, substring_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,3 +94,25 @@ def op5(spark, sf_dir):
 @query("op3_best_fit_packing")
 def op3(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language_id.held_out("doc_id", 5, 0)
+    model = language_id.train(docs.where(~held))
+    return language_id.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = language_id.held_out("doc_id", 4, 2)
+    model = toxicity.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query("op7_lm_score")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.lm_scores(docs, language_id.held_out("doc_id", 10, 0))

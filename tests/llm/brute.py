@@ -60,3 +60,12 @@ def near_dedup(rows):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return sorted((d, len(sets[d]), root(d), root(d) == d) for d, _ in rows)
+
+
+def word_model(rows, learned):
+    """doc_id to (n_tokens, n_known, N, base score); ``learned(doc_id)`` tells the training rows."""
+    from math import log10
+    tokens = {d: [*WORD.findall(lower(t or "")), None] for d, t in rows}
+    c = Counter(x for d in tokens if learned(d) for x in tokens[d])
+    n = sum(c.values())
+    return {d: (len(w), sum(c[x] > 0 for x in w), n, sum(log10((c[x] + 0.1) / (n + 0.1 * (len(c) + 1))) for x in w)) for d, w in tokens.items()}
