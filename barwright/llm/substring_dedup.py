@@ -9,13 +9,14 @@ Earlier means a smaller doc_id, or the same document and an earlier start.  Thre
 2. *Candidates.*  A document keeps the anchors whose cell counts two or more (a join with the repeated cells).  Windows under such an anchor
    are estimated repeated; no repeated window is missing.  A document that repeats the whole text of an earlier one is settled here, so a
    group of exact copies enters the next step once.
-3. *Exact groups.*  Candidate windows are grouped by a 128-bit value of their words.  The group keeps only its first (doc_id, start): an
-   aggregate that combines in the map tasks, so a passage in a third of all documents costs one row per task.  Each document then learns
-   which of its candidate windows are firsts; the rest are repeats, and their words go.
+3. *Exact groups.*  Candidate windows are grouped by a 128-bit value of their words.  The group keeps only its first doc_id: an aggregate
+   that combines in the map tasks, so a passage in a third of all documents costs one row per task.  Each document then learns which windows
+   it is the first to hold; of these the earliest start stays, and the words of all other candidate windows go.
 
-Null and empty texts have no words and lose none.  Texts shorter than a window lose none.  Rows with equal doc_id and equal text are each
-other's equal: neither removes the other.  Rows with equal doc_id and different texts count as one document; where both start the same
-window at the same place, the text with the smaller hash keeps it.  A null doc_id counts as smallest.  An empty table gives an empty result.
+Texts travel between tasks as Zstandard bytes, which more than halves what is shuffled.
+
+Null and empty texts have no words and lose none.  Texts shorter than a window lose none.  Rows with equal doc_id are each other's equals, with
+equal texts or not: neither removes words of the other.  A null doc_id counts as largest.  An empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .store import written
-from .text import Words, covered, inside_rows, mix, windows, words
+from .text import Words, covered, inside_rows, mix, pieces, windows, words
 
 SIZE = 20
 GRAM = 8
@@ -109,14 +111,27 @@ def _said(kept: bytes, texts: bool) -> str:
     return kept.decode("utf-8", "replace") if texts else hashlib.sha256(kept).hexdigest()
 
 
+def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column (texts) as Zstandard bytes."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [None if t is None else pack.compress(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=batch.schema.names)
+
+
+def _unzipped(column: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([None if z is None else unpack.decompress(z) for z in column.to_pylist()], pa.binary()).cast(pa.string())
+
+
 def candidates(batches: Iterator[pa.RecordBatch], size: int, texts: bool) -> Iterator[pa.RecordBatch]:
     """Per document: n_words, then for a settled one n_removed and what is kept, for an open one its text and candidate starts (packed).
 
-    Input columns: doc, rest, text, copy, cells.  A document without candidates, and a copy of an earlier one, is settled.
+    Input columns: doc, rest, zip, copy, cells.  A document without candidates, and a copy of an earlier one, is settled.
     """
-    for batch in batches:
-        text, copy, cells = batch.column(2), batch.column(3).to_pylist(), batch.column(4)
-        n_words, n_removed, kept, open_text, packed = [], [], [], [], []
+    for batch in pieces(batches):
+        text, copy, cells = _unzipped(batch.column(2)), batch.column(3).to_pylist(), batch.column(4)
+        n_words, n_removed, kept, opened, packed = [], [], [], [], []
         for w in words(text):
             starts, cell, _, _ = anchors(w, size)
             cut, data = np.searchsorted(starts, w.first), w.raw.tobytes()
@@ -130,40 +145,42 @@ def candidates(batches: Iterator[pa.RecordBatch], size: int, texts: bool) -> Ite
                 gone = bool(copy[row]) and n >= size
                 n_words.append(n)
                 n_removed.append(None if len(found) else n if gone else 0)
-                own = text[row].as_py() if len(found) or (texts and not gone) else None
-                kept.append(None if len(found) else _said(b"", texts) if gone else own if texts else _said(_join(data, w.starts[at], w.ends[at]), False))
-                open_text.append(own if len(found) else None)
+                kept.append(None if len(found) else _said(b"", texts) if gone else text[row].as_py() if texts else _said(_join(data, w.starts[at], w.ends[at]), False))
+                opened.append(row if len(found) else None)
                 packed.append(found.tobytes() if len(found) else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()),
-                                          pa.array(open_text, pa.string()), pa.array(packed, pa.binary())], names=["doc", "rest", "n_words", "n_removed", "kept", "text", "starts"])
+                                          batch.column(2).take(pa.array(opened, pa.int64())), pa.array(packed, pa.binary())], names=["doc", "rest", "n_words", "n_removed", "kept", "zip", "starts"])
 
 
 def window_keys(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(doc, k1, k2, start, variant) of every candidate window; the two keys hold 128 bits of its words."""
-    for batch in batches:
-        packed, variant = batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
-        for w in words(batch.column(1)):
+    """(doc, k1, k2) of every candidate window; the two keys hold 128 bits of its words.  Input columns: doc, zip, starts."""
+    for batch in pieces(batches):
+        packed = batch.column(2)
+        for w in words(_unzipped(batch.column(1))):
             first, second = windows(w.hashes(1), size), windows(w.hashes(2), size, 11)
             marks = [np.frombuffer(packed[w.lo + i].as_py(), np.uint32).astype(np.int64) for i in range(w.hi - w.lo)]
-            n = np.array([len(m) for m in marks])
-            at, row = np.concatenate(marks), np.repeat(np.arange(w.lo, w.hi), n)
-            where = at + w.first[row - w.lo]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(first[where].view(np.int64)), pa.array(second[where].view(np.int64)),
-                                              pa.array(at.astype(np.int32)), pa.array(variant[row])], names=["doc", "k1", "k2", "start", "variant"])
+            row = np.repeat(np.arange(w.lo, w.hi), [len(m) for m in marks])
+            where = np.concatenate(marks) + w.first[row - w.lo]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(first[where].view(np.int64)), pa.array(second[where].view(np.int64))], names=["doc", "k1", "k2"])
 
 
 def settle(batches: Iterator[pa.RecordBatch], size: int, texts: bool) -> Iterator[pa.RecordBatch]:
-    """The open documents, settled.  Input columns: doc, rest, text, starts, firsts (starts of the windows that occur first here)."""
-    for batch in batches:
-        text, packed, firsts = batch.column(2), batch.column(3), batch.column(4)
+    """The open documents, settled.  Input columns: doc, rest, zip, starts, firsts (first keys of the windows that no smaller doc_id holds)."""
+    for batch in pieces(batches):
+        text, packed, firsts = _unzipped(batch.column(2)), batch.column(3), batch.column(4)
         n_words, n_removed, kept = [], [], []
         for w in words(text):
-            data = w.raw.tobytes()
+            data, keys, seconds = w.raw.tobytes(), windows(w.hashes(1), size), windows(w.hashes(2), size, 11)
             for i in range(w.hi - w.lo):
                 row, n, at = w.lo + i, int(w.counts[i]), w.of(i)
                 marks = np.frombuffer(packed[row].as_py(), np.uint32).astype(np.int64)
                 if firsts[row].is_valid:
-                    marks = marks[~np.isin(marks, firsts[row].values.to_numpy(zero_copy_only=False))]
+                    own = np.rec.fromarrays([keys[marks + w.first[i]], seconds[marks + w.first[i]]])
+                    earliest = np.zeros(len(marks), bool)
+                    earliest[np.unique(own, return_index=True)[1]] = True
+                    mine = firsts[row].values
+                    held = np.rec.fromarrays([mine.field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1)])
+                    marks = marks[~(earliest & np.isin(own, held))]
                 keep = ~covered(marks, size, n)
                 n_words.append(n)
                 n_removed.append(n - int(keep.sum()))
@@ -188,19 +205,19 @@ def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeated = written(sketch.where("n >= 2").select("cell"), "repeated-cells")
     hot = (docs.select("doc", "text").mapInArrow(lambda b: document_cells(b, size), _schema(docs, "doc", "cell bigint")).join(repeated, "cell", "left_semi")
            .select("doc", "cell", F.lit(None).cast("binary").alias("key")))
-    value = F.unhex(F.md5(F.col("text").cast("binary")))
-    keyed = docs.select("doc", value.alias("key")).where("key is not null")
-    groups = keyed.groupBy("key").agg(F.min(F.struct("doc")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", F.col("first.doc").alias("first"))
+    valued = docs.select("doc", "rest", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
+    keyed = valued.select("doc", "key").where("key is not null")
+    groups = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", "first")
     later = keyed.join(groups, "key").where(~F.col("doc").eqNullSafe(F.col("first"))).select("doc", F.lit(None).cast("bigint").alias("cell"), "key").distinct()
     marks = hot.unionByName(later).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("cell").alias("cells"), F.collect_list("key").alias("copies"))
-    marked = docs.join(marks, F.col("doc").eqNullSafe(F.col("_doc")), "left").select("doc", "rest", "text", F.coalesce(F.array_contains("copies", value), F.lit(False)).alias("copy"), "cells")
-    staged = marked.mapInArrow(lambda b: candidates(b, size, texts), _schema(docs, "doc rest", "n_words bigint, n_removed bigint, kept string, text string, starts binary"))
-    staged = written(staged.withColumn("variant", F.xxhash64("text")), "staged")
+    small = valued.mapInArrow(zipped, _schema(valued, "doc rest key", "zip binary"))
+    marked = small.join(marks, F.col("doc").eqNullSafe(F.col("_doc")), "left").select("doc", "rest", "zip", F.coalesce(F.array_contains("copies", F.col("key")), F.lit(False)).alias("copy"), "cells")
+    staged = written(marked.mapInArrow(lambda b: candidates(b, size, texts), _schema(docs, "doc rest", "n_words bigint, n_removed bigint, kept string, zip binary, starts binary")), "staged")
     opened = staged.where("starts is not null")
-    keys = opened.select("doc", "text", "starts", "variant").mapInArrow(lambda b: window_keys(b, size), _schema(docs, "doc", "k1 bigint, k2 bigint, start int, variant bigint"))
-    first = keys.groupBy("k1", "k2").agg(F.min(F.struct("doc", "start", "variant")).alias("f"))
-    firsts = first.groupBy(F.col("f.doc").alias("_doc"), F.col("f.variant").alias("_variant")).agg(F.collect_list("f.start").alias("firsts"))
-    joined = opened.join(firsts, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("variant") == F.col("_variant")), "left").select("doc", "rest", "text", "starts", "firsts")
+    keys = opened.select("doc", "zip", "starts").mapInArrow(lambda b: window_keys(b, size), _schema(docs, "doc", "k1 bigint, k2 bigint"))
+    first = keys.groupBy("k1", "k2").agg(F.min("doc").alias("_doc"))
+    firsts = first.groupBy("_doc").agg(F.collect_list(F.struct("k1", "k2")).alias("firsts"))
+    joined = opened.join(firsts, F.col("doc").eqNullSafe(F.col("_doc")), "left").select("doc", "rest", "zip", "starts", "firsts")
     done = joined.mapInArrow(lambda b: settle(b, size, texts), _schema(docs, "doc rest", "n_words bigint, n_removed bigint, kept string"))
     return staged.where("starts is null").select(*done.columns).unionByName(done)
 

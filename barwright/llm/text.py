@@ -148,6 +148,13 @@ def words(column: pa.Array, lower: bool = False, limit: int = _BLOCK) -> Iterato
         lo = hi
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that no piece has more than ``rows`` rows; bounds what a step holds beside its input."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def windows(hashes: np.ndarray, size: int, seed: int = 7) -> np.ndarray:
     """A value of every ``size`` consecutive words, from each word on that has so many after it (rows not regarded)."""
     n = len(hashes) - size + 1
