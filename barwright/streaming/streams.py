@@ -7,10 +7,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import clock
-from ..operators.quotes import TRADE_AGE_MS, TRADE_GAP_MS, QuoteBar
+from ..functions import clock, ticks
 
 KEYS = ["symbol", "et_date"]
+DAY_MS = 86_400_000
 
 
 def tumbling_candles(bars: DataFrame, minutes: int, delay: str = "2 minutes") -> DataFrame:
@@ -115,10 +115,27 @@ def live_signals(bars: DataFrame, cutoff: Column | None = None, cooldown_min: in
 CONTINUITY = "symbol string, et_date date, et_min int, arrival bigint, continuity string"
 
 
-def continuity(bars: DataFrame) -> DataFrame:
-    """first / next / gap / duplicate / late per incoming bar of a session (columns et_min, arrival)."""
+def by_session_date(df: DataFrame, day: Column, delay: str) -> DataFrame:
+    """``df`` with the session's midnight as event time, so that its state can expire."""
+    return df.withColumn("_session_ts", day.cast("timestamp")).withWatermark("_session_ts", delay)
+
+
+def expire(state: GroupState, ms: int) -> None:
+    """Let the state go once the watermark has passed ``ms``."""
+    state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs() + 1))
+
+
+def _midnight(day) -> int:
+    return (day.toordinal() - 719_163) * DAY_MS
+
+
+def continuity(bars: DataFrame, delay: str = "2 days") -> DataFrame:
+    """first / next / gap / duplicate / late per incoming bar of a session (columns et_min, arrival); its state goes two days later."""
     def run(key, frames, state: GroupState):
         import pandas as pd
+        if state.hasTimedOut:
+            state.remove()
+            return
         top, out = (state.get[0] if state.exists else None), []
         for r in _rows(frames, ["arrival"]):
             m = int(r.et_min)
@@ -126,40 +143,41 @@ def continuity(bars: DataFrame) -> DataFrame:
             top = m if top is None else max(top, m)
             out.append((r.symbol, r.et_date, m, r.arrival, kind))
         state.update((top,))
+        expire(state, _midnight(key[1]) + 2 * DAY_MS)
         yield pd.DataFrame(out, columns=names(CONTINUITY))
-    return bars.groupBy(*KEYS).applyInPandasWithState(run, CONTINUITY, "top int", "append", GroupStateTimeout.NoTimeout)
+    return by_session_date(bars, F.col("et_date"), delay).groupBy(*KEYS).applyInPandasWithState(run, CONTINUITY, "top int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 QUOTE_KEYS = ["symbol", "session_day"]
 QUOTE_BARS = "symbol string, session_day int, minute bigint, open double, high double, low double, close double, volume double"
-_QB_STATE = ("last double, raw double, size double, pending boolean, total double, hi double, lo double, minute bigint, b_open double, b_high double, "
-             "b_low double, b_close double, b_volume double")
+_QB_STATE = ("price double, size double, eligible double, fresh boolean, total double, day_high double, day_low double, minute bigint, open double, high double, "
+             "low double, close double, volume double")
 
 
 def bars_from_quotes(quotes: DataFrame, grace_s: int = 3) -> DataFrame:
-    """One-minute bars built from quotes; a minute is emitted by the next traded minute or when the watermark passes its grace."""
+    """One-minute bars built from quotes; a minute is emitted by the next traded minute or when the watermark passes its grace.
+
+    The state is the carry of ``ticks.quote_bars``: the last known values and the open minute.  It goes a day after the last minute.
+    """
     q = quotes.withColumn("ts", F.timestamp_millis("receipt_ms")).withWatermark("ts", f"{grace_s} seconds")
-    bar_fields = ("open", "high", "low", "close", "volume")
 
     def run(key, frames, state: GroupState):
         import pandas as pd
-        s = QuoteBar()
-        if state.exists:
-            v = state.get
-            s.last, s.raw, s.size, s.pending, s.total, s.hi, s.lo, s.minute = v[:8]
-            s.bar = None if s.minute is None else dict(zip(bar_fields, v[8:]))
-        done = []
+        carry = dict(zip(ticks.QUOTE_CARRY, state.get)) if state.exists else None
         if state.hasTimedOut:
-            done = s.close()
+            if carry["minute"] is None:
+                state.remove()
+                return
+            done = ticks.finished(pd.DataFrame([{k: carry[k] for k in ticks.BAR}]))
+            carry |= dict.fromkeys(ticks.BAR)
+            last = state.getCurrentWatermarkMs()
         else:
-            ok = lambda x: None if x is None or x != x else float(x)
-            for r in _rows(frames, ["receipt_ms", "seq"]):
-                done += s.quote(int(r.receipt_ms), ok(r.last), ok(r.last_size), ok(r.total_volume), ok(r.day_high), ok(r.day_low))
-        b = s.bar or dict.fromkeys(bar_fields)
-        state.update((s.last, s.raw, s.size, s.pending, s.total, s.hi, s.lo, s.minute, *[b[f] for f in bar_fields]))
-        if s.minute is not None:
-            state.setTimeoutTimestamp(max((s.minute + 1) * 60_000 + grace_s * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, *d) for d in done], columns=names(QUOTE_BARS))
+            rows = pd.concat(list(frames)).sort_values(["receipt_ms", "seq"])
+            done, carry = ticks.quote_bars(rows, carry)
+            last = int(rows["receipt_ms"].max())
+        state.update(tuple(None if carry[k] is None else bool(carry[k]) if k == "fresh" else int(carry[k]) if k == "minute" else float(carry[k]) for k in ticks.QUOTE_CARRY))
+        expire(state, last + DAY_MS if carry["minute"] is None else (int(carry["minute"]) + 1) * 60_000 + grace_s * 1000)
+        yield done.assign(symbol=key[0], session_day=key[1])[names(QUOTE_BARS)]
     return q.groupBy(*QUOTE_KEYS).applyInPandasWithState(run, QUOTE_BARS, _QB_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -167,60 +185,55 @@ MERGED = "symbol string, session_day int, receipt_ms bigint, seq bigint, bid dou
 _SIDES = ("bid", "ask", "last")
 
 
-def merge_quotes(quotes: DataFrame) -> DataFrame:
-    """Sparse updates merged per symbol: a side moves when its market time is not older than the one held."""
+def merge_quotes(quotes: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Sparse updates merged per symbol: a side moves when its market time is not older than the one held.  State goes two days after the last update."""
     def run(key, frames, state: GroupState):
         import pandas as pd
-        held = dict(zip((f"{s}{x}" for s in _SIDES for x in ("", "_ms")), state.get)) if state.exists else {f"{s}{x}": None for s in _SIDES for x in ("", "_ms")}
-        out = []
-        for r in _rows(frames, ["receipt_ms", "seq"]):
-            for s in _SIDES:
-                price, ms = getattr(r, s), getattr(r, f"{s}_ms")
-                if price != price or price is None:
-                    continue
-                ms = None if ms != ms or ms is None else int(ms)
-                if (ms is None and held[f"{s}_ms"] is None) or (ms is not None and (held[f"{s}_ms"] is None or ms >= held[f"{s}_ms"])):
-                    held[s], held[f"{s}_ms"] = float(price), ms
-            out.append((*key, r.receipt_ms, r.seq, *[held[s] for s in _SIDES]))
-        state.update(tuple(held.values()))
-        yield pd.DataFrame(out, columns=names(MERGED))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        fields = [f"{s}{x}" for s in _SIDES for x in ("", "_ms")]
+        held = dict(zip(fields, state.get)) if state.exists else dict.fromkeys(fields)
+        rows = pd.concat(list(frames)).sort_values(["receipt_ms", "seq"]).reset_index(drop=True)
+        out = rows[["symbol", "session_day", "receipt_ms", "seq"]].copy()
+        for s in _SIDES:
+            stamp = rows[f"{s}_ms"].where(rows[s].notna())
+            top = stamp.cummax().ffill()
+            top = top if held[f"{s}_ms"] is None else top.clip(lower=held[f"{s}_ms"]).fillna(held[f"{s}_ms"])
+            moves = rows[s].notna() & ((stamp >= top) | (stamp.isna() & top.isna()))
+            price = rows[s].where(moves).ffill()
+            out[s] = price if held[s] is None else price.fillna(held[s])
+            value, at = out[s].iloc[-1], top.iloc[-1]
+            held[s], held[f"{s}_ms"] = (None if value != value else float(value)), (None if at != at else int(at))
+        state.update(tuple(held[f] for f in fields))
+        expire(state, int(rows["receipt_ms"].max()) + 2 * DAY_MS)
+        yield out[names(MERGED)]
     state = ", ".join(f"{s} double, {s}_ms bigint" for s in _SIDES)
-    return quotes.groupBy(*QUOTE_KEYS).applyInPandasWithState(run, MERGED, state, "append", GroupStateTimeout.NoTimeout)
+    timed = quotes.withColumn("_ts", F.timestamp_millis("receipt_ms")).withWatermark("_ts", delay)
+    return timed.groupBy(*QUOTE_KEYS).applyInPandasWithState(run, MERGED, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 CROSSES = "symbol string, et_date date, interval int, et_min int, trade_ms bigint, price double, or_high double"
+_CROSS_STATE = "trade_ms bigint, price double, generation bigint, range_id string, held boolean, fired boolean"
 
 
-def trade_cross(trades: DataFrame) -> DataFrame:
-    """First trusted, continuous crossing of the opening range; ``trades`` carry interval, or_high and range_id from the finished range."""
-    keys = ["symbol", "et_date", "interval"]
+def trade_cross(trades: DataFrame, delay: str = "2 days") -> DataFrame:
+    """First trusted, continuous crossing of the opening range; ``trades`` carry interval, or_high and range_id from the finished range.
 
+    The rule is ``ticks.first_cross``; the state holds the last trade of the session and goes two days later.
+    """
     def run(key, frames, state: GroupState):
         import pandas as pd
-        last_ms, below, generation, range_id, fired = state.get if state.exists else (None, False, None, None, False)
-        out = []
-        for r in _rows(frames, ["receipt_ms", "seq"]):
-            if fired:
-                break
-            ok = (r.trusted and r.price > 0 and 570 + key[2] <= r.et_min < 960 and 0 <= r.receipt_ms - r.trade_ms <= TRADE_AGE_MS)
-            if not ok:
-                last_ms, below = None, False
-                continue
-            same = generation == r.generation and range_id == r.range_id
-            if same and last_ms is not None and r.trade_ms == last_ms:
-                continue
-            step = None if last_ms is None or not same else r.trade_ms - last_ms
-            if step is not None and step < 0:
-                last_ms, below = None, False
-                continue
-            if step is not None and step <= TRADE_GAP_MS and below and r.price > r.or_high:
-                fired = True
-                out.append((*key, r.et_min, r.trade_ms, r.price, r.or_high))
-            last_ms, below, generation, range_id = int(r.trade_ms), bool(r.price <= r.or_high), int(r.generation), r.range_id
-        state.update((last_ms, below, generation, range_id, fired))
-        yield pd.DataFrame(out, columns=names(CROSSES))
-    return trades.groupBy(*keys).applyInPandasWithState(run, CROSSES, "last_ms bigint, below boolean, generation bigint, range_id string, fired boolean", "append",
-                                                        GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        carry = dict(zip(ticks.CROSS_CARRY, state.get)) if state.exists else None
+        found, carry = ticks.first_cross(pd.concat(list(frames)).sort_values(["receipt_ms", "seq"]), carry)
+        state.update(tuple(carry[k] for k in ticks.CROSS_CARRY))
+        expire(state, _midnight(key[1]) + 2 * DAY_MS)
+        yield found[names(CROSSES)]
+    timed = by_session_date(trades, F.col("et_date"), delay)
+    return timed.groupBy("symbol", "et_date", "interval").applyInPandasWithState(run, CROSSES, _CROSS_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def current_session_only(bars: DataFrame, opened) -> DataFrame:

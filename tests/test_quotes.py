@@ -1,17 +1,25 @@
 """Minute bars from quotes: odd lots, resets, day extremes, grace."""
-import pytest
+import pandas as pd
 
-from barwright.operators.quotes import QuoteBar
+from barwright.functions import ticks
 
 M = 60_000
 
 
 def run(updates):
-    """updates: (minute, last, size, total, day_high, day_low) -> finished bars."""
-    q, out = QuoteBar(), []
-    for minute, *rest in updates:
-        out += q.quote(minute * M, *rest)
-    return out + q.close()
+    """updates: (minute, last, size, total, day_high, day_low) -> finished bars; the same however the updates are cut into parts."""
+    rows = pd.DataFrame([(m * M, *rest) for m, *rest in updates], columns=["receipt_ms", "last", "last_size", "total_volume", "day_high", "day_low"]).astype({c: "float64" for c in ("last", "last_size", "total_volume", "day_high", "day_low")})
+    results = []
+    for size in (len(rows), 1, 2):
+        carry, out = None, []
+        for lo in range(0, len(rows), size):
+            bars, carry = ticks.quote_bars(rows.iloc[lo:lo + size], carry)
+            out += [tuple(b) for b in bars.itertuples(index=False)]
+        if carry["minute"] is not None:
+            out += [tuple(b) for b in ticks.finished(pd.DataFrame([{k: carry[k] for k in ticks.BAR}])).itertuples(index=False)]
+        results.append(out)
+    assert results[0] == results[1] == results[2]
+    return results[0]
 
 
 def test_first_quote_is_a_baseline():
@@ -54,3 +62,36 @@ def test_price_and_volume_in_separate_updates():
 def test_minutes_without_trades_make_no_bar():
     got = run([(1, 10.0, 100, 100, None, None), (1, 10.0, 100, 200, None, None), (2, 10.0, 100, 200, None, None), (4, 11.0, 100, 300, None, None)])
     assert [b[0] for b in got] == [1, 4]
+
+
+def cross(trades, sizes=(100, 1, 2)):
+    """trades: (trade_ms, price[, good, generation]) against a range high of 100 -> stamps of the crossing, the same in any parts."""
+    rows = pd.DataFrame([(ms, p, *(rest or (True, 1))) for ms, p, *rest in [(t[0], t[1], *t[2:]) for t in trades]], columns=["trade_ms", "price", "trusted", "generation"])
+    rows = rows.assign(receipt_ms=rows["trade_ms"] + 100, et_min=600, interval=5, or_high=100.0, range_id="r")
+    results = []
+    for size in sizes:
+        carry, out = None, []
+        for lo in range(0, len(rows), size):
+            found, carry = ticks.first_cross(rows.iloc[lo:lo + size], carry)
+            out += found["trade_ms"].tolist()
+        results.append(out)
+    assert all(r == results[0] for r in results)
+    return results[0]
+
+
+def test_a_trade_crosses_within_a_continuous_stretch():
+    assert cross([(1000, 99.0), (2000, 101.0), (3000, 99.0), (4000, 101.0)]) == [2000]
+    assert cross([(1000, 99.0), (20_000, 101.0)]) == []
+    assert cross([(1000, 101.0), (2000, 102.0)]) == []
+
+
+def test_an_older_trade_breaks_the_stretch():
+    assert cross([(1000, 99.0), (500, 99.0), (700, 101.0)]) == []
+    assert cross([(1000, 99.0), (500, 99.0), (700, 99.0), (900, 101.0)]) == [900]
+    assert cross([(1000, 99.0), (500, 99.0), (400, 99.0), (450, 101.0)]) == [450]
+
+
+def test_repeats_are_passed_over_and_bad_trades_clear():
+    assert cross([(1000, 99.0), (1000, 101.0), (2000, 101.0)]) == [2000]
+    assert cross([(1000, 99.0), (1500, 99.0, False, 1), (2000, 101.0)]) == []
+    assert cross([(1000, 99.0), (2000, 101.0, True, 2), (3000, 99.0, True, 2), (3500, 101.0, True, 2)]) == [3500]
