@@ -145,12 +145,19 @@ def chart_buckets(bars: DataFrame, tf: int) -> DataFrame:
                 .agg(*ohlcv("et_min"), F.count(F.lit(1)).alias("n_bars")))
 
 
-def volume_profile(bars: DataFrame) -> DataFrame:
-    """Mean 5-minute volume per slot after the open over all given sessions."""
+def volume_profile(bars: DataFrame, sessions: int = 20) -> DataFrame:
+    """Per (symbol, session) and 5-minute slot after the open: mean volume of the slot over the ``sessions`` sessions before (no look-ahead).
+
+    Every session has all 78 slots; a slot that no earlier session traded has a NULL mean.
+    """
+    from .daily import with_pos
     slot = (F.floor(F.col("et_min") / 5) * 5 - clock.RTH_OPEN).cast("int")
     five = (bars.where(F.col("et_min").between(clock.RTH_OPEN, clock.RTH_CLOSE - 1))
                 .groupBy("symbol", "et_date", slot.alias("slot")).agg(F.sum("volume").alias("volume")))
-    return five.groupBy("symbol", "slot").agg(F.avg("volume").alias("mean_volume"))
+    days = with_pos(five.select("symbol", "et_date").distinct(), "et_date")
+    grid = days.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(385), F.lit(5)))).join(five, ["symbol", "et_date", "slot"], "left")
+    out = rolling(grid, ["symbol", "slot"], "pos", sessions, lambda w: {"mean_volume": F.avg("volume").over(w.rowsBetween(-sessions, -1))})
+    return out.select("symbol", "et_date", "slot", "mean_volume")
 
 
 def opening_range(bars: DataFrame, minutes: int, trusted: list[str]) -> DataFrame:

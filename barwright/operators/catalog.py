@@ -46,7 +46,7 @@ _UNITS = {0: "pct", 1: "atr", 2: "candle"}
 trigger("hod")(lambda i, o, p: tr.new_extreme(i, "hod"))
 trigger("hod_ext")(lambda i, o, p: tr.new_extreme(i, "hod_ext"))
 trigger("near_hod")(lambda i, o, p: tr.near_hod(i))
-trigger("hi_lo_60d")(lambda i, o, p: tr.first_breach(i, "hi_lo_60d", "n_day_high", "n_day_low"))
+trigger("hi_lo_60d")(lambda i, o, p: tr.n_day_breach(i, _i(p, "days", 60)))
 trigger("hi_lo_52w")(lambda i, o, p: tr.first_breach(i, "hi_lo_52w", "hi_52w", "lo_52w"))
 trigger("prior_day_break")(lambda i, o, p: tr.first_breach(i, "prior_day_break", "prior_high", "prior_low", extended=True))
 trigger("pm_break")(lambda i, o, p: tr.first_breach(i, "pm_break", "pm_high", "pm_low"))

@@ -53,6 +53,13 @@ def n_day_extremes(daily_with_pos: DataFrame, days: int) -> DataFrame:
     return rolling(daily_with_pos, SYMBOL, "pos", days - 1, cols)
 
 
+def n_day_levels(sessions: DataFrame, days: int) -> DataFrame:
+    """``n_day_high`` / ``n_day_low`` of the ``days`` sessions before each session; NULL while there are fewer."""
+    d = n_day_extremes(with_pos(sessions, "et_date"), days)
+    prior = rolling(d, SYMBOL, "pos", 1, lambda w: {"_h": F.lag("n_day_high").over(w), "_l": F.lag("n_day_low").over(w)})
+    return prior.select("symbol", "et_date", F.col("_h").alias("n_day_high"), F.col("_l").alias("n_day_low"))
+
+
 # context column -> daily column of the session before
 CONTEXT = {"prior_open": "open", "prior_high": "high", "prior_low": "low", "prior_close": "close",
            **{c: c for c in ("ema8_d", "ema9_d", "ema21_d", "ema50_d", "atr_d1", "atr14_d1", "sma50_d", "sma100_d", "sma200_d",

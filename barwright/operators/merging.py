@@ -60,27 +60,28 @@ def completed_only(bars: DataFrame, minutes: int, now_min: Column) -> DataFrame:
 
 
 def match_alerts(a: DataFrame, b: DataFrame, keys: list[str], window: int = 3) -> DataFrame:
-    """One-to-one matches of two alert sets: A in time order, each taking its nearest unused B within ``window`` minutes.
+    """One-to-one matches of two alert lists: A in time order, each taking its nearest unused B within ``window`` minutes.
 
-    Every A row looks up the 2*window+1 possible minutes (an equi-join), so no pairs of a whole group are formed; the
-    few candidates of one (key, date) are then folded in order inside the JVM.  Result: side (both / a / b), a_min, b_min.
+    Alerts of one key and minute stay separate.  Both sides meet in one grouping per (key, date), whose minutes are folded in order
+    inside the JVM; all three outcomes come out of that fold.  Result: side (both / a / b), a_min, b_min.
     """
     k = [*keys, "et_date"]
-    look = a.select(*k, F.col("et_min").alias("a_min"), F.explode(F.sequence(F.col("et_min") - window, F.col("et_min") + window)).alias("b_min"))
-    pairs = look.join(b.select(*k, F.col("et_min").alias("b_min")), [*k, "b_min"])
-    per_a = pairs.groupBy(*k, "a_min").agg(F.sort_array(F.collect_list(F.struct(F.abs(F.col("b_min") - F.col("a_min")).alias("dt"), "b_min"))).alias("c"))
-    per_key = per_a.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("a_min", "c"))).alias("rows"))
-    empty = F.array().cast("array<struct<a_min:int,b_min:int>>")
-
-    def step(acc, x):
-        free = F.filter(x["c"], lambda p: ~F.exists(acc, lambda m: m["b_min"] == p["b_min"]))
-        pick = F.try_element_at(free, F.lit(1))
-        return F.when(pick.isNull(), acc).otherwise(F.concat(acc, F.array(F.struct(x["a_min"].alias("a_min"), pick["b_min"].alias("b_min")))))
-    matched = per_key.select(*k, F.explode(F.aggregate("rows", empty, step)).alias("m")).select(*k, "m.*")
-    both = matched.select(*k, F.lit("both").alias("side"), "a_min", "b_min")
-    only_a = a.select(*k, F.col("et_min").alias("a_min")).join(matched, [*k, "a_min"], "left_anti").select(*k, F.lit("a").alias("side"), "a_min", F.lit(None).cast("int").alias("b_min"))
-    only_b = b.select(*k, F.col("et_min").alias("b_min")).join(matched, [*k, "b_min"], "left_anti").select(*k, F.lit("b").alias("side"), F.lit(None).cast("int").alias("a_min"), "b_min")
-    return both.unionByName(only_a).unionByName(only_b)
+    tagged = a.select(*k, "et_min", F.lit(True).alias("is_a")).unionByName(b.select(*k, "et_min", F.lit(False).alias("is_a")))
+    mine = lambda side: F.sort_array(F.collect_list(F.when(side, F.col("et_min"))))
+    lists = tagged.groupBy(*k).agg(mine(F.col("is_a")).alias("as"), mine(~F.col("is_a")).alias("bs"))
+    places = F.transform("bs", lambda m, n: F.struct(m.alias("b_min"), n.alias("n")))
+    picks = F.array().cast("array<struct<a_min:int,b_min:int,n:int>>")
+
+    def step(acc, m):
+        free = F.filter(places, lambda p: (F.abs(p["b_min"] - m) <= window) & ~F.exists(acc, lambda x: F.coalesce(x["n"] == p["n"], F.lit(False))))
+        best = F.array_min(F.transform(free, lambda p: F.struct(F.abs(p["b_min"] - m).alias("dt"), p["b_min"].alias("b_min"), p["n"].alias("n"))))
+        return F.concat(acc, F.array(F.struct(m.alias("a_min"), best["b_min"].alias("b_min"), best["n"].alias("n"))))
+    folded = lists.withColumn("m", F.aggregate("as", picks, step))
+    left = F.filter(places, lambda p: ~F.exists("m", lambda x: F.coalesce(x["n"] == p["n"], F.lit(False))))
+    rest = F.transform(left, lambda p: F.struct(F.lit(None).cast("int").alias("a_min"), p["b_min"].alias("b_min"), p["n"].alias("n")))
+    one = folded.select(*k, F.explode(F.concat("m", rest)).alias("r"))
+    side = F.when(F.col("r.a_min").isNull(), "b").when(F.col("r.b_min").isNull(), "a").otherwise("both")
+    return one.select(*k, side.alias("side"), "r.a_min", "r.b_min")
 
 
 def state_diff(a: DataFrame, b: DataFrame, fields: list[str], keys: list[str], by: list[str]) -> DataFrame:

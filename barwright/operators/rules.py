@@ -75,7 +75,7 @@ def combinations(matched: DataFrame, mode: str) -> DataFrame:
     m = matched.where(F.col("mode") == mode)
     w = W.partitionBy("setup", *DAY).orderBy("et_min")
     # distinct instances in a trailing window, with the window length of the row's own setup
-    seen = F.collect_set(F.struct("instance", "et_min")).over(w.rangeBetween(-240, 0))
+    seen = F.collect_set(F.struct("instance", "et_min")).over(w.rangeBetween(W.unboundedPreceding, 0))  # at most a session
     inside = F.filter(seen, lambda x: x["et_min"] >= F.col("et_min") - F.col("and_window_min"))
     have = F.size(F.array_distinct(F.transform(inside, lambda x: x["instance"])))
     need = F.col("n_triggers") if mode == "and" else F.least(F.greatest(F.lit(1), F.col("min_triggers")), F.col("n_triggers"))
@@ -90,7 +90,7 @@ def evaluation_rows(matched: DataFrame) -> DataFrame:
     """Bars on which a setup has to be looked at: its fires, and the minutes after them while a combination may still be pending."""
     hit = F.struct("idx", "instance", "trigger", "option", "direction", "trigger_repeat")
     keys = ["setup", *DAY]
-    cfg = ["mode", "repeat_sec", "and_window_min", "min_triggers", "n_triggers"]
+    cfg = [c for c in ("mode", "repeat_sec", "and_window_min", "min_triggers", "n_triggers", "sessions") if c in matched.columns]
     hits = matched.groupBy(*keys, *cfg, "et_min").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
     later = F.when(F.col("mode") == "or", F.array()).otherwise(F.sequence(F.col("et_min") + 1, F.col("et_min") + F.col("and_window_min")))
     spread = hits.select(*keys, *cfg, F.explode(F.concat(F.array("et_min"), later)).alias("m"), "et_min", "hits")
@@ -110,7 +110,10 @@ def with_verdict(rows: DataFrame, values: DataFrame, setups: DataFrame, ids: lis
         verdict = (F.when(p["op"] == "gte", v >= p["value"]).when(p["op"] == "lte", v <= p["value"])
                     .when(p["op"] == "gt", v > p["value"]).when(p["op"] == "lt", v < p["value"]))
         return F.coalesce(verdict, p["id"].isin(*pass_on_missing) if pass_on_missing else F.lit(False))
-    j = rows.join(values.select(*DAY, "et_min", *ids), [*DAY, "et_min"]).join(setups.select("setup", "parameters"), "setup")
+    gate = ["session"] if "sessions" in rows.columns else []
+    j = rows.join(values.select(*DAY, "et_min", *gate, *ids), [*DAY, "et_min"]).join(setups.select("setup", "parameters"), "setup")
+    if gate:  # a bar of a session that the setup does not list is not looked at, also for a retry
+        j = j.where(F.array_contains("sessions", F.col("session"))).drop("sessions", "session")
     return j.withColumn("ok", F.forall("parameters", holds)).drop("parameters", *ids)
 
 

@@ -51,25 +51,19 @@ def bar_state(bars: DataFrame) -> DataFrame:
 def rvol(state: DataFrame, profile: DataFrame) -> DataFrame:
     """Adds ``rvol``: cumulative volume over the expected volume of the same elapsed minutes.
 
-    The profile has at most 78 slots per symbol; its running sums are joined on (symbol, slot).
+    The profile has 78 slots per (symbol, session); its running sums are joined on (symbol, et_date, slot).
     """
-    w = W.partitionBy("symbol").orderBy("slot")
-    cum = profile.select("symbol", "slot", "mean_volume",
-                         F.coalesce(F.sum("mean_volume").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("full"))
-    total = profile.groupBy("symbol").agg(F.sum("mean_volume").alias("whole"))
-    # every slot of the session, so that a slot absent from the profile still sees the sum before it
-    grid = (total.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(385), F.lit(5))))
-                 .join(cum.drop("full"), ["symbol", "slot"], "left")
-                 .withColumn("full", F.coalesce(F.sum("mean_volume").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))))
+    w = W.partitionBy("symbol", "et_date")
+    mean = F.coalesce("mean_volume", F.lit(0.0))
+    sums = profile.select("symbol", "et_date", "slot", mean.alias("_mean"), F.sum(mean).over(w).alias("_whole"),
+                          F.coalesce(F.sum(mean).over(w.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_full"))
     minutes = F.least(F.col("et_min") - clock.RTH_OPEN + 1, F.lit(390))
     s = (state.withColumn("_m", F.when(F.col("session") == "rth", minutes))
-              .withColumn("slot", F.when(F.col("_m") < 390, F.floor(F.col("_m") / 5) * 5).cast("int")))
-    j = s.join(grid, ["symbol", "slot"], "left").join(total.withColumnRenamed("whole", "_whole"), "symbol", "left")
-    into = F.col("_m") % 5
-    expected = F.when(F.col("_m") == 390, F.col("_whole")).otherwise(
-        F.col("full") + F.coalesce(F.col("mean_volume") * into / 5, F.lit(0.0)))
+              .withColumn("slot", F.least(F.floor(F.col("_m") / 5) * 5, F.lit(385)).cast("int")))
+    j = s.join(sums, ["symbol", "et_date", "slot"], "left")
+    expected = F.when(F.col("_m") == 390, F.col("_whole")).otherwise(F.col("_full") + F.col("_mean") * (F.col("_m") % 5) / 5)
     value = F.when(expected > 0, F.col("cum_volume") / expected)
-    return j.withColumn("rvol", value).drop("_m", "slot", "full", "mean_volume", "whole", "_whole")
+    return j.withColumn("rvol", value).drop("_m", "slot", "_mean", "_full", "_whole")
 
 
 def derived(state: DataFrame, context: DataFrame) -> DataFrame:

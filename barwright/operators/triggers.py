@@ -13,6 +13,7 @@ from ..functions import clock
 from ..functions.folds import fold_sorted
 from ..functions.ordered import rolling
 from . import candles as co
+from . import daily as da
 from . import indicators as ind
 
 W = Window
@@ -25,6 +26,11 @@ FIRE = ["symbol", "et_date", "et_min", "session", "trigger", "option", "tf", "di
 class Inputs:
     bars: DataFrame         # bar_state joined with the daily context
     candles: DataFrame
+    sessions: DataFrame | None = None   # regular-session daily bars; folded from the minute bars where not given
+
+    @property
+    def daily(self) -> DataFrame:
+        return self.sessions if self.sessions is not None else co.session_bars(self.bars)
 
     @property
     def day_bars(self) -> DataFrame:
@@ -127,6 +133,13 @@ def first_breach(i: Inputs, trigger: str, hi_level: str, lo_level: str, extended
                 event(dn, trigger, "low", "short", F.col(lo_level), 1))
 
 
+def n_day_breach(i: Inputs, days: int = 60) -> DataFrame:
+    """First trade of the day beyond the high or low of the last ``days`` sessions."""
+    levels = da.n_day_levels(i.daily, days)
+    bars = i.bars.drop("n_day_high", "n_day_low").join(levels, DAY, "left")
+    return first_breach(Inputs(bars, i.candles), "hi_lo_60d", "n_day_high", "n_day_low")
+
+
 def candle_atr(i: Inputs, tf: int, n: int = 20) -> DataFrame:
     return ind.atr(i.covered(tf), SERIES, "cpos", {"atr": n})
 

@@ -74,11 +74,9 @@ def _(t):
     return out(a.unionByName(b), f"symbol day tf bucket {OHLCV} n_bars")
 
 
-@query("volume_profile", """select symbol, slot, round(avg(v), 6) as mean_volume from (
- select symbol, day, cast(floor(et_min / 5) * 5 - 570 as int) as slot, sum(volume) as v from bars where et_min between 570 and 959
- group by all) group by 1, 2""")
+@query("volume_profile", "select symbol, day, slot, round(mv, 6) as mean_volume from profile")
 def _(t):
-    return out(t.profile, "symbol slot", "mean_volume")
+    return out(t.profile, "symbol day slot", "mean_volume")
 
 
 @query("opening_range", """select symbol, day, n as interval, max(high) as or_high, min(low) as or_low

@@ -220,12 +220,14 @@ def _(t):
 
 
 # ---- volume pace ------------------------------------------------------------------------------------------------------
-CTES["profile"] = """select symbol, slot, avg(v) as mv from (select symbol, day, cast(floor(et_min / 5) * 5 - 570 as int) as slot,
- sum(volume) as v from bars where et_min between 570 and 959 group by all) group by 1, 2"""
-CTES["rvol"] = """select s.symbol, s.day, s.et_min, cum_volume / nullif(
-  coalesce((select sum(mv) from profile p where p.symbol = s.symbol and p.slot < floor((s.et_min - 569) / 5) * 5), 0)
-  + coalesce((select mv from profile p where p.symbol = s.symbol and p.slot = floor((s.et_min - 569) / 5) * 5), 0)
-    * ((s.et_min - 569) % 5) / 5, 0) as rvol from state s where session = 'rth'"""
+CTES["five"] = """select f.*, s.pos from (select symbol, day, cast(floor(et_min / 5) * 5 - 570 as int) as slot, sum(volume) as v from bars where et_min between 570 and 959 group by all) f
+ join sessions s using (symbol, day)"""
+CTES["profile"] = """select s.symbol, s.day, g.slot, avg(f.v) as mv from sessions s cross join (select unnest(range(0, 390, 5))::int as slot) g
+ left join five f on f.symbol = s.symbol and f.slot = g.slot and f.pos between s.pos - 20 and s.pos - 1 group by all"""
+CTES["psum"] = """select symbol, day, slot, coalesce(mv, 0) as mv, coalesce(sum(mv) over (partition by symbol, day order by slot rows between unbounded preceding and 1 preceding), 0) as upto,
+ sum(mv) over (partition by symbol, day) as whole from profile"""
+CTES["rvol"] = """select s.symbol, s.day, s.et_min, case when e > 0 then cum_volume / e end as rvol from (select s.*, case when et_min >= 959 then whole else upto + mv * ((et_min - 569) % 5) / 5 end as e
+  from state s left join psum p on p.symbol = s.symbol and p.day = s.day and p.slot = least(floor((s.et_min - 569) / 5) * 5, 385) where session = 'rth') s"""
 
 
 @query("rvol_time_of_day", "select symbol, day, et_min, round(rvol, 6) as rvol from rvol")
@@ -234,14 +236,14 @@ def _(t):
 
 
 CTES["opening"] = """select c.symbol, c.day, case when close > open then 1.0 when close < open then -1.0 else 0.0 end::double as dir,
- volume / nullif(mv, 0) as orv from candles c left join profile p on p.symbol = c.symbol and p.slot = 0
+ volume / nullif(mv, 0) as orv from candles c left join profile p on p.symbol = c.symbol and p.day = c.day and p.slot = 0
  where tf = 5 and session = 'rth' and c.slot = 0 and covered"""
 
 
 def opening_five(t):
     """Direction and relative volume of the covered 09:30 candle."""
-    p = t.profile.where("slot = 0").select("symbol", "mean_volume")
-    c = co.covered(t.candles, 5).where("key_session = 'rth' and slot = 0").join(p, "symbol", "left")
+    p = t.profile.where("slot = 0").select("symbol", "et_date", "mean_volume")
+    c = co.covered(t.candles, 5).where("key_session = 'rth' and slot = 0").join(p, ["symbol", "et_date"], "left")
     return c.withColumn("opening_direction", F.signum(F.col("close") - F.col("open"))) \
             .withColumn("opening_rvol", F.when(F.col("mean_volume") > 0, F.col("volume") / F.col("mean_volume")))
 

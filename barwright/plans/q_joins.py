@@ -134,12 +134,23 @@ def _(t):
 # ---- comparisons and audits -------------------------------------------------------------------------------------------------------------
 
 def alert_sets(t):
+    """Fires with every fifth minute's repeated, and the same ones shifted or lost as another feed may show them."""
     a = qr.all_fires(t).select("symbol", "trigger", "direction", "et_date", "et_min").distinct()
-    b = a.where("et_min % 7 <> 0").withColumn("et_min", F.col("et_min") + F.col("et_min") % 3).distinct()
-    return a, b
+    b = a.where("et_min % 7 <> 0").withColumn("et_min", F.col("et_min") + F.col("et_min") % 3)
+    return a.unionByName(a.where("et_min % 5 = 0")), b
 
 
-@query("feed_alert_matching")
+CTES["alist"] = "select distinct symbol, trigger, direction, day, et_min from fx"
+CTES["asets"] = """select symbol, trigger, direction, day, coalesce(list(et_min order by et_min) filter (side = 'a'), []) as al, coalesce(list(et_min order by et_min) filter (side = 'b'), []) as bl from (
+ select *, 'a' as side from alist union all select *, 'a' from alist where et_min % 5 = 0 union all select * replace (et_min + et_min % 3 as et_min), 'b' from alist where et_min % 7 <> 0) group by all"""
+CTES["amatch"] = """select symbol, trigger, direction, day, al, bl, 0 as n, null::bigint as pick, []::bigint[] as used from asets union all
+ select symbol, trigger, direction, day, al, bl, n + 1, p, case when p is null then used else list_append(used, p) end from (
+  select *, list_sort(list_transform(list_filter(range(1, len(bl) + 1), lambda i: abs(bl[i] - al[n + 1]) <= 3 and not list_contains(used, i)), lambda i: [abs(bl[i] - al[n + 1]), bl[i], i]))[1][3] as p
+  from amatch where n < len(al))"""
+
+
+@query("feed_alert_matching", """select symbol, trigger, direction, day, case when pick is null then 'a' else 'both' end as side, al[n] as a_min, bl[pick] as b_min from amatch where n > 0
+ union all select symbol, trigger, direction, day, 'b', null, bl[i] from (select *, unnest(range(1, len(bl) + 1)) as i from amatch where n = len(al)) where not list_contains(used, i)""")
 def _(t):
     a, b = alert_sets(t)
     return out(mg.match_alerts(a, b, ["symbol", "trigger", "direction"]), "symbol trigger direction day side a_min b_min")

@@ -158,7 +158,7 @@ DOCUMENTS = [
  union select 'doc_fade', f.symbol, f.day, f.et_min, coalesce(c.gap_pct <= 50, false) from fx f join cbt c using (symbol, day, et_min) where f.trigger = 'cross_below')""")
 def _(t):
     from ..operators import catalog
-    return out(catalog.run_documents(tr.Inputs(bars_with_rvol(t), t.candles), DOCUMENTS), "setup symbol day et_min outcome")
+    return out(catalog.run_documents(tr.Inputs(bars_with_rvol(t), t.candles, t.sessions), DOCUMENTS), "setup symbol day et_min outcome")
 
 
 @query("activity_report")

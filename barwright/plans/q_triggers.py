@@ -12,7 +12,7 @@ from .registry import CTES, add_smooth, out, query
 
 
 def inputs(t) -> tr.Inputs:
-    return tr.Inputs(st.derived(t.state, t.context), t.candles)
+    return tr.Inputs(st.derived(t.state, t.context), t.candles, t.sessions)
 
 
 def show(df):
@@ -84,9 +84,18 @@ def breach_sql(trig, hi, lo, p, sess):
                  fire("sb", f"{s} and low < {lo} and coalesce({p}_low >= {lo}, true)", trig, "'low'", "short", lo, "1"))
 
 
-@query("trigger_n_day_high_low", breach_sql("hi_lo_60d", "n_day_high", "n_day_low", "prev_day", "'rth'"))
-def _(t):
-    return show(tr.first_breach(inputs(t), "hi_lo_60d", "n_day_high", "n_day_low"))
+def n_day_sql(days):
+    """Bars with the extremes of the ``days`` sessions before theirs."""
+    return f"""(select s.*, l.nh, l.nl from state s left join (select symbol, day, case when count(*) over w = {days} then max(high) over w end as nh, case when count(*) over w = {days} then min(low) over w end as nl
+ from sessions window w as (partition by symbol order by pos rows between {days} preceding and 1 preceding)) l using (symbol, day))"""
+
+
+for _days in (3, 5, 60):
+    @query("trigger_n_day_high_low" if _days == 3 else f"trigger_{_days}_day_high_low", fires(
+        fire(n_day_sql(_days), "session = 'rth' and high > nh and coalesce(prev_day_high <= nh, true)", "hi_lo_60d", "'high'", "long", "nh", "1"),
+        fire(n_day_sql(_days), "session = 'rth' and low < nl and coalesce(prev_day_low >= nl, true)", "hi_lo_60d", "'low'", "short", "nl", "1")))
+    def _(t, days=_days):
+        return show(tr.n_day_breach(inputs(t), days))
 
 
 @query("trigger_52_week_high_low", breach_sql("hi_lo_52w", "hi_52w", "lo_52w", "prev_day", "'rth'"))

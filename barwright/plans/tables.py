@@ -13,7 +13,7 @@ from ..operators import state as state_ops
 from ..session import bucket_count, write_bucketed
 
 BASE_DATE = "2000-01-03"          # session 0 of the derived bars
-ROWS_PER_BLOCK = 5_000_000_000    # rows per order-key block when a ship date is cut for the numbering
+KEYS_PER_BLOCK = 1 << 30          # order keys per block when a ship date is cut for the numbering
 W = Window
 
 
@@ -23,14 +23,12 @@ def build_bars(lineitem: DataFrame) -> DataFrame:
     Numbering the rows of a symbol is done in (symbol, ship date, order-key block) chunks; the chunk sizes and last prices
     carry the row number and the previous price over, so no task sees a whole symbol.
     """
-    span = lineitem.agg(F.count(F.lit(1)).alias("n"), F.max("l_orderkey").alias("top")).first()
-    blocks = max(1, span["n"] // ROWS_PER_BLOCK)
     px = F.col("l_extendedprice") / F.col("l_quantity") / 10.0
     order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice"]
     t = lineitem.select(
         F.concat(F.lit("S"), F.lpad((F.col("l_suppkey") % 20).cast("string"), 2, "0")).alias("symbol"),
         "l_shipdate", *order, "l_discount", "l_tax", "l_quantity", px.alias("px"),
-        F.floor(F.col("l_orderkey") * blocks / ((span["top"] or 0) + 1)).cast("int").alias("blk"))
+        F.floor(F.col("l_orderkey") / KEYS_PER_BLOCK).cast("int").alias("blk"))
     chunk = ["symbol", "l_shipdate", "blk"]
     sizes = t.groupBy(*chunk).agg(F.count(F.lit(1)).alias("n"), F.max_by("px", F.struct(*order)).alias("last_px"))
     cw = W.partitionBy("symbol").orderBy("l_shipdate", "blk")
@@ -120,7 +118,8 @@ class Tables:
 
     @cached_property
     def profile(self) -> DataFrame:
-        return candle_ops.volume_profile(self.bars)
+        """Per (symbol, session): mean slot volumes of the sessions before."""
+        return self._stored("profile", lambda: candle_ops.volume_profile(self.bars), ["symbol", "et_date"], ["slot"])
 
 
 _CACHE: dict[tuple[str, str], Tables] = {}

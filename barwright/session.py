@@ -46,7 +46,7 @@ def size_in_bytes(df: DataFrame) -> int:
 def bucket_count(source: DataFrame) -> int:
     """Buckets for tables derived from ``source``: about 64 MB of input each, never fewer than the cores."""
     cores = source.sparkSession.sparkContext.defaultParallelism
-    return int(min(20_000, max(cores, size_in_bytes(source) // (64 * _MB) + 1)))
+    return int(max(cores, size_in_bytes(source) // (64 * _MB) + 1))
 
 
 def write_bucketed(df: DataFrame, name: str, keys: list[str], order: list[str], buckets: int) -> DataFrame:
