@@ -10,10 +10,10 @@ Documents are linked when ``100 * intersection >= 75 * union``; groups are the c
 3. *Stars.*  Each member is compared with the smallest member of its buckets, in batches of ``BATCH`` minima.  After a batch with m
    of n equal minima the similarity has the posterior Beta(m + 1, n - m + 1); a pair whose posterior probability of reaching the threshold is
    below ``MISS`` is dropped.  The most similar survivor of each member is verified on the full sets.
-4. *Rest.*  Buckets that still hold several components are worked off in blocks: every pair of members from different components is compared
-   the same way inside the task, and only surviving pairs leave it.  They are verified in rounds (the best ones of each member first), and
-   pairs whose components have met drop out.  So no bucket is capped, no link between components is left out, and pairs inside a
-   component are never listed.
+4. *Rest.*  A bucket that still holds several components is cut into blocks of at most ``BLOCK`` members.  Every pair of blocks is one small group
+   that some task works off: its pairs of different components are pruned the same way, the survivors verified on the full sets, and one link
+   for each pair of components that meet leaves the task.  Pairs inside the largest component of a bucket are never looked at.
+   So no bucket is capped, no link between components is left out, and no list of pairs is made.
 
 Null and empty texts have an empty set and are linked with nothing.  Rows that repeat a doc_id with equal texts are one document; with different
 texts, each row takes the group of its own text, and where the doc_id is the smallest of two groups these are one.  Rows with a null doc_id are not documents and are left out.  An empty
@@ -123,23 +123,60 @@ def compare_pairs(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(same)], names=["a", "b", "same"])
 
 
-def compare_blocks(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[pa.RecordBatch]:
-    """Surviving pairs of different components out of two blocks of members (a row holds both blocks)."""
-    for batch in batches:
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sx, sy = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint32).reshape(-1, HASHES) for side in (x, y))
-            cx, cy = (np.array([m["comp"] for m in side]) for side in (x, y))
-            i, j = np.nonzero(cx[:, None] != cy[None, :])
-            found: list[tuple] = []
-            for at in range(0, len(i), 1 << 16):
-                p, q = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
-                first = (sx[p, :BATCH] == sy[q, :BATCH]).sum(1) >= least[0]
-                p, q = p[first], q[first]
-                left, same = _likely(sx[p], sy[q], least)
-                found += [(x[a]["doc"], y[b]["doc"], s) for a, b, s in zip(p[left], q[left], same.tolist())]
-            a, b, s = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b) if found else [], pa.int64()), pa.array(np.maximum(a, b) if found else [], pa.int64()), pa.array(s, pa.int64())],
-                                             names=["a", "b", "same"])
+def compare_blocks(table: pa.Table, least: list[int], percent: int, size: int) -> pa.Table:
+    """One verified link (components a < b) for each two components that meet in a pair of blocks.
+
+    Columns: left and right (in which of the two blocks a row stands), comp, sig, text.
+    """
+    table = table.combine_chunks()
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+    comp = table.column("comp").to_numpy()
+    left, right = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+    pairs = [np.zeros((0, 2), np.int64)]
+    for at in range(0, len(left), 32):  # a bounded number of pairs at a time
+        i, j = np.nonzero(comp[left[at:at + 32], None] != comp[None, right])
+        i, j = left[at + i], right[j]
+        stay, _ = _likely(sig[i], sig[j], least)
+        pairs.append(np.stack([i[stay], j[stay]], 1))
+    pairs = np.concatenate(pairs)
+    met = pairs[_reach(pairs, table.column("text"), percent, size)]
+    links = np.unique(np.sort(comp[met], axis=1), axis=0) if len(met) else met
+    return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+
+
+def _reach(pairs: np.ndarray, text: pa.ChunkedArray, percent: int, size: int) -> np.ndarray:
+    """Which pairs of rows reach the threshold on their full sets."""
+    if not len(pairs):
+        return np.zeros(0, bool)
+    used, at = np.unique(pairs, return_inverse=True)
+    pairs = at.reshape(pairs.shape)
+    sets = _sets(text.take(pa.array(used)).combine_chunks(), size)
+    n = np.array([len(s) for s in sets])
+    if len(pairs) <= 4 * len(used):
+        common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs])
+    else:  # intersections of all rows at once, as a product of membership matrices, some elements at a time
+        element, times = np.unique(np.concatenate(sets), return_counts=True)
+        element = element[times > 1]
+        found = [np.searchsorted(element, s[np.isin(s, element, assume_unique=True)]) for s in sets]
+        row, column = np.repeat(np.arange(len(sets)), [len(f) for f in found]), np.concatenate(found)
+        order = np.argsort(column, kind="stable")
+        row, column, both = row[order], column[order], np.zeros((len(sets),) * 2, np.float32)
+        for lo in range(0, len(element), 4096):
+            part = slice(*np.searchsorted(column, [lo, lo + 4096]))
+            member = np.zeros((len(sets), min(4096, len(element) - lo)), np.float32)
+            member[row[part], column[part] - lo] = 1
+            both += member @ member.T
+        common = both[pairs[:, 0], pairs[:, 1]].astype(np.int64)
+    return 100 * common >= percent * (n[pairs[:, 0]] + n[pairs[:, 1]] - common)
+
+
+def _sets(text: pa.Array, size: int) -> list[np.ndarray]:
+    """The set of every row, as sorted values."""
+    out = []
+    for w in words(text, lower=True):
+        of, value = shingles(w, size)
+        out += np.split(value, np.searchsorted(of, np.arange(1, w.hi - w.lo)))
+    return out
 
 
 def linked(batches: Iterator[pa.RecordBatch], percent: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -148,30 +185,35 @@ def linked(batches: Iterator[pa.RecordBatch], percent: int, size: int) -> Iterat
         verdicts = []
         for lo in range(0, batch.num_rows, 64):
             part = batch.slice(lo, 64)
-            sets = [[v for w in words(part.column(k), lower=True) for v in np.split(*_cuts(*shingles(w, size), w.hi - w.lo))] for k in (2, 3)]
-            for x, y in zip(*sets):
+            for x, y in zip(_sets(part.column(2), size), _sets(part.column(3), size)):
                 n = len(np.intersect1d(x, y, assume_unique=True))
                 verdicts.append(len(x) > 0 and 100 * n >= percent * (len(x) + len(y) - n))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.bool_())], names=["a", "b", "ok"])
 
 
-def _cuts(of: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    return value, np.searchsorted(of, np.arange(1, rows))
+def roots(parents: DataFrame) -> DataFrame:
+    """(doc, comp) for a forest of (doc, parent) pointers; every round doubles how far a pointer reaches, and is written."""
+    while True:
+        up = parents.select(F.col("doc").alias("_d"), F.col("parent").alias("_p"))
+        new = written(parents.join(up, F.col("parent") == F.col("_d"), "left").select("doc", F.coalesce("_p", "parent").alias("parent"), F.col("_p").isNotNull().alias("moved")), "roots")
+        if new.where("moved").isEmpty():
+            return new.select("doc", F.col("parent").alias("comp"))
+        parents = new.select("doc", "parent")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc, comp) of all documents that have a link; comp is the smallest doc of the component.
+    """(doc, comp) of all nodes of (a, b) links; comp is the smallest node of the component.
 
     Every round gives a node the smallest label around it and then that label's own label; each round is written, so rounds do not pile up in the plan.
     Labels combine in the map tasks, so a node with very many edges is no hot key.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    label = written(both.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
+    label = both.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.col("a")).alias("comp"))
     while True:
         near = both.join(label.withColumnRenamed("doc", "b"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("comp").alias("around"))
-        step = label.join(near, "doc", "left").select("doc", F.least("comp", F.coalesce("around", "comp")).alias("next"), F.col("comp").alias("was"))
-        jump = step.select(F.col("doc").alias("_d"), F.col("next").alias("_n"))
-        new = written(step.join(jump, F.col("next") == F.col("_d"), "left").select("doc", F.least("next", F.coalesce("_n", "next")).alias("comp"), "was"), "labels")
+        step = label.join(near, "doc").select("doc", F.least("comp", "around").alias("next"), F.col("comp").alias("was"))
+        jump = label.select(F.col("doc").alias("_d"), F.col("comp").alias("_n"))
+        new = written(step.join(jump, F.col("next") == F.col("_d")).select("doc", F.least("next", "_n").alias("comp"), "was"), "labels")
         if new.where("comp <> was").isEmpty():
             return new.select("doc", "comp")
         label = new.select("doc", "comp")
@@ -194,57 +236,46 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     banded = heads.select("doc", "sig").mapInArrow(bands, "bucket bigint, doc bigint")
     shared = banded.groupBy("bucket").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head <> last").select("bucket", "head")
     members = written(banded.join(shared, "bucket").select("bucket", "head", "doc"), "members")
-    wanted = members.select("doc").distinct()
-    texts = written(docs.join(wanted, "doc", "left_semi").join(heads.select("doc").distinct(), "doc", "left_semi"), "texts")
+    wanted = written(members.select("doc").distinct(), "wanted")
+    texts = written(docs.join(wanted, "doc", "left_semi").distinct(), "texts")
     sigs = written(heads.join(wanted, "doc", "left_semi").select("doc", "sig"), "signatures")
 
     star = members.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
     joined = (star.join(sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sig_a")), "a")
               .select("a", "b", "sig_a", "sig_b"))
     likely = joined.mapInArrow(lambda b: compare_pairs(b, least), "a bigint, b bigint, same bigint")
-    best = likely.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    links = _verified(best, texts, percent, size).where("ok").select("a", "b")
-    label = components(links)
-
-    def open_members(label: DataFrame) -> DataFrame:
-        mine = members.select("bucket", "doc").join(label, "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp"))
-        several = mine.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        return mine.join(several.select("bucket"), "bucket", "left_semi")
-
-    pairs = written(_rest_pairs(open_members(label), sigs, least), "rest").join(best, ["a", "b"], "left_anti")
-    slots = 1
-    while True:
-        cross = (pairs.join(label.select(F.col("doc").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("doc").alias("b"), F.col("comp").alias("cb")), "b", "left")
-                 .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "same"))
-        cross = written(cross, "rest")
-        if cross.isEmpty():
-            break
-        # the best partner of each member first; later rounds take up to eight times as many
-        top = cross.groupBy("b", F.pmod(F.xxhash64("a"), F.lit(slots)).alias("slot")).agg(F.max(F.struct("same", "a")).alias("m")).select("m.a", "b")
-        top = written(top, "tried")
-        more = _verified(top, texts, percent, size).where("ok").select("a", "b")
-        links = written(links.unionByName(more), "links")
-        label = components(links)
-        pairs, slots = cross.join(top, ["a", "b"], "left_anti"), slots * 8
+    # one partner for each member: the smallest of those that are surely similar, else the most similar; smallest partners keep the pointers short
+    sure = F.col("same") >= int(HASHES * (percent / 100 + 0.1))
+    rank = F.struct(sure.alias("sure"), F.when(sure, -F.col("a")).otherwise(F.col("same")).alias("by"), F.col("a").alias("a"))
+    best = written(likely.groupBy("b").agg(F.max(rank).alias("m")).select(F.col("m.a").alias("a"), "b"), "best")
+    pointed = roots(_verified(best, texts, percent, size).where("ok").groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("parent")))
+    label = written(wanted.join(pointed, "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp")), "label")
+
+    mine = members.select("bucket", "doc").join(label, "doc")
+    several = mine.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    met = written(_rest_links(mine.join(several, "bucket", "left_semi"), sigs, texts, least, percent, size), "met")
+    merged = components(met).select(F.col("doc").alias("_c"), F.col("comp").alias("_new"))
+    label = label.join(merged, F.col("comp") == F.col("_c"), "left").select("doc", F.coalesce("_new", "comp").alias("comp"))
 
     of_class = found.join(classes.select(F.col("key").alias("_k"), "head"), F.col("key") == F.col("_k"), "left").select("doc", "n", "head")
     grouped = of_class.join(label.select(F.col("doc").alias("head"), "comp"), "head", "left").select("doc", "n", F.coalesce("comp", "head", "doc").alias("comp"))
     return grouped.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), (F.col("doc") == F.col("comp")).alias("kept"))
 
 
-def _rest_pairs(mine: DataFrame, sigs: DataFrame, least: list[int]) -> DataFrame:
-    """Surviving pairs of different components within buckets, found block against block."""
-    sized = mine.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("of_main"))
-    # members of the largest component of a bucket need no comparison with each other; all others meet every block
-    placed = (mine.join(sized, "bucket").withColumn("is_main", F.col("comp") == F.col("main"))
-              .withColumn("blocks", F.ceil(F.when(F.col("is_main"), F.col("of_main")).otherwise(F.col("all") - F.col("of_main")) / BLOCK))
-              .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).join(sigs, "doc"))
-    blocks = placed.groupBy("bucket", "is_main", "block").agg(F.collect_list(F.struct("doc", "comp", "sig")).alias("members"))
-    blocks = written(blocks, "blocks")
-    left = blocks.where("not is_main").select("bucket", F.col("block").alias("_b"), F.col("members").alias("x"))
-    right = blocks.select("bucket", "is_main", "block", F.col("members").alias("y"))
-    met = left.join(right, "bucket").where("is_main or block >= _b").select("x", "y")
-    return met.mapInArrow(lambda b: compare_blocks(b, least), "a bigint, b bigint, same bigint").groupBy("a", "b").agg(F.max("same").alias("same"))
+def _rest_links(mine: DataFrame, sigs: DataFrame, texts: DataFrame, least: list[int], percent: int, size: int) -> DataFrame:
+    """(a, b): components that a verified link joins, from buckets (bucket, doc, comp) with several of them, block against block."""
+    sized = mine.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all")).select(
+        "bucket", F.col("m.comp").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).alias("rest_blocks"), F.ceil(F.col("m.n") / BLOCK).alias("main_blocks"))
+    placed = mine.join(sized, "bucket").withColumn("is_main", F.col("comp") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("doc"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))))
+    span = lambda name: F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1)
+    # a pair of blocks is (x, y, y is main); blocks of the main component meet the others only
+    spot = lambda x, y, of_main, is_left, is_right: F.struct(x.alias("x"), y.alias("y"), F.lit(of_main).alias("of_main"), is_left.alias("left"), is_right.alias("right"))
+    yes, no, b = F.lit(True), F.lit(False), F.col("block")
+    meets = F.when(F.col("is_main"), F.transform(span("rest_blocks"), lambda x: spot(x, b, True, no, yes))).otherwise(F.concat(
+        F.transform(span("rest_blocks"), lambda o: spot(F.least(o, b), F.greatest(o, b), False, o >= b, o <= b)), F.transform(span("main_blocks"), lambda y: spot(b, y, True, yes, no))))
+    spread = placed.select("bucket", "doc", "comp", F.explode(meets).alias("at")).select("bucket", "at.*", "doc", "comp")
+    full = spread.join(sigs, "doc").join(texts, "doc").select("bucket", "x", "y", "of_main", "left", "right", "comp", "sig", "text")
+    return full.groupBy("bucket", "x", "y", "of_main").applyInArrow(lambda t: compare_blocks(t, least, percent, size), "a bigint, b bigint").distinct()
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
