@@ -84,8 +84,8 @@ def _(t):
     return out(mg.later_wins(list(sources(t))), "symbol day et_min open high low close volume")
 
 
-@query("merge_stream_over_history", """select coalesce(h.symbol, s.symbol) as symbol, coalesce(h.day, s.day) as day, coalesce(h.et_min, s.et_min) as et_min, coalesce(s.close, h.close) as close,
- h.symbol is not null and s.symbol is not null as overlap, coalesce(abs(h.close - s.close) > 1e-4, false) as disagrees from hsrc h full join ssrc s on h.symbol = s.symbol and h.day = s.day and h.et_min = s.et_min""")
+@query("merge_stream_over_history", """select symbol, day, et_min, coalesce(max(s), max(h)) as close, count(s) > 0 and count(h) > 0 as overlap, coalesce(abs(max(h) - max(s)) > 1e-4, false) as disagrees from (
+ select symbol, day, et_min, close as h, null as s from hsrc union all select symbol, day, et_min, null, close from ssrc) group by all""")
 def _(t):
     m = mg.stream_over_history(*sources(t))
     return out(m.withColumn("disagrees", F.coalesce("disagrees", F.lit(False))), "symbol day et_min close overlap disagrees")

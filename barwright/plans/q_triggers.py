@@ -328,10 +328,9 @@ def _(t):
     return show(tr.candle_close(inputs(t), 1, 5, 15).where("direction = 'short'"))
 
 
-CTES["pair"] = """select d.*, p.o1, p.h1, p.l1, p.c1, p.h2, p.l2 from done d join (select symbol, day, tf, session, slot, lag(open) over w as o1,
-  lag(high) over w as h1, lag(low) over w as l1, lag(close) over w as c1, lag(high, 2) over w as h2, lag(low, 2) over w as l2 from candles
-  where covered window w as (partition by symbol, day, tf, session order by slot)) p
- on p.symbol = d.symbol and p.day = d.day and p.tf = d.tf and p.session = d.ksess and p.slot = d.slot where d.session = d.ksess"""
+CTES["pair"] = """select * from (select * exclude (session), session as ksess, done_min as et_min, done_session as session, lag(open) over w as o1, lag(high) over w as h1, lag(low) over w as l1,
+  lag(close) over w as c1, lag(high, 2) over w as h2, lag(low, 2) over w as l2 from candles where covered window w as (partition by symbol, day, tf, session order by slot))
+ where et_min is not null and session = ksess"""
 PAIRS = {
     "bull_engulfing": ("c1 < o1 and close > open and open <= c1 and close >= o1 and abs(close - open) > abs(c1 - o1)", "long", "close"),
     "bear_engulfing": ("c1 > o1 and close < open and open >= c1 and close <= o1 and abs(close - open) > abs(c1 - o1)", "short", "close"),
