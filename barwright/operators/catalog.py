@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import candles as co
 from . import conditions as cd
 from . import indicators as ind
+from . import relative as rel
 from . import state as st
 from . import triggers as tr
 
@@ -128,7 +129,7 @@ def detect(i: tr.Inputs, tid: str, option: str = "", params: dict | None = None)
 _COLUMN = {"price": "price", "avg_vol_20d": "avg_vol_20d", "avg_dollar_vol_20d": "avg_dollar_vol_20d", "atr_pct": "atr_pct", "session_volume": "session_volume", "rvol": "rvol",
            "time_et": "time_et", "day_range_pos": "day_range_pos", "market_cap": "market_cap", "float_shares": "float_shares", "short_pct_float": "short_pct_float"}
 for _id, _c in _COLUMN.items():
-    condition(_id)(lambda i, b, o, p, c=_c: b.withColumn("v", F.col(c) if c in b.columns else F.lit(None).cast("double")))
+    condition(_id)(lambda i, b, o, p, c=_c: b.withColumn("v", F.col(c)))
 for _id, _default in {"gap_pct": "abs", "rth_chg_pct": "abs", "mom_15m_pct": "abs", "dist_vwap_pct": "abs", "atr_extension_d1": "trade"}.items():
     condition(_id)(lambda i, b, o, p, c=_id, d=_default: b.withColumn("v", cd.side_value(F.col(c), o or d, F.col("direction"))))
 
@@ -162,7 +163,9 @@ def _sided(o, above, below):
 @condition("vwap_hold")
 def _(i, b, o, p):
     tf = _i(p, "tf", 5)
-    return _on(i, b, cd.vwap_hold(i.candles, tf, _i(p, "lookback", 5)), ["hold_above", "hold_below"], tf, _sided(o, "hold_above", "hold_below"))
+    margin = _f(p, "margin", 0)
+    atr = i.bars.groupBy("symbol", "et_date").agg(F.max("atr_d1").alias("atr_d1")) if margin > 0 else None
+    return _on(i, b, cd.vwap_hold(i.candles, tf, _i(p, "lookback", 5), margin, atr), ["hold_above", "hold_below"], tf, _sided(o, "hold_above", "hold_below"))
 
 
 @condition("ema_hold")
@@ -183,6 +186,97 @@ def _(i, b, o, p):
     return _on(i, b, cd.dist_ema9(i.candles, tf), ["ema9"], tf, lambda: F.abs((F.col("close") - F.col("ema9")) / F.col("ema9") * 100), "rpos", "rbefore")
 
 
+def _in_day(i, b, values, cols, tf, value):
+    """Bars with the newest earlier candle of the date that has ``cols``."""
+    cur = cd.day_asof(i.candles, tf, values, cols)
+    return co.bars_with_candle(b, cur, tf).withColumn("v", value()).drop("tf", "key_session", "slot", *cols)
+
+
+@condition("consec_candles")
+def _(i, b, o, p):
+    which, _, tf = (o or "abs").partition(":")
+    tf = int(tf) if tf else _i(p, "tf", 2)
+    run = F.col("streak").cast("double")
+    value = {"green": F.greatest(run, F.lit(0.0)), "red": F.greatest(-run, F.lit(0.0))}.get(which, F.abs(run))
+    return _in_day(i, b, streaks(i.covered(tf)).where("key_session = 'rth'"), ["streak"], tf, lambda: value)
+
+
+@condition("vwap_day_pct")
+def _(i, b, o, p):
+    return _in_day(i, b, cd.vwap_day_pct(i.candles), ["pct_above", "pct_below"], 5, _sided(o, "pct_above", "pct_below"))
+
+
+@condition("rel_vol")
+def _(i, b, o, p):
+    tf, n = _i(p, "tf", 5), _i(p, "lookback", 10)
+    now = rel.rolling_rel_volume(i.bars, tf, n, "_rolling").select("symbol", "et_date", "et_min", "_rolling")
+    b = b.join(now, ["symbol", "et_date", "et_min"], "left")
+    if tf < 5:
+        return b.withColumn("v", F.col("_rolling") * 100).drop("_rolling")
+    by_candle = rel.candle_rel_volume(i.covered(tf), n, "_candle")
+    return _on(i, b, by_candle, ["_candle"], tf, lambda: F.coalesce("_rolling", "_candle") * 100).drop("_rolling")
+
+
+def _strength(i, b, o, p, bench):
+    """During the first 12 candles of a session the strength is not yet known; the value is then infinite, which passes a lower bound."""
+    w = Window.partitionBy("symbol", "et_date").orderBy("slot")
+    own = i.covered(5).where("key_session = 'rth'").withColumn("nc", F.row_number().over(w)).select("symbol", "et_date", "key_session", "slot", "nc")
+    r = own.join(rel.rrs_intraday(i.candles, bench).select("symbol", "et_date", "slot", "rrs_m5"), ["symbol", "et_date", "slot"], "left")
+    signed = lambda: F.when(F.coalesce("nc", F.lit(0)) < 12, F.lit(float("inf"))).otherwise(cd.side_value(F.col("rrs_m5"), o or "trade", F.col("direction")))
+    return _in_day(i, b, r, ["nc", "rrs_m5"], 5, signed)
+
+
+condition("rrs_m5")(lambda i, b, o, p: _strength(i, b, o, p, p.get("benchmark", "SPY")))
+
+
+@condition("rrs_sector_m5")
+def _(i, b, o, p):
+    r = rel.rrs_intraday(i.candles, p.get("sector", "XLK")).where("rrs_m5 is not null")
+    return _in_day(i, b, r, ["rrs_m5"], 5, lambda: cd.side_value(F.col("rrs_m5"), o or "trade", F.col("direction")))
+
+
+@condition("rrs_slope")
+def _(i, b, o, p):
+    r = rel.rrs_intraday(i.candles, p.get("benchmark", "SPY")).where("rrs_m5 is not null")
+    w = Window.partitionBy("symbol", "et_date").orderBy("pos")
+    r = r.withColumn("_slope", F.col("rrs_m5") - F.lag("rrs_m5", _i(p, "lookback", 3)).over(w)).where("_slope is not null")
+    return _in_day(i, b, r, ["_slope"], 5, lambda: cd.side_value(F.col("_slope"), o or "trade", F.col("direction")))
+
+
+@condition("rrs_d1")
+def _(i, b, o, p):
+    r = rel.rrs_daily(i.daily, p.get("benchmark", "SPY"))
+    return b.join(r, ["symbol", "et_date"], "left").withColumn("v", cd.side_value(F.col("rrs_d1"), o or "trade", F.col("direction"))).drop("rrs_d1")
+
+
+def _opening(name):
+    def value(i, b, o, p):
+        opened = rel.opening_candle(i.candles, co.volume_profile(i.bars))
+        ranks = rel.opening_ranks(i.daily, opened).select("symbol", "et_date", "opening_rank", "coverage")
+        j = b.join(opened.select("symbol", "et_date", "opening_direction", "opening_rvol"), ["symbol", "et_date"], "left").join(ranks, ["symbol", "et_date"], "left")
+        v = {"opening_direction_m5": cd.side_value(F.col("opening_direction"), o or "trade", F.col("direction")), "opening_rvol_m5": F.col("opening_rvol"),
+             "opening_rvol_rank": F.when(F.col("coverage") >= 0.8, F.col("opening_rank"))}[name]
+        return j.withColumn("v", F.when(F.col("et_min") >= 575, v)).drop("opening_direction", "opening_rvol", "opening_rank", "coverage")
+    return value
+
+
+for _id in ("opening_direction_m5", "opening_rvol_m5", "opening_rvol_rank"):
+    condition(_id)(_opening(_id))
+
+
+@condition("market_align")
+def _(i, b, o, p):
+    s = i.bars.where((F.col("symbol") == p.get("benchmark", "SPY")) & (F.col("session") == "rth")).withColumn("regime", st.market_regime(F.col("close"), F.col("vwap")))
+    j = b.join(tr.per_minute(s, ["regime"]), ["et_date", "et_min"], "left")
+    return j.withColumn("v", cd.market_align(F.col("bench_regime"), F.col("direction"), F.col("et_min"))).drop("bench_regime")
+
+
+@condition("spread_bps")
+def _(i, b, o, p):
+    """Needs bars that carry ``spread_bps`` of the quote at their close (an as-of join of the quotes)."""
+    return b.withColumn("v", F.col("spread_bps"))
+
+
 # check id -> (study with the requested length, value column)
 _CHECKS = {"adx": (ind.adx, "adx"), "ta_rsi": (ind.rsi, "rsi"), "ta_cci": (ind.cci, "cci"), "ta_adx_plus_di": (ind.adx, "plus_di"), "ta_adx_minus_di": (ind.adx, "minus_di"),
            "ta_sma": (lambda c, k, q, n=50: ind.sma(c, k, q, n), "sma"), "ta_ema": (lambda c, k, q, n=9: ind.ema(c, k, q, {"ema": n}), "ema"),
@@ -199,15 +293,21 @@ for _id, (_fn, _c) in {**_CHECKS, **_FIXED}.items():
 
 # ---- whole documents ------------------------------------------------------------------------------------------------------------
 
-def run_documents(i: tr.Inputs, documents: list[dict]) -> DataFrame:
+def run_documents(i: tr.Inputs, documents: list[dict], profiles: dict[str, list[tuple]] | None = None) -> DataFrame:
     """Outcomes (sent / blocked / repeat / waiting) of rule documents over the bars of ``i``.
 
+    A document that is switched off is passed over.  The conditions (id, op, value) of its universe profile are checked like its own;
+    ``profiles`` adds to or replaces the default ones.
+
     Every distinct detector instance is evaluated once and every distinct condition becomes one column; a document without a
     fixed direction is screened as a long candidate in its direction-signed conditions.
     """
     from . import rules as ru
     rows, instances, values, names = [], {}, {}, {}
+    known = {**cd.DEFAULT_PROFILES, **(profiles or {})}
     for d in documents:
+        if d.get("enabled", True) is False:
+            continue
         side = {"long": "long", "short": "short"}.get(d.get("alert_direction") or d.get("direction"), "long")
         triggers = []
         for t in d["triggers"]:
@@ -216,7 +316,8 @@ def run_documents(i: tr.Inputs, documents: list[dict]) -> DataFrame:
                 instances[t["id"], option, sig] = t.get("params") or {}
                 triggers.append((t["id"], f"{option}{sig}", 0, int(t.get("repeat_sec") or 0)))
         params = []
-        for c in d.get("parameters") or []:
+        screen = known[d["universe_profile"]] if d.get("universe_profile") else []
+        for c in [*(d.get("parameters") or []), *({"id": x, "op": op, "value": v} for x, op, v in screen)]:
             key = (c["id"], c.get("option", ""), signature(c.get("params") or {}), side)
             name = names.setdefault(key, f"cond_{len(names)}")
             values[name] = (c, side)

@@ -79,14 +79,23 @@ def on_bars(bars: DataFrame, candles: DataFrame, values: DataFrame, cols: list[s
     return co.bars_with_candle(bars, cur, tf)
 
 
-def vwap_hold(candles: DataFrame, tf: int = 5, n: int = 5) -> DataFrame:
-    """Closes above / below their own VWAP among the last ``n`` candles, NULL while one of them has no VWAP."""
+def vwap_hold(candles: DataFrame, tf: int = 5, n: int = 5, margin: float = 0.0, atr: DataFrame | None = None) -> DataFrame:
+    """Closes beyond their own VWAP by ``margin`` percent of the daily ATR among the last ``n`` candles, NULL while one of them has no VWAP.
+
+    ``atr``: symbol, et_date, atr_d1; needed with a margin, and without an ATR above zero the value is NULL.
+    """
+    c = co.covered(candles, tf)
+    off = F.lit(0.0)
+    if margin > 0:
+        c = c.join(atr.select("symbol", "et_date", F.when(F.col("atr_d1") > 0, F.col("atr_d1") * margin / 100).alias("_off")), DAY, "left")
+        off = F.col("_off")
+
     def cols(w):
         b = w.rowsBetween(-(n - 1), 0)
-        ok = co.last_n_ok(w, n) & (F.count("vwap").over(b) == n)
-        return {"hold_above": F.when(ok, F.sum((F.col("close") > F.col("vwap")).cast("double")).over(b)),
-                "hold_below": F.when(ok, F.sum((F.col("close") < F.col("vwap")).cast("double")).over(b))}
-    return co.recent(co.covered(candles, tf), n - 1, cols)
+        ok = co.last_n_ok(w, n) & (F.count("vwap").over(b) == n) & off.isNotNull()
+        return {"hold_above": F.when(ok, F.sum((F.col("close") > F.col("vwap") + off).cast("double")).over(b)),
+                "hold_below": F.when(ok, F.sum((F.col("close") < F.col("vwap") - off).cast("double")).over(b))}
+    return co.recent(c, n - 1, cols)
 
 
 def day_asof(candles: DataFrame, tf: int, values: DataFrame, cols: list[str], keys=("key_session", "slot")) -> DataFrame:

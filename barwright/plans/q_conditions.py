@@ -7,6 +7,7 @@ from ..functions.asof import asof
 from ..operators import candles as co
 from ..operators import conditions as cd
 from ..operators import indicators as ind
+from ..operators import relative as rel
 from ..operators import state as st
 from ..operators import triggers as tr
 from . import q_indicators as qi
@@ -268,8 +269,8 @@ CTES["relv"] = """select c.*, coalesce(r.ratio, k.ratio) * 100 as pct from cb c
 
 
 def with_rel_vol(t):
-    r = qi.rolling_rel_volume(t.bars, 5, 10, "rolling").where("session = 'rth'")
-    k = qi.candle_rel_volume(co.covered(t.candles, 5), 10, "by_candle")
+    r = rel.rolling_rel_volume(t.bars, 5, 10, "rolling").where("session = 'rth'")
+    k = rel.candle_rel_volume(co.covered(t.candles, 5), 10, "by_candle")
     return cd.on_bars(r, t.candles, k, ["by_candle"], 5).withColumn("rel_vol", F.coalesce("rolling", "by_candle") * 100)
 
 

@@ -7,6 +7,7 @@ from ..functions.ordered import segments
 from ..operators import candles as co
 from ..operators import daily as dl
 from ..operators import indicators as ind
+from ..operators import relative as rel
 from ..operators.catalog import streaks
 from ..operators import state as st
 from .registry import CTES, add_smooth, out, query, r6
@@ -197,12 +198,7 @@ CTES["m5raw"] = """select i.symbol, i.day, i.slot, i.pos, (ms - mb / nullif(b.y,
 
 def rrs_m5(candles, bench: str):
     """Raw 5-minute RRS(12) inside each session against the candles of one benchmark symbol."""
-    c = co.covered(candles, 5).where("key_session = 'rth'")
-    b = c.where(F.col("symbol") == bench).select("et_date", "slot", *[F.col(x).alias(f"bench_{x}") for x in ("high", "low", "close")])
-    j = c.where(F.col("symbol") != bench).join(b, ["et_date", "slot"])
-    from pyspark.sql import Window
-    j = j.withColumn("pos", F.row_number().over(Window.partitionBy("symbol", "et_date").orderBy("slot")).cast("long"))
-    return ind.rrs(j, ["symbol", "et_date"], "pos", 12, "rrs_m5")
+    return rel.rrs_intraday(candles, bench)
 
 
 @query("rrs_five_minute", "select symbol, day, slot, round(raw, 6) as rrs_m5 from m5raw")
@@ -241,23 +237,11 @@ CTES["opening"] = """select c.symbol, c.day, case when close > open then 1.0 whe
 
 
 def opening_five(t):
-    """Direction and relative volume of the covered 09:30 candle."""
-    p = t.profile.where("slot = 0").select("symbol", "et_date", "mean_volume")
-    c = co.covered(t.candles, 5).where("key_session = 'rth' and slot = 0").join(p, ["symbol", "et_date"], "left")
-    return c.withColumn("opening_direction", F.signum(F.col("close") - F.col("open"))) \
-            .withColumn("opening_rvol", F.when(F.col("mean_volume") > 0, F.col("volume") / F.col("mean_volume")))
+    return rel.opening_candle(t.candles, t.profile)
 
 
 def opening_ranks(t):
-    """Competition rank of the opening relative volume over the symbols of a session, with the share that has a value."""
-    from pyspark.sql import Window
-    base = t.sessions.select("symbol", "et_date").join(opening_five(t).select("symbol", "et_date", "opening_rvol"),
-                                                       ["symbol", "et_date"], "left")
-    w = Window.partitionBy("et_date")       # one row per symbol: bounded by the universe, never by the bars
-    return base.withColumns({
-        "opening_rank": F.when(F.col("opening_rvol").isNotNull(),
-                               F.rank().over(w.orderBy(F.col("opening_rvol").desc_nulls_last())).cast("double")),
-        "coverage": F.count("opening_rvol").over(w) / F.count(F.lit(1)).over(w)})
+    return rel.opening_ranks(t.sessions, opening_five(t))
 
 
 @query("opening_five_minutes", "select symbol, day, dir as opening_direction, round(orv, 6) as opening_rvol from opening")
@@ -296,14 +280,7 @@ CTES["dquality"] = """select d.symbol, d.d, case when n20 < 20 then 50.0::double
   from candles where covered and tf in (1, 5) window w as (partition by symbol, tf, series order by cpos))
  window w as (partition by symbol, tf, series order by cpos)) where n = 11 and g = 0""")
 def _(t):
-    return out(candle_rel_volume(co.covered(t.candles, 1, 5), 10).where("ratio is not null"), "symbol day tf slot", "ratio")
-
-
-def candle_rel_volume(covered, n: int, name: str = "ratio"):
-    def cols(w):
-        avg = F.avg("volume").over(w.rowsBetween(-n, -1))
-        return {name: F.when(co.last_n_ok(w, n + 1) & (avg > 0), F.col("volume") / avg)}
-    return co.recent(covered, n, cols)
+    return out(rel.candle_rel_volume(co.covered(t.candles, 1, 5), 10).where("ratio is not null"), "symbol day tf slot", "ratio")
 
 
 @query("rolling_relative_volume", """select symbol, day, et_min, tf, round(cur / nullif(prior / 10, 0), 6) as ratio from (
@@ -314,20 +291,10 @@ def candle_rel_volume(covered, n: int, name: str = "ratio"):
   sum(volume) over (w rows between 54 preceding and 5 preceding) as prior, count(*) over (w rows between 54 preceding and current row) as n
  from bars window w as (partition by symbol, day, session order by et_min)) where n = tf * 11""")
 def _(t):
-    both = [rolling_rel_volume(t.bars, tf, 10).where("ratio is not null").withColumn("tf", F.lit(tf)) for tf in (2, 5)]
+    both = [rel.rolling_rel_volume(t.bars, tf, 10).where("ratio is not null").withColumn("tf", F.lit(tf)) for tf in (2, 5)]
     return out(both[0].unionByName(both[1]), "symbol day et_min tf", "ratio")
 
 
-def rolling_rel_volume(bars, tf: int, n: int, name: str = "ratio"):
-    """Volume of the trailing ``tf`` bars over the mean of the ``n`` blocks before, inside one session."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("symbol", "et_date", "session").orderBy("et_min")
-    cur = F.sum("volume").over(w.rowsBetween(-(tf - 1), 0))
-    prior = F.sum("volume").over(w.rowsBetween(-(tf * (n + 1) - 1), -tf)) / n
-    full = F.count(F.lit(1)).over(w.rowsBetween(-(tf * (n + 1) - 1), 0)) == tf * (n + 1)
-    return bars.withColumn(name, F.when(full & (prior > 0), cur / prior))
-
-
 CTES["streak"] = """select * exclude (sg, isl), cast(row_number() over (partition by symbol, day, tf, session, isl order by slot) * sg as int)
  as streak from (select *, sum(case when sg = psg and slot = pslot + 1 then 0 else 1 end) over
  (partition by symbol, day, tf, session order by slot) as isl from (

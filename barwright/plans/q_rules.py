@@ -161,6 +161,26 @@ def _(t):
     return out(catalog.run_documents(tr.Inputs(bars_with_rvol(t), t.candles, t.sessions), DOCUMENTS), "setup symbol day et_min outcome")
 
 
+for _name, _src, _cols in (("cck", "stk5", "x.streak"), ("ccd", "vdp", "x.pa"), ("ccx", "m5x", "x.n5, x.raw")):
+    CTES[_name] = f"select b.symbol, b.day, b.et_min, {_cols} from bc b asof left join {_src} x on x.symbol = b.symbol and x.day = b.day and x.slot < b.slot where b.tf = 5 and b.session = 'rth'"
+
+
+@query("catalog_condition_values", """select c.symbol, c.day, c.et_min, round(c.dir, 6) as opening_direction_m5, round(c.orv, 6) as opening_rvol_m5, round(c.rnk, 6) as opening_rvol_rank, round(v.pct, 6) as rel_vol,
+ case when c.et_min < 600 then 1 when r.regime is null then null when r.regime = 'bearish' then 0 else 1 end::double as market_align, abs(k.streak)::double as consec_candles,
+ round(d.pa, 6) as vwap_day_pct, round(case when coalesce(x.n5, 0) < 12 then 999::double else x.raw end, 6) as rrs_m5
+ from cbo c join cbr r using (symbol, day, et_min) join relv v using (symbol, day, et_min) join cck k using (symbol, day, et_min) join ccd d using (symbol, day, et_min) join ccx x using (symbol, day, et_min)""")
+def _(t):
+    """Condition ids resolved by the catalog, for a long candidate on every regular bar."""
+    from ..operators import catalog
+    i = tr.Inputs(bars_with_rvol(t), t.candles, t.sessions)
+    b = cd.bar_values(i.bars).where("session = 'rth'").withColumn("direction", F.lit("long"))
+    ids = {"opening_direction_m5": {}, "opening_rvol_m5": {}, "opening_rvol_rank": {}, "rel_vol": {}, "market_align": {"benchmark": "S00"}, "consec_candles": {"tf": 5}, "vwap_day_pct": {}, "rrs_m5": {"benchmark": "S00"}}
+    for name, params in ids.items():
+        b = catalog.CONDITIONS[name](i, b, "", params).withColumnRenamed("v", name)
+    b = b.withColumn("rrs_m5", F.when(F.col("rrs_m5") == float("inf"), 999.0).otherwise(F.col("rrs_m5")))
+    return out(b, "symbol day et_min market_align consec_candles", "opening_direction_m5 opening_rvol_m5 opening_rvol_rank rel_vol vwap_day_pct rrs_m5")
+
+
 @query("activity_report")
 def _(t):
     return out(ru.activity(outcomes(t), 30), "setup symbol day status events")
