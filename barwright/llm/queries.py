@@ -24,7 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", sql=r"""
+with d as (select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+lines as (select doc_id, x, count(*) as n from (select doc_id, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '[^\x20\x09-\x0D]') group by all),
+dup as (select doc_id, sum(n)::bigint as n_lines, sum(n - 1)::bigint as n_dup_lines from lines group by 1),
+win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)),
+rep as (select doc_id, count(distinct i + j)::bigint as n_repeat_words from (select doc_id, i from win qualify count(*) over (partition by doc_id, k) > 1) cross join (select unnest(range(0, 8)) as j) group by 1),
+m as (select d.doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as n_letters
+  from d left join dup using (doc_id) left join rep using (doc_id)),
+s as (select *, case when n_words > 0 then n_symbols / n_words else 0 end as symbols, case when n_letters > 0 then n_upper / n_letters else 0 end as capitals, case when n_lines > 0 then n_dup_lines / n_lines else 0 end as dup_lines from m),
+u as (select lang, source, unnest([{'rule': 'symbols', 'v': symbols, 'm': 0.1::double}, {'rule': 'capitals', 'v': capitals, 'm': 0.1::double}, {'rule': 'dup_lines', 'v': dup_lines, 'm': 0.5::double}]) as r from s where n_words > 0),
+f as (select lang, source, r.rule as rule, r.m as m, case when r.v <= 1e-6 then -1000 else ceil(ln(r.v) / ln(1.02::double)) end::int as b from u),
+g as (select 0 as level, lang, source, rule, m, b from f union all select 1, lang, null, rule, m, b from f union all select 2, null, null, rule, m, b from f),
+h as (select level, lang, source, rule, m, b, sum(count(*)) over (partition by level, lang, source, rule order by b) as upto, sum(count(*)) over (partition by level, lang, source, rule) as n from g group by level, lang, source, rule, m, b),
+q as (select level, lang, source, rule, max(n) as n, any_value(m) as m, min(case when b = -1000 then 0 else pow(1.02::double, b) * (2 / 2.02::double) end) filter (upto >= 0.5 * n) as mid,
+  min(case when b = -1000 then 0 else pow(1.02::double, b) * (2 / 2.02::double) end) filter (upto >= 0.1 * n) as low from h group by 1, 2, 3, 4),
+c as (select level, lang, source, max(n) as n, max(mid + 8 * (mid - low) + m) filter (rule = 'symbols') as c_s, max(mid + 8 * (mid - low) + m) filter (rule = 'capitals') as c_c, max(mid + 8 * (mid - low) + m) filter (rule = 'dup_lines') as c_d
+  from q group by 1, 2, 3)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not (symbols > coalesce(a.c_s, b.c_s, e.c_s) or capitals > coalesce(a.c_c, b.c_c, e.c_c) or dup_lines > coalesce(a.c_d, b.c_d, e.c_d)) as kept
+from s left join c a on a.level = 0 and a.n >= 100 and a.lang is not distinct from s.lang and a.source is not distinct from s.source
+  left join c b on b.level = 1 and b.n >= 100 and b.lang is not distinct from s.lang left join c e on e.level = 2
+""")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     out, q, v = quality.quality_verdicts(docs)
@@ -75,13 +97,29 @@ def op10(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", sql=r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+rep as (select doc_id, i from win qualify row_number() over (partition by k order by doc_id, i) > 1),
+gone as (select distinct doc_id, i + j as p from rep cross join (select unnest(range(0, 20)) as j)),
+kept as (select doc_id, string_agg(x, ' ' order by p) as t, count(*) as n from (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from d) anti join gone using (doc_id, p) group by 1)
+select d.doc_id, len(w)::bigint as n_words, len(w)::bigint - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)
+""")
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.repeats_removed(docs).select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
-@query("op1_minhash_near_dedup")
+@query("op1_minhash_near_dedup", sql=r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+e as (select distinct doc_id, k from (select doc_id, array_to_string(w[i:i + 4], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)
+  union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 4)),
+n as (select doc_id, count(*) as n from e group by 1),
+link as (select x.a, x.b from (select p.doc_id as a, q.doc_id as b, count(*) as i from e p join e q on p.k = q.k and p.doc_id < q.doc_id group by 1, 2) x join n na on na.doc_id = x.a join n nb on nb.doc_id = x.b
+  where 100 * i >= 75 * (na.n + nb.n - i)),
+reach as (select doc_id, doc_id as r from d union select reach.doc_id, l.b from reach join (select a, b from link union all select b, a from link) l on l.a = reach.r)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, min(r) as component_id, d.doc_id = min(r) as kept from d join reach using (doc_id) left join n using (doc_id) group by d.doc_id, n.n
+""")
 def op1(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
