@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ordered import Smooth, recurrence, rolling
+from ..session import small_table
 from . import candles as co
 from . import indicators as ind
 from . import state as st
@@ -166,7 +167,7 @@ PASS_ON_MISSING = ("market_cap", "float_shares", "short_pct_float")
 def profiles_table(spark, profiles=None) -> DataFrame:
     """Profiles as rows (profile_id, conditions array); a profile without conditions admits every symbol."""
     rows = [(k, [(c, o, float(v)) for c, o, v in conds]) for k, conds in (profiles or DEFAULT_PROFILES).items()]
-    return spark.createDataFrame(rows, "profile_id string, conditions array<struct<id:string,op:string,value:double>>")
+    return small_table(spark, rows, "profile_id string, conditions array<struct<id:string,op:string,value:double>>")
 
 
 def values_long(values: DataFrame, ids=STATIC, keys=("symbol",)) -> DataFrame:

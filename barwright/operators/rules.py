@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.folds import fold_sorted
 from ..functions.ordered import lagged
+from ..session import small_table
 
 W = Window
 DAY = ["symbol", "et_date"]
@@ -16,7 +17,8 @@ SETUP_SCHEMA = (f"setup string, mode string, direction string, alert_direction s
 
 
 def setups_table(spark, rows) -> DataFrame:
-    return spark.createDataFrame(rows, SETUP_SCHEMA)
+    """Rule documents as a small relation whose size the optimiser knows, so that joins with it need no shuffle of the other side."""
+    return small_table(spark, rows, SETUP_SCHEMA)
 
 
 def instance_key(trigger, option, tf) -> Column:

@@ -38,6 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a local relation: unlike a table made of an RDD it has a known size."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    def plain(value, kind):
+        if value is None:
+            return None
+        if isinstance(kind, T.StructType):
+            return {f.name: plain(v, f.dataType) for f, v in zip(kind.fields, value)}
+        if isinstance(kind, T.ArrayType):
+            return [plain(v, kind.elementType) for v in value]
+        return value
+    kind = T._parse_datatype_string(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([plain(r, kind) for r in rows], schema=to_arrow_schema(kind)), kind)
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (file sizes for scans)."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
