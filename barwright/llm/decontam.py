@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .store import written
 from .text import mix, randoms, words
 
 SIZES = (4, 6, 9, 12, 16, 22, 30, 42, 60)
@@ -163,43 +162,59 @@ def matches(own: np.ndarray, places: np.ndarray, items: Items, tolerance: float)
             yield best
 
 
+def found_in(column: pa.Array, items: Items, tolerance: float) -> Iterator[tuple]:
+    """(row, item id, edits, words of the item, end) of the items that the texts of a column hold."""
+    for w in words(column, lower=True):
+        h = w.hashes()
+        met = collisions(h, items)
+        # a place before a text begins (an item cut short there) belongs to the row of the window; both neighbours are tried
+        of = np.clip(np.searchsorted(w.first, met[:, 1], "right") - 1, 0, w.hi - w.lo - 1)
+        for i in np.unique(np.concatenate([of, np.minimum(of + 1, w.hi - w.lo - 1)])):
+            near = (met[:, 1] >= w.first[i] - SIZES[-1]) & (met[:, 1] < w.first[i + 1])
+            for found in matches(h[w.of(i)], met[near] - np.array([0, w.first[i]]), items, tolerance):
+                yield w.lo + int(i), *found
+
+
+def passes(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[Items]:
+    """The benchmark in parts of about ``ITEMS_PER_PASS`` items, indexed."""
+    listed = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    parts = listed.count() // ITEMS_PER_PASS + 1
+    for k in range(parts):
+        rows = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()  # about ITEMS_PER_PASS rows
+        held = index([r[0] for r in rows], [r[1] for r in rows])
+        if held.ids:
+            yield held
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """One row per document row and item it holds: doc_id, item_id, edits, item_words, end_word (the best match's end)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    listed = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    out = T.StructType([docs.schema["doc_id"], listed.schema["item_id"]] + T._parse_datatype_string("edits bigint, item_words bigint, end_word bigint").fields)
-    kind = pa.string() if isinstance(listed.schema["item_id"].dataType, T.StringType) else pa.int64()
-    passes = listed.count() // ITEMS_PER_PASS + 1
+    out = T.StructType([docs.schema["doc_id"], T.StructField("item_id", benchmark.schema[item_id].dataType)] + T._parse_datatype_string("edits bigint, item_words bigint, end_word bigint").fields)
+    kind = pa.string() if isinstance(benchmark.schema[item_id].dataType, T.StringType) else pa.int64()
 
     def one(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows: list[list] = [[], [], [], [], []]
-                for w in words(batch.column(1), lower=True):
-                    h = w.hashes()
-                    met = collisions(h, items)
-                    # a place before the document begins (an item cut short there) belongs to the row of the window; try both neighbours
-                    of = np.clip(np.searchsorted(w.first, met[:, 1], "right") - 1, 0, w.hi - w.lo - 1)
-                    for i in np.unique(np.concatenate([of, np.minimum(of + 1, w.hi - w.lo - 1)])):
-                        near = (met[:, 1] >= w.first[i] - SIZES[-1]) & (met[:, 1] < w.first[i + 1])
-                        places = met[near] - np.array([0, w.first[i]])
-                        for found in matches(h[w.of(i)], places, items, tolerance):
-                            for c, v in zip(rows, (w.lo + int(i), *found)):
-                                c.append(v)
+                rows = list(zip(*found_in(batch.column(1), items, tolerance))) or [()] * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], kind), *[pa.array(c, pa.int64()) for c in rows[2:]]], names=out.names)
         return docs.mapInArrow(run, out)
 
-    result = None
-    for k in range(passes):
-        rows = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()  # about ITEMS_PER_PASS rows
-        held = index([r[0] for r in rows], [r[1] for r in rows])
-        if held.ids:
-            part = one(held)
-            result = part if result is None else result.unionByName(part)
-    return result if result is not None else docs.limit(0).mapInArrow(lambda b: iter(()), out)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no item, with their columns unchanged (a null doc_id never stands for a match of another row)."""
-    found = written(find_items(docs, benchmark, doc_id, **options).select(F.col("doc_id").alias("_hit")).distinct(), "leaks")
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("_hit")), "left_anti")
+    result = docs.limit(0).mapInArrow(lambda b: iter(()), out)
+    for items in passes(benchmark, item_id, item_text):
+        result = result.unionByName(one(items))
+    return result
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
+    """The rows whose text holds no item, with their columns unchanged.  Every row is judged where it lies, without a join or shuffle."""
+    def clean(items: Items):
+        @F.arrow_udf("boolean")
+        def of(column: pa.Array) -> pa.Array:
+            ok = np.ones(len(column), bool)
+            ok[[row for row, *_ in found_in(column, items, tolerance)]] = False
+            return pa.array(ok)
+        return of(F.col(text).cast("string"))
+
+    for items in passes(benchmark, item_id, item_text):
+        docs = docs.where(clean(items))
+    return docs

@@ -8,7 +8,7 @@ clusters.  For a piece the search starts at the smallest sufficient room and goe
 conflict: the tightest compatible bin.  Without one, a new bin opens.
 
 Documents without a word take no place and are returned without a bin.  A null source or cluster never conflicts.  Ties are broken
-by doc_id and piece, and equal rows are packed each for itself.  An empty table gives an empty result.
+by doc_id (as text) and piece, and equal rows are packed each for itself.  A null doc_id is packed like any other.  An empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -108,5 +108,6 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     total, n = sized.agg(F.sum("all"), F.count("*")).first()
     shards = int(max((total or 0) // shard_words, n // shard_rows) + 1)
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "copy", "piece"), F.lit(shards)))
-    packed = dealt.where("n_words > 0").groupBy("shard").applyInPandas(lambda p: pack_shard(p, capacity, per_source), OUT)
+    packed = (dealt.where("n_words > 0").withColumns({c: F.col(c).cast("string") for c in ("doc_id", "cluster")})  # pandas has no long with nulls
+              .groupBy("shard").applyInPandas(lambda p: pack_shard(p, capacity, per_source), OUT.replace("doc_id bigint", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("bigint")))
     return packed.unionByName(dealt.where("n_words <= 0").select("doc_id", "piece", "first_word", "n_words", "shard", F.lit(None).cast("int").alias("bin"), F.lit(None).cast("bigint").alias("bin_offset")))

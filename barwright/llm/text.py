@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -91,6 +91,8 @@ class Words:
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, start and end of every line (split at line feeds) that holds a word."""
+        if not len(self.raw):
+            return (np.zeros(0, np.int64),) * 3
         cut = self.raw == 10
         breaks = np.flatnonzero(cut)
         starts = np.unique(np.concatenate([self.offsets[:-1][np.diff(self.offsets) > 0], breaks + 1])).astype(np.int64)

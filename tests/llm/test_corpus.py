@@ -209,10 +209,36 @@ def test_decontamination_finds_edited_items(spark):
     assert len(want & got) >= 0.95 * len(want) and {(902, 0), (903, 1)} <= got
     assert {x for x in got if x[1] != 53} - want <= {(902, 0), (903, 1)}
     assert decontam.find_items(table, bench.limit(0)).count() == 0
+    assert decontam.decontaminate(table.withColumn("_hit", F.lit(1)), bench).columns == [*table.columns, "_hit"]
     left = {x["doc_id"] for x in decontam.decontaminate(table, bench).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_null_ids_and_untyped_columns(spark):
+    """Null ids, and tables whose text, language and source are all null or empty."""
+    text = " ".join(vocabulary(11, 60))
+    rows = [(None, text, "en", "s"), (None, text, "en", "s"), (2**60 + 1, text, None, None), (2**60, "x " + text, None, "s"), (5, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert sorted((r["doc_id"], r["kept"]) for r in near_dedup.near_groups(docs).collect()) == [(5, True), (2**60, True), (2**60 + 1, False)]
+    assert near_dedup.near_dedup(docs).where("doc_id is not null").count() == 2
+    out = {(r["doc"], r["n_removed"]) for r in substring_dedup.repeats_removed(docs).collect()}
+    assert out == {(None, 60), (2**60, 0), (2**60 + 1, 60), (5, 0)}
+    assert {r["doc_id"] for r in packing.pack(docs).collect()} == {None, 2**60, 2**60 + 1, 5} and packing.pack(docs).count() == 5
+    bench = spark.createDataFrame([(1, " ".join(text.split()[10:40]))], "item_id bigint, text string")
+    assert decontam.find_items(docs, bench).count() == 4 and [r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()] == [5]
+    assert quality.quality_filter(docs).count() == 4
+    model = language_id.train(docs.where(~language_id.held_out("doc_id")))
+    assert language_id.predict(docs, model).count() == lm_scores_count(docs) == 5
+    blank = docs.withColumn("text", F.lit(None)).withColumn("lang", F.lit(None)).withColumn("source", F.lit(None))
+    assert quality.quality_filter(blank).count() == 0 and packing.pack(blank).where("bin is null").count() == 5
+    assert decontam.decontaminate(blank, bench).count() == 5 and substring_dedup.remove_passages(blank).count() == 5
+    assert lm_scores_count(blank) == 5 and language_id.predict(blank, model).where("lang_pred = 'und'").count() == 5
+
+
+def lm_scores_count(docs):
+    return lm_score.lm_scores(docs, language_id.held_out("doc_id", 10, 0)).count()
+
+
 def test_edit_distance_is_that_of_the_best_stretch():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     for stretch, want in (([9, 9, 1, 2, 3, 4, 5, 9], (0, 7)), ([1, 2, 7, 4, 5], (1, 5)), ([1, 2, 4, 5], (1, 4)), ([1, 2, 3, 3, 4, 5], (1, 6)), ([], (5, 0))):
