@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import written
+from .store import temporary, written
 from .text import Words, inside_rows, mix, randoms, windows, words
 
 SHINGLE = 5
@@ -280,7 +280,8 @@ def _rest_links(mine: DataFrame, sigs: DataFrame, texts: DataFrame, least: list[
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; its columns are unchanged.  Equal rows count once."""
-    gone = written(near_groups(docs, doc_id, text, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
+    with temporary(docs.sparkSession):
+        gone = written(near_groups(docs, doc_id, text, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "dropped", stays=True)
     kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
     again = docs.groupBy(doc_id).count().where("count > 1")
     return kept if again.isEmpty() else kept.dropDuplicates()

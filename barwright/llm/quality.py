@@ -95,9 +95,8 @@ def limits(sketch: DataFrame, spread: float = 8.0, margins: dict[str, float] = M
     return cut.groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("rule") == k, F.col("cut"))).alias(k) for k in margins])
 
 
-def judged(measured: DataFrame, q: str, lang: str = "lang", source: str = "source", spread: float = 8.0, min_rows: int = 100, into: str = "verdict") -> DataFrame:
+def judged(measured: DataFrame, lim: DataFrame, q: str, lang: str = "lang", source: str = "source", min_rows: int = 100, into: str = "verdict") -> DataFrame:
     """``measured`` with a struct ``into`` (base_failed, kept): the filter joined on (lang, source), else lang, else all."""
-    lim = written(limits(sketches(measured, q, lang, source), spread), "limits")
     pick = lambda level, *keys: lim.where(f"level = {level}").select(*[F.col(k).alias(f"_k{level}_{k}") for k in keys], F.struct("rows", *MARGINS).alias(f"_l{level}"))
     out = (measured.join(pick(0, "lang", "source"), F.col(lang).eqNullSafe(F.col("_k0_lang")) & F.col(source).eqNullSafe(F.col("_k0_source")), "left")
            .join(pick(1, "lang"), F.col(lang).eqNullSafe(F.col("_k1_lang")), "left")
@@ -109,18 +108,19 @@ def judged(measured: DataFrame, q: str, lang: str = "lang", source: str = "sourc
     return out.withColumn(into, F.struct(base_failed(q).alias("base_failed"), (~base_failed(q) & ~over).alias("kept"))).drop("_k0_lang", "_k0_source", "_k1_lang", "_l0", "_l1", "_l2")
 
 
-def quality_verdicts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = False, **options) -> tuple[DataFrame, str, str]:
-    """Measures and verdicts of all documents, with the names of the two added struct columns (free of clashes)."""
+def quality_verdicts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", spread: float = 8.0, min_rows: int = 100) -> tuple[DataFrame, str, str]:
+    """All rows without their texts, with the names of the two added struct columns of measures and verdicts (free of clashes)."""
     q, v = fresh(docs, "quality"), fresh(docs, "verdict")
-    measured = measure(docs, text, q)
-    if not keep_text:
-        measured = measured.drop(text)
-    return judged(written(measured, "measured"), q, lang, source, into=v, **options), q, v
+    measured = written(measure(docs, text, q).drop(text), "measured")
+    lim = written(limits(sketches(measured, q, lang, source), spread), "limits")
+    return judged(measured, lim, q, lang, source, min_rows, v), q, v
 
 
-def quality_filter(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with their columns unchanged."""
-    out, _, v = quality_verdicts(docs, keep_text=True, **options)
+def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", spread: float = 8.0, min_rows: int = 100) -> DataFrame:
+    """The documents that pass, with their columns unchanged.  Texts are measured once for the cuts and once to be judged, and never written or shuffled."""
+    q, v = fresh(docs, "quality"), fresh(docs, "verdict")
+    lim = written(limits(sketches(measure(docs, text, q).select(lang, source, q), q, lang, source), spread), "limits")
+    out = judged(measure(docs, text, q), lim, q, lang, source, min_rows, v)
     return out.where(F.col(v)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
