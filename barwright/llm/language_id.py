@@ -20,11 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 SAMPLE_ROWS = 2000
 LONGEST = 5
 CACHED = 200_000
+BROADCAST_LANGS = 10_000
 SMOOTHING = 0.5
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -64,6 +66,8 @@ class Model:
 def sampled(labelled: DataFrame, doc_id: str, lang: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """About ``rows`` rows of each language, by a hash of the id; every row where a language has no more."""
     sizes = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
+    if sizes.count() <= BROADCAST_LANGS:
+        sizes = F.broadcast(sizes)
     share = F.xxhash64(F.col(doc_id), F.lit(17)) / F.lit(2.0 ** 64) + 0.5
     return labelled.join(sizes, F.col(lang) == F.col("_lang")).where(share * F.col("_n") < rows)
 
@@ -91,14 +95,16 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     chosen = sampled(labelled.select(F.col(doc_id).alias(doc_id), F.col(text).cast("string").alias(text), F.col(lang).cast("string").alias(lang)).where(F.col(lang).isNotNull()), doc_id, lang, rows)
     counted = chosen.select(lang, text).mapInArrow(count_features, "lang string, n int, feature string, count bigint").groupBy("lang", "n", "feature").agg(F.sum("count").alias("count"))
     per = counted.groupBy("n", "feature").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"), F.sum("count").alias("all")).where((F.col("all") >= least) | (F.col("n") == 1))
-    found = per.select("n", "feature", "by").toPandas()  # bounded by the sample
-    langs = sorted({k for by in found["by"] for k in by})
-    at = {k: i for i, k in enumerate(langs)}
-    counts = np.zeros((len(found), len(langs)))
-    for row, by in enumerate(found["by"]):
-        for k, n in by.items():
-            counts[row, at[k]] = n
-    sizes, names = found["n"].to_numpy(), found["feature"].tolist()
+    found = per.select("n", "feature", "by").toArrow()  # bounded by the sample
+    by = pa.concat_arrays(found.column("by").chunks) if found.num_rows else pa.array([], pa.map_(pa.string(), pa.int64()))
+    langs = sorted(by.keys.unique().to_pylist())
+    counts = np.zeros((found.num_rows, len(langs)))
+    offsets = by.offsets.to_numpy()
+    rows = np.repeat(np.arange(found.num_rows), np.diff(offsets))
+    held = slice(offsets[0], offsets[-1]) if len(offsets) else slice(0, 0)
+    if langs:
+        counts[rows, pc.index_in(by.keys, pa.array(langs)).to_numpy()[held]] = by.items.to_numpy()[held]
+    sizes, names = found.column("n").to_numpy(), found.column("feature").to_pylist()
     weights = np.zeros_like(counts)
     for n in range(LONGEST + 1):
         mine = sizes == n
