@@ -82,11 +82,22 @@ def test_no_look_ahead(spark):
 def test_rvol_is_one_at_the_normal_pace(spark):
     import datetime
     d = datetime.date(2024, 1, 2)
-    prof = spark.createDataFrame([("X", s, 500.0) for s in range(0, 390, 5)], "symbol string, slot int, mean_volume double")
+    prof = spark.createDataFrame([("X", d, s, 500.0) for s in range(0, 390, 5)], "symbol string, et_date date, slot int, mean_volume double")
     bars = spark.createDataFrame([("X", d, m, "rth", 100.0 * (m - 569)) for m in range(570, 960)], "symbol string, et_date date, et_min int, session string, cum_volume double")
     assert all(r.rvol == pytest.approx(1.0) for r in st.rvol(bars, prof).collect())
 
 
+def test_volume_profile_knows_earlier_sessions_only(spark):
+    import datetime
+    from barwright.operators import candles as co
+    days = [datetime.date(2024, 1, 2) + datetime.timedelta(days=k) for k in range(25)]
+    bars = spark.createDataFrame([("X", d, m, 10.0 * (k + 1)) for k, d in enumerate(days) for m in range(570, 580)], "symbol string, et_date date, et_min int, volume double")
+    full = {(r.et_date, r.slot): r.mean_volume for r in co.volume_profile(bars).collect()}
+    part = {(r.et_date, r.slot): r.mean_volume for r in co.volume_profile(bars.where(F.col("et_date") <= F.lit(days[12]))).collect()}
+    assert all(full[k] == v for k, v in part.items()) and len(part) == 13 * 78
+    assert full[days[0], 0] is None and full[days[1], 5] == 50.0 and full[days[24], 0] == pytest.approx(50.0 * sum(range(5, 25)) / 20) and full[days[24], 10] is None
+
+
 def test_clock_on_both_sides_of_the_spring_change(spark):
     df = spark.sql("select * from values (timestamp'2024-03-08 14:30:00'), (timestamp'2024-03-11 13:30:00'), (timestamp'2024-03-11 20:00:00') t(ts)")
     got = [(str(r.et_date), r.et_min, r.session) for r in clock.add_clock(df).orderBy("ts").collect()]
