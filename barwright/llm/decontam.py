@@ -6,10 +6,11 @@ Items and documents are sequences of words (A-Z lower-cased).  A document holds
 * *Embedding.*  The CGK walk reads a window word by word; at step j it writes the word under its cursor and moves on when bit j of the word's
   random value is set.  Two windows a few edits apart fall back into step after each edit, so their outputs differ in few places: edit distance
   has become Hamming distance.
-* *Bit sampling.*  A table keys a window by ``COORDINATES`` outputs of a random stretch of the walk.  Item windows (of the largest size in ``SIZES``
-  that the item holds; an item of more words has one for each such stretch) start at ``STRIDE`` neighbouring words, document windows at
-  every ``STRIDE``-th, so one of them is aligned.  ``WALKS`` independent walks with ``TABLES`` tables each give the target recall: over 0.95 of the
-  items with as many edits as are tolerated (measured in the tests), and all unedited ones.
+* *Bit sampling.*  A table keys a window by outputs of a random stretch of the walk, ``COORDINATES`` or, for small windows, fewer; the stretches of
+  a size differ.  Item windows (of the largest size in ``SIZES`` within two thirds of the item) start at every word, document windows at every
+  ``STRIDE``-th, so a quarter of them is aligned; items too short for that are met at every word of a document.  In items of over twice the
+  largest size, ``STRIDE`` neighbouring windows start at every half window.  ``WALKS`` independent walks with ``TABLES`` tables each give the
+  target recall: over 0.95 of the items of any length with as many edits as are tolerated (measured in the tests), and all unedited ones.
 * *Verification.*  Every collision is checked by the word edit distance of the whole item to the best stretch around the place.
 
 Documents are read where they lie, without a shuffle, so a passage that a third of them share is no hot key.  Items travel to the tasks in
@@ -32,7 +33,7 @@ from .text import mix, randoms, words
 SIZES = (4, 6, 9, 12, 16, 22, 30, 42, 60)
 LEAST_WORDS = 4
 STRIDE = 4
-COORDINATES = 6
+COORDINATES = 8
 WALKS, TABLES = 4, 6
 TOLERANCE = 0.2
 ITEMS_PER_PASS = 2048
@@ -40,12 +41,21 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _coordinates(size: int, walk: int, table: int) -> list[int]:
-    """Sampled steps of one table: every second step of a stretch at a random place inside the window's walk."""
-    steps = max(COORDINATES, int(1.6 * size))
-    step = 2 if steps >= 2 * COORDINATES else 1
-    last = steps - step * (COORDINATES - 1) - 1
-    at = int(randoms(61, 4096)[(size * 64 + walk * TABLES + table) % 4096] % np.uint64(last + 1))
-    return [at + step * k for k in range(COORDINATES)]
+    """Sampled steps of one table: every step or every second one of a stretch inside the window's walk, another for each table while there are any."""
+    n = min(COORDINATES, size - 1)
+    steps = max(n, int(1.6 * size))
+    ways = [(at, step) for step in (1, 2) for at in range(steps - step * (n - 1))]
+    at, step = ways[np.argsort(randoms(61 + 1000 * walk + size, len(ways)), kind="stable")[table % len(ways)]]
+    return [at + step * k for k in range(n)]
+
+
+def item_windows(m: int) -> tuple[int, int, np.ndarray]:
+    """(stride of the document windows, size, starts) of the windows of an item of m words."""
+    if m < 2 * SIZES[1]:
+        return 1, SIZES[0], np.arange(m - SIZES[0] + 1)
+    size = max(s for s in SIZES if 3 * s <= 2 * m)
+    starts = np.arange(m - size + 1)
+    return STRIDE, size, starts if m <= 2 * SIZES[-1] else starts[starts % (size // 2) < STRIDE]
 
 
 def window_keys(h: np.ndarray, starts: np.ndarray, sizes: list[int], walk: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -93,10 +103,7 @@ def index(ids: list, texts: list[str]) -> Items:
             number = len(held.ids)
             held.ids.append(ids[w.lo + i])
             held.words.append(own)
-            stride = STRIDE if len(own) >= SIZES[2] + STRIDE - 1 else 1
-            size = max(s for s in SIZES if s <= len(own) - stride + 1)
-            stretch = range(0, len(own) - size - stride + 2, size)
-            starts = np.array([a + t for a in stretch for t in range(stride)])
+            stride, size, starts = item_windows(len(own))
             for walk in range(WALKS):
                 for _, table, key in window_keys(own, starts, [size], walk):
                     raw.setdefault((stride, walk, size, table), []).append((key, np.full(len(starts), number), starts))
@@ -127,6 +134,26 @@ def collisions(h: np.ndarray, items: Items) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
+def likely(h: np.ndarray, met: np.ndarray, items: Items, tolerance: float) -> np.ndarray:
+    """The collisions whose stretch has all but the allowed number of words of the item, told by a few bits of each word: no match is lost."""
+    low = np.uint64(1023)
+    has, m = np.zeros((len(items.words), 1024), bool), np.array([len(w) for w in items.words], np.int64)
+    for k, w in enumerate(items.words):
+        has[k, w & low] = True
+    h, kept = (h & low).astype(np.int64), [met[:0]]
+    for part in np.array_split(met, len(met) // 4096 + 1):
+        item, at = part[:, 0], part[:, 1]
+        allowed = (tolerance * m[item]).astype(np.int64)
+        slack = allowed + STRIDE + 2
+        lo, hi = np.clip(at - slack, 0, len(h)), np.clip(at + m[item] + 2 * slack, 0, len(h))
+        n = hi - lo
+        ends = np.cumsum(n)
+        word = h[np.repeat(lo - ends + n, n) + np.arange(n.sum())]
+        shared = np.concatenate([[0], np.cumsum(has[np.repeat(item, n), word])])
+        kept.append(part[shared[ends] - shared[ends - n] >= m[item] - allowed])
+    return np.concatenate(kept)
+
+
 def edit_distance(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
     """Least word edits between the item and any part of the stretch, and the end of that part."""
     n = np.arange(len(stretch) + 1)
@@ -166,7 +193,7 @@ def found_in(column: pa.Array, items: Items, tolerance: float) -> Iterator[tuple
     """(row, item id, edits, words of the item, end) of the items that the texts of a column hold."""
     for w in words(column, lower=True):
         h = w.hashes()
-        met = collisions(h, items)
+        met = likely(h, collisions(h, items), items, tolerance)
         # a place before a text begins (an item cut short there) belongs to the row of the window; both neighbours are tried
         of = np.clip(np.searchsorted(w.first, met[:, 1], "right") - 1, 0, w.hi - w.lo - 1)
         for i in np.unique(np.concatenate([of, np.minimum(of + 1, w.hi - w.lo - 1)])):

@@ -214,6 +214,23 @@ def test_decontamination_finds_edited_items(spark):
     assert left == {d for d, _ in docs} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("m", [4, 5, 6, 8, 10, 11, 12, 13, 15, 17, 20, 23, 27, 34, 45, 60, 130])
+def test_decontamination_recall_at_the_tolerance(m):
+    """Items of m words with floor(0.2 * m) replaced, inserted and deleted words."""
+    r, n = random.Random(m), 150
+    text = lambda k: ["".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(k)]
+    items, docs = [text(m) for _ in range(n)], []
+    for item in items:
+        own = list(item)
+        for _ in range(int(decontam.TOLERANCE * m)):
+            at, kind = r.randrange(len(own)), r.randrange(3)
+            own[at:at + (kind != 1)] = text(1) if kind < 2 else []
+        docs.append(" ".join(text(r.randint(5, 40)) + own + text(20)))
+    held = decontam.index(list(range(n)), [" ".join(t) for t in items])
+    got = {(row, item) for row, item, *_ in decontam.found_in(pa.array(docs), held, decontam.TOLERANCE)}
+    assert sum((k, k) in got for k in range(n)) > 0.95 * n
+
+
 def test_null_ids_and_untyped_columns(spark):
     """Null ids, and tables whose text, language and source are all null or empty."""
     text = " ".join(vocabulary(11, 60))
