@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, language_id, lm_score, near_dedup, packing, quality, substring_dedup, toxicity, url_filter, warc
+from . import collocations, decontam, language_id, lm_score, near_dedup, packing, quality, resampling, simhash, substring_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,3 +154,56 @@ def op2(spark, sf_dir):
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm_score.lm_scores(docs, language_id.held_out("doc_id", 10, 0))
+
+
+@query("op11_importance_resampling", sql=r"""
+with steps as (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) t(i)),
+step as (select list(v order by i) as s from steps),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+o as (select doc_id, unnest(w) as x from d),
+p as (select unnest(w) as x from b),
+words as (select x, hex(encode(x)) as h from (select x from o union select x from p)),
+coded as (select x, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+    lambda c, y: xor(c >> 8, (s[xor(c & 255, y) + 1])::bigint)), 4294967295) % 10000 as k from words, step),
+s as (select k, count(*) as n from o join coded using (x) group by 1),
+t as (select k, count(*) as n from p join coded using (x) group by 1),
+sums as (select (select count(*) from o)::double as ns, (select count(*) from p)::double as nt),
+gain as (select i as k, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * (ns + 10000) / ((coalesce(s.n, 0) + 1)::double * (nt + 10000))))::bigint as g from range(10000) r(i) left join s on s.k = i left join t on t.k = i, sums),
+m as (select doc_id, count(*) as n, sum(g)::bigint as total from o join coded using (x) join gain using (k) group by 1),
+weighed as (select d.doc_id, len(w)::bigint as n_features, case when coalesce(n, 0) = 0 then 0 else (total - ((total % n) + n) % n) // n end::bigint as weight,
+  ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint as h from d left join m using (doc_id)),
+scored as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from weighed),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as all_rows from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when place <= 10 * all_rows // 100 then place end::bigint as rank from scored left join ranked using (doc_id)
+""")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf_dir, "benchmark"), percent=10, sizes=(1, 1), buckets=10_000, least_words=20, seed=2024).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_simhash_near_dedup")
+def op12(spark, sf_dir):
+    return simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=3, size=3)
+
+
+@query("op13_collocations", sql=r"""
+with piece as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as t from documents),
+w as (select lang, regexp_extract_all(t, '[^\x20\x09]+') as w from piece),
+f as (select lang, k, phrase, count(*)::bigint as a from (
+  select lang, 1 as k, unnest(w) as phrase from w
+  union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w
+  union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w) group by all),
+n as (select lang, sum(a)::bigint as n from f where k = 1 group by 1),
+c as (select lang, k, phrase, a, string_split(phrase, ' ') as x from f where k > 1 and a >= 10),
+longer as (select lang, phrase, max(a) as m from (select lang, x[1] || ' ' || x[2] as phrase, a from c where k = 3 union all select lang, x[2] || ' ' || x[3], a from c where k = 3) group by 1, 2),
+kept as (select c.* from c left join longer using (lang, phrase) where k = 3 or m is null or 100 * m < 50 * a),
+cuts as (select lang, phrase, a, cut, array_to_string(x[1:cut], ' ') as first, array_to_string(x[cut + 1:], ' ') as rest from (select *, unnest(range(1, k)) as cut from kept)),
+valued as (select cuts.lang, cuts.phrase, cuts.a, cut, l.a as l, r.a as r, ((1000000::hugeint * cuts.a * cuts.a) // (l.a::hugeint * r.a))::bigint as score
+  from cuts join f l on l.lang = cuts.lang and l.phrase = first and l.k = cut join f r on r.lang = cuts.lang and r.phrase = rest),
+best as (select * from valued qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select best.lang, row_number() over (partition by best.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n.n, score from best join n on n.lang = best.lang
+qualify row_number() over (partition by best.lang order by score desc, a desc, phrase) <= 2000
+""")
+def op13(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"), longest=3, least=10, share=50, per_lang=2000)
