@@ -28,7 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .store import written
+from .store import dealt, kept_dealt, written
 from .text import Words, covered, inside_rows, mix, pieces, windows, words
 
 SIZE = 20
@@ -127,10 +127,10 @@ def _unzipped(column: pa.Array) -> pa.Array:
 def candidates(batches: Iterator[pa.RecordBatch], size: int, texts: bool) -> Iterator[pa.RecordBatch]:
     """Per document: n_words, then for a settled one n_removed and what is kept, for an open one its text and candidate starts (packed).
 
-    Input columns: doc, rest, zip, copy, cells.  A document without candidates, and a copy of an earlier one, is settled.
+    Input columns: place, doc, rest, zip, copy, cells.  A document without candidates, and a copy of an earlier one, is settled.
     """
     for batch in pieces(batches):
-        text, copy, cells = _unzipped(batch.column(2)), batch.column(3).to_pylist(), batch.column(4)
+        text, copy, cells = _unzipped(batch.column(3)), batch.column(4).to_pylist(), batch.column(5)
         n_words, n_removed, kept, opened, packed = [], [], [], [], []
         for w in words(text):
             starts, cell, _, _ = anchors(w, size)
@@ -148,8 +148,8 @@ def candidates(batches: Iterator[pa.RecordBatch], size: int, texts: bool) -> Ite
                 kept.append(None if len(found) else _said(b"", texts) if gone else text[row].as_py() if texts else _said(_join(data, w.starts[at], w.ends[at]), False))
                 opened.append(row if len(found) else None)
                 packed.append(found.tobytes() if len(found) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()),
-                                          batch.column(2).take(pa.array(opened, pa.int64())), pa.array(packed, pa.binary())], names=["doc", "rest", "n_words", "n_removed", "kept", "zip", "starts"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()),
+                                          batch.column(3).take(pa.array(opened, pa.int64())), pa.array(packed, pa.binary())], names=["place", "doc", "rest", "n_words", "n_removed", "kept", "zip", "starts"])
 
 
 def window_keys(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -203,21 +203,25 @@ def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).alias("doc"), F.struct(*others, F.lit(None).cast("int").alias("_")).alias("rest"), F.col(text).cast("string").alias("text"))
     sketch = docs.select("text").mapInArrow(lambda b: partition_sketch(b, size), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     repeated = written(sketch.where("n >= 2").select("cell"), "repeated-cells")
+    # joins by document go by one column that is never null: a null doc_id has the empty name
+    place = lambda doc: F.coalesce(F.concat(F.lit("="), F.col(doc).cast("string")), F.lit("")).alias("place")
     hot = (docs.select("doc", "text").mapInArrow(lambda b: document_cells(b, size), _schema(docs, "doc", "cell bigint")).join(repeated, "cell", "left_semi")
-           .select("doc", "cell", F.lit(None).cast("binary").alias("key")))
+           .select(place("doc"), "cell", F.lit(None).cast("binary").alias("key")))
     valued = docs.select("doc", "rest", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     keyed = valued.select("doc", "key").where("key is not null")
     groups = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", "first")
-    later = keyed.join(groups, "key").where(~F.col("doc").eqNullSafe(F.col("first"))).select("doc", F.lit(None).cast("bigint").alias("cell"), "key").distinct()
-    marks = hot.unionByName(later).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("cell").alias("cells"), F.collect_list("key").alias("copies"))
-    small = valued.mapInArrow(zipped, _schema(valued, "doc rest key", "zip binary"))
-    marked = small.join(marks, F.col("doc").eqNullSafe(F.col("_doc")), "left").select("doc", "rest", "zip", F.coalesce(F.array_contains("copies", F.col("key")), F.lit(False)).alias("copy"), "cells")
-    staged = written(marked.mapInArrow(lambda b: candidates(b, size, texts), _schema(docs, "doc rest", "n_words bigint, n_removed bigint, kept string, zip binary, starts binary")), "staged")
+    later = keyed.join(groups, "key").where(~F.col("doc").eqNullSafe(F.col("first"))).select(place("doc"), F.lit(None).cast("bigint").alias("cell"), "key").distinct()
+    marks = hot.unionByName(later).groupBy("place").agg(F.collect_list("cell").alias("cells"), F.collect_list("key").alias("copies"))
+    # the texts move once: they stay where this join puts them, and the second join brings the first windows to them
+    small = dealt(valued.mapInArrow(zipped, _schema(valued, "doc rest key", "zip binary")).withColumn("place", place("doc")), "place")
+    marked = small.join(marks, "place", "left").select("place", "doc", "rest", "zip", F.coalesce(F.array_contains("copies", F.col("key")), F.lit(False)).alias("copy"), "cells")
+    staged = kept_dealt(marked.mapInArrow(lambda b: candidates(b, size, texts), T.StructType([T.StructField("place", T.StringType())] + _schema(
+        docs, "doc rest", "n_words bigint, n_removed bigint, kept string, zip binary, starts binary").fields)), "staged", "place")
     opened = staged.where("starts is not null")
     keys = opened.select("doc", "zip", "starts").mapInArrow(lambda b: window_keys(b, size), _schema(docs, "doc", "k1 bigint, k2 bigint"))
-    first = keys.groupBy("k1", "k2").agg(F.min("doc").alias("_doc"))
-    firsts = first.groupBy("_doc").agg(F.collect_list(F.struct("k1", "k2")).alias("firsts"))
-    joined = opened.join(firsts, F.col("doc").eqNullSafe(F.col("_doc")), "left").select("doc", "rest", "zip", "starts", "firsts")
+    first = keys.groupBy("k1", "k2").agg(F.min("doc").alias("doc"))
+    firsts = first.groupBy(place("doc")).agg(F.collect_list(F.struct("k1", "k2")).alias("firsts"))
+    joined = opened.join(firsts, "place", "left").select("doc", "rest", "zip", "starts", "firsts")
     done = joined.mapInArrow(lambda b: settle(b, size, texts), _schema(docs, "doc rest", "n_words bigint, n_removed bigint, kept string"))
     return staged.where("starts is null").select(*done.columns).unionByName(done)
 
