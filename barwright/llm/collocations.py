@@ -33,6 +33,7 @@ from .text import Words, mix, pieces, windows, words
 HEAD, MAP_BITS = 1 << 17, 26
 TILE, DENSE = 512, 1 << 16
 CHUNK = 1 << 20
+SHARES = 8
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[[10, 11, 12, 13, *b".,;:!?"]] = 10  # every break of pieces becomes a line feed
 
@@ -212,8 +213,10 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
     everything = scored[0]
     for s in scored[1:]:
         everything = everything.unionByName(s)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = everything.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
+    # a language is ranked in shares first, so that the last task of each sees SHARES * per_lang rows at most
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    shared = everything.withColumn("_share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_share").orderBy(*best)))
+    first = shared.where(F.col("rank") <= per_lang).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= per_lang)
     return first.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
