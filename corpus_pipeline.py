@@ -1,37 +1,43 @@
 """From raw documents to packed bins: quality rules, near duplicates, repeated passages, benchmark leaks, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.  Stages follow each other in the
+same executors, whose Python workers and transfer buffers live on, so every stage hands texts over in small batches.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barwright.llm import decontam, near_dedup, packing, quality, substring_dedup
-from barwright.llm.store import written
+from barwright.llm.store import bounded_batches, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or an adaptive rule go."""
+    bounded_batches(spark)
     return quality.quality_filter(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
+    bounded_batches(spark)
     return near_dedup.near_dedup(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that also start earlier go; every document stays."""
+    bounded_batches(spark)
     return substring_dedup.remove_passages(docs).withColumn("n_chars", F.coalesce(F.char_length("text"), "n_chars").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bounded_batches(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 
