@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.folds import fold_sorted
 from ..functions.ordered import lagged
 from ..session import small_table
 
@@ -85,16 +84,13 @@ def combinations(matched: DataFrame, mode: str) -> DataFrame:
              .groupBy("setup", *DAY, "et_min").agg(F.max("have").alias("have")))
 
 
-OUTCOMES = "setup string, symbol string, et_date date, et_min int, outcome string, direction string, lead string, n_evidence int, reason string"
-
-
 def evaluation_rows(matched: DataFrame) -> DataFrame:
-    """Bars on which a setup has to be looked at: its fires, and the minutes after them while a combination may still be pending."""
+    """Bars on which a setup has to be looked at: its fires, and the minutes after them while a combination is pending or runs out."""
     hit = F.struct("idx", "instance", "trigger", "option", "direction", "trigger_repeat")
     keys = ["setup", *DAY]
     cfg = [c for c in ("mode", "repeat_sec", "and_window_min", "min_triggers", "n_triggers", "sessions") if c in matched.columns]
     hits = matched.groupBy(*keys, *cfg, "et_min").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
-    later = F.when(F.col("mode") == "or", F.array()).otherwise(F.sequence(F.col("et_min") + 1, F.col("et_min") + F.col("and_window_min")))
+    later = F.when(F.col("mode") == "or", F.array()).otherwise(F.sequence(F.col("et_min") + 1, F.col("et_min") + F.col("and_window_min") + 1))
     spread = hits.select(*keys, *cfg, F.explode(F.concat(F.array("et_min"), later)).alias("m"), "et_min", "hits")
     own = F.first(F.when(F.col("m") == F.col("et_min"), F.col("hits")), ignorenulls=True)
     return spread.groupBy(*keys, *cfg, "m").agg(own.alias("hits")).withColumnRenamed("m", "et_min")
@@ -119,55 +115,85 @@ def with_verdict(rows: DataFrame, values: DataFrame, setups: DataFrame, ids: lis
     return j.withColumn("ok", F.forall("parameters", holds)).drop("parameters", *ids)
 
 
-def fold_setups(rows: DataFrame) -> DataFrame:
-    """Every mode with repeat times, retry while blocked and clear-on-accept: rows of outcomes (sent / blocked / repeat / waiting).
+SINK_SEC = 300  # fixed value: the feed's own cooldown in seconds
+
 
-    ``rows``: evaluation rows with the screen decision ``ok``.  Latches move only when an alert is accepted, so the rows of a
-    (setup, symbol, date) are folded in order, streaming over sorted partitions.
+def fold_setups(rows: DataFrame, sink_sec: int = SINK_SEC) -> DataFrame:
+    """One acceptance of all gates: setup, symbol, et_date, et_min, outcome, direction, lead, n_evidence, reason, evidence.
+
+    A fire passes the repeat time of its trigger, the combination of its setup, the repeat time of the setup, the screen (``ok``) and the cooldown of
+    the feed, in this order; outcomes are sent, blocked, repeat or waiting.  Only a sent alert moves the clocks and clears the evidence of its
+    setup; what a gate stops stays pending inside the combination's window and is tried again on later bars.  The feed's clock belongs to the setup,
+    the direction and the leading trigger, so setups do not slow each other down.
+
+    The rows of a (setup, symbol, date), at most one a minute, are folded in order inside the JVM; every trigger of the setup has one place in the state.
     """
-    keys = ["setup", *DAY]
-    # the fires of a bar as short text: cheaper to hand to Python than nested rows
-    text = F.array_join(F.transform("hits", lambda h: F.concat_ws(",", h["instance"], h["direction"], h["trigger_repeat"].cast("string"))), ";")
-    rows = rows.withColumn("hits", text)
-
-    def step(st, r):
-        mode, window, now, out = r["mode"], int(r["and_window_min"]), int(r["et_min"]), []
-        need = int(r["n_triggers"]) if mode == "and" else min(max(1, int(r["min_triggers"])), int(r["n_triggers"]))
-
-        def emit(outcome, direction, lead, n, reason):
-            out.append((*[r[k] for k in keys], now, outcome, direction, lead, n, reason))
-        fired = []
-        for text in (r["hits"].split(";") if r["hits"] else ()):
-            instance, side, repeat = text.rsplit(",", 2)
-            h = {"instance": instance, "direction": side, "trigger_repeat": int(repeat)}
-            t = st["trigger"].get(h["instance"])
-            if h["trigger_repeat"] and t is not None and (now - t) * 60 < h["trigger_repeat"]:
-                emit("repeat", h["direction"], h["instance"], 1, "trigger repeat")
-            else:
-                fired.append(h)
-        if not fired and (mode == "or" or not st["seen"]):
-            return out
-        evidence = {h["instance"]: (now, h["direction"]) for h in fired}
-        if mode != "or":
-            st["seen"] = {k: v for k, v in {**st["seen"], **evidence}.items() if v[0] >= now - window}
-            if len(st["seen"]) < need:
-                if fired:
-                    emit("waiting", fired[0]["direction"], fired[0]["instance"], len(st["seen"]), f"{len(st['seen'])} of {need}")
-                return out
-            evidence = dict(st["seen"])
-        if r["repeat_sec"] and st["alert"] is not None and (now - st["alert"]) * 60 < r["repeat_sec"]:
-            if fired:
-                emit("repeat", fired[0]["direction"], fired[0]["instance"], len(evidence), "setup repeat")
-            return out
-        lead = fired[0]["instance"] if fired else max(evidence, key=lambda k: evidence[k][0])
-        direction = evidence[lead][1]
-        if not r["ok"]:
-            emit("blocked", direction, lead, len(evidence), "screen")
-            return out
-        emit("sent", direction, lead, len(evidence), "")
-        st.update(alert=now, seen={}, trigger={**st["trigger"], **dict.fromkeys(evidence, now)})
-        return out
-    return fold_sorted(rows, keys, ["et_min"], lambda: {"seen": {}, "trigger": {}, "alert": None}, step, lambda st, key: [], OUTCOMES)
+    cfg = ["mode", "repeat_sec", "and_window_min", "min_triggers", "n_triggers"]
+    row = F.struct("et_min", F.coalesce("hits", F.array().cast(rows.schema["hits"].dataType)).alias("hits"), "ok")
+    g = rows.groupBy("setup", *DAY, *cfg).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    either, n = F.col("mode") == "or", F.col("n_triggers")
+    need = F.when(either, 1).when(F.col("mode") == "and", n).otherwise(F.least(F.greatest(F.lit(1), F.col("min_triggers")), n))
+    place = F.sequence(F.lit(0), n - 1)
+    out_t = "struct<et_min:int,outcome:string,direction:string,lead:string,n_evidence:int,reason:string,evidence:array<string>>"
+    who_t = "struct<instance:string,direction:string>"
+
+    def outcome(now, kind, direction, lead, size, reason, evidence=None):
+        return F.struct(now.cast("int").alias("et_min"), F.lit(kind).alias("outcome"), direction.alias("direction"), lead.alias("lead"), size.cast("int").alias("n_evidence"),
+                        F.lit(reason).alias("reason"), (F.array().cast("array<string>") if evidence is None else evidence).alias("evidence")).cast(out_t)
+
+    def judged(acc, r):
+        """The state after the combination gate, with everything the last gates need."""
+        now = r["et_min"]
+        early = lambda h: (h["trigger_repeat"] > 0) & F.coalesce((now - F.get(acc["trig"], h["idx"])) * 60 < h["trigger_repeat"], F.lit(False))
+        fired = F.filter(r["hits"], lambda h: ~early(h))
+        own = lambda i: F.get(F.filter(fired, lambda h: h["idx"] == i), F.lit(0))
+        recent = lambda i: F.when(~either & (F.get(acc["at"], i) >= now - F.col("and_window_min")), F.get(acc["at"], i))
+        return F.struct(fired.alias("fired"), F.filter(r["hits"], early).alias("early"),
+                        F.transform(place, lambda i: F.when(own(i).isNotNull(), now).otherwise(recent(i)).cast("int")).alias("at"),
+                        F.transform(place, lambda i: F.when(own(i).isNotNull(), F.coalesce(F.get(acc["born"], i), now)).when(recent(i).isNotNull(), F.get(acc["born"], i)).cast("int")).alias("born"),
+                        F.transform(place, lambda i: F.when(own(i).isNotNull(), F.struct(own(i)["instance"].alias("instance"), own(i)["direction"].alias("direction"))).otherwise(F.get(acc["who"], i)).cast(who_t)).alias("who"))
+
+    def decided(acc, r, j):
+        now, held = r["et_min"], F.size(F.filter(j["at"], lambda x: x.isNotNull()))
+        some = F.size(j["fired"]) > 0
+        # without a fire the newest evidence leads, of equally new ones the one that came first
+        newest = F.array_max(F.transform(place, lambda i: F.struct(F.get(j["at"], i).alias("at"), (-F.get(j["born"], i)).alias("born"), (-i).alias("i"))))
+        lead = F.when(some, F.get(j["fired"], F.lit(0))["idx"]).otherwise(-newest["i"])
+        name, side = F.get(j["who"], lead)["instance"], F.get(j["who"], lead)["direction"]
+        again = (F.col("repeat_sec") > 0) & F.coalesce((now - acc["last"]) * 60 < F.col("repeat_sec"), F.lit(False))
+        cooling = F.exists(acc["out"], lambda o: (o["outcome"] == "sent") & (o["lead"] == name) & (o["direction"] == side) & ((now - o["et_min"]) * 60 < sink_sec))
+        names = F.transform(F.filter(place, lambda i: F.get(j["at"], i).isNotNull()), lambda i: F.get(j["who"], i)["instance"])
+        last = (F.when(held < need, F.when(some, outcome(now, "waiting", side, name, held, "combination")))
+                 .when(again, F.when(some, outcome(now, "repeat", side, name, held, "setup repeat")))
+                 .when(~F.coalesce(r["ok"], F.lit(False)), outcome(now, "blocked", side, name, held, "screen"))
+                 .when(cooling, outcome(now, "repeat", side, name, held, "feed cooldown"))
+                 .otherwise(outcome(now, "sent", side, name, held, "", names)))
+        quiet = ~some & (either | ~F.exists(acc["at"], lambda x: x.isNotNull()))
+        return F.when(quiet, F.lit(None).cast(out_t)).otherwise(last)
+
+    def step(acc, r):
+        nothing = F.transform(place, lambda i: F.lit(None).cast("int"))
+        # each intermediate is bound once, as the only element of an array that is transformed
+        def close(j, d):
+            now, sent = r["et_min"], F.coalesce(d["outcome"] == "sent", F.lit(False))
+            clear = sent | either
+            early = F.transform(j["early"], lambda h: outcome(now, "repeat", h["direction"], h["instance"], F.lit(1), "trigger repeat"))
+            return F.struct(F.when(clear, nothing).otherwise(j["at"]).alias("at"), F.when(clear, nothing).otherwise(j["born"]).alias("born"), j["who"].alias("who"),
+                            F.when(sent, F.transform(place, lambda i: F.when(F.get(j["at"], i).isNotNull(), now).otherwise(F.get(acc["trig"], i)).cast("int"))).otherwise(acc["trig"]).alias("trig"),
+                            F.when(sent, now).otherwise(acc["last"]).cast("int").alias("last"),
+                            F.concat(acc["out"], early, F.filter(F.array(d), lambda x: x.isNotNull())).alias("out"))
+        return F.get(F.transform(F.array(judged(acc, r)), lambda j: F.get(F.transform(F.array(decided(acc, r, j)), lambda d: close(j, d)), F.lit(0))), F.lit(0))
+    none = F.transform(place, lambda i: F.lit(None).cast("int"))
+    zero = F.struct(none.alias("at"), none.alias("born"), F.transform(place, lambda i: F.lit(None).cast(who_t)).alias("who"), none.alias("trig"), F.lit(None).cast("int").alias("last"),
+                    F.array().cast(f"array<{out_t}>").alias("out"))
+    return g.select("setup", *DAY, F.explode(F.aggregate("_rows", zero, step, lambda acc: acc["out"])).alias("o")).select("setup", *DAY, "o.*")
+
+
+def accepted(outcomes: DataFrame, setups: DataFrame) -> DataFrame:
+    """Sent alerts in the shape that ``assemble`` takes."""
+    lead = F.struct(F.col("lead").alias("instance"), F.split("lead", ":")[0].alias("trigger"), F.col("direction").alias("direction"))
+    return (outcomes.where("outcome = 'sent'").join(setups.select("setup", F.col("direction").alias("wanted"), "alert_direction"), "setup")
+            .select("setup", *DAY, "et_min", lead.alias("lead"), "evidence", "n_evidence", "wanted", "alert_direction"))
 
 
 def score(rvol: Column, n_evidence: Column) -> Column:
@@ -181,7 +207,7 @@ def assemble(candidates: DataFrame, bars: DataFrame) -> DataFrame:
     """Alert rows: price, stop, score and context of the bar (``bars`` = derived state with rvol)."""
     direction = F.coalesce("alert_direction", F.when(F.col("lead.direction").isin("long", "short"), F.col("lead.direction"))
                            .when(F.col("wanted").isin("long", "short"), F.col("wanted")).otherwise("neutral"))
-    j = candidates.join(bars.drop("session"), [*DAY, "et_min"])
+    j = candidates.drop("session").join(bars, [*DAY, "et_min"])
     stop = F.when(F.col("session") == "rth", F.when(direction == "long", F.col("stop_low")).when(direction == "short", F.col("stop_high")))
     context = F.struct("gap_pct", "rvol", "dist_vwap_pct", "mom_15m_pct", "adv20", "day_range_pos", "prior_close", "session_open",
                        F.col("day_high").alias("hod"), F.col("day_low").alias("lod"))

@@ -13,7 +13,7 @@ from .registry import CTES, out, query
 # Rule documents used by the queries (setup rows, one per document).
 _T = lambda trigger, option, tf, repeat=0: (trigger, option, tf, repeat)
 SETUPS = [
-    ("s_any", "atleast", "all", None, ["rth"], 0, 10, 2, [_T("hod", "high", 1), _T("hod", "low", 1), _T("cross_above", "vwap", 5), _T("cross_below", "vwap", 5)],
+    ("s_any", "atleast", "all", None, ["rth"], 0, 10, 2, [_T("hod", "high", 1, 600), _T("hod", "low", 1), _T("cross_above", "vwap", 5), _T("cross_below", "vwap", 5)],
      [("day_range_pos", "lte", 1.0)], "up_all"),
     ("s_both", "and", "long", None, ["rth"], 600, 5, 2, [_T("hod", "high", 1), _T("cross_above", "vwap", 5)], [("rvol", "gte", 1.0)], "up_all"),
     ("s_break", "or", "long", None, ["rth"], 900, 5, 2, [_T("cross_above", "vwap", 5), _T("hod", "high", 1)],
@@ -26,8 +26,8 @@ CTES["fx"] = fires(
     fire("two", "tf = 5 and session = 'rth' and pc <= pv and close > vwap", "cross_above", "'vwap'", "long", "vwap"),
     fire("two", "tf = 5 and session = 'rth' and pc >= pv and close < vwap", "cross_below", "'vwap'", "short", "vwap"))
 CTES["trg"] = "select * from (values " + ", ".join(
-    f"('{s[0]}', '{s[1]}', '{s[2]}', {s[5]}, {s[6]}, {s[7]}, {len(s[8])}, {i}, '{t[0]}:{t[1]}@{t[2]}')" for s in SETUPS for i, t in enumerate(s[8])) + \
-    ") v(setup, mode, wanted, repeat_sec, and_window, min_triggers, n_triggers, idx, instance)"
+    f"('{s[0]}', '{s[1]}', '{s[2]}', {s[5]}, {s[6]}, {s[7]}, {len(s[8])}, {i}, '{t[0]}:{t[1]}@{t[2]}', {t[3]})" for s in SETUPS for i, t in enumerate(s[8])) + \
+    ") v(setup, mode, wanted, repeat_sec, and_window, min_triggers, n_triggers, idx, instance, trigger_repeat)"
 CTES["hits"] = """select t.*, f.symbol, f.day, f.et_min, f.trigger, f.option, f.direction, f.value from fx f join trg t
  on t.instance = f.trigger || ':' || f.option || '@' || f.tf where t.wanted = 'all' or t.wanted = f.direction or f.direction = 'neutral'"""
 CTES["ora"] = """select setup, symbol, day, et_min, repeat_sec, wanted, arg_min(instance, idx) as lead, arg_min(direction, idx) as direction, count(*)::int as n_evidence
@@ -137,9 +137,45 @@ def outcomes(t):
     return ru.fold_setups(ru.with_verdict(ru.evaluation_rows(matched(t)), values, setups(t), IDS))
 
 
-@query("rules_fold_outcomes")
+def _acceptance() -> None:
+    """The same decision bar by bar: one recursion step a minute, one set of columns for each of the four places of a setup.
+
+    at = last fire that counts, bo = minute it joined the evidence, tr = last time it was part of a sent alert, fe = last sent alert it led.
+    """
+    n = range(4)
+    each = lambda f, sep=", ": sep.join(f(i) for i in n)
+    CTES["okb"] = " union all ".join("select symbol, day, et_min, '" + x[0] + "' as setup, " + " and ".join(f"coalesce({p[0]} {'>=' if p[1] == 'gte' else '<='} {p[2]}::double, false)" for p in x[9]) + " as ok from cbt" for x in SETUPS)
+    CTES["cfg"] = "select setup, mode, max(repeat_sec) as rep, max(and_window) as win, case when mode = 'or' then 1 when mode = 'and' then max(n_triggers) else least(greatest(1, max(min_triggers)), max(n_triggers)) end as need, " + each(
+        lambda i: f"coalesce(max(trigger_repeat) filter (idx = {i}), 0) as r{i}") + " from trg group by setup, mode"
+    CTES["accb"] = "select g.*, o.et_min, o.ok, row_number() over (partition by setup, symbol, day order by o.et_min) as rn, " + each(lambda i: f"coalesce(h{i}, false) as h{i}") + """
+ from (select distinct setup, symbol, day from hits) g join okb o using (setup, symbol, day) left join (select setup, symbol, day, et_min, """ + each(lambda i: f"bool_or(idx = {i}) as h{i}") + " from hits group by all) h using (setup, symbol, day, et_min)"
+    CTES["accepting_p"] = "select b.*, mode, rep, win, need, " + each(lambda i: f"r{i}") + " from accb b join cfg using (setup)"
+    null = "null::int"
+    start = "select setup, symbol, day, 0::bigint as rn, 0 as et_min, " + each(lambda i: f"{null} as at{i}, {null} as bo{i}, {null} as tr{i}, {null} as fe{i}, false as e{i}") + f", {null} as last, null::varchar as outcome, 0 as lead, 0 as held, null::varchar as reason from (select distinct setup, symbol, day from accb)"
+    inner = "select p.*, " + each(lambda i: f"s.at{i} as pa{i}, s.bo{i} as pb{i}, s.tr{i}, s.fe{i}, h{i} and coalesce(r{i} > 0 and (p.et_min - s.tr{i}) * 60 < r{i}, false) as e{i}") + ", s.last from accepting s join accepting_p p on p.setup = s.setup and p.symbol = s.symbol and p.day = s.day and p.rn = s.rn + 1"
+    fired = "select *, " + each(lambda i: f"h{i} and not e{i} as f{i}") + f" from ({inner})"
+    held = "select *, " + each(lambda i: f"case when f{i} then et_min when mode <> 'or' and pa{i} >= et_min - win then pa{i} end as at{i}, case when f{i} then coalesce(pb{i}, et_min) when mode <> 'or' and pa{i} >= et_min - win then pb{i} end as bo{i}") + f" from ({fired})"
+    some = "(" + each(lambda i: f"f{i}", " or ") + ")"
+    counted = "select *, " + each(lambda i: f"(at{i} is not null)::int", " + ") + " as held, case " + each(lambda i: f"when f{i} then {i}", " ") + " else 9 - greatest(" + each(lambda i: f"at{i} * 1000000 + (9999 - bo{i}) * 10 + 9 - {i}") + f") % 10 end as lead from ({held})"
+    quiet = f"not {some} and (mode = 'or' or coalesce(" + each(lambda i: f"pa{i}") + ") is null)"
+    cool = "et_min - (case lead " + each(lambda i: f"when {i} then fe{i}", " ") + " end) < 5"
+    judged = f"select *, case when {quiet} then null when held < need then case when {some} then 'combination' end when rep > 0 and (et_min - last) * 60 < rep then case when {some} then 'setup repeat' end when not ok then 'screen' when {cool} then 'feed cooldown' else '' end as reason from ({counted})"
+    sent = "coalesce(reason = '', false)"
+    clear = f"{sent} or mode = 'or'"
+    step = "select setup, symbol, day, rn, et_min, " + each(lambda i: f"case when {clear} then null else at{i} end, case when {clear} then null else bo{i} end, case when {sent} and at{i} is not null then et_min else tr{i} end, case when {sent} and lead = {i} then et_min else fe{i} end, e{i}") + \
+        f", case when {sent} then et_min else last end, case reason when 'combination' then 'waiting' when 'screen' then 'blocked' when '' then 'sent' when null then null else case when reason is null then null else 'repeat' end end, lead, held, reason from ({judged})"
+    CTES["accepting"] = f"{start} union all {step}"
+    early = " union all ".join(f"select setup, symbol, day, et_min, 'repeat' as outcome, {i} as idx, 1 as n_evidence, 'trigger repeat' as reason from accepting where e{i}" for i in n)
+    CTES["decided"] = f"""select d.setup, d.symbol, d.day, d.et_min, d.outcome, case when t.instance like '%low%' or t.instance like '%below%' then 'short' else 'long' end as direction, t.instance as lead, d.n_evidence, d.reason
+ from (select setup, symbol, day, et_min, outcome, lead as idx, held as n_evidence, reason from accepting where outcome is not null union all {early}) d join trg t on t.setup = d.setup and t.idx = d.idx"""
+
+
+_acceptance()
+
+
+@query("rules_fold_outcomes", "select setup, symbol, day, et_min, outcome, direction, lead, n_evidence, reason from decided")
 def _(t):
-    return out(outcomes(t), "setup symbol day et_min outcome direction lead n_evidence")
+    return out(outcomes(t), "setup symbol day et_min outcome direction lead n_evidence reason")
 
 
 # Rule documents as a user writes them (JSON objects).
@@ -152,10 +188,15 @@ DOCUMENTS = [
 ]
 
 
-@query("rules_run_documents", """select setup, symbol, day, et_min, case when ok then 'sent' else 'blocked' end as outcome from (
- select distinct 'doc_break' as setup, f.symbol, f.day, f.et_min, coalesce(c.rvol >= 1 and c.dist_vwap_pct >= 0.1 and e.y >= 100, false) as ok from fx f join cbt c using (symbol, day, et_min)
-  join bc b on b.symbol = f.symbol and b.day = f.day and b.et_min = f.et_min and b.tf = 5 left join c5ema9 e on e.symbol = f.symbol and e.cpos = b.cbefore where f.direction = 'long'
- union select 'doc_fade', f.symbol, f.day, f.et_min, coalesce(c.gap_pct <= 50, false) from fx f join cbt c using (symbol, day, et_min) where f.trigger = 'cross_below')""")
+CTES["docr"] = """select 'doc_break' as setup, f.symbol, f.day, f.et_min, min(case when f.trigger = 'hod' then 'hod' else 'cross' end) as lead, bool_or(coalesce(c.rvol >= 1 and c.dist_vwap_pct >= 0.1 and e.y >= 100, false)) as ok
+  from fx f join cbt c using (symbol, day, et_min) join bc b on b.symbol = f.symbol and b.day = f.day and b.et_min = f.et_min and b.tf = 5 left join c5ema9 e on e.symbol = f.symbol and e.cpos = b.cbefore where f.direction = 'long' group by all
+ union all select 'doc_fade', f.symbol, f.day, f.et_min, 'cross', bool_or(coalesce(c.gap_pct <= 50, false)) from fx f join cbt c using (symbol, day, et_min) where f.trigger = 'cross_below' group by all"""
+CTES["docok"] = "select setup, symbol, lead, day, et_min from docr where ok"
+greedy("docsent", "docok", "setup symbol lead", "5")
+
+
+@query("rules_run_documents", """select r.setup, r.symbol, r.day, r.et_min, case when not r.ok then 'blocked' when s.et_min is null then 'repeat' else 'sent' end as outcome
+ from docr r left join docsent s on s.setup = r.setup and s.symbol = r.symbol and s.day = r.day and s.et_min = r.et_min""")
 def _(t):
     from ..operators import catalog
     return out(catalog.run_documents(tr.Inputs(bars_with_rvol(t), t.candles, t.sessions), DOCUMENTS), "setup symbol day et_min outcome")
@@ -181,30 +222,38 @@ def _(t):
     return out(b, "symbol day et_min market_align consec_candles", "opening_direction_m5 opening_rvol_m5 opening_rvol_rank rel_vol vwap_day_pct rrs_m5")
 
 
-@query("activity_report")
+@query("activity_report", """select setup, symbol, day, arg_min(outcome, case outcome when 'sent' then 0 when 'blocked' then 1 when 'waiting' then 2 else 3 end) as status, count(*) as events
+ from decided join (select symbol, day, max(et_min) as ref from decided group by all) using (symbol, day) where et_min >= ref - 29 group by all""")
 def _(t):
     return out(ru.activity(outcomes(t), 30), "setup symbol day status events")
 
 
-@query("alerts_fires_per_instance", "select setup, instance, count(*) as fires from hits group by all")
+@query("alerts_fires_per_instance", """select a.setup, t.instance, count(*) as fires from (select setup, symbol, day, rn, et_min, unnest([tr0, tr1, tr2, tr3]) as at, unnest([0, 1, 2, 3]) as idx from accepting where outcome = 'sent') a
+ join trg t on t.setup = a.setup and t.idx = a.idx where a.at = a.et_min group by all""")
 def _(t):
-    return matched(t).groupBy("setup", "instance").agg(F.count(F.lit(1)).alias("fires"))
+    """How often each trigger was evidence of an alert that all gates accepted."""
+    return outcomes(t).where("outcome = 'sent'").select("setup", F.explode("evidence").alias("instance")).groupBy("setup", "instance").agg(F.count(F.lit(1)).alias("fires"))
 
 
-@query("alerts_by_setup", "select setup, count(*) as alerts from spaced_or group by all")
+@query("alerts_by_setup", "select setup, count(*) as alerts from decided where outcome = 'sent' group by all")
 def _(t):
-    return or_spaced(t).groupBy("setup").agg(F.count(F.lit(1)).alias("alerts"))
+    return sent(t).groupBy("setup").agg(F.count(F.lit(1)).alias("alerts"))
 
 
 CTES["alerts"] = """select a.setup, a.symbol, a.day, a.et_min, a.direction, a.lead as entry_trigger, split_part(a.lead, ':', 1) as trigger, a.n_evidence, c.close as price,
  case when a.direction = 'long' then c.stop_low else c.stop_high end as suggested_stop,
  cast(greatest(0, least(100, 55 + case when rvol is not null and rvol <> 0 then least(25, cast(floor(greatest(0, (rvol - 1) * 10)) as int)) else 0 end
   + case when n_evidence > 1 then least(15, 5 * (n_evidence - 1)) else 0 end)) as int) as score, c.rvol, c.gap_pct, c.dist_vwap_pct, c.mom_15m_pct, c.day_range_pos
- from spaced_or a join cbt c using (symbol, day, et_min)"""
+ from (select * from decided where outcome = 'sent') a join cbt c using (symbol, day, et_min)"""
+
+
+def sent(t):
+    """What passed every gate: trigger repeat, combination, setup repeat, screen and feed cooldown."""
+    return ru.accepted(outcomes(t), setups(t))
 
 
 def alerts(t):
-    return ru.assemble(or_spaced(t), bars_with_rvol(t))
+    return ru.assemble(sent(t), bars_with_rvol(t))
 
 
 @query("alerts_assembled", """select setup, symbol, day, et_min, direction, entry_trigger, trigger, n_evidence, price, suggested_stop, score,

@@ -28,56 +28,70 @@ SETUP = [("s1", "and", "long", None, ["rth"], 600, 5, 2, [("a", "", 1, 0), ("b",
 
 
 def plain_fold(fires, ok):
-    """Sequential model of one symbol-day: list of (setup, minute, outcome)."""
+    """Sequential model of one symbol-day: list of (setup, minute, outcome, lead, direction, size, reason, evidence)."""
     out = []
     for name, mode, want, _, _, rep, window, least, triggers, _, _ in SETUP:
         ids = [f"{t[0]}:{t[1]}@1" for t in triggers]
         need = len(ids) if mode == "and" else min(max(1, least), len(ids))
-        seen, last_t, last = {}, {}, None
+        seen, last_t, last, feed = {}, {}, None, {}
         for m in range(570, 960):
-            now = [(i, t) for i, t in enumerate(triggers) if (t[0], m) in fires and (want == "all" or fires[t[0], m] in (want, "neutral"))]
-            fired = []
-            for i, t in now:
-                key = ids[i]
-                if t[3] and key in last_t and (m - last_t[key]) * 60 < t[3]:
-                    out.append((name, m, "repeat"))
+            fired = {}
+            for i, t in enumerate(triggers):
+                side = fires.get((t[0], m))
+                if side is None or not (want == "all" or side in (want, "neutral")):
+                    continue
+                if t[3] and ids[i] in last_t and (m - last_t[ids[i]]) * 60 < t[3]:
+                    out.append((name, m, "repeat", ids[i], side, 1, "trigger repeat", ()))
                 else:
-                    fired.append(key)
+                    fired[ids[i]] = (m, side)
             if not fired and (mode == "or" or not seen):
                 continue
-            used = {k: m for k in fired}
+            used = dict(fired)
             if mode != "or":
-                seen.update(used)
-                seen = {k: v for k, v in seen.items() if v >= m - window}
-                if len(seen) < need:
-                    if fired:
-                        out.append((name, m, "waiting"))
-                    continue
-                used = dict(seen)
-            if rep and last is not None and (m - last) * 60 < rep:
-                if fired:
-                    out.append((name, m, "repeat"))
-                continue
-            if not ok(name, m):
-                out.append((name, m, "blocked"))
-                continue
-            out.append((name, m, "sent"))
-            last, seen = m, {}
-            for k in used:
-                last_t[k] = m
+                seen.update(fired)
+                seen = used = {k: v for k, v in seen.items() if v[0] >= m - window}
+            lead = next(iter(fired)) if fired else max(used, key=lambda k: used[k][0]) if used else None
+            row = lambda kind, reason, names=(): (name, m, kind, lead, used[lead][1], len(used), reason, tuple(sorted(names)))  # noqa: E731, B023
+            if mode != "or" and len(seen) < need:
+                out += [row("waiting", "combination")] if fired else []
+            elif rep and last is not None and (m - last) * 60 < rep:
+                out += [row("repeat", "setup repeat")] if fired else []
+            elif not ok(name, m):
+                out.append(row("blocked", "screen"))
+            elif m - feed.get((lead, used[lead][1]), -100) < 5:
+                out.append(row("repeat", "feed cooldown"))
+            else:
+                out.append(row("sent", "", used))
+                last, seen, feed[lead, used[lead][1]] = m, {}, m
+                last_t.update(dict.fromkeys(used, m))
     return sorted(out)
 
 
-def test_fold_setups_equals_a_plain_model(spark):
-    rnd = random.Random(8)
-    fires = {(t, m): rnd.choice(["long", "short", "neutral"]) for t in "abc" for m in range(570, 960) if rnd.random() < 0.12}
-    ok = lambda name, m: (m // 9) % 3 != 0
+def folded(spark, fires, ok):
     f = spark.createDataFrame([("X", D, m, "rth", t, "", 1, d, 1.0) for (t, m), d in fires.items()],
                               "symbol string, et_date date, et_min int, session string, trigger string, option string, tf int, direction string, value double")
     verdicts = spark.createDataFrame([(s[0], "X", D, m, ok(s[0], m)) for s in SETUP for m in range(570, 960)], "setup string, symbol string, et_date date, et_min int, ok boolean")
-    got = sorted((r.setup, r.et_min, r.outcome) for r in ru.fold_setups(ru.evaluation_rows(ru.match(f, ru.setups_table(spark, SETUP))).join(verdicts, ["setup", "symbol", "et_date", "et_min"])).collect())
-    assert got == plain_fold(fires, ok)
-    assert {"sent", "blocked", "repeat", "waiting"} <= {g[2] for g in got}
+    return ru.fold_setups(ru.evaluation_rows(ru.match(f, ru.setups_table(spark, SETUP))).join(verdicts, ["setup", "symbol", "et_date", "et_min"]))
+
+
+def test_fold_setups_equals_a_plain_model(spark):
+    """Trigger repeats, combinations, setup repeats, screen and feed cooldown in one decision, for sparse and busy days."""
+    for seed, share in ((8, 0.12), (9, 0.4), (10, 0.03)):
+        rnd = random.Random(seed)
+        fires = {(t, m): rnd.choice(["long", "short", "neutral"]) for t in "abc" for m in range(570, 960) if rnd.random() < share}
+        ok = lambda name, m: (m // 9) % 3 != 0
+        got = sorted((r.setup, r.et_min, r.outcome, r.lead, r.direction, r.n_evidence, r.reason, tuple(sorted(r.evidence))) for r in folded(spark, fires, ok).collect())
+        want = plain_fold(fires, ok)
+        assert got == want
+    assert {"trigger repeat", "setup repeat", "feed cooldown", "screen", "combination", ""} <= {r[6] for s, share in ((9, 0.4),) for r in plain_fold(
+        {(t, m): random.Random(f"{t}{m}").choice(["long", "short"]) for t in "abc" for m in range(570, 960)}, lambda name, m: m % 7 != 0)}
+
+
+def test_a_sent_alert_alone_moves_the_clocks(spark):
+    """A screen that opens late: the blocked bars neither clear the evidence nor start the repeat time."""
+    fires = {("a", 600): "long", ("b", 602): "long", ("a", 606): "long"}
+    got = [(r.et_min, r.outcome) for r in folded(spark, fires, lambda name, m: m >= 604).where("setup = 's1'").orderBy("et_min").collect()]
+    assert got == [(600, "waiting"), (602, "blocked"), (603, "blocked"), (604, "sent"), (606, "waiting")]
 
 
 def test_alert_matching_is_one_to_one_nearest_first(spark):
