@@ -32,8 +32,7 @@ def position(df: DataFrame, keys: list[str], chunk: list[str], order: list, out:
 def rolling(df: DataFrame, keys: list[str], pos: str, back: int, columns: Callable[[Window], dict[str, Column]],
             block: int = BLOCK) -> DataFrame:
     """Window columns that look at most ``back`` rows behind; ``pos`` is a gap-free 1-based row number."""
-    if back > block:
-        raise ValueError("look-back longer than a block")
+    block = max(block, back)
     home = F.floor((F.col(pos) - 1) / block)
     in_tail = F.pmod(F.col(pos) - 1, F.lit(block)) >= block - back
     copies = F.when(in_tail, F.array(home, home + 1)).otherwise(F.array(home))
@@ -62,12 +61,10 @@ def recurrence(df: DataFrame, keys: list[str], pos: str, specs: list[Smooth]) ->
     """All ``specs`` in one pass over ``keys`` ordered by the gap-free ``pos``.
 
     In a chunk of 256 rows the recurrence has the closed form ``y_j = w_j*(y_in + sum(b_i/w_i))`` with
-    ``w_j = q**(decays so far)``, a running window sum.  A chunk is summarised by (w, s) of its last row; these pairs are
-    folded per super-chunk (256 chunks), and super-chunks chain through two lags: after one full super-chunk (65,536 rows)
-    the weight of anything older is below 1e-50 for every n up to 1000, beyond double resolution.
+    ``w_j = q**(decays so far)``, a running window sum.  A chunk is summarised by the pair (w, s) of its last row: what it makes of an
+    incoming y is ``w*y + s``, and such pairs compose.  They are composed per super-chunk (256 chunks), the pairs of the super-chunks along the key
+    (one for 65,536 rows), and every chunk receives the exact value before it; nothing is cut off, for any smoothing length.
     """
-    if any(s.n > 1000 for s in specs):
-        raise ValueError("smoothing lengths above 1000 are not supported")
     chunk = F.floor((F.col(pos) - 1) / CHUNK).cast("long")
     df = df.withColumn("_c", chunk)
     w = Window.partitionBy(*keys, "_c").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
@@ -93,38 +90,40 @@ def recurrence(df: DataFrame, keys: list[str], pos: str, specs: list[Smooth]) ->
     last = F.struct(*ends)
     chunks = (local.groupBy(*keys, "_c").agg(F.max_by(last, F.col(pos)).alias("_e"))
                    .select(*keys, "_c", F.floor(F.col("_c") / CHUNK).cast("long").alias("_b"), "_e.*"))
-    # fold the chunks of a super-chunk (at most 256 entries), starting from a zero carry
-    rows = F.sort_array(F.collect_list(F.struct("_c", *[c for s in specs for c in (f"_w_{s.out}", f"_s_{s.out}")])))
-    grouped = chunks.groupBy(*keys, "_b").agg(rows.alias("_rows"))
+    # carry: what stands before each chunk of a super-chunk, as a pair applied to what stands before the super-chunk
+    inside = _carried(chunks, keys, "_b", "_c", specs)
+    whole = inside.select(*keys, "_b", F.element_at("_rows", -1).alias("_l")).select(
+        *keys, "_b", *[F.col(f"_l.{p}_{s.out}").alias(f"_{c}_{s.out}") for s in specs for p, c in (("p", "w"), ("y", "s"))])
+    before = _carried(whole.withColumn("_all", F.lit(0)), keys, "_all", "_b", specs).select(*keys, F.explode("_rows").alias("_l")).where("_l._c is not null").select(
+        *keys, F.col("_l._c").alias("_b"), *[F.col(f"_l.y_{s.out}").alias(f"_in_{s.out}") for s in specs])
+    entry = (inside.join(before, [*keys, "_b"]).select(*keys, *[f"_in_{s.out}" for s in specs], F.explode("_rows").alias("_r")).where("_r._c is not null")
+                   .select(*keys, F.col("_r._c").alias("_c"), *[(F.col(f"_r.y_{s.out}") + F.col(f"_r.p_{s.out}") * F.col(f"_in_{s.out}")).alias(f"_y_{s.out}") for s in specs]))
+    joined = local.join(entry, [*keys, "_c"])
+    final = {s.out: F.when(F.col(pos) >= (s.start if s.seed_first else s.start + s.n - 1),
+                           F.col(f"_w_{s.out}") * F.col(f"_y_{s.out}") + F.col(f"_s_{s.out}")) for s in specs}
+    return joined.withColumns(final).drop("_c", *weights, *locals_, *[f"_y_{s.out}" for s in specs])
+
+
+def _carried(pairs: DataFrame, keys: list[str], group: str, order: str, specs: list[Smooth]) -> DataFrame:
+    """Per (keys, group): ``_rows``, the composed pair (p, y) that stands before each row of the group (``_c``: its number), and the pair of the whole group
+    as last element (``_c`` NULL).  Input: pairs ``_w_*``, ``_s_*`` of consecutive rows."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_c"), *[c for s in specs for c in (f"_w_{s.out}", f"_s_{s.out}")])))
+    grouped = pairs.groupBy(*keys, group).agg(rows.alias("_in"))
+    fields = ", ".join(f"{p}_{s.out}: double" for s in specs for p in ("y", "p"))
+    carry_t = f"struct<_c: bigint, {fields}>"
+
+    def carry(acc, number):
+        return F.struct(number.alias("_c"), *[acc[f"{p}_{s.out}"].alias(f"{p}_{s.out}") for s in specs for p in ("y", "p")]).cast(carry_t)
 
     def step(acc, x):
         nxt = []
         for s in specs:
             nxt.append((x[f"_w_{s.out}"] * acc[f"y_{s.out}"] + x[f"_s_{s.out}"]).alias(f"y_{s.out}"))
             nxt.append((x[f"_w_{s.out}"] * acc[f"p_{s.out}"]).alias(f"p_{s.out}"))
-        carry = F.struct(x["_c"].alias("_c"),
-                         *[acc[f"{p}_{s.out}"].alias(f"{p}_{s.out}") for s in specs for p in ("y", "p")])
-        return F.struct(*nxt, F.concat(acc["rows"], F.array(carry)).alias("rows"))
-
-    fields = ", ".join(f"{p}_{s.out}: double" for s in specs for p in ("y", "p"))
-    zero = F.struct(*[F.lit(v).alias(f"{p}_{s.out}") for s in specs for p, v in (("y", 0.0), ("p", 1.0))],
-                    F.array().cast(f"array<struct<_c: bigint, {fields}>>").alias("rows"))
-    folded = grouped.select(*keys, "_b", F.aggregate("_rows", zero, step).alias("_f"))
-    bw = Window.partitionBy(*keys).orderBy("_b")
-    carried = {}
-    for s in specs:
-        y, p = F.col(f"_f.y_{s.out}"), F.col(f"_f.p_{s.out}")
-        carried[f"_in_{s.out}"] = F.coalesce(F.lag(y, 1).over(bw) + F.lag(p, 1).over(bw) *
-                                             F.coalesce(F.lag(y, 2).over(bw), F.lit(0.0)), F.lit(0.0))
-    entry = (folded.withColumns(carried)
-                   .select(*keys, *carried, F.explode("_f.rows").alias("_r"))
-                   .select(*keys, F.col("_r._c").alias("_c"),
-                           *[(F.col(f"_r.y_{s.out}") + F.col(f"_r.p_{s.out}") * F.col(f"_in_{s.out}"))
-                             .alias(f"_y_{s.out}") for s in specs]))
-    joined = local.join(entry, [*keys, "_c"])
-    final = {s.out: F.when(F.col(pos) >= (s.start if s.seed_first else s.start + s.n - 1),
-                           F.col(f"_w_{s.out}") * F.col(f"_y_{s.out}") + F.col(f"_s_{s.out}")) for s in specs}
-    return joined.withColumns(final).drop("_c", *weights, *locals_, *[f"_y_{s.out}" for s in specs])
+        return F.struct(*nxt, F.concat(acc["rows"], F.array(carry(acc, x["_c"]))).alias("rows"))
+    zero = F.struct(*[F.lit(v).alias(f"{p}_{s.out}") for s in specs for p, v in (("y", 0.0), ("p", 1.0))], F.array().cast(f"array<{carry_t}>").alias("rows"))
+    none = F.lit(None).cast("bigint")
+    return grouped.select(*keys, group, F.aggregate("_in", zero, step, lambda acc: F.concat(acc["rows"], F.array(carry(acc, none)))).alias("_rows"))
 
 
 def running_sum(df: DataFrame, keys: list[str], pos: str, col: str, out: str, block: int = BLOCK) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import candles as co
 from . import conditions as cd
 from . import indicators as ind
+from . import quotes as qt
 from . import relative as rel
 from . import state as st
 from . import triggers as tr
@@ -118,8 +119,20 @@ def signature(params: dict) -> str:
     return json.dumps({k: float(v) if isinstance(v, (int, float)) else v for k, v in params.items()}, sort_keys=True) if params else ""
 
 
+@trigger("orb_trade_cross")
+def _(i, o, p):
+    """First trusted trade above the opening range of ``o`` minutes; none where the inputs hold no trades."""
+    if i.trades is None:
+        return tr.fires(i.bars.limit(0), F.lit(False), "orb_trade_cross", o, "long", F.lit(None), 1)
+    crosses = qt.trade_cross(i.trades, co.opening_range(i.bars, int(o), ["stream", "history", "quotes"]))
+    return tr.fires(crosses.withColumn("session", F.lit("rth")), F.lit(True), "orb_trade_cross", o, "long", F.col("price"), 1)
+
+
 def detect(i: tr.Inputs, tid: str, option: str = "", params: dict | None = None) -> DataFrame:
-    """Fires of one configured detector instance."""
+    """Fires of one configured detector instance; ``setup:<code>`` are those of another producer, passed through."""
+    if tid.startswith("setup:"):
+        none = tr.fires(i.bars.limit(0), F.lit(False), tid, option, "long", F.lit(None), 1)
+        return none if i.external is None else i.external.select(*tr.FIRE).where((F.col("trigger") == tid) & (F.col("option") == option))
     f = TRIGGERS[tid](i, option, params or {}).where(F.col("trigger") == tid)
     return f.where(F.col("option") == option) if option else f
 
@@ -218,21 +231,20 @@ def _(i, b, o, p):
 
 
 def _strength(i, b, o, p, bench):
-    """During the first 12 candles of a session the strength is not yet known; the value is then infinite, which passes a lower bound."""
+    """During the first 12 candles of a session the strength is not yet known; the value is then NaN, which passes every operator."""
+    r = rel.rrs_against(i.candles, i.sectors) if bench is None else rel.rrs_intraday(i.candles, bench)
     w = Window.partitionBy("symbol", "et_date").orderBy("slot")
     own = i.covered(5).where("key_session = 'rth'").withColumn("nc", F.row_number().over(w)).select("symbol", "et_date", "key_session", "slot", "nc")
-    r = own.join(rel.rrs_intraday(i.candles, bench).select("symbol", "et_date", "slot", "rrs_m5"), ["symbol", "et_date", "slot"], "left")
-    signed = lambda: F.when(F.coalesce("nc", F.lit(0)) < 12, F.lit(float("inf"))).otherwise(cd.side_value(F.col("rrs_m5"), o or "trade", F.col("direction")))
+    r = own.join(r.select("symbol", "et_date", "slot", "rrs_m5"), ["symbol", "et_date", "slot"], "left")
+    signed = lambda: F.when(F.coalesce("nc", F.lit(0)) < 12, F.lit(float("nan"))).otherwise(cd.side_value(F.col("rrs_m5"), o or "trade", F.col("direction")))
     return _in_day(i, b, r, ["nc", "rrs_m5"], 5, signed)
 
 
 condition("rrs_m5")(lambda i, b, o, p: _strength(i, b, o, p, p.get("benchmark", "SPY")))
 
 
-@condition("rrs_sector_m5")
-def _(i, b, o, p):
-    r = rel.rrs_intraday(i.candles, p.get("sector", "XLK")).where("rrs_m5 is not null")
-    return _in_day(i, b, r, ["rrs_m5"], 5, lambda: cd.side_value(F.col("rrs_m5"), o or "trade", F.col("direction")))
+# the symbol's own sector where the inputs hold the map, else the sector named by the rule
+condition("rrs_sector_m5")(lambda i, b, o, p: _strength(i, b, o, p, None if i.sectors is not None else p.get("sector", "XLK")))
 
 
 @condition("rrs_slope")
@@ -293,11 +305,12 @@ for _id, (_fn, _c) in {**_CHECKS, **_FIXED}.items():
 
 # ---- whole documents ------------------------------------------------------------------------------------------------------------
 
-def run_documents(i: tr.Inputs, documents: list[dict], profiles: dict[str, list[tuple]] | None = None) -> DataFrame:
+def run_documents(i: tr.Inputs, documents: list[dict], profiles: dict[str, list[tuple]] | None = None, shared: dict[str, list[dict]] | None = None) -> DataFrame:
     """Outcomes (sent / blocked / repeat / waiting) of rule documents over the bars of ``i``.
 
     A document that is switched off is passed over.  The conditions (id, op, value) of its universe profile are checked like its own;
-    ``profiles`` adds to or replaces the default ones.
+    ``profiles`` adds to or replaces the default ones, and a profile that nobody knows lets everything pass.  A document may name a set of
+    ``shared`` conditions (``param_set``); profile, shared set and own conditions all have to hold, so the tighter threshold wins.
 
     Every distinct detector instance is evaluated once and every distinct condition becomes one column; a document without a
     fixed direction is screened as a long candidate in its direction-signed conditions.
@@ -316,8 +329,8 @@ def run_documents(i: tr.Inputs, documents: list[dict], profiles: dict[str, list[
                 instances[t["id"], option, sig] = t.get("params") or {}
                 triggers.append((t["id"], f"{option}{sig}", 0, int(t.get("repeat_sec") or 0)))
         params = []
-        screen = known[d["universe_profile"]] if d.get("universe_profile") else []
-        for c in [*(d.get("parameters") or []), *({"id": x, "op": op, "value": v} for x, op, v in screen)]:
+        screen = known.get(d.get("universe_profile"), [])
+        for c in [*(shared or {}).get(d.get("param_set"), []), *(d.get("parameters") or []), *({"id": x, "op": op, "value": v} for x, op, v in screen)]:
             key = (c["id"], c.get("option", ""), signature(c.get("params") or {}), side)
             name = names.setdefault(key, f"cond_{len(names)}")
             values[name] = (c, side)

@@ -130,9 +130,10 @@ def ema_hold(candles: DataFrame, tf: int = 5, period: int = 9, n: int = 3) -> Da
 
 
 def ema_stack(candles: DataFrame, tf: int = 1, fast: int = 8, slow: int = 21) -> DataFrame:
+    """Distance of a fast EMA from a slower one in percent; NULL for a pair that is not fast and slow."""
     r = co.covered(candles, tf).where("rpos is not null")
     e = ind.ema(r, SERIES, "rpos", {"_f": fast, "_s": slow})
-    return e.withColumn("stack", F.try_divide(F.col("_f") - F.col("_s"), F.col("_s")) * 100)
+    return e.withColumn("stack", F.when(F.lit(fast < slow), F.try_divide(F.col("_f") - F.col("_s"), F.col("_s")) * 100))
 
 
 def dist_ema9(candles: DataFrame, tf: int) -> DataFrame:
@@ -176,7 +177,8 @@ def values_long(values: DataFrame, ids=STATIC, keys=("symbol",)) -> DataFrame:
 
 
 def compare(v: Column, op: Column, threshold: Column) -> Column:
-    return (F.when(op == "gte", v >= threshold).when(op == "lte", v <= threshold)
+    """The verdict of a value; NaN stands for a value whose input is still warming up and passes every operator."""
+    return (F.when(F.isnan(v), True).when(op == "gte", v >= threshold).when(op == "lte", v <= threshold)
              .when(op == "gt", v > threshold).when(op == "lt", v < threshold))
 
 

@@ -17,6 +17,16 @@ def rrs_intraday(candles: DataFrame, bench: str, tf: int = 5, n: int = 12, name:
     return ind.rrs(j, ["symbol", "et_date"], "pos", n, name)
 
 
+def rrs_against(candles: DataFrame, benchmarks: DataFrame, tf: int = 5, n: int = 12, name: str = "rrs_m5") -> DataFrame:
+    """``rrs_intraday`` with a benchmark for each symbol: ``benchmarks`` holds (symbol, sector), one row per symbol."""
+    w = Window.partitionBy("symbol", "et_date").orderBy("slot")
+    c = co.covered(candles, tf).where("key_session = 'rth'")
+    wanted = benchmarks.select(F.col("sector").alias("symbol")).distinct()
+    b = c.join(wanted, "symbol", "left_semi").select(F.col("symbol").alias("sector"), "et_date", "slot", *[F.col(x).alias(f"bench_{x}") for x in ("high", "low", "close")])
+    j = c.join(benchmarks, "symbol").where("symbol <> sector").join(b, ["sector", "et_date", "slot"]).drop("sector").withColumn("pos", F.row_number().over(w).cast("long"))
+    return ind.rrs(j, ["symbol", "et_date"], "pos", n, name)
+
+
 def rrs_daily(sessions: DataFrame, bench: str, n: int = 5) -> DataFrame:
     """``rrs_d1`` known before each session: the mean of the last ``n`` daily strengths of the sessions before."""
     b = sessions.where(F.col("symbol") == bench).select("et_date", *[F.col(x).alias(f"bench_{x}") for x in ("high", "low", "close")])

@@ -99,13 +99,14 @@ def evaluation_rows(matched: DataFrame) -> DataFrame:
 def with_verdict(rows: DataFrame, values: DataFrame, setups: DataFrame, ids: list[str], pass_on_missing=()) -> DataFrame:
     """``rows`` with ``ok``: all configured conditions of the row's setup hold for the values of its bar, in one pass.
 
+    A missing value blocks unless its condition is listed in ``pass_on_missing``; NaN marks a value that is still warming up and passes.
     The condition list of a setup travels with the row (the rules table is small enough for Spark to broadcast by size).
     """
     held = F.create_map(*[x for c in ids for x in (F.lit(c), F.col(c).cast("double"))])
 
     def holds(p):
         v = F.try_element_at(held, p["id"])
-        verdict = (F.when(p["op"] == "gte", v >= p["value"]).when(p["op"] == "lte", v <= p["value"])
+        verdict = (F.when(F.isnan(v), True).when(p["op"] == "gte", v >= p["value"]).when(p["op"] == "lte", v <= p["value"])
                     .when(p["op"] == "gt", v > p["value"]).when(p["op"] == "lt", v < p["value"]))
         return F.coalesce(verdict, p["id"].isin(*pass_on_missing) if pass_on_missing else F.lit(False))
     gate = ["session"] if "sessions" in rows.columns else []

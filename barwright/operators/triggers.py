@@ -27,6 +27,9 @@ class Inputs:
     bars: DataFrame         # bar_state joined with the daily context
     candles: DataFrame
     sessions: DataFrame | None = None   # regular-session daily bars; folded from the minute bars where not given
+    external: DataFrame | None = None   # fires of other producers (``setup:<code>``)
+    trades: DataFrame | None = None     # trusted trades, for crosses of the opening range
+    sectors: DataFrame | None = None    # (symbol, sector): the benchmark of a symbol's sector
 
     @property
     def daily(self) -> DataFrame:
@@ -301,6 +304,9 @@ def back_to_ema(i: Inputs, tf: int, period: int, away_pct: float = 0.5, n: int =
 
 
 def ema_cross_ema(i: Inputs, tf: int = 1, fast: int = 3, slow: int = 9) -> DataFrame:
+    """Crosses of a fast EMA through a slower one; a pair that is not fast and slow never fires."""
+    if fast >= slow:
+        return fires(i.bars.limit(0), F.lit(False), "ema_cross_ema", "up", "long", F.lit(None), tf)
     b = with_asof(i, candle_emas(i, tf, [fast, slow]), [f"ema{fast}", f"ema{slow}"], tf, "rpos", "rbefore")
     f, s = F.col(f"ema{fast}"), F.col(f"ema{slow}")
     b = edges(b, {"_up": f > s, "_dn": f < s})

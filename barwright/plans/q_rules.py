@@ -202,6 +202,23 @@ def _(t):
     return out(catalog.run_documents(tr.Inputs(bars_with_rvol(t), t.candles, t.sessions), DOCUMENTS), "setup symbol day et_min outcome")
 
 
+CTES["extf"] = """select symbol, day, et_min, min(lead) as lead from (select symbol, day, et_min, 'a' as lead from crossing where interval = 5
+ union all select symbol, day, et_min, 'b' from state where session = 'rth' and high > prev_day_high and volume >= 4000) group by all"""
+greedy("extsent", "extf", "symbol lead", "5")
+
+
+@query("catalog_external_triggers", """select f.symbol, f.day, f.et_min, case when s.et_min is null then 'repeat' else 'sent' end as outcome, case f.lead when 'a' then 'orb_trade_cross:5@0' else 'setup:ext:@0' end as lead
+ from extf f left join extsent s on s.symbol = f.symbol and s.day = f.day and s.et_min = f.et_min""")
+def _(t):
+    """A document on crosses of the opening range by trades and on fires of another producer."""
+    from ..operators import catalog
+    from . import q_market as qm
+    bars = bars_with_rvol(t)
+    ext = tr.fires(tr.in_sessions(bars, "rth"), (F.col("high") > F.col("prev_day_high")) & (F.col("volume") >= 4000), "setup:ext", "", "long", F.lit(None), 1)
+    doc = {"id": "doc_ext", "direction": "long", "triggers": [{"id": "orb_trade_cross", "options": ["5"]}, {"id": "setup:ext"}]}
+    return out(catalog.run_documents(tr.Inputs(bars, t.candles, t.sessions, ext, qm.trades(t)), [doc]), "symbol day et_min outcome lead")
+
+
 for _name, _src, _cols in (("cck", "stk5", "x.streak"), ("ccd", "vdp", "x.pa"), ("ccx", "m5x", "x.n5, x.raw")):
     CTES[_name] = f"select b.symbol, b.day, b.et_min, {_cols} from bc b asof left join {_src} x on x.symbol = b.symbol and x.day = b.day and x.slot < b.slot where b.tf = 5 and b.session = 'rth'"
 
@@ -218,7 +235,7 @@ def _(t):
     ids = {"opening_direction_m5": {}, "opening_rvol_m5": {}, "opening_rvol_rank": {}, "rel_vol": {}, "market_align": {"benchmark": "S00"}, "consec_candles": {"tf": 5}, "vwap_day_pct": {}, "rrs_m5": {"benchmark": "S00"}}
     for name, params in ids.items():
         b = catalog.CONDITIONS[name](i, b, "", params).withColumnRenamed("v", name)
-    b = b.withColumn("rrs_m5", F.when(F.col("rrs_m5") == float("inf"), 999.0).otherwise(F.col("rrs_m5")))
+    b = b.withColumn("rrs_m5", F.when(F.isnan("rrs_m5"), 999.0).otherwise(F.col("rrs_m5")))
     return out(b, "symbol day et_min market_align consec_candles", "opening_direction_m5 opening_rvol_m5 opening_rvol_rank rel_vol vwap_day_pct rrs_m5")
 
 

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from ..streaming import streams as sm
+from ..streaming import live, streams as sm
 from . import q_market as qm
 from . import q_rules as qr
 from .registry import CTES, out, query
@@ -55,6 +55,38 @@ def _(t):
     return out(finish(sm.live_signals(s, cutoff), path), "symbol day et_min direction trigger", "value")
 
 
+LIVE_DOCUMENTS = [
+    {"id": "live_break", "mode": "or", "direction": "long", "sessions": ["rth"], "triggers": [{"id": "cross_above", "options": ["vwap"], "params": {"tf": 5}}, {"id": "hod", "options": ["high"]}],
+     "parameters": [{"id": "rvol", "op": "gte", "value": 1}, {"id": "ta_ema", "op": "gte", "value": 100, "params": {"tf": 5, "period": 9}}], "universe_profile": "nobody knows this one", "param_set": "late"},
+    {"id": "live_fade", "mode": "or", "direction": "short", "sessions": ["rth"], "triggers": [{"id": "cross_below", "options": ["vwap"], "params": {"tf": 5}}],
+     "parameters": [{"id": "gap_pct", "op": "lte", "value": 50, "option": "signed"}]}]
+CTES["liver"] = """select 'live_break' as setup, f.symbol, f.day, f.et_min, min(case when f.trigger = 'hod' then 'hod' else 'cross' end) as lead, bool_or(coalesce(c.rvol >= 1 and e.y >= 100 and c.time_et >= 1000, false)) as ok
+  from fx f join cbt c using (symbol, day, et_min) join bc b on b.symbol = f.symbol and b.day = f.day and b.et_min = f.et_min and b.tf = 5 left join c5ema9 e on e.symbol = f.symbol and e.cpos = b.cbefore where f.direction = 'long' group by all
+ union all select 'live_fade', f.symbol, f.day, f.et_min, 'cross', bool_or(coalesce(c.gap_pct <= 50, false)) from fx f join cbt c using (symbol, day, et_min) where f.trigger = 'cross_below' group by all"""
+CTES["liveok"] = "select setup, symbol, lead, day, et_min from liver where ok"
+qr.greedy("livesent", "liveok", "setup symbol lead", "5")
+
+
+@query("stream_rule_documents", """select r.setup, r.symbol, r.day, r.et_min, case when not r.ok then 'blocked' when s.et_min is null then 'repeat' else 'sent' end as outcome
+ from liver r left join livesent s on s.setup = r.setup and s.symbol = r.symbol and s.day = r.day and s.et_min = r.et_min where r.day >= 2""")
+def _(t):
+    """Rule documents on a stream of three batches that cut a session in two; the first two sessions are the replay after a restart.
+
+    A profile that nobody knows lets everything pass; a shared set adds its condition.  Some bars come twice and some late.
+    """
+    b = t.bars.select(live.BAR)
+    path = f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}/stream-{t.tag}/rules-{uuid.uuid4().hex[:8]}"
+    day = F.datediff("et_date", F.lit(BASE_DATE))
+    parts = [b.where(day < 2), b.where((day == 2) & (F.col("et_min") <= 700)).unionByName(b.where((day == 1) & (F.col("et_min") % 40 == 0))),
+             b.where((day > 2) | ((day == 2) & (F.col("et_min") > 690)))]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = t.spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    cutoff = F.date_add(F.lit(BASE_DATE), 2).cast("timestamp")
+    live.start(stream, path, LIVE_DOCUMENTS, live.Known(t.context, t.profile, t.sessions), cutoff=cutoff, shared={"late": [{"id": "time_et", "op": "gte", "value": 1000}]}).awaitTermination()
+    return out(live.outcomes(t.spark, path), "setup symbol day et_min outcome")
+
+
 @query("stream_bar_continuity", """select symbol, day, et_min, arrival, case when t is null then 'first' when et_min = t then 'duplicate' when et_min < t then 'late' when et_min = t + 1 then 'next' else 'gap' end
  as continuity from (select *, max(et_min) over (partition by symbol, day order by arrival rows between unbounded preceding and 1 preceding) as t from arrive)""")
 def _(t):

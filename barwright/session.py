@@ -6,6 +6,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 _MB = 1024 * 1024
+_LOCAL: dict[str, str] = {}  # temporary folders of plain local sessions without the setting
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "barwright") -> SparkSession:
@@ -31,11 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # executors of a local-cluster are processes of their own
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    path = tempfile.mkdtemp(prefix="barwright-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="barwright-")
+    return _LOCAL[app]
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

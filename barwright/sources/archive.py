@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .schemas import BAR_SOURCE
+
 
 def append_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.partitionBy("session_date").mode("append").json(path)
@@ -61,8 +63,8 @@ def replay_order(bars: DataFrame, benchmark: str, sectors: list[str], end_min: i
 
 
 def source_bar_id(source: Column, symbol: Column, ts: Column) -> Column:
-    """source:symbol:1m:utc stamp, unknown sources named so."""
-    known = F.when(source.isin("stream", "history", "quotes"), source).otherwise("unknown")
+    """source:symbol:1m:utc stamp, unknown sources named so; a feed's own label is kept (``wire.bars`` writes it)."""
+    known = F.when(source.isin("stream", "history", "quotes", BAR_SOURCE), source).otherwise("unknown")
     return F.concat_ws(":", known, symbol, F.lit("1m"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 

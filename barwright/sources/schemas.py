@@ -13,3 +13,6 @@ LIST_ITEM = ("struct<symbol:string, description:string, lastPrice:double, netCha
 LIST_MESSAGE = f"data array<struct<service:string, content:array<struct<key:string, `1`:bigint, `4`:array<{LIST_ITEM}>>>>>"
 CANDLES_MESSAGE = "symbol string, candles array<struct<datetime:bigint, open:double, high:double, low:double, close:double, volume:double>>"
 RSS_ITEM = "title string, link string, guid string, pubDate string, description string, tickers string"
+
+#: Fixed value: the label that the feed's own one-minute bars carry.
+BAR_SOURCE = "schwab_chart_equity"

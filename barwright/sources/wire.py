@@ -32,7 +32,7 @@ def bars(messages: DataFrame, text: str = "raw") -> DataFrame:
     c = _contents(messages, schemas.CHART_MESSAGE, BAR_SERVICE, text, [])
     ms = F.col("c")["7"].try_cast("bigint")
     b = c.select(F.col("c")["key"].alias("symbol"), F.timestamp_millis(ms).alias("ts"),
-                 *[number(F.col("c")[code]).alias(name) for name, code in BAR_FIELDS.items()], F.lit("schwab_chart_equity").alias("source"))
+                 *[number(F.col("c")[code]).alias(name) for name, code in BAR_FIELDS.items()], F.lit(schemas.BAR_SOURCE).alias("source"))
     return b.dropna(subset=["symbol", "ts", *BAR_FIELDS])
 
 
