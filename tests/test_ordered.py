@@ -40,6 +40,23 @@ def test_recurrence_over_chunk_and_super_chunk_borders(spark, rows):
                 assert abs(w - g) < 1e-9, (s.out, p, w, g)
 
 
+def test_long_smoothing_is_exact_over_many_super_chunks(spark):
+    """n = 5,000 over 300,000 rows: the first rows still weigh in, and the chain over super-chunks cuts nothing off."""
+    rnd = random.Random(5)
+    values = [rnd.uniform(-5, 50) + (1e6 if p < 6000 else 0) for p in range(300_000)]
+    df = spark.createDataFrame(list(enumerate(values, 1)), "pos long, v double").withColumn("k", F.lit("a")).repartition(4)
+    specs = [Smooth("w", "v", 5000, wilder=True), Smooth("e", "v", 40_000)]
+    out = rolling(recurrence(df, ["k"], "pos", specs), ["k"], "pos", 4999, lambda w: {"m": F.avg("v").over(w.rowsBetween(-4999, 0))})
+    at = [4999, 5000, 5001, 40_000, 65_536, 65_537, 131_072, 131_073, 196_609, 262_144, 262_145, 300_000]
+    got = {r.pos: r for r in out.where(F.col("pos").isin(at)).collect()}
+    for s in specs:
+        want = smooth(values, s.n, s.k)
+        for p in at:
+            w, g = want[p - 1], got[p][s.out]
+            assert (w is None) == (g is None) and (w is None or abs(w - g) <= 1e-9 * max(1.0, abs(w))), (s.out, p, w, g)
+    assert all(abs(got[p].m - sum(values[p - 5000:p]) / 5000) < 1e-6 * 1e6 for p in at[1:])
+
+
 def test_position_rolling_running_do_not_depend_on_partitions(spark):
     rnd = random.Random(3)
     data = [(k, d, m, float(rnd.randint(0, 99))) for k in "ab" for d in range(7) for m in range(rnd.randint(1, 40))]
