@@ -87,6 +87,39 @@ def _(t):
     return out(live.outcomes(t.spark, path), "setup symbol day et_min outcome")
 
 
+_ROLLED: dict[str, str] = {}  # two queries read the tables of one run
+
+
+def rolled(t):
+    """A stream of all bars in three batches: closed sessions and the context after each, in the folder that is returned."""
+    if t.tag in _ROLLED:
+        return _ROLLED[t.tag]
+    b = t.bars.select(live.BAR)
+    path = f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}/stream-{t.tag}/rollover-{uuid.uuid4().hex[:8]}"
+    day = F.datediff("et_date", F.lit(BASE_DATE))
+    for part in (b.where(day < 2), b.where((day == 2) | ((day == 3) & (F.col("et_min") <= 700))), b.where((day > 3) | ((day == 3) & (F.col("et_min") > 700)))):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = t.spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    live.closing_sessions(stream).writeStream.outputMode("append").foreachBatch(live.fold_in_to(path)).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start().awaitTermination()
+    _ROLLED[t.tag] = path
+    return path
+
+
+@query("stream_closed_sessions", "select symbol, day, open, high, low, close, volume from sessions where day < (select max(day) from sessions)")
+def _(t):
+    return out(t.spark.read.parquet(f"{rolled(t)}/daily").drop("batch_id"), "symbol day open high low close volume")
+
+
+@query("stream_daily_context", """select symbol, day, prior_open, prior_high, prior_low, prior_close, hi_52w, lo_52w, days, n_day_high, n_day_low, round(adv20, 6) as adv20, round(atr_d1, 6) as atr_d1
+ from ctx where prior_close is not null""")
+def _(t):
+    """The context that each session opens with, folded in when the session before has closed on the stream."""
+    from pyspark.sql import Window
+    opened = t.sessions.select("symbol", "et_date", F.lag("et_date").over(Window.partitionBy("symbol").orderBy("et_date")).alias("after"))
+    c = t.spark.read.parquet(f"{rolled(t)}/context").drop("batch_id").join(opened, ["symbol", "after"])
+    return out(c, "symbol day prior_open prior_high prior_low prior_close hi_52w lo_52w days n_day_high n_day_low", "adv20 atr_d1")
+
+
 @query("stream_bar_continuity", """select symbol, day, et_min, arrival, case when t is null then 'first' when et_min = t then 'duplicate' when et_min < t then 'late' when et_min = t + 1 then 'next' else 'gap' end
  as continuity from (select *, max(et_min) over (partition by symbol, day order by arrival rows between unbounded preceding and 1 preceding) as t from arrive)""")
 def _(t):

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import candles as co
-from ..operators import catalog, state as st
+from ..operators import catalog, daily as da, state as st
 from ..operators.triggers import Inputs
 
 DAY = ["symbol", "et_date"]
@@ -103,3 +104,71 @@ def start(bars: DataFrame, path: str, documents: list[dict], known: Known, trigg
 def outcomes(spark, path: str) -> DataFrame:
     """All outcomes written so far."""
     return spark.read.parquet(f"{path}/outcomes").drop("batch_id")
+
+
+# ---- sessions that end ---------------------------------------------------------------------------------------------------------
+
+DAILY = ["symbol", "et_date", "open", "high", "low", "close", "volume"]
+
+
+def closing_sessions(bars: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """The regular-session daily bar of every (symbol, date), emitted once when the event time has passed 22:00 UTC of that date by ``delay``.
+
+    Any bar moves the event time, also one of the evening or of another symbol, so a symbol that falls silent closes as well.  The state of a session is one
+    row and goes with its emission; a new session starts from nothing.
+    """
+    span = F.window("ts", "1 day", "1 day", "22 hours")
+    g = bars.withWatermark("ts", delay).where("session = 'rth'").groupBy("symbol", "et_date", span)
+    return g.agg(F.min_by("open", "et_min").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "et_min").alias("close"),
+                 F.sum("volume").alias("volume")).select(DAILY)
+
+
+def context_after(daily: DataFrame) -> DataFrame:
+    """The daily context as it stands after each session: ``after`` and the columns of ``daily_context``, the newest session included."""
+    coming = daily.groupBy("symbol").agg(F.date_add(F.max("et_date"), 1).alias("et_date")).select(*[F.col(c) if c in ("symbol", "et_date") else F.lit(None).cast("double").alias(c) for c in DAILY])
+    days = daily.select(DAILY).unionByName(coming)
+    before = days.select("symbol", "et_date", F.lag("et_date").over(Window.partitionBy("symbol").orderBy("et_date")).alias("after"))  # one row per trading date
+    return da.daily_context(days).join(before.where("after is not null"), DAY).drop("et_date")
+
+
+def fold_in_to(path: str, history: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer of a stream of ``closing_sessions``: closed daily bars join ``path``/daily, and the context that the next session opens with goes to ``path``/context.
+
+    ``history`` holds daily bars from before the stream.  A repeated batch overwrites its own folders.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.select(DAILY).write.mode("overwrite").parquet(f"{path}/daily/batch_id={batch_id}")
+        stored = spark.read.schema(batch.select(DAILY).schema.add("batch_id", "integer")).parquet(f"{path}/daily").where(F.col("batch_id") <= batch_id)
+        new = stored.where(F.col("batch_id") == batch_id).select("symbol", F.col("et_date").alias("after"))
+        if new.isEmpty():
+            return
+        known = stored.select(DAILY) if history is None else stored.select(DAILY).unionByName(history.select(DAILY))
+        mine = known.join(new.select("symbol").distinct(), "symbol", "left_semi")
+        context_after(mine).join(new, ["symbol", "after"], "left_semi").write.mode("overwrite").parquet(f"{path}/context/batch_id={batch_id}")
+    return write
+
+
+# ---- silent feeds ----------------------------------------------------------------------------------------------------------------
+
+FEED_STATES = "symbol string, state string, last_ms bigint"
+
+
+def feed_states(bars: DataFrame, limit_ms: int = 90_000) -> DataFrame:
+    """A row whenever a symbol turns ``live`` (its first bar, or one after a silence) or ``stale`` (no bar for ``limit_ms`` of processing time).
+
+    Staleness comes from a timer of the state, so it is noticed without any further bar.  ``bars``: symbol, close_ms; the state holds one row a symbol.
+    """
+    def run(key, frames, state):
+        import pandas as pd
+        held, last = state.get if state.exists else ("stale", 0)
+        if state.hasTimedOut:
+            turned = "stale"
+            state.update((turned, last))
+        else:
+            last = max(last, *(int(f["close_ms"].max()) for f in frames))
+            turned = "live" if held == "stale" else None
+            state.update(("live", last))
+            state.setTimeoutDuration(limit_ms)
+        yield pd.DataFrame([(key[0], turned, last)] if turned else [], columns=["symbol", "state", "last_ms"])
+    return bars.select("symbol", "close_ms").groupBy("symbol").applyInPandasWithState(run, FEED_STATES, "state string, last_ms bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -10,7 +10,7 @@ from barwright.plans.tables import tables
 from barwright.operators import quotes as qt
 from barwright.operators import rules as ru
 from barwright.session import shared_dir
-from barwright.streaming import streams as sm
+from barwright.streaming import live, streams as sm
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +56,42 @@ def test_sequence_numbers_continue_over_batches(spark):
     s.writeStream.foreachBatch(w).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start().awaitTermination()
     got = [r[0] for r in spark.read.parquet(f"{path}/out").select("seq").orderBy("seq").collect()]
     assert got == list(range(1, f.count() + 1))
+
+
+def test_silent_symbols_turn_stale_by_a_timer_and_live_again(spark):
+    """No bar announces that a symbol is stale: the timer of its state does."""
+    import time
+    path = f"{shared_dir(spark)}/stream-test-{uuid.uuid4().hex[:8]}"
+    send = lambda *symbols: spark.createDataFrame([(s, int(time.time() * 1000)) for s in symbols], "symbol string, close_ms bigint").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    send("A", "B")
+    stream = spark.readStream.schema("symbol string, close_ms bigint").parquet(f"{path}/in")
+    q = live.feed_states(stream, 8_000).writeStream.outputMode("append").format("memory").queryName("feed_states").option("checkpointLocation", f"{path}/ck").trigger(processingTime="1 second").start()
+    try:
+        seen = lambda: [(r.symbol, r.state) for r in spark.table("feed_states").collect()]
+        end = time.time() + 90
+        while ("B", "stale") not in seen() and time.time() < end:
+            send("A")
+            time.sleep(1)
+        send("A", "B")
+        while seen().count(("B", "live")) < 2 and time.time() < end:
+            send("A")
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert [s for x, s in seen() if x == "B"][:3] == ["live", "stale", "live"]
+    assert [s for x, s in seen() if x == "A"][:1] == ["live"]
+
+
+def test_rules_of_a_repeated_batch_stand_once(spark):
+    """The second call with the same batch id overwrites what the first one wrote; bars sent again change nothing."""
+    from barwright.plans.q_streaming import LIVE_DOCUMENTS
+    t = tables(spark, SF)
+    path = f"{shared_dir(spark)}/stream-test-{uuid.uuid4().hex[:8]}"
+    b = t.bars.where("symbol in ('S00', 'S01')").select(live.BAR)
+    write = live.rules_to(path, LIVE_DOCUMENTS[1:], live.Known(t.context, t.profile, t.sessions))
+    write(b.where("et_min <= 700"), 0)
+    write(b.where("et_min <= 700"), 0)
+    first = live.outcomes(spark, path).collect()
+    write(b.where("et_min <= 650"), 1)
+    assert sorted(live.outcomes(spark, path).collect()) == sorted(first) and first
+    assert live.received(spark, path, 2).count() == b.where("et_min <= 700").count()
