@@ -1,7 +1,11 @@
 """Minute bars from quotes: odd lots, resets, day extremes, grace."""
+import datetime
+import random
+
 import pandas as pd
 
 from barwright.functions import ticks
+from barwright.operators import quotes as qt
 
 M = 60_000
 
@@ -95,3 +99,31 @@ def test_repeats_are_passed_over_and_bad_trades_clear():
     assert cross([(1000, 99.0), (1000, 101.0), (2000, 101.0)]) == [2000]
     assert cross([(1000, 99.0), (1500, 99.0, False, 1), (2000, 101.0)]) == []
     assert cross([(1000, 99.0), (2000, 101.0, True, 2), (3000, 99.0, True, 2), (3500, 101.0, True, 2)]) == [3500]
+
+
+def test_crosses_on_columns_equal_the_folded_ticks(spark):
+    """Random sessions with falling, repeated and untrusted stamps, new generations and pauses: the window form against the streamed one."""
+    r, day, rows = random.Random(6), datetime.date(2024, 1, 2), []
+    for k in range(60):
+        ms, seq = 36_000_000, 0
+        for _ in range(r.randint(5, 200)):
+            ms += r.choice((0, 200, 900, 900, 4000, 12_000, -500, -300, 70_000 if r.random() < 0.1 else 800))
+            seq += 1
+            rows.append((f"X{k}", day, ms // 60_000, ms, max(ms, 36_000_000) + seq * 0 + r.choice((50, 100, 2500 if r.random() < 0.2 else 100)), 0, 100 + r.uniform(-1, 0.4), r.randint(0, 12) // 12 + ms // 300_000, r.random() < 0.95))
+    rows = [(*x[:5], n, *x[6:]) for n, x in enumerate(rows)]
+    # receipt order is the order of arrival
+    top, fixed = {}, []
+    for x in rows:
+        top[x[0]] = max(top.get(x[0], 0), x[4])
+        fixed.append((*x[:4], top[x[0]], *x[5:]))
+    trades = spark.createDataFrame(fixed, "symbol string, et_date date, et_min long, trade_ms long, receipt_ms long, seq long, price double, generation long, trusted boolean").repartition(5)
+    opening = spark.createDataFrame([(f"X{k}", day, i, 100.0, f"r{i}") for k in range(60) for i in (5, 15)], "symbol string, et_date date, interval int, or_high double, range_id string")
+    got = sorted((x.symbol, x.interval, x.trade_ms, x.price) for x in qt.trade_cross(trades, opening).collect())
+    want = []
+    frame = pd.DataFrame(fixed, columns=trades.columns)
+    for k in range(60):
+        for i in (5, 15):
+            own = frame[frame["symbol"] == f"X{k}"].sort_values(["receipt_ms", "seq"]).assign(interval=i, or_high=100.0, range_id=f"r{i}")
+            found, _ = ticks.first_cross(own, None)
+            want += [(x.symbol, x.interval, x.trade_ms, x.price) for x in found.itertuples()]
+    assert got == sorted(want) and len(want) > 30
