@@ -115,3 +115,26 @@ def test_alert_matching_is_one_to_one_nearest_first(spark):
 def test_score_bounds(spark):
     df = spark.createDataFrame([(None, 1), (0.0, 3), (1.25, 1), (9.0, 9)], "r double, n int").select(ru.score(F.col("r"), F.col("n")).alias("s"))
     assert [r.s for r in df.collect()] == [55, 65, 57, 95]
+
+
+def test_strength_against_each_symbols_own_sector(spark):
+    """One sector for all symbols is the single-benchmark form; with two sectors each symbol has the strength against its own."""
+    from barwright.operators import relative as rel
+    from barwright.plans.tables import tables
+    t = tables(spark, "/root/testdata/sf0.001")
+    key = lambda df: {(r.symbol, r.et_date, r.slot): r.rrs_m5 for r in df.where("rrs_m5 is not null").collect()}
+    symbols = t.sessions.select("symbol").distinct()
+    one, other = key(rel.rrs_intraday(t.candles, "S01")), key(rel.rrs_intraday(t.candles, "S02"))
+    assert key(rel.rrs_against(t.candles, symbols.withColumn("sector", F.lit("S01")))) == one
+    odd = F.substring("symbol", 2, 2).cast("int") % 2 == 1
+    both = key(rel.rrs_against(t.candles, symbols.withColumn("sector", F.when(odd, "S02").otherwise("S01"))))
+    want = {k: v for src, side in ((other, 1), (one, 0)) for k, v in src.items() if int(k[0][1:]) % 2 == side}
+    assert both == want and want
+
+
+def test_values_still_warming_up_pass_every_operator(spark):
+    setups = ru.setups_table(spark, [(op, "or", "all", None, ["rth"], 0, 5, 2, [("a", "", 1, 0)], [("c", op, 1.0)], "up_all") for op in ("gte", "lte", "gt", "lt")])
+    rows = spark.createDataFrame([(op, "X", D, m) for op in ("gte", "lte", "gt", "lt") for m in (600, 601, 602)], "setup string, symbol string, et_date date, et_min int")
+    values = spark.createDataFrame([("X", D, 600, float("nan")), ("X", D, 601, None), ("X", D, 602, 1.0)], "symbol string, et_date date, et_min int, c double")
+    got = {(r.setup, r.et_min): r.ok for r in ru.with_verdict(rows, values, setups, ["c"]).collect()}
+    assert all(got[op, 600] and not got[op, 601] for op in ("gte", "lte", "gt", "lt")) and [got[op, 602] for op in ("gte", "lte", "gt", "lt")] == [True, True, False, False]
