@@ -279,9 +279,11 @@ def _rest_links(mine: DataFrame, sigs: DataFrame, texts: DataFrame, least: list[
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; its columns are unchanged.  Equal rows count once."""
+    """One document of each group stays, the one with the smallest doc_id; its columns are unchanged.  Equal rows count once.
+
+    An id that several texts bear goes only when none of its rows is kept, so no group loses its kept document."""
     with temporary(docs.sparkSession):
-        gone = written(near_groups(docs, doc_id, text, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "dropped", stays=True)
+        gone = written(near_groups(docs, doc_id, text, **options).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("kept")).where("not kept").select("_gone"), "dropped", stays=True)
     kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
     again = docs.groupBy(doc_id).count().where("count > 1")
     return kept if again.isEmpty() else kept.dropDuplicates()

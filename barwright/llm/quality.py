@@ -3,9 +3,11 @@
 Base measures of a whole text (null: no word) come from one vectorised pass.  The adaptive rules look at three shares: symbols per word,
 capitals per ASCII letter, repeated lines per line.  Each share of each (lang, source) is summarised by a sketch of logarithmic buckets
 (relative error 1 %); sketches merge by adding bucket counts, so one pass serves the group, the language and the whole.  A document is
-rejected when a share lies above ``median + spread * (median - 10th percentile) + margin`` of its group; the lower half of the
-distribution sets the cut, so junk does not raise it until it is half of a group.  A group with fewer than ``min_rows`` documents uses its
-language's sketch, then that of all.
+rejected when a share lies above ``max(median + spread * (median - 10th percentile), 90th percentile) + margin`` of its group: what a tenth of a
+source's documents carry is normal for it.  A share that is zero in at least half of a group says nothing in its lower half; its cut rises by the share of
+non-zero documents times the median of their values, a mean that outliers do not move.  A group's cut is at most ``bound`` times its language's, and that
+at most ``bound`` times the cut of all, so that a source full of junk does not set its own measure.  A group with fewer than ``min_rows``
+documents uses its language's sketch, then that of all.
 
 Null lang or source form a group of their own.  Empty and null texts have zero measures and fail the base rule.  Equal rows are judged
 alike.  An empty table gives an empty result.
@@ -87,24 +89,30 @@ def limits(sketch: DataFrame, spread: float = 8.0, margins: dict[str, float] = M
     group = ["level", "lang", "source", "rule"]
     w = Window.partitionBy(*group)
     value = F.when(F.col("bucket") == -1000, F.lit(0.0)).otherwise(F.pow(F.lit(_BASE), F.col("bucket")) * (2 / (1 + _BASE)))
-    run = sketch.select(*group, "bucket", value.alias("v"), F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("all"))
+    zeros = F.coalesce(F.sum(F.when(F.col("bucket") == -1000, F.col("n"))).over(w), F.lit(0))
+    run = sketch.select(*group, "bucket", value.alias("v"), F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("all"), zeros.alias("zeros"))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("v")))
-    cut = run.groupBy(*group).agg(at(0.5).alias("mid"), at(0.1).alias("low"), F.max("all").alias("rows"))
+    beyond = F.when((F.col("v") > 0) & (F.col("upto") - F.col("zeros") >= 0.5 * (F.col("all") - F.col("zeros"))), F.col("v"))
+    cut = run.groupBy(*group).agg(at(0.5).alias("mid"), at(0.1).alias("low"), at(0.9).alias("high"), F.coalesce(F.min(beyond), F.lit(0.0)).alias("typical"),
+                                  F.max("all").alias("rows"), F.max("zeros").alias("zeros"))
     margin = F.create_map(*[F.lit(x) for kv in margins.items() for x in kv])
-    cut = cut.withColumn("cut", F.col("mid") + spread * (F.col("mid") - F.col("low")) + margin[F.col("rule")])
+    rise = F.when(F.col("mid") == 0, (F.col("rows") - F.col("zeros")) / F.col("rows") * F.col("typical")).otherwise(F.lit(0.0))
+    cut = cut.withColumn("cut", F.greatest(F.col("mid") + spread * (F.col("mid") - F.col("low")), F.col("high")) + margin[F.col("rule")] + rise)
     return cut.groupBy("level", "lang", "source").agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("rule") == k, F.col("cut"))).alias(k) for k in margins])
 
 
-def judged(measured: DataFrame, lim: DataFrame, q: str, lang: str = "lang", source: str = "source", min_rows: int = 100, into: str = "verdict") -> DataFrame:
+def judged(measured: DataFrame, lim: DataFrame, q: str, lang: str = "lang", source: str = "source", min_rows: int = 100, into: str = "verdict", bound: float = 2.0) -> DataFrame:
     """``measured`` with a struct ``into`` (base_failed, kept): the filter joined on (lang, source), else lang, else all."""
     pick = lambda level, *keys: lim.where(f"level = {level}").select(*[F.col(k).alias(f"_k{level}_{k}") for k in keys], F.struct("rows", *MARGINS).alias(f"_l{level}"))
     out = (measured.join(pick(0, "lang", "source"), F.col(lang).eqNullSafe(F.col("_k0_lang")) & F.col(source).eqNullSafe(F.col("_k0_source")), "left")
            .join(pick(1, "lang"), F.col(lang).eqNullSafe(F.col("_k1_lang")), "left")
            .join(F.broadcast(pick(2)), F.lit(True), "left"))  # one row
-    used = F.when(F.col("_l0.rows") >= min_rows, F.col("_l0")).when(F.col("_l1.rows") >= min_rows, F.col("_l1")).otherwise(F.col("_l2"))
     over = F.lit(False)
     for k, v in _shares(q).items():
-        over = over | F.coalesce(v > used[k], F.lit(False))
+        cut = F.col(f"_l2.{k}")
+        for finer in ("_l1", "_l0"):
+            cut = F.when(F.col(f"{finer}.rows") >= min_rows, F.least(F.col(f"{finer}.{k}"), bound * cut)).otherwise(cut)
+        over = over | F.coalesce(v > cut, F.lit(False))
     return out.withColumn(into, F.struct(base_failed(q).alias("base_failed"), (~base_failed(q) & ~over).alias("kept"))).drop("_k0_lang", "_k0_source", "_k1_lang", "_l0", "_l1", "_l2")
 
 

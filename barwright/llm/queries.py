@@ -38,14 +38,17 @@ u as (select lang, source, unnest([{'rule': 'symbols', 'v': symbols, 'm': 0.1::d
 f as (select lang, source, r.rule as rule, r.m as m, case when r.v <= 1e-6 then -1000 else ceil(ln(r.v) / ln(1.02::double)) end::int as b from u),
 g as (select 0 as level, lang, source, rule, m, b from f union all select 1, lang, null, rule, m, b from f union all select 2, null, null, rule, m, b from f),
 h as (select level, lang, source, rule, m, b, sum(count(*)) over (partition by level, lang, source, rule order by b) as upto, sum(count(*)) over (partition by level, lang, source, rule) as n from g group by level, lang, source, rule, m, b),
-q as (select level, lang, source, rule, max(n) as n, any_value(m) as m, min(case when b = -1000 then 0 else pow(1.02::double, b) * (2 / 2.02::double) end) filter (upto >= 0.5 * n) as mid,
-  min(case when b = -1000 then 0 else pow(1.02::double, b) * (2 / 2.02::double) end) filter (upto >= 0.1 * n) as low from h group by 1, 2, 3, 4),
-c as (select level, lang, source, max(n) as n, max(mid + 8 * (mid - low) + m) filter (rule = 'symbols') as c_s, max(mid + 8 * (mid - low) + m) filter (rule = 'capitals') as c_c, max(mid + 8 * (mid - low) + m) filter (rule = 'dup_lines') as c_d
-  from q group by 1, 2, 3)
+e as (select level, lang, source, rule, m, b, upto, n, case when b = -1000 then 0 else pow(1.02::double, b) * (2 / 2.02::double) end as v, coalesce(max(upto) filter (b = -1000) over (partition by level, lang, source, rule), 0) as z from h),
+q as (select level, lang, source, rule, max(n) as n, max(z) as z, any_value(m) as m, min(v) filter (upto >= 0.5 * n) as mid, min(v) filter (upto >= 0.1 * n) as low, min(v) filter (upto >= 0.9 * n) as high,
+  coalesce(min(v) filter (v > 0 and upto - z >= 0.5 * (n - z)), 0) as typical from e group by 1, 2, 3, 4),
+k as (select level, lang, source, rule, n, greatest(mid + 8 * (mid - low), high) + m + case when mid = 0 then (n - z) / n * typical else 0 end as cut from q),
+c as (select level, lang, source, max(n) as n, max(cut) filter (rule = 'symbols') as c_s, max(cut) filter (rule = 'capitals') as c_c, max(cut) filter (rule = 'dup_lines') as c_d from k group by 1, 2, 3),
+a1 as (select c.lang, least(c.c_s, 2 * o.c_s) as c_s, least(c.c_c, 2 * o.c_c) as c_c, least(c.c_d, 2 * o.c_d) as c_d from c, (select * from c where level = 2) o where c.level = 1 and c.n >= 100)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
-  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not (symbols > coalesce(a.c_s, b.c_s, e.c_s) or capitals > coalesce(a.c_c, b.c_c, e.c_c) or dup_lines > coalesce(a.c_d, b.c_d, e.c_d)) as kept
-from s left join c a on a.level = 0 and a.n >= 100 and a.lang is not distinct from s.lang and a.source is not distinct from s.source
-  left join c b on b.level = 1 and b.n >= 100 and b.lang is not distinct from s.lang left join c e on e.level = 2
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not coalesce(symbols > case when n0 is null then s1 else least(s0, 2 * s1) end or capitals > case when n0 is null then c1 else least(c0, 2 * c1) end or dup_lines > case when n0 is null then d1 else least(d0, 2 * d1) end, false) as kept
+from (select s.*, a.n as n0, a.c_s as s0, a.c_c as c0, a.c_d as d0, coalesce(b.c_s, o.c_s) as s1, coalesce(b.c_c, o.c_c) as c1, coalesce(b.c_d, o.c_d) as d1 from s
+  left join c a on a.level = 0 and a.n >= 100 and a.lang is not distinct from s.lang and a.source is not distinct from s.source
+  left join a1 b on b.lang is not distinct from s.lang left join c o on o.level = 2)
 """)
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")

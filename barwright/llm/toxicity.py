@@ -36,6 +36,14 @@ def word_features(word: str) -> list[str]:
     return [f"={word}", *[f"{word[:n]}~" for n in STEMS if len(word) > n]]
 
 
+def capitals(text: str, lower: str) -> int:
+    """How many characters of the whole text lower-casing changes."""
+    if len(lower) != len(text):
+        return sum(c != c.lower() for c in text)
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (text, lower))
+    return int(np.count_nonzero(a != b))
+
+
 @dataclass
 class Model:
     """Known features and the weights of the classifier: features first, then ``extras``."""
@@ -50,7 +58,8 @@ class Model:
         if len(cache) > CACHED:
             cache.clear()
         counts: dict[int, int] = {}
-        found = _LETTERS.findall(text.lower())
+        lower = text.lower()
+        found = _LETTERS.findall(lower)
         for word in found:
             known = cache.get(word)
             if known is None:
@@ -58,7 +67,7 @@ class Model:
             for k in known:
                 counts[k] = counts.get(k, 0) + 1
         size = max(1, len(text))
-        return counts, len(found), [sum(map(str.isupper, text)) / size if len(text) < 4096 else sum(map(str.isupper, text[::8])) * 8 / size, text.count("!") / size]
+        return counts, len(found), [capitals(text, lower) / size, text.count("!") / size]
 
     def row(self, text: str | None, cache: dict[str, tuple]) -> tuple[list[int], list[float]]:
         """Sparse row of the classifier."""

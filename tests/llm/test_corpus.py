@@ -86,6 +86,25 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sorted(ids) == sorted(want) and "comp" in out.columns
 
 
+def test_a_repeated_id_does_not_take_its_group_along(spark):
+    """Id 2 bears two texts: the one keeps a group of its own, the other is a copy of a smaller id's."""
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a), (2, a), (2, b), (3, b)]
+    kept = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["text"] for r in kept} == {a, b} and 3 not in {r["doc_id"] for r in kept}
+
+
+def test_capitals_are_counted_over_the_whole_text():
+    for t in ("", "Ab", "aB" * 5000, "\u0130stanbul \u03a3\u0391\u03a3 xY", "\u00c9t\u00e9 " * 2000):
+        assert toxicity.capitals(t, t.lower()) == sum(c != c.lower() for c in t)
+
+
+def test_texts_that_differ_in_outer_blanks_are_one_cluster(spark):
+    docs = spark.createDataFrame([(k, t, f"s{k}") for k, t in enumerate([" one two", "one two\n", "ONE  two", "one\ttwo "])], "doc_id bigint, text string, source string")
+    bins = packing.pack(docs, capacity=100).collect()
+    assert len({(r["shard"], r["bin"]) for r in bins}) == 4
+
+
 def test_quality_counts_equal_plain_model():
     texts = [t for _, t in awkward()] + ["a b\na b\n\na b \n", "\n\n", "#*$ <x> | %", "one " * 9, "A\x0bB\x0cC\r\nA\x0bB"]
     got = list(zip(*[c.tolist() for c in quality.counts(pa.array(texts, pa.string()))[:5]]))
@@ -101,6 +120,25 @@ def test_quality_rules_follow_the_data(spark):
     assert kept == set(range(300)) and out.count() == len(rows)
 
 
+def test_quality_cuts_differ_between_groups_with_different_levels(spark):
+    """A fifth of source m carries markup as a matter of course, source j is junk in most of its rows; the same texts elsewhere are judged by their own source."""
+    r, words = random.Random(5), vocabulary(5)
+    plain = lambda: " ".join(r.choice(words) for _ in range(40))
+    marked = lambda n: plain() + " " + "<> " * n
+    lines = lambda n: "\n".join([plain()] + [f"short line {k % (10 - n)}" for k in range(9)])
+    rows = [(k, plain(), "en", "p") for k in range(600)] + [(600, marked(4), "en", "p")]
+    rows += [(1000 + k, marked(4) if k % 5 == 0 else plain(), "en", "m") for k in range(300)]
+    rows += [(2000 + k, marked(60) if k % 10 else plain(), "en", "j") for k in range(150)]
+    rows += [(3000 + k, lines(k % 3 + 1) if k % 4 == 0 else plain(), "en", "d") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    cut = {x["source"]: x for x in quality.limits(quality.sketches(quality.measure(docs, into="q"), "q")).where("level = 0").collect()}
+    assert cut["p"]["symbols"] < cut["m"]["symbols"] < cut["j"]["symbols"] and cut["p"]["dup_lines"] < cut["d"]["dup_lines"]
+    out, _, v = quality.quality_verdicts(docs)
+    kept = {x["doc_id"] for x in out.where(f"{v}.kept").collect()}
+    assert 600 not in kept and {1000 + k for k in range(300)} <= kept
+    assert kept & set(range(2000, 2150)) == {2000 + k for k in range(0, 150, 10)}
+
+
 def test_quality_thresholds_are_quantiles(spark):
     rows = [(k, "a" * (k % 10) + "B" * (10 - k % 10) + " x" * 25, "en", "s") for k in range(500)]
     measured = quality.measure(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), into="q")
