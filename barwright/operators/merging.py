@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.quantiles import quantiles
 from . import candles as co
 
 W = Window
@@ -90,8 +91,10 @@ def state_diff(a: DataFrame, b: DataFrame, fields: list[str], keys: list[str], b
     y = b.select(*keys, *[F.col(f).alias(f"b_{f}") for f in fields])
     pairs = ", ".join(f"'{f}', try_divide(b_{f} - a_{f}, a_{f}) * 100" for f in fields)
     long = x.join(y, keys).select(*by, F.expr(f"stack({len(fields)}, {pairs}) as (field, d)")).where("d is not null")
-    return long.groupBy(*by, "field").agg(F.count(F.lit(1)).alias("n"), F.percentile("d", 0.5).alias("median_diff"),
-                                          F.percentile(F.abs("d"), 0.5).alias("median_abs"), F.max(F.abs("d")).alias("worst_abs"))
+    both = long.select(*by, "field", F.expr("stack(2, true, d, false, abs(d)) as (_signed, _d)"))
+    q = quantiles(both, [*by, "field", "_signed"], "_d", {"_m": 0.5})
+    of = lambda signed, c: F.max(F.when(F.col("_signed") == signed, F.col(c)))
+    return q.groupBy(*by, "field").agg(F.max("n").alias("n"), of(True, "_m").alias("median_diff"), of(False, "_m").alias("median_abs"), of(False, "largest").alias("worst_abs"))
 
 
 def parity(df: DataFrame, a: str, b: str, order: str, by: list[str]) -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.quantiles import quantiles
+
 W = Window
 
 # Name fragments of funds and leveraged products, exchange codes of the second directory file.
@@ -70,6 +72,14 @@ def universe_diff(a: DataFrame, b: DataFrame, thresholds: dict[str, float]) -> D
     return j.select("symbol", "side", kind.alias("kind"), other.alias("other_result"), near.alias("near_cutoff"))
 
 
+def metric_ratios(a: DataFrame, b: DataFrame, metrics: list[str]) -> DataFrame:
+    """Median and 5th / 95th percentile of B over A for each metric, over the symbols that both sides know."""
+    y = b.select("symbol", *[F.col(m).alias(f"_b_{m}") for m in metrics])
+    pairs = ", ".join(f"'{m}', try_divide(_b_{m}, {m})" for m in metrics)
+    long = a.select("symbol", *metrics).join(y, "symbol").select(F.expr(f"stack({len(metrics)}, {pairs}) as (metric, ratio)"))
+    return quantiles(long, ["metric"], "ratio", {"median_ratio": 0.5, "p05": 0.05, "p95": 0.95}).drop("largest")
+
+
 def ordered_union(parts: list[DataFrame]) -> DataFrame:
     """Distinct symbols of several lists in list order (benchmark, watchlist, sectors): (symbol, part, place)."""
     u = None

@@ -226,10 +226,7 @@ def _(t):
  select 'price' as metric, b.price / a.price as r from scra a join scrb b using (symbol) where a.price <> 0 and b.price is not null
  union all select 'atr_pct', b.atr_pct / a.atr_pct from scra a join scrb b using (symbol) where a.atr_pct <> 0) group by metric""")
 def _(t):
-    a, b = screen_a(t), screen_b(t)
-    j = a.select("symbol", "price", "atr_pct").join(b.select("symbol", F.col("price").alias("bp"), F.col("atr_pct").alias("ba")), "symbol")
-    s = j.select(F.expr("stack(2, 'price', try_divide(bp, price), 'atr_pct', try_divide(ba, atr_pct)) as (metric, r)")).where("r is not null")
-    g = s.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.percentile("r", 0.5).alias("median_ratio"), F.percentile("r", 0.05).alias("p05"), F.percentile("r", 0.95).alias("p95"))
+    g = un.metric_ratios(screen_a(t), screen_b(t), ["price", "atr_pct"])
     return out(g, "metric n", "median_ratio p05 p95")
 
 

@@ -255,12 +255,12 @@ def _(t):
 
 # ---- archive ------------------------------------------------------------------------------------------------------------------------------
 
-def archive_path(t):
+def archive_path(t, name="alerts"):
     a = qr.alerts(t)
     rows = a.select(F.when(F.col("et_min") % 10 != 0, F.concat_ws(":", "setup", "symbol", F.col("et_date").cast("string"), F.col("et_min").cast("string"))).alias("event_id"),
                     F.lit("s1").alias("session_id"), F.lit("live").alias("mode"), F.lit("custom").alias("source"), "symbol", "setup", "direction", "trigger", "ts", "price",
                     F.col("score").cast("double").alias("score"), F.col("et_date").alias("session_date"))
-    path = folder(t, "alerts")
+    path = folder(t, name)
     t.spark.range(0).select(F.lit(None).cast("string").alias("event_id"), F.lit("x").alias("session_date")).limit(0).write.mode("overwrite").json(path)
     archive.append_alerts(rows, path)
     return path
@@ -276,8 +276,10 @@ def _(t):
 
 @query("alert_archive_retention", "select setup, symbol, day, et_min from alerts where day >= 4")
 def _(t):
-    a = qr.alerts(t).withColumn("session_date", F.col("et_date"))
-    return out(archive.retained(a, "2000-01-09", 3), "setup symbol day et_min")
+    from ..functions.clock import add_clock
+    path = archive_path(t, "alerts-retention")
+    archive.expire(t.spark, path, "2000-01-09", 3)
+    return out(add_clock(t.spark.read.schema(schemas.ALERTS).json(path)), "setup symbol day et_min")
 
 
 @query("replay_capture_digests", """select symbol, label, count(*) as rows, true as verified from (select symbol, '1min' as label from bars where day = 3 union all select symbol, 'daily' from sessions where day < 3

@@ -1,6 +1,8 @@
 """Alert archive, frozen inputs with digests, exports and revision digests."""
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .schemas import BAR_SOURCE
@@ -11,13 +13,55 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
 
 
 def read_recent(spark: SparkSession, path: str, schema: str, today, days: int) -> DataFrame:
-    """Alerts of the last ``days`` dates, legacy rows (no event_id) upgraded with an identity from their content."""
+    """Alerts of the last ``days`` dates, legacy rows (no event_id) upgraded with an identity from their file, their content and their number.
+
+    JSON lines have no position that survives another split of the file, so equal lines of one file are numbered: which of them gets which number makes no
+    difference, and every reading gives the same set of ids.  Only legacy rows are ordered; the others pass without a shuffle.
+    """
     first = F.date_sub(F.lit(today).cast("date"), days - 1)
-    a = spark.read.schema(schema).json(path).where(F.col("session_date") >= first)
-    body = F.sha2(F.to_json(F.struct("symbol", "setup", "direction", "trigger", "ts", "price")), 256)
-    legacy = F.col("event_id").isNull()
-    return a.withColumns({"event_id": F.coalesce("event_id", F.concat(F.lit("legacy:"), body)), "mode": F.when(legacy, "unknown").otherwise(F.col("mode")),
-                          "session_id": F.when(legacy, "legacy").otherwise(F.col("session_id")), "source": F.coalesce("source", F.lit("unknown"))})
+    a = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("_file")).where(F.col("session_date") >= first).withColumn("source", F.coalesce("source", F.lit("unknown")))
+    legacy = a.where("event_id is null")
+    body = F.sha2(F.to_json(F.struct(*[c for c in a.columns if c != "_file"])), 256)
+    again = F.row_number().over(Window.partitionBy("_file", "_body").orderBy("ts"))
+    named = legacy.withColumn("_body", body).withColumn("_again", again).withColumns({
+        "event_id": F.concat_ws(":", F.lit("legacy"), F.sha1("_file"), "_body", F.col("_again").cast("string")), "mode": F.lit("unknown"), "session_id": F.lit("legacy")})
+    return a.where("event_id is not null").unionByName(named.select(a.columns)).drop("_file")
+
+
+def expire(spark: SparkSession, path: str, today, days: int) -> list[str]:
+    """Delete the date folders of an archive that are older than the last ``days`` dates; returns the dates deleted.
+
+    A marker under ``_retention`` names the first date that stays; it is written before the first folder goes and removed after the last one, and a marker
+    that a lost driver left behind is finished by the next call, whatever its own dates.  Readers skip names that begin with ``_``.  Nothing but
+    ``session_date=<date>`` folders is touched; a missing archive has nothing to delete.
+    """
+    jvm = spark._jvm
+    place = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *parts]))
+    fs = place().getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place()):
+        return []
+    first = datetime.date.fromisoformat(str(today)) - datetime.timedelta(days=days - 1)
+    if fs.exists(place("_retention")):
+        left = [s.getPath().getName().removeprefix("before-") for s in fs.listStatus(place("_retention"))]
+        first = max([first, *map(datetime.date.fromisoformat, left)])
+    old = []
+    for status in fs.listStatus(place()):
+        name = status.getPath().getName()
+        try:
+            day = datetime.date.fromisoformat(name.removeprefix("session_date="))
+        except ValueError:
+            continue
+        if status.isDirectory() and name.startswith("session_date=") and day < first:
+            old.append(name)
+    if not old:
+        fs.delete(place("_retention"), True)
+        return []
+    plan = place("_retention", f"before-{first.isoformat()}")
+    fs.create(plan, True).close()
+    for name in sorted(old):
+        fs.delete(place(name), True)
+    fs.delete(place("_retention"), True)
+    return sorted(n.removeprefix("session_date=") for n in old)
 
 
 def retained(alerts: DataFrame, today, days: int) -> DataFrame:

@@ -52,11 +52,13 @@ def integrity(bars: DataFrame) -> DataFrame:
 def plan(requests: DataFrame, bounds: DataFrame, coverage: DataFrame, calendar: DataFrame) -> DataFrame:
     """Spans to load per requested (symbol, start, end): everything without usable history, else the missing head and tail.
 
-    The boundary session is fetched again so that a corrected last bar is replaced.
+    The boundary session is fetched again so that a corrected last bar is replaced.  Spans meet the calendar on the months they touch.
     """
-    edge = requests.select("start", "end").distinct().join(
-        calendar, F.col("session_date").between(F.col("start"), F.col("end")), "left").groupBy("start", "end").agg(
-        F.min("session_date").alias("need_first"), F.max("session_date").alias("need_last"))
+    months = F.when(F.col("end") >= F.col("start"), F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month"))).otherwise(F.array(F.trunc("start", "month")))
+    spans = requests.select("start", "end").distinct().withColumn("_month", F.explode(months))
+    inside = F.when(F.col("session_date").between(F.col("start"), F.col("end")), F.col("session_date"))
+    edge = (spans.join(calendar.select("session_date", F.trunc("session_date", "month").alias("_month")), "_month", "left").groupBy("start", "end")
+                 .agg(F.min(inside).alias("need_first"), F.max(inside).alias("need_last")))
     r = (requests.join(edge, ["start", "end"]).join(bounds.where("ok").select("symbol", "first_date", "last_date"), "symbol", "left")
                  .join(coverage.select("symbol", F.col("start").alias("asked_from"), F.col("end").alias("checked_to")), "symbol", "left"))
     full = F.col("first_date").isNull()
