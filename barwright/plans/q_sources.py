@@ -133,6 +133,25 @@ def _(t):
     return out(c.withColumn("et_date", F.col("session_date")), "day early_close")
 
 
+@query("market_calendar_lookup", """select s.symbol, s.day, max(c.day) filter (c.day <= s.day) as last_day, min(c.day) filter (c.day >= s.day) as first_day
+ from sessions s left join (select distinct day from sessions where day % 4 <> 1) c on abs(c.day - s.day) <= 14 group by 1, 2""")
+def _(t):
+    """The sessions around every day when a quarter of the dates are closed."""
+    number = lambda c: F.datediff(c, F.lit(BASE_DATE))
+    open_days = calendar(t).where(number("session_date") % 4 != 1)
+    j = t.sessions.select(*DAY).join(history.session_lookup(open_days).withColumnRenamed("day", "_d"), F.col("et_date") == F.col("_d"), "left")
+    return out(j.withColumns({"last_day": number("last_session"), "first_day": number("first_session")}), "symbol day last_day first_day")
+
+
+@query("market_calendar_past_close", """select symbol, day, et_min, day % 4 = 1 or et_min * 60 >= (case when day % 3 = 0 then 780 else 960 end) * 60 + 90 as past_close from bars""")
+def _(t):
+    """Whether the session of a bar's day had closed, with a grace of 90 seconds, early closes and closed dates."""
+    number = F.datediff("session_date", F.lit(BASE_DATE))
+    c = calendar(t).where(number % 4 != 1).withColumn("close_et", F.timestamp_add("MINUTE", F.when(number % 3 == 0, 780).otherwise(960), F.col("session_date").cast("timestamp")))
+    b = t.bars.select(*DAY, "et_min", F.timestamp_add("MINUTE", F.col("et_min"), F.col("et_date").cast("timestamp")).alias("at"))
+    return out(history.past_close(b, "at", "et_date", c, 90), "symbol day et_min past_close")
+
+
 # ---- feed messages -----------------------------------------------------------------------------------------------------------------------
 
 def _text(c):
@@ -355,3 +374,14 @@ def _(t):
 def _(t):
     b = t.bars.select(*DAY, "et_min", F.when(F.col("et_min") % 10 == 0, float("nan")).when(F.col("et_min") % 7 == 0, float("inf")).otherwise(F.col("close")).alias("close"))
     return out(archive.sanitize(b), "symbol day et_min close")
+
+
+@query("sink_sanitised_nested", """select symbol, day, et_min, case when et_min % 10 <> 0 then close end as inner_close, case when et_min % 10 <> 0 then close end as listed, case when et_min % 7 <> 0 then high end as mapped, volume from bars""")
+def _(t):
+    """Values two levels down: a struct in a struct, a struct in an array, a map."""
+    c, h = F.when(F.col("et_min") % 10 == 0, float("nan")).otherwise(F.col("close")), F.when(F.col("et_min") % 7 == 0, float("-inf")).otherwise(F.col("high"))
+    b = t.bars.select(*DAY, "et_min", F.struct(F.struct(c.alias("close"), F.col("symbol").alias("name")).alias("bar"), "volume").alias("s"),
+                      F.array(F.struct(c.alias("close"))).alias("a"), F.create_map(F.lit("h"), h).alias("m"))
+    s = archive.sanitize(b)
+    return out(s.select(*DAY, "et_min", F.col("s.bar.close").alias("inner_close"), F.col("a")[0]["close"].alias("listed"), F.col("m")["h"].alias("mapped"), F.col("s.volume").alias("volume")),
+               "symbol day et_min inner_close listed mapped volume")

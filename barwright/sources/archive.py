@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from .schemas import BAR_SOURCE
 
@@ -153,11 +153,24 @@ def publish(alerts: DataFrame, session_id: str, offset: int, order: list[str], c
 
 
 def sanitize(df: DataFrame) -> DataFrame:
-    """NaN and infinities of every double column (also inside arrays) as NULL before a sink."""
-    def fix(c):
-        return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
-    cols = []
-    for name, t in df.dtypes:
-        c = F.col(name)
-        cols.append(fix(c).alias(name) if t == "double" else F.transform(c, fix).alias(name) if t == "array<double>" else c)
-    return df.select(*cols)
+    """NaN and infinities of every double or float as NULL before a sink, also inside arrays, structs and map values at any depth."""
+    return df.select(*[_finite_inside(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+
+
+def _has_floats(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return any(_has_floats(f.dataType) for f in t)
+    inner = t.elementType if isinstance(t, T.ArrayType) else t.valueType if isinstance(t, T.MapType) else None
+    return isinstance(t, (T.DoubleType, T.FloatType)) if inner is None else _has_floats(inner)
+
+
+def _finite_inside(c: Column, t: T.DataType) -> Column:
+    if not _has_floats(t):
+        return c
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _finite_inside(x, t.elementType))
+    if isinstance(t, T.MapType):
+        return F.transform_values(c, lambda _, x: _finite_inside(x, t.valueType))
+    if isinstance(t, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_finite_inside(c.getField(f.name), f.dataType).alias(f.name) for f in t]))
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)

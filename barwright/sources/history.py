@@ -24,8 +24,11 @@ def read_bars(spark: SparkSession, path: str, symbols=None, start=None, end=None
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Replace exactly the dates contained in ``bars``; rows of a date are spread by symbol and sorted for row-group pruning."""
-    (bars.repartition("et_date", F.pmod(F.xxhash64("symbol"), F.lit(16))).sortWithinPartitions("et_date", "symbol", "et_min")
+    """Replace exactly the dates contained in ``bars``; rows are sorted for row-group pruning.
+
+    A date is one file until it passes Spark's advisory partition size: Spark then splits a large date and joins small ones at run time.
+    """
+    (bars.hint("rebalance", "et_date").sortWithinPartitions("et_date", "symbol", "et_min")
          .write.partitionBy("et_date").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path))
 
 
@@ -95,6 +98,23 @@ def session(bars: DataFrame, day) -> DataFrame:
     return bars.where(F.col("et_date") == F.lit(day).cast("date"))
 
 
+def session_lookup(calendar: DataFrame, reach: int = 14) -> DataFrame:
+    """Per calendar day near a session: the last session on or before it and the first on or after it, ``reach`` days away at most.
+
+    Every session names the days around it, so days find their sessions by an equi-join on ``day``; a day without a session in reach has no value.
+    """
+    around = F.sequence(F.date_sub("session_date", reach), F.date_add("session_date", reach))
+    near = calendar.select("session_date", F.explode(around).alias("day"))
+    return near.groupBy("day").agg(F.max(F.when(F.col("session_date") <= F.col("day"), F.col("session_date"))).alias("last_session"),
+                                   F.min(F.when(F.col("session_date") >= F.col("day"), F.col("session_date"))).alias("first_session"))
+
+
+def past_close(moments: DataFrame, at: str, day: str, calendar: DataFrame, grace_s: int = 0) -> DataFrame:
+    """``moments`` with ``past_close``: the session of their day ended at least ``grace_s`` seconds before ``at``; true on a day without a session."""
+    c = calendar.select(F.col("session_date").alias("_day"), F.timestamp_add("SECOND", F.lit(grace_s), F.col("close_et")).alias("_close"))
+    return moments.join(c, F.col(day) == F.col("_day"), "left").withColumn("past_close", F.coalesce(F.col(at) >= F.col("_close"), F.lit(True))).drop("_day", "_close")
+
+
 def closed_sessions(calendar: DataFrame, at: Column) -> DataFrame:
     """Sessions whose close has passed, with an early-close flag (before 16:00)."""
     early = F.hour("close_et") * 60 + F.minute("close_et") < 960

@@ -109,3 +109,25 @@ def test_gap_plan_meets_the_calendar_on_months(spark):
     got = {(r["symbol"], r["mode"], r["span_start"], r["span_end"]) for r in out.collect()}
     assert got == {("A", "incremental", D(2024, 1, 2), D(2024, 1, 4)), ("B", "incremental", D(2024, 1, 31), D(2024, 2, 10)), ("D", "full", D(2024, 3, 5), D(2024, 3, 1))}
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sessions_around_a_day(spark):
+    days = [D(2024, 1, 2), D(2024, 1, 3), D(2024, 1, 8), D(2024, 3, 1)]
+    calendar = spark.createDataFrame([(d, datetime.datetime(d.year, d.month, d.day, 13 if d.day == 3 else 16)) for d in days], "session_date date, close_et timestamp")
+    got = {r["day"]: (r["last_session"], r["first_session"]) for r in history.session_lookup(calendar).collect()}
+    assert got[D(2024, 1, 3)] == (D(2024, 1, 3), D(2024, 1, 3)) and got[D(2024, 1, 5)] == (D(2024, 1, 3), D(2024, 1, 8))
+    assert got[D(2024, 1, 1)] == (None, D(2024, 1, 2)) and got[D(2024, 1, 22)] == (D(2024, 1, 8), None) and D(2024, 2, 5) not in got
+    at = lambda d, h, m, s=0: (D(2024, 1, d), datetime.datetime(2024, 1, d, h, m, s))
+    moments = spark.createDataFrame([at(2, 16, 1), at(2, 16, 1, 30), at(3, 13, 2), at(4, 9, 0)], "d date, at timestamp")
+    assert [r["past_close"] for r in history.past_close(moments, "at", "d", calendar, 90).orderBy("at").collect()] == [False, True, True, True]
+
+
+def test_bars_of_a_date_are_one_file_until_it_is_large(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    bars = spark.range(4000).selectExpr("concat('S', id % 40) as symbol", "date_add(date'2024-01-01', cast(id % 5 as int)) as et_date", "cast(id % 900 as int) as et_min",
+                                        *[f"cast(id as double) as {c}" for c in ("open", "high", "low", "close", "volume", "vwap")], "id as trade_count")
+    history.write_bars(bars, path)
+    history.write_bars(bars.where("et_date = date'2024-01-02'").withColumn("close", F.lit(-1.0)), path)
+    assert all(len([f for f in os.listdir(f"{path}/{d}") if f.endswith(".parquet")]) == 1 for d in os.listdir(path) if d.startswith("et_date="))
+    back = history.read_bars(spark, path)
+    assert back.count() == 4000 and back.where("close = -1").select("et_date").distinct().collect() == [(D(2024, 1, 2),)]
