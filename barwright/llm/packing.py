@@ -97,7 +97,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     ``cluster``: a column with the duplicate cluster of a document; without it, documents with equal words in lower case form one.
     """
     word = "[^\\x20\\x09-\\x0D]+"
-    value = F.col(cluster) if cluster else F.xxhash64(F.regexp_replace(F.regexp_replace(F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""), "[\\x20\\x09-\\x0D]+", " "))
+    value = F.col(cluster) if cluster else F.xxhash64(F.trim(F.regexp_replace(F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+", " ")))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(word)), F.lit(0)).cast("bigint")
     sized = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), F.when(F.col(text).isNotNull(), value).cast("bigint").alias("cluster"), size.alias("all"))
     # equal rows are counted, then told apart, so that they do not meet in one shard
