@@ -116,9 +116,12 @@ def index(ids: list, texts: list[str]) -> Items:
     return held
 
 
-def collisions(h: np.ndarray, items: Items) -> np.ndarray:
-    """Rows (item, place): the items that share a key with a window, and the word where the item would begin."""
-    found = [np.zeros((0, 2), np.int64)]
+def collisions(h: np.ndarray, items: Items, first: np.ndarray) -> np.ndarray:
+    """Rows (item, place, row): the items that share a key with a window, the word where the item would begin, and the text where the window does.
+
+    ``first``: where the words of every text begin in ``h``.  An item that is cut short there has its place before its text.
+    """
+    found = [np.zeros((0, 3), np.int64)]
     for stride in sorted({k[0] for k in items.tables}):
         starts = np.arange(0, len(h), stride)
         for walk in range(WALKS):
@@ -130,7 +133,8 @@ def collisions(h: np.ndarray, items: Items) -> np.ndarray:
                 lo, hi = np.searchsorted(known, key[maybe], "left"), np.searchsorted(known, key[maybe], "right")
                 n = hi - lo
                 at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                found.append(np.stack([item[at], np.repeat(starts[maybe], n) - offset[at]], 1))
+                start = np.repeat(starts[maybe], n)
+                found.append(np.stack([item[at], start - offset[at], np.searchsorted(first, start, "right") - 1], 1))
     return np.unique(np.concatenate(found), axis=0)
 
 
@@ -168,12 +172,12 @@ def edit_distance(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
 
 
 def matches(own: np.ndarray, places: np.ndarray, items: Items, tolerance: float) -> Iterator[tuple]:
-    """(item id, edits, words of the item, end) of the items that a document's words hold; ``places``: its collisions."""
+    """(item id, edits, words of the item, end) of the items that a document's words hold; ``places``: its collisions (item, place), sorted."""
     for number in np.unique(places[:, 0]):
         item = items.words[number]
         m = len(item)
         allowed = int(tolerance * m)
-        slack, best, done = allowed + STRIDE + 2, None, -1
+        slack, best, done = allowed + STRIDE + 2, None, -m - 1  # no place lies further before the text
         for at in places[places[:, 0] == number, 1]:
             if at <= done:  # the stretch before has covered this place
                 continue
@@ -193,13 +197,12 @@ def found_in(column: pa.Array, items: Items, tolerance: float) -> Iterator[tuple
     """(row, item id, edits, words of the item, end) of the items that the texts of a column hold."""
     for w in words(column, lower=True):
         h = w.hashes()
-        met = likely(h, collisions(h, items), items, tolerance)
-        # a place before a text begins (an item cut short there) belongs to the row of the window; both neighbours are tried
-        of = np.clip(np.searchsorted(w.first, met[:, 1], "right") - 1, 0, w.hi - w.lo - 1)
-        for i in np.unique(np.concatenate([of, np.minimum(of + 1, w.hi - w.lo - 1)])):
-            near = (met[:, 1] >= w.first[i] - SIZES[-1]) & (met[:, 1] < w.first[i + 1])
-            for found in matches(h[w.of(i)], met[near] - np.array([0, w.first[i]]), items, tolerance):
-                yield w.lo + int(i), *found
+        met = likely(h, collisions(h, items, w.first[:-1]), items, tolerance)
+        met = met[np.argsort(met[:, 2], kind="stable")]
+        rows, begin = np.unique(met[:, 2], return_index=True)
+        for i, places in zip(rows.tolist(), np.split(met[:, :2], begin[1:])):
+            for found in matches(h[w.of(i)], places - np.array([0, w.first[i]]), items, tolerance):
+                yield w.lo + i, *found
 
 
 def passes(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[Items]:

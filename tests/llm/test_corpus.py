@@ -424,7 +424,7 @@ def test_pipeline_equals_its_stages_on_plain_models(spark):
 def test_query_equals_its_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("pages", "documents"):
+    for t in ("pages", "documents", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     cur = con.execute(SQL[name])
