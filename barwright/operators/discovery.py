@@ -39,14 +39,22 @@ def listing_order() -> list[Column]:
     return [F.col("current_rank").asc_nulls_last(), F.col("best_rank").asc(), F.col("symbol").asc()]
 
 
-def list_health(snaps: DataFrame, requested: DataFrame, connected: bool, now_ms: Column) -> DataFrame:
-    """live / waiting / disconnected per requested list with the age and row count of its newest snapshot."""
+def list_health(snaps: DataFrame, requested: DataFrame, connected: bool, now_ms: Column, errors: DataFrame | None = None) -> DataFrame:
+    """live / waiting / disconnected / error per requested list with the age and row count of its newest snapshot.
+
+    ``errors`` (list_key, received_ms, error): an error counts until a snapshot that is not older arrives; it then comes as a column.
+    """
     counts = snaps.groupBy("list_key", "received_ms").agg(F.count(F.lit(1)).alias("row_count"))
     last = counts.groupBy("list_key").agg(F.max_by(F.struct("received_ms", "row_count"), "received_ms").alias("s")).select("list_key", "s.*")
     j = requested.join(last, "list_key", "left")
-    status = F.when(~F.lit(connected), "disconnected").when(F.col("received_ms").isNotNull(), "live").otherwise("waiting")
-    return j.select("list_key", status.alias("status"), F.greatest(F.lit(0), now_ms - F.col("received_ms")).alias("receipt_age_ms"),
-                    F.coalesce("row_count", F.lit(0)).alias("row_count"))
+    status, more = F.when(~F.lit(connected), "disconnected").when(F.col("received_ms").isNotNull(), "live").otherwise("waiting"), []
+    if errors is not None:
+        failed = errors.groupBy("list_key").agg(F.max(F.struct("received_ms", "error")).alias("_e"))
+        standing = F.coalesce(F.col("_e.received_ms") > F.col("received_ms"), F.col("_e").isNotNull())
+        j = j.join(failed, "list_key", "left").withColumn("error", F.when(standing, F.col("_e.error")))
+        status, more = F.when(F.col("error").isNotNull(), "error").otherwise(status), ["error"]
+    return j.select("list_key", status.alias("status"), F.when(F.col("received_ms").isNotNull(), F.greatest(F.lit(0), now_ms - F.col("received_ms"))).alias("receipt_age_ms"),
+                    F.coalesce("row_count", F.lit(0)).alias("row_count"), *more)
 
 
 def latest_sessions(archive: DataFrame, keep: int) -> DataFrame:

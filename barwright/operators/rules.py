@@ -253,6 +253,21 @@ def page_after(events: DataFrame, cursor: int, limit: int, seq: str = "seq") ->
         .where(F.col("_rn") <= limit).drop("_rn")
 
 
+def page_after_event(events: DataFrame, event_id: str | None, limit: int, matching=None, key: str = "event_id", seq: str = "seq") -> DataFrame:
+    """Page of the ``matching`` events after the one with this durable id (None: from the first), with ``has_more``.
+
+    An id that the archive no longer holds fails the query: the client has missed events and must not go on as if nothing had happened.
+    """
+    rest = events
+    if event_id is not None:
+        lost = F.raise_error(F.lit("cursor not in retained archive")).cast(events.schema[seq].dataType)
+        rest = events.where(F.col(seq) > events.where(F.col(key) == event_id).agg(F.coalesce(F.min(seq), lost)).scalar())
+    page = (rest if matching is None else rest.where(matching)).orderBy(seq).limit(limit + 1)
+    # at most limit + 1 rows
+    numbered = page.withColumns({"_rn": F.row_number().over(W.orderBy(seq)), "has_more": F.count("*").over(W.partitionBy()) > limit})
+    return numbered.where(F.col("_rn") <= limit).drop("_rn")
+
+
 def feed_gaps(events: DataFrame, span: int = 100_000) -> DataFrame:
     """Consumer check per session: duplicate, sequence gap (with the missing count) and not-live flags.
 

@@ -87,3 +87,31 @@ def ordered_union(parts: list[DataFrame]) -> DataFrame:
         d = p.select(F.upper(F.trim("symbol")).alias("symbol"), F.lit(i).alias("part"), "place")
         u = d if u is None else u.unionByName(d)
     return u.where("symbol <> ''").groupBy("symbol").agg(F.min(F.struct("part", "place")).alias("p")).select("symbol", "p.*")
+
+
+def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Sizes of both universes, of their intersection, union and differences; the share in both of those in either, and of A that B covers.
+
+    One row; a share of nothing is 0.  A symbol that is listed twice counts once.
+    """
+    side = lambda u, k: u.select("symbol", F.lit(k == 0).alias("a"), F.lit(k == 1).alias("b"))
+    per = side(a, 0).unionByName(side(b, 1)).groupBy("symbol").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    n = per.agg(F.count_if(F.col("a") & F.col("b")).alias("both_n"), F.count("*").alias("either_n"), F.count_if("a").alias("a_n"), F.count_if("b").alias("b_n"))
+    share = lambda of: 100.0 * F.col("both_n") / F.greatest(F.col(of), F.lit(1))
+    return n.select("both_n", "either_n", (F.col("a_n") - F.col("both_n")).alias("a_only"), (F.col("b_n") - F.col("both_n")).alias("b_only"),
+                    share("either_n").alias("overlap_pct"), share("a_n").alias("a_covered_pct"))
+
+
+STREAM_CAP = 300  # fixed value: streams that the provider allows
+
+
+def stream_budget(lists: DataFrame, support: DataFrame, cap: int = STREAM_CAP) -> DataFrame:
+    """Per watchlist (list, symbol): its symbols, the support symbols (benchmark, sectors) it does not hold itself, their sum, and how many must go to fit.
+
+    Symbols are trimmed and upper-cased, blank ones do not count.  Nothing is cut: ``excess`` above 0 means that the list may not be streamed.
+    """
+    clean = lambda d, *keys: d.select(*keys, F.upper(F.trim("symbol")).alias("symbol")).where("symbol <> ''").distinct()
+    extra = clean(support)
+    held = clean(lists, "list").join(extra.withColumn("shared", F.lit(True)), "symbol", "left").groupBy("list").agg(F.count("*").alias("watchlist_count"), F.count("shared").alias("_shared"))
+    total = F.col("watchlist_count") + F.col("support_count")
+    return held.withColumn("support_count", extra.agg(F.count("*")).scalar() - F.col("_shared")).select("list", "watchlist_count", "support_count", total.alias("total_count"), F.greatest(F.lit(0), total - cap).alias("excess"))

@@ -244,6 +244,24 @@ def _(t):
     return tag.agg(n("both").alias("both_n"), n("either").alias("either_n"), n("a").alias("a_only"), n("b").alias("b_only"))
 
 
+@query("universe_overlap", """select both_n, either_n, a_n - both_n as a_only, b_n - both_n as b_only, round(100.0 * both_n / greatest(either_n, 1), 6)::double as overlap_pct,
+ round(100.0 * both_n / greatest(a_n, 1), 6)::double as a_covered_pct from (
+ select (select count(*) from (select * from ka intersect select * from kb)) as both_n, (select count(*) from (select * from ka union select * from kb)) as either_n,
+  (select count(distinct symbol) from ka) as a_n, (select count(distinct symbol) from kb) as b_n)""")
+def _(t):
+    return out(un.overlap(*(s.where("result = 'kept'").select("symbol") for s in (screen_a(t), screen_b(t)))), "both_n either_n a_only b_only", "overlap_pct a_covered_pct")
+
+
+@query("stream_budget", """with w as (select distinct c_nationkey as list, 'S' || lpad(cast(c_custkey % 400 as varchar), 3, '0') as symbol from customer),
+ e as (select distinct 'S' || lpad(cast(s_suppkey as varchar), 3, '0') as symbol from supplier where s_nationkey < 5)
+ select list, watchlist_count, support_count, watchlist_count + support_count as total_count, greatest(0, watchlist_count + support_count - 60) as excess from (
+ select list, count(*) as watchlist_count, (select count(*) from e) - count(*) filter (symbol in (select symbol from e)) as support_count from w group by list)""")
+def _(t):
+    name = lambda c: F.concat(F.lit(" s"), F.lpad(c.cast("string"), 3, "0"))
+    lists = t.raw("customer").select(F.col("c_nationkey").alias("list"), name(F.col("c_custkey") % 400).alias("symbol"))
+    return un.stream_budget(lists, t.raw("supplier").where("s_nationkey < 5").select(name(F.col("s_suppkey")).alias("symbol")), cap=60)
+
+
 @query("liquidity_ranking", """select symbol, day, rank, case when rank <= 300 then 'top' when rank <= 3300 then 'middle' else 'tail' end as tier from (
  select symbol, day, row_number() over (partition by day order by adv20 * prior_close desc nulls last, symbol) as rank from ctx)""")
 def _(t):
@@ -326,7 +344,7 @@ def _(t):
     return candidate_rows(t).select("session_date", "symbol", F.row_number().over(w).alias("n"))
 
 
-@query("market_list_health", """select list_key, case when received_ms is not null then 'live' else 'waiting' end as status, greatest(0, 100000000 - received_ms) as receipt_age_ms, coalesce(n, 0) as row_count
+@query("market_list_health", """select list_key, case when received_ms is not null then 'live' else 'waiting' end as status, case when received_ms is not null then greatest(0, 100000000 - received_ms) end as receipt_age_ms, coalesce(n, 0) as row_count
  from (select unnest(['EQUITY_ALL_VOLUME_5', 'EQUITY_ALL_TRADES_5', 'NYSE_VOLUME_0']) as list_key) left join (select list_key, received_ms, count(*) as n, row_number() over (partition by list_key order by received_ms desc) as rn
  from oksnap group by 1, 2 qualify rn = 1) using (list_key)""")
 def _(t):
@@ -334,6 +352,21 @@ def _(t):
     return dv.list_health(dv.accepted_snapshots(snapshots(t)), req, True, F.lit(100000000))
 
 
+@query("market_list_health_errors", """select list_key, case when e.at is not null and (s.received_ms is null or e.at > s.received_ms) then 'error' when s.received_ms is not null then 'live' else 'waiting' end as status,
+ case when s.received_ms is not null then greatest(0, 100000000 - s.received_ms) end as receipt_age_ms, coalesce(n, 0) as row_count, case when e.at is not null and (s.received_ms is null or e.at > s.received_ms) then 'code ' || (e.id % 7) end as error
+ from (select unnest(['EQUITY_ALL_VOLUME_5', 'EQUITY_ALL_TRADES_5', 'NYSE_VOLUME_0', 'NYSE_TRADES_0', 'OTCBB_VOLUME_0']) as list_key)
+ left join (select list_key, received_ms, count(*) as n, row_number() over (partition by list_key order by received_ms desc) as rn from oksnap group by 1, 2 qualify rn = 1) s using (list_key)
+ left join (select case event_id % 3 when 0 then 'EQUITY_ALL_VOLUME_5' when 1 then 'EQUITY_ALL_TRADES_5' else 'NYSE_TRADES_0' end as list_key, max(event_id) as id,
+  max(case when event_id % 3 = 0 then event_id + 100000000 else 0 end) as at from events where event_type = 'purchase' group by 1) e using (list_key)""")
+def _(t):
+    i = F.col("event_id")
+    failed = t.raw("events").where("event_type = 'purchase'").select(F.when(i % 3 == 0, "EQUITY_ALL_VOLUME_5").when(i % 3 == 1, "EQUITY_ALL_TRADES_5").otherwise("NYSE_TRADES_0").alias("list_key"),
+                                                                     F.when(i % 3 == 0, i + 100000000).otherwise(0).alias("received_ms"), F.concat(F.lit("code "), (i % 7).cast("string")).alias("error"), i)
+    newest = failed.groupBy("list_key").agg(F.max_by(F.struct("received_ms", "error"), "event_id").alias("e")).select("list_key", "e.*")
+    req = t.spark.createDataFrame([(k,) for k in ("EQUITY_ALL_VOLUME_5", "EQUITY_ALL_TRADES_5", "NYSE_VOLUME_0", "NYSE_TRADES_0", "OTCBB_VOLUME_0")], "list_key string")
+    return dv.list_health(dv.accepted_snapshots(snapshots(t)), req, True, F.lit(100000000), newest)
+
+
 @query("candidate_decisions", """select session_date, symbol, string_agg(d, ',' order by ms) as decisions from (select distinct session_date, symbol from cand) left join (
  select (event_id // 4000)::int as session_date, 'U' || lpad(cast(user_id % 60 as varchar), 2, '0') as symbol, event_id as ms, case when event_id % 2 = 0 then 'in' else 'out' end as d from events where event_type = 'purchase') using (session_date, symbol) group by all""")
 def _(t):

@@ -392,6 +392,14 @@ def _(t):
     return ru.page_after(e, 5000, 200)
 
 
+@query("feed_page_after_event", """select event_id as seq, 'e' || event_id as event_id, event_type, (select count(*) from events where event_type = 'purchase' and event_id > 1234) > 200 as has_more from events
+ where event_type = 'purchase' and event_id > 1234 order by seq limit 200""")
+def _(t):
+    """Subscribers ask for the purchases after the event e1234, whatever its own type."""
+    e = t.raw("events").select(F.col("event_id").alias("seq"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event_id"), "event_type")
+    return ru.page_after_event(e, "e1234", 200, F.col("event_type") == "purchase")
+
+
 @query("event_buffer_page", """select event_id as seq, value, 100 < (select min(event_id) from events where event_id >= 300) - 1 as gap from events where event_id >= 300
  order by event_id limit 100""")
 def _(t):
