@@ -20,6 +20,13 @@ def as_stream(t, df, name: str, files: int | None = None):
     return t.spark.readStream.schema(df.schema).parquet(f"{path}/in"), path
 
 
+def in_batches(t, parts, path: str, schema, start) -> None:
+    """One micro-batch per part: a part is written by as many tasks as hold it, and the query ``start(stream)`` is resumed from its checkpoint for it."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        start(t.spark.readStream.schema(schema).parquet(f"{path}/in")).awaitTermination()
+
+
 def finish(stream, path, mode="append"):
     return sm.run_to_table(stream, f"{path}/out", f"{path}/ck", mode)
 
@@ -79,11 +86,9 @@ def _(t):
     day = F.datediff("et_date", F.lit(BASE_DATE))
     parts = [b.where(day < 2), b.where((day == 2) & (F.col("et_min") <= 700)).unionByName(b.where((day == 1) & (F.col("et_min") % 40 == 0))),
              b.where((day > 2) | ((day == 2) & (F.col("et_min") > 690)))]
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = t.spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     cutoff = F.date_add(F.lit(BASE_DATE), 2).cast("timestamp")
-    live.start(stream, path, LIVE_DOCUMENTS, live.Known(t.context, t.profile, t.sessions), cutoff=cutoff, shared={"late": [{"id": "time_et", "op": "gte", "value": 1000}]}).awaitTermination()
+    known = live.Known(t.context, t.profile, t.sessions)
+    in_batches(t, parts, path, b.schema, lambda s: live.start(s, path, LIVE_DOCUMENTS, known, cutoff=cutoff, shared={"late": [{"id": "time_et", "op": "gte", "value": 1000}]}))
     return out(live.outcomes(t.spark, path), "setup symbol day et_min outcome")
 
 
@@ -97,10 +102,9 @@ def rolled(t):
     b = t.bars.select(live.BAR)
     path = f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}/stream-{t.tag}/rollover-{uuid.uuid4().hex[:8]}"
     day = F.datediff("et_date", F.lit(BASE_DATE))
-    for part in (b.where(day < 2), b.where((day == 2) | ((day == 3) & (F.col("et_min") <= 700))), b.where((day > 3) | ((day == 3) & (F.col("et_min") > 700)))):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = t.spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    live.closing_sessions(stream).writeStream.outputMode("append").foreachBatch(live.fold_in_to(path)).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start().awaitTermination()
+    parts = (b.where(day < 2), b.where((day == 2) | ((day == 3) & (F.col("et_min") <= 700))), b.where((day > 3) | ((day == 3) & (F.col("et_min") > 700))))
+    in_batches(t, parts, path, b.schema, lambda s: live.closing_sessions(s).writeStream.outputMode("append").foreachBatch(live.fold_in_to(path))
+               .option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start())
     _ROLLED[t.tag] = path
     return path
 
