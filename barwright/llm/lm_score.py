@@ -1,12 +1,12 @@
 """Language-model scores of whole texts: logistic mixing of hashed-context bit predictors, next to a smoothed word model.
 
-*Mixing.*  A byte is a path through a binary code tree (Huffman, from the training sample); every branch is one bit.  Three predictors keep how often a
+*Mixing.*  A byte is a path through a binary code tree (Huffman, from the bytes of all training documents); every branch is one bit.  Three predictors keep how often a
 branch went either way after the last two bytes, the last three, and the word so far; contexts share ``1 << SLOT_BITS`` hashed slots
 each.  These counts come from every training document: tasks count into dense arrays and send the touched slots, which a grouped sum merges.  A bit's
 prediction is the logistic of a weighted sum of the predictors' log odds.  Weights are gated: one set by the branch, one by how much the predictors
 have seen, and a third that adapts online to the document read so far.  A last table, addressed by branch and mixed odds, refines the
-result.  Gates and refinement are fitted online, bit batch by bit batch, on ``SAMPLE_ROWS`` training documents at most, where each
-bit is taken out of the counts before it is predicted.  A document's log10 probability is that of its UTF-8 bytes and one closing zero byte.
+result.  Gates and refinement are fitted on all training documents: these are dealt by hash into parts of about ``PART_ROWS``, a task fits a part online, bit
+batch by bit batch, where each bit is taken out of the counts before it is predicted, and the parts' values are averaged by the bits that met them.  A document's log10 probability is that of its UTF-8 bytes and one closing zero byte.
 
 *Word model.*  Tokens are words (A-Z lower-cased) and one end.  Counts of all training tokens are a grouped sum.  The most frequent words, at most ``KNOWN``, travel to
 the tasks; the others meet their counts in a join on the word, pre-aggregated per document.
@@ -30,7 +30,7 @@ from .text import randoms, words
 
 SLOT_BITS = 18
 CONTEXTS = 3
-SAMPLE_ROWS = 1000
+PART_ROWS = 4096
 KNOWN = 1 << 19
 SEGMENT = 512
 _CHUNK = 1 << 16
@@ -263,11 +263,47 @@ class Model:
         return total
 
 
-def fit_gates(code: Code, n0: np.ndarray, n1: np.ndarray, sample: pa.Array, batch: int = 4096, rate: float = 0.02) -> Model:
-    """Weights and refinement, online over the sample; every bit is left out of the counts (predictor, slot) that predict it."""
-    packed = (np.rint(np.clip(_stretch(n0, n1), -8, 8) * 64).astype(np.int16) << 2) | _seen(n0 + n1)
-    by_node, by_seen, refined = np.full((256, CONTEXTS), 0.35, np.float32), np.zeros((4 ** CONTEXTS, CONTEXTS), np.float32), np.zeros(256 * 33, np.float32)
-    for data, _, place, skip in texts_of(sample):
+class Gates:
+    """Weights and refinement as they are fitted, one behind the other, and the bits that met each of them."""
+
+    def __init__(self):
+        self.by_node, self.by_seen, self.refined = np.full((256, CONTEXTS), 0.35, np.float32), np.zeros((4 ** CONTEXTS, CONTEXTS), np.float32), np.zeros(256 * 33, np.float32)
+        self.met = [np.zeros(len(t), np.int64) for t in self.tables]
+
+    @property
+    def tables(self) -> list[np.ndarray]:
+        return [self.by_node, self.by_seen, self.refined]
+
+    def values(self) -> np.ndarray:
+        return np.concatenate([t.ravel() for t in self.tables])
+
+    def bits(self) -> np.ndarray:
+        """Per value, the bits that met it."""
+        return np.concatenate([np.repeat(n, t.size // len(t)) for n, t in zip(self.met, self.tables)])
+
+    def put(self, at: np.ndarray, values: np.ndarray) -> None:
+        whole = self.values()
+        whole[at] = values
+        cut = np.cumsum([t.size for t in self.tables])[:-1]
+        for t, v in zip(self.tables, np.split(whole, cut)):
+            t[...] = v.reshape(t.shape)
+
+    def model(self, code: Code, n0: np.ndarray, n1: np.ndarray) -> Model:
+        packed = (np.rint(np.clip(_stretch(n0, n1), -8, 8) * 64).astype(np.int16) << 2) | _seen(n0 + n1)
+        return Model(code, packed, *self.tables)
+
+
+def fit_gates(code: Code, n0: np.ndarray, n1: np.ndarray, texts: pa.Array) -> Model:
+    """Weights and refinement, online over the texts."""
+    gates = Gates()
+    learn(gates, code, n0, n1, texts)
+    return gates.model(code, n0, n1)
+
+
+def learn(gates: Gates, code: Code, n0: np.ndarray, n1: np.ndarray, texts: pa.Array, batch: int = 4096, rate: float = 0.02) -> None:
+    """Every bit is left out of the counts (predictor, slot) that predict it."""
+    by_node, by_seen, refined = gates.tables
+    for data, _, place, skip in texts_of(texts):
         _, where, slots = bit_events(code, data, place, skip)
         nodes, bits = code.nodes[where], code.bits[where]
         for lo in range(0, len(bits), batch):
@@ -278,30 +314,56 @@ def fit_gates(code: Code, n0: np.ndarray, n1: np.ndarray, sample: pa.Array, batc
             mix = np.einsum("ij,ij->i", by_node[node] + by_seen[seen], x)
             cell = node * 33 + np.clip(np.rint(mix * 2), -16, 16).astype(np.int64) + 16
             err = (y - 1 / (1 + np.exp(-np.clip(mix + refined[cell], -30, 30)))).astype(np.float32)
-            for table, key in ((by_node, node), (by_seen, seen)):
+            for table, key, met in ((by_node, node, gates.met[0]), (by_seen, seen, gates.met[1])):
                 n = np.bincount(key, minlength=len(table))
+                met += n
                 for c in range(CONTEXTS):
                     table[:, c] += rate * np.bincount(key, err * x[:, c], len(table)) / np.sqrt(n + 16)
             n = np.bincount(cell, minlength=len(refined))
+            gates.met[2] += n
             refined += (rate * np.bincount(cell, err, len(refined)) / np.sqrt(n + 16)).astype(np.float32)
-    return Model(code, packed, by_node, by_seen, refined)
 
 
-def train(learned: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> Model:
+def count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(byte, n) of one task's texts."""
+    held = np.zeros(256, np.int64)
+    for batch in batches:
+        for data, *_ in texts_of(batch.column(0)):
+            held += np.bincount(data, minlength=256)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(held)], names=["byte", "n"])
+
+
+def fit_part(batches: Iterator[pa.RecordBatch], code: Code, n0: np.ndarray, n1: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(place, value times bits, bits) of the gates fitted to one task's texts."""
+    gates = Gates()
+    for batch in batches:
+        learn(gates, code, n0, n1, batch.column(0))
+    bits = gates.bits()
+    at = np.flatnonzero(bits)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(gates.values()[at] * bits[at].astype(np.float64)), pa.array(bits[at])], names=["place", "value", "bits"])
+
+
+def train(learned: DataFrame, text: str = "text", rows: int = PART_ROWS) -> Model:
     """The bit model of all texts of ``learned`` (columns doc_id, text)."""
-    total = learned.count()
-    share = min(1.0, rows / max(1, total))
-    sample = [r[0] or "" for r in learned.where(F.xxhash64("doc_id", F.lit(5)) / F.lit(2.0 ** 64) + 0.5 <= share).orderBy(F.xxhash64("doc_id"), "doc_id").select(text).collect()]
-    sample = pa.array(sample, pa.string())
+    texts = learned.select(F.coalesce(text, F.lit("")).alias(text))
     counts = np.ones(256, np.int64)
-    for data, *_ in texts_of(sample):
-        counts += np.bincount(data, minlength=256)
+    for byte, n in texts.mapInArrow(count_bytes, "byte int, n bigint").groupBy("byte").agg(F.sum("n")).collect():
+        counts[byte] += n
     code = huffman(counts)
     summed = learned.select(text).mapInArrow(lambda b: count_bits(b, code), "slot int, n0 bigint, n1 bigint").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     n0, n1 = np.zeros((2, CONTEXTS << SLOT_BITS), np.int64)
     slot = summed.column("slot").to_numpy()
     n0[slot], n1[slot] = summed.column("n0").to_numpy(), summed.column("n1").to_numpy()
-    return fit_gates(code, n0.reshape(CONTEXTS, -1), n1.reshape(CONTEXTS, -1), sample)
+    n0, n1 = n0.reshape(CONTEXTS, -1), n1.reshape(CONTEXTS, -1)
+    # parts and their order follow from the rows alone, so that the model does not depend on how the table is dealt
+    held = learned.sparkSession.sparkContext.broadcast((code, n0, n1))
+    parts = (learned.select("doc_id", F.coalesce(text, F.lit("")).alias(text)).repartition(learned.count() // rows + 1, F.xxhash64("doc_id", text))
+                    .sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", text).select(text))
+    fitted = (parts.mapInArrow(lambda b: fit_part(b, *held.value), "place int, value double, bits bigint")
+                   .groupBy("place").agg((F.sum("value") / F.sum("bits")).alias("value")).toArrow())
+    gates = Gates()
+    gates.put(fitted.column("place").to_numpy(), fitted.column("value").to_numpy().astype(np.float32))
+    return gates.model(code, n0, n1)
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -431,3 +431,15 @@ def test_query_equals_its_sql(spark, name):
     cols = [c[0] for c in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert sorted((tuple(r) for r in df.select(*cols).collect()), key=repr) == sorted(cur.fetchall(), key=repr)
+
+
+def test_gates_are_fitted_on_every_training_document(spark):
+    """Each document has a letter of its own, so the branches towards it are met in that document alone."""
+    rows = [(i, ("the same words " + chr(0x400 + i) * 30 + " ") * 4) for i in range(60)]
+    model = lm_score.train(frame(spark, rows).select("doc_id", "text"), rows=10)
+    code = model.code
+    for b in range(0x80, 0x80 + 60):
+        last = code.nodes[code.start[b] + code.size[b] - 1]
+        assert (model.by_node[last] != np.float32(0.35)).any(), b
+    again = lm_score.train(frame(spark, rows[::-1]).select("doc_id", "text").repartition(7), rows=10)
+    assert np.allclose(model.by_node, again.by_node, atol=1e-6) and np.allclose(model.refined, again.refined, atol=1e-6)
