@@ -5,8 +5,11 @@ branch went either way after the last two bytes, the last three, and the word so
 each.  These counts come from every training document: tasks count into dense arrays and send the touched slots, which a grouped sum merges.  A bit's
 prediction is the logistic of a weighted sum of the predictors' log odds.  Weights are gated: one set by the branch, one by how much the predictors
 have seen, and a third that adapts online to the document read so far.  A last table, addressed by branch and mixed odds, refines the
-result.  Gates and refinement are fitted on all training documents: these are dealt by hash into parts of about ``PART_ROWS``, a task fits a part online, bit
-batch by bit batch, where each bit is taken out of the counts before it is predicted, and the parts' values are averaged by the bits that met them.  A document's log10 probability is that of its UTF-8 bytes and one closing zero byte.
+result.  Gates and refinement are fitted to the evidence of all training documents: each bit is taken out of the counts, and tasks count how often a branch went
+either way after each combination of what the predictors then knew, in ``LEVELS`` levels each.  A grouped sum merges the tasks; the table's size is fixed.  A
+document's log10 probability is that of its UTF-8 bytes and one closing zero byte.
+
+Equal bytes after equal contexts are sorted together, ``GROUP`` bytes at a time, and become bits once, with their number.
 
 *Word model.*  Tokens are words (A-Z lower-cased) and one end.  Counts of all training tokens are a grouped sum.  The most frequent words, at most ``KNOWN``, travel to
 the tasks; the others meet their counts in a join on the word, pre-aggregated per document.
@@ -30,7 +33,8 @@ from .text import randoms, words
 
 SLOT_BITS = 18
 CONTEXTS = 3
-PART_ROWS = 4096
+LEVELS = 16
+GROUP = 1 << 21
 KNOWN = 1 << 19
 SEGMENT = 512
 _CHUNK = 1 << 16
@@ -144,15 +148,20 @@ def contexts(data: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def places(code: Code, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits per byte, and the place in the code of every bit."""
+    size = code.size[data]
+    at = np.arange(int(size.sum()), dtype=np.int32)
+    at += np.repeat((code.start[data] - np.cumsum(size) + size).astype(np.int32), size)
+    return size, at
+
+
 def bit_events(code: Code, data: np.ndarray, place: np.ndarray, skip: int, order: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(bits per byte, places in the code, slot per predictor) of all bits after the first ``skip`` bytes, which are context only.
 
     A bit's slot is that of its context, crossed with that of its branch: contexts are scrambled once a byte.  ``order``: the bytes after those in the order their bits are wanted.
     """
-    own = data[skip:][order]
-    size = code.size[own]
-    at = np.arange(int(size.sum()), dtype=np.int32)
-    at += np.repeat((code.start[own] - np.cumsum(size) + size).astype(np.int32), size)
+    size, at = places(code, data[skip:][order])
     salt, slots = code.salt[at], []
     for h in contexts(data, place):
         s = np.repeat(slot_of(h[skip:])[order], size)
@@ -161,17 +170,63 @@ def bit_events(code: Code, data: np.ndarray, place: np.ndarray, skip: int, order
     return size, at, slots
 
 
-def count_bits(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[pa.RecordBatch]:
-    """(slot, n0, n1) of one task's texts; a slot's number holds its predictor."""
-    held = np.zeros((CONTEXTS, 2 << SLOT_BITS), np.int64)
+def grouped(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(slot of the context per predictor, byte, times): equal bytes of about ``GROUP`` bytes, or of ``rows`` documents if these are fewer, are one."""
+    held, total = [], 0
     for batch in batches:
-        for data, _, place, skip in texts_of(batch.column(0)):
-            _, at, slots = bit_events(code, data, place, skip)
-            bit = code.bits.astype(np.int32)[at]
-            for k, s in enumerate(slots):
+        step = rows or max(1, batch.num_rows)
+        for lo in range(0, batch.num_rows, step):
+            for data, _, place, skip in texts_of(batch.column(0).slice(lo, step)):
+                key = np.zeros(len(data) - skip, np.uint64)
+                for h in contexts(data, place):
+                    key <<= np.uint64(SLOT_BITS)
+                    key |= slot_of(h[skip:]).astype(np.uint64)
+                key <<= np.uint64(8)
+                key |= data[skip:]
+                held.append(key)
+                total += len(key)
+                if total >= GROUP:
+                    yield _runs(held)
+                    held, total = [], 0
+            if rows and held:
+                yield _runs(held)
+                held, total = [], 0
+    if held:
+        yield _runs(held)
+
+
+def _runs(held: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    key = np.concatenate(held)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times, key = np.diff(first, append=len(key)), key[first]
+    slots = [((key >> np.uint64(8 + SLOT_BITS * (CONTEXTS - 1 - k))) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int32) for k in range(CONTEXTS)]
+    return slots, (key & np.uint64(255)).astype(np.uint8), times
+
+
+def grouped_bits(batches: Iterator[pa.RecordBatch], code: Code, rows: int | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(places in the code, twice the slot and the bit per predictor, times) of all bits."""
+    bit = code.bits.astype(np.int32)
+    for slots, data, times in grouped(batches, rows):
+        for lo in range(0, len(data), 1 << 18):
+            own = data[lo:lo + (1 << 18)]
+            size, at = places(code, own)
+            salt, bit_of, out = code.salt[at], bit[at], []
+            for s in slots:
+                s = np.repeat(s[lo:lo + (1 << 18)], size)
+                s ^= salt
                 s <<= 1
-                s |= bit
-                held[k] += np.bincount(s, minlength=2 << SLOT_BITS)
+                s |= bit_of
+                out.append(s)
+            yield at, out, np.repeat(times[lo:lo + (1 << 18)], size)
+
+
+def count_bits(batches: Iterator[pa.RecordBatch], code: Code, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """(slot, n0, n1) of one task's texts; a slot's number holds its predictor."""
+    held = np.zeros((CONTEXTS, 2 << SLOT_BITS), np.int64)
+    for _, slots, times in grouped_bits(batches, code, rows):
+        for k, s in enumerate(slots):
+            np.add.at(held[k], s, times)
     held = held.reshape(-1, 2)
     some = np.flatnonzero(held.any(1))
     for at in range(0, len(some), 1 << 16):
@@ -263,65 +318,93 @@ class Model:
         return total
 
 
-class Gates:
-    """Weights and refinement as they are fitted, one behind the other, and the bits that met each of them."""
-
-    def __init__(self):
-        self.by_node, self.by_seen, self.refined = np.full((256, CONTEXTS), 0.35, np.float32), np.zeros((4 ** CONTEXTS, CONTEXTS), np.float32), np.zeros(256 * 33, np.float32)
-        self.met = [np.zeros(len(t), np.int64) for t in self.tables]
-
-    @property
-    def tables(self) -> list[np.ndarray]:
-        return [self.by_node, self.by_seen, self.refined]
-
-    def values(self) -> np.ndarray:
-        return np.concatenate([t.ravel() for t in self.tables])
-
-    def bits(self) -> np.ndarray:
-        """Per value, the bits that met it."""
-        return np.concatenate([np.repeat(n, t.size // len(t)) for n, t in zip(self.met, self.tables)])
-
-    def put(self, at: np.ndarray, values: np.ndarray) -> None:
-        whole = self.values()
-        whole[at] = values
-        cut = np.cumsum([t.size for t in self.tables])[:-1]
-        for t, v in zip(self.tables, np.split(whole, cut)):
-            t[...] = v.reshape(t.shape)
+class Evidence:
+    """What the predictors know of a bit that is left out of its counts, in ``LEVELS`` levels: four steps of how much was seen, cut by log odds.
 
-    def model(self, code: Code, n0: np.ndarray, n1: np.ndarray) -> Model:
-        packed = (np.rint(np.clip(_stretch(n0, n1), -8, 8) * 64).astype(np.int16) << 2) | _seen(n0 + n1)
-        return Model(code, packed, *self.tables)
+    ``level``: per predictor, of twice the slot and the bit.  ``odds``: per predictor and level, the mean log odds of the bits that meet it.
+    """
+    CUTS = [np.zeros(0), np.array([-0.5, 0.5]), np.array([-2.2, -0.8, 0.8, 2.2]), np.array([-4.2, -2.0, -0.7, 0.7, 2.0, 4.2])]
+
+    def __init__(self, n0: np.ndarray, n1: np.ndarray):
+        base = np.cumsum([0, *[len(c) + 1 for c in self.CUTS]])
+        self.seen_of = np.repeat(np.arange(4), np.diff(base))
+        self.level, self.odds = np.zeros((CONTEXTS, 2 * n0.shape[1]), np.uint8), np.zeros((CONTEXTS, LEVELS))
+        for k in range(CONTEXTS):
+            total, bits = np.zeros(LEVELS), np.zeros(LEVELS)
+            for y, n in enumerate((n0[k], n1[k])):
+                a, b = (np.maximum(n0[k] - 1, 0), n1[k]) if y == 0 else (n0[k], np.maximum(n1[k] - 1, 0))
+                x, seen = np.clip(_stretch(a, b), -8, 8), _seen(a + b)
+                level = np.zeros(len(n), np.uint8)
+                for s, cuts in enumerate(self.CUTS):
+                    level[seen == s] = base[s] + np.searchsorted(cuts, x[seen == s])
+                self.level[k, y::2] = level
+                total += np.bincount(level, x * n.astype(np.float64), LEVELS)
+                bits += np.bincount(level, n, LEVELS)
+            self.odds[k] = total / np.maximum(bits, 1)
+
+
+def count_evidence(batches: Iterator[pa.RecordBatch], code: Code, evidence: Evidence, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """(cell, n) of one task's texts; a cell's number holds the branch, the level of every predictor, and the bit."""
+    held = np.zeros(512 * LEVELS ** CONTEXTS, np.int64)
+    for at, slots, times in grouped_bits(batches, code, rows):
+        cell = code.nodes.astype(np.int32)[at]
+        for k, s in enumerate(slots):
+            cell *= LEVELS
+            cell += evidence.level[k].take(s)
+        cell <<= 1
+        cell |= code.bits[at]
+        np.add.at(held, cell, times)
+    some = np.flatnonzero(held)
+    for at in range(0, len(some), 1 << 16):
+        s = some[at:at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(held[s])], names=["cell", "n"])
+
+
+def fit(code: Code, n0: np.ndarray, n1: np.ndarray, evidence: Evidence, cell: np.ndarray, n: np.ndarray, rounds: int = 8, hold: float = 16.0) -> Model:
+    """Weights and refinement with the highest likelihood of the counted cells, by Newton steps in turn; ``hold``: bits' worth of what they start from."""
+    order = np.argsort(cell)
+    n, rest = n[order].astype(np.float64), cell[order].astype(np.int64)
+    y, rest = rest & 1, rest >> 1
+    node, x, seen = rest // LEVELS ** CONTEXTS, np.zeros((CONTEXTS, len(n))), np.zeros(len(n), np.int64)
+    for k in range(CONTEXTS):
+        level = rest // LEVELS ** (CONTEXTS - 1 - k) % LEVELS
+        x[k], seen = evidence.odds[k][level], seen * 4 + evidence.seen_of[level]
+    start = np.full((256, CONTEXTS), 0.35)
+    by_node, by_seen, refined = start.copy(), np.zeros((4 ** CONTEXTS, CONTEXTS)), np.zeros(256 * 33)
+
+    def mixed():
+        return ((by_node[node] + by_seen[seen]).T * x).sum(0)
+
+    def slopes(z):
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return n * (y - p), n * np.maximum(p * (1 - p), 1e-4)
+
+    for _ in range(rounds):
+        for table, key, prior in ((by_node, node, start), (by_seen, seen, np.zeros_like(by_seen))):
+            miss, curve = slopes(mixed())
+            g = np.stack([np.bincount(key, miss * x[c], len(table)) for c in range(CONTEXTS)], 1) + hold * (prior - table)
+            h = np.zeros((len(table), CONTEXTS, CONTEXTS)) + hold * np.eye(CONTEXTS)
+            for c in range(CONTEXTS):
+                for d in range(c, CONTEXTS):
+                    v = np.bincount(key, curve * x[c] * x[d], len(table))
+                    h[:, c, d] += v
+                    if d > c:
+                        h[:, d, c] += v
+            table += np.clip(np.linalg.solve(h, g[..., None])[..., 0], -0.5, 0.5)
+    mix = mixed()
+    place = node * 33 + np.clip(np.rint(mix * 2), -16, 16).astype(np.int64) + 16
+    for _ in range(rounds):
+        miss, curve = slopes(mix + refined[place])
+        refined += np.clip((np.bincount(place, miss, len(refined)) - hold * refined) / (np.bincount(place, curve, len(refined)) + hold), -1, 1)
+    packed = (np.rint(np.clip(_stretch(n0, n1), -8, 8) * 64).astype(np.int16) << 2) | _seen(n0 + n1)
+    return Model(code, packed, *[t.astype(np.float32) for t in (by_node, by_seen, refined)])
 
 
 def fit_gates(code: Code, n0: np.ndarray, n1: np.ndarray, texts: pa.Array) -> Model:
-    """Weights and refinement, online over the texts."""
-    gates = Gates()
-    learn(gates, code, n0, n1, texts)
-    return gates.model(code, n0, n1)
-
-
-def learn(gates: Gates, code: Code, n0: np.ndarray, n1: np.ndarray, texts: pa.Array, batch: int = 4096, rate: float = 0.02) -> None:
-    """Every bit is left out of the counts (predictor, slot) that predict it."""
-    by_node, by_seen, refined = gates.tables
-    for data, _, place, skip in texts_of(texts):
-        _, where, slots = bit_events(code, data, place, skip)
-        nodes, bits = code.nodes[where], code.bits[where]
-        for lo in range(0, len(bits), batch):
-            node, y = nodes[lo:lo + batch], bits[lo:lo + batch]
-            pairs = [(np.maximum(n0[k][s[lo:lo + batch]] - (y == 0), 0), np.maximum(n1[k][s[lo:lo + batch]] - (y == 1), 0)) for k, s in enumerate(slots)]
-            x = np.stack([_stretch(a, b) for a, b in pairs], 1)
-            seen = sum(_seen(a + b).astype(np.int64) << (2 * (CONTEXTS - 1 - k)) for k, (a, b) in enumerate(pairs))
-            mix = np.einsum("ij,ij->i", by_node[node] + by_seen[seen], x)
-            cell = node * 33 + np.clip(np.rint(mix * 2), -16, 16).astype(np.int64) + 16
-            err = (y - 1 / (1 + np.exp(-np.clip(mix + refined[cell], -30, 30)))).astype(np.float32)
-            for table, key, met in ((by_node, node, gates.met[0]), (by_seen, seen, gates.met[1])):
-                n = np.bincount(key, minlength=len(table))
-                met += n
-                for c in range(CONTEXTS):
-                    table[:, c] += rate * np.bincount(key, err * x[:, c], len(table)) / np.sqrt(n + 16)
-            n = np.bincount(cell, minlength=len(refined))
-            gates.met[2] += n
-            refined += (rate * np.bincount(cell, err, len(refined)) / np.sqrt(n + 16)).astype(np.float32)
+    """The model of ``texts`` alone, whose bits are counted in ``n0`` and ``n1``."""
+    evidence = Evidence(n0, n1)
+    found = pa.Table.from_batches(count_evidence(iter([pa.record_batch([texts], names=["text"])]), code, evidence))
+    return fit(code, n0, n1, evidence, found.column("cell").to_numpy(), found.column("n").to_numpy())
 
 
 def count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,37 +416,22 @@ def count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(held)], names=["byte", "n"])
 
 
-def fit_part(batches: Iterator[pa.RecordBatch], code: Code, n0: np.ndarray, n1: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(place, value times bits, bits) of the gates fitted to one task's texts."""
-    gates = Gates()
-    for batch in batches:
-        learn(gates, code, n0, n1, batch.column(0))
-    bits = gates.bits()
-    at = np.flatnonzero(bits)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(gates.values()[at] * bits[at].astype(np.float64)), pa.array(bits[at])], names=["place", "value", "bits"])
-
-
-def train(learned: DataFrame, text: str = "text", rows: int = PART_ROWS) -> Model:
-    """The bit model of all texts of ``learned`` (columns doc_id, text)."""
+def train(learned: DataFrame, text: str = "text", rows: int | None = None) -> Model:
+    """The bit model of all texts of ``learned`` (columns doc_id, text).  ``rows``: documents whose equal bytes are sorted together at most; the model does not depend on it."""
     texts = learned.select(F.coalesce(text, F.lit("")).alias(text))
     counts = np.ones(256, np.int64)
     for byte, n in texts.mapInArrow(count_bytes, "byte int, n bigint").groupBy("byte").agg(F.sum("n")).collect():
         counts[byte] += n
     code = huffman(counts)
-    summed = learned.select(text).mapInArrow(lambda b: count_bits(b, code), "slot int, n0 bigint, n1 bigint").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    summed = texts.mapInArrow(lambda b: count_bits(b, code, rows), "slot int, n0 bigint, n1 bigint").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     n0, n1 = np.zeros((2, CONTEXTS << SLOT_BITS), np.int64)
     slot = summed.column("slot").to_numpy()
     n0[slot], n1[slot] = summed.column("n0").to_numpy(), summed.column("n1").to_numpy()
     n0, n1 = n0.reshape(CONTEXTS, -1), n1.reshape(CONTEXTS, -1)
-    # parts and their order follow from the rows alone, so that the model does not depend on how the table is dealt
-    held = learned.sparkSession.sparkContext.broadcast((code, n0, n1))
-    parts = (learned.select("doc_id", F.coalesce(text, F.lit("")).alias(text)).repartition(learned.count() // rows + 1, F.xxhash64("doc_id", text))
-                    .sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", text).select(text))
-    fitted = (parts.mapInArrow(lambda b: fit_part(b, *held.value), "place int, value double, bits bigint")
-                   .groupBy("place").agg((F.sum("value") / F.sum("bits")).alias("value")).toArrow())
-    gates = Gates()
-    gates.put(fitted.column("place").to_numpy(), fitted.column("value").to_numpy().astype(np.float32))
-    return gates.model(code, n0, n1)
+    evidence = Evidence(n0, n1)
+    held = learned.sparkSession.sparkContext.broadcast((code, evidence))
+    found = texts.mapInArrow(lambda b: count_evidence(b, *held.value, rows), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    return fit(code, n0, n1, evidence, found.column("cell").to_numpy(), found.column("n").to_numpy())
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -443,3 +443,39 @@ def test_gates_are_fitted_on_every_training_document(spark):
         assert (model.by_node[last] != np.float32(0.35)).any(), b
     again = lm_score.train(frame(spark, rows[::-1]).select("doc_id", "text").repartition(7), rows=10)
     assert np.allclose(model.by_node, again.by_node, atol=1e-6) and np.allclose(model.refined, again.refined, atol=1e-6)
+
+
+def test_gates_do_not_depend_on_what_is_grouped(spark):
+    r = random.Random(4)
+    words = vocabulary(8, 60)
+    rows = [(i, None if i == 5 else " ".join(r.choice(words) for _ in range(30 + i))) for i in range(40)]
+    one, many = (lm_score.train(frame(spark, rows).select("doc_id", "text").repartition(p), rows=n) for p, n in ((1, 40), (5, 3)))
+    for a, b in ((one.packed, many.packed), (one.by_node, many.by_node), (one.by_seen, many.by_seen), (one.refined, many.refined)):
+        assert np.array_equal(a, b)
+
+
+def test_evidence_counts_every_bit_without_itself():
+    r = random.Random(5)
+    words = vocabulary(8, 40)
+    texts = pa.array([" ".join(r.choice(words) for _ in range(n)) for n in (40, 1, 90)] + [None, "", "x" * 70000])
+    counts = np.ones(256, np.int64)
+    for data, *_ in lm_score.texts_of(texts):
+        counts += np.bincount(data, minlength=256)
+    code, batch = lm_score.huffman(counts), pa.record_batch([texts], names=["text"])
+    n = np.zeros((2, lm_score.CONTEXTS << lm_score.SLOT_BITS), np.int64)
+    for part in lm_score.count_bits(iter([batch]), code):
+        n[:, part.column(0).to_numpy()] = [part.column(1).to_numpy(), part.column(2).to_numpy()]
+    n = n.reshape(2, lm_score.CONTEXTS, -1)
+    evidence, want = lm_score.Evidence(*n), {}
+    base = np.cumsum([0, *[len(c) + 1 for c in evidence.CUTS]])
+    for data, _, place, skip in lm_score.texts_of(texts):
+        _, at, slots = lm_score.bit_events(code, data, place, skip)
+        for j, i in enumerate(at):
+            cell, y = int(code.nodes[i]), int(code.bits[i])
+            for k, s in enumerate(slots):
+                a, b = n[0, k, s[j]] - (y == 0), n[1, k, s[j]] - (y == 1)
+                step = 0 if a + b < 1 else 1 if a + b < 4 else 2 if a + b < 24 else 3
+                cell = cell * lm_score.LEVELS + base[step] + sum(np.log((b + 0.3) / (a + 0.3)) > c for c in evidence.CUTS[step])
+            want[cell * 2 + y] = want.get(cell * 2 + y, 0) + 1
+    found = {c: m for part in lm_score.count_evidence(iter([batch]), code, evidence) for c, m in zip(part.column(0).to_pylist(), part.column(1).to_pylist())}
+    assert found == want
