@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .store import written
-from .text import randoms, words
+from .text import _buffers, randoms, words
 
 SLOT_BITS = 18
 CONTEXTS = 3
@@ -38,6 +38,7 @@ GROUP = 1 << 21
 KNOWN = 1 << 19
 SEGMENT = 512
 _CHUNK = 1 << 16
+_TOGETHER = 1 << 15
 _BACK = 64
 _MUL = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 _LETTER = np.zeros(256, bool)
@@ -90,24 +91,31 @@ def huffman(counts: np.ndarray) -> Code:
     return Code(np.array(start), np.array(size), np.array(nodes, np.int64), np.array(bits, np.int8))
 
 
-def texts_of(column: pa.Array, limit: int = _CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def texts_of(column: pa.Array, limit: int = _CHUNK, together: int = _TOGETHER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """(bytes, row of each byte, place in its document, bytes of context in front) of consecutive documents, each closed by a zero byte.
 
-    A document longer than ``limit`` comes in parts; a part repeats the last ``_BACK`` bytes before it as context.
+    A document longer than ``limit`` comes in parts; a part repeats the last ``_BACK`` bytes before it as context.  Shorter ones come ``together``, up to about so many bytes.
     """
-    for w in words(column, limit=limit):
-        n = np.diff(w.offsets)
-        if len(w.raw) <= limit:
-            data = np.insert(w.raw, w.offsets[1:], 0)
-            row = np.repeat(np.arange(w.lo, w.hi), n + 1)
-            first = np.concatenate([[0], np.cumsum(n + 1)])[:-1]
-            yield data, row, np.arange(len(data)) - np.repeat(first, n + 1), 0
+    if not len(column):
+        return
+    offsets, raw = _buffers(column)
+    lo = 0
+    while lo < len(column):
+        hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + together, "right")) - 1), len(column))
+        own, n = raw[offsets[lo]:offsets[hi]], np.diff(offsets[lo:hi + 1]) + 1
+        if len(own) <= limit:
+            ends = np.cumsum(n)
+            data, inner = np.zeros(len(own) + hi - lo, np.uint8), np.ones(len(own) + hi - lo, bool)
+            inner[ends - 1] = False
+            data[inner] = own
+            yield data, np.repeat(np.arange(lo, hi, dtype=np.int32), n), np.arange(len(data), dtype=np.int32) - np.repeat((ends - n).astype(np.int32), n), 0
         else:
-            data = np.append(w.raw, np.uint8(0))
+            data = np.append(own, np.uint8(0))
             for at in range(0, len(data), limit):
-                lo = max(0, at - _BACK)
-                part = data[lo:at + limit]
-                yield part, np.full(len(part), w.lo), np.arange(lo, lo + len(part)), at - lo
+                start = max(0, at - _BACK)
+                part = data[start:at + limit]
+                yield part, np.full(len(part), lo, np.int32), np.arange(start, start + len(part)), at - start
+        lo = hi
 
 
 @cache
@@ -123,37 +131,48 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(data: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     """A 32-bit value per byte and predictor: what the predictor knows before the byte."""
-    mixed = _BYTE[data]
+    mixed = _BYTE.take(data)
+    early = np.flatnonzero(place < 3)
+    place_of = place[early]
     before = np.zeros(len(data), np.uint32)
     out = []
     for k in range(1, 4):
         shifted = np.zeros(len(data), np.uint32)
-        shifted[k:] = mixed[:-k] if len(data) > k else 0
-        shifted[place < k] = 0
-        before = before * np.uint32(0x01000193) + shifted * _MUL[k]
+        np.multiply(mixed[:-k], _MUL[k], out=shifted[k:]) if len(data) > k else None
+        shifted[early[place_of < k]] = 0
+        before = before * np.uint32(0x01000193)
+        before += shifted
         if k > 1:
             out.append(before + np.uint32(k))
     # the word so far: a polynomial over the letters since the last other byte
-    inside = _LETTER[data]
-    index = np.arange(len(data))
-    begin = np.maximum.accumulate(np.where(~inside | (place == 0), index + (~inside), 0))
+    first, other = early[place_of == 0], ~_LETTER.take(data)
+    mark = np.arange(1, len(data) + 1, dtype=np.int32)
+    mark *= other
+    mark[first] = first + other[first]
+    start = np.zeros(len(data), np.int32)
+    np.maximum.accumulate(mark[:-1], out=start[1:])
+    start[first] = first
     powers, inverse = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint32)
     np.cumsum(mixed * powers[:-1], out=sums[1:], dtype=np.uint32)
-    start = np.zeros(len(data), np.int64)
-    start[1:] = begin[:-1]
-    start = np.where(place == 0, index, np.minimum(start, index))
-    word = (sums[index] - sums[start]) * inverse[start]
-    out.append((word ^ (word >> np.uint32(15))) * _MUL[0] + np.where(start == index, before, np.uint32(0)) + np.uint32(77))
+    word = sums[:-1] - sums.take(start)
+    word *= inverse.take(start)
+    word ^= word >> np.uint32(15)
+    word *= _MUL[0]
+    none = np.flatnonzero(start == np.arange(len(data), dtype=np.int32))
+    word[none] += before[none]
+    word += np.uint32(77)
+    out.append(word)
     return out
 
 
-def places(code: Code, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits per byte, and the place in the code of every bit."""
-    size = code.size[data]
-    at = np.arange(int(size.sum()), dtype=np.int32)
-    at += np.repeat((code.start[data] - np.cumsum(size) + size).astype(np.int32), size)
-    return size, at
+def places(code: Code, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits per byte; the byte and the place in the code of every bit."""
+    size = code.size.take(data)
+    of = np.repeat(np.arange(len(data)), size)
+    at = (code.start.take(data) - np.cumsum(size) + size).take(of)
+    at += np.arange(len(at))
+    return size, of, at
 
 
 def bit_events(code: Code, data: np.ndarray, place: np.ndarray, skip: int, order: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -161,10 +180,10 @@ def bit_events(code: Code, data: np.ndarray, place: np.ndarray, skip: int, order
 
     A bit's slot is that of its context, crossed with that of its branch: contexts are scrambled once a byte.  ``order``: the bytes after those in the order their bits are wanted.
     """
-    size, at = places(code, data[skip:][order])
-    salt, slots = code.salt[at], []
+    size, of, at = places(code, data[skip:][order])
+    salt, slots = code.salt.take(at), []
     for h in contexts(data, place):
-        s = np.repeat(slot_of(h[skip:])[order], size)
+        s = slot_of(h[skip:])[order].take(of)
         s ^= salt
         slots.append(s)
     return size, at, slots
@@ -210,15 +229,15 @@ def grouped_bits(batches: Iterator[pa.RecordBatch], code: Code, rows: int | None
     for slots, data, times in grouped(batches, rows):
         for lo in range(0, len(data), 1 << 18):
             own = data[lo:lo + (1 << 18)]
-            size, at = places(code, own)
-            salt, bit_of, out = code.salt[at], bit[at], []
+            _, of, at = places(code, own)
+            salt, bit_of, out = code.salt.take(at), bit.take(at), []
             for s in slots:
-                s = np.repeat(s[lo:lo + (1 << 18)], size)
+                s = s[lo:lo + (1 << 18)].take(of)
                 s ^= salt
                 s <<= 1
                 s |= bit_of
                 out.append(s)
-            yield at, out, np.repeat(times[lo:lo + (1 << 18)], size)
+            yield at, out, times[lo:lo + (1 << 18)].take(of)
 
 
 def count_bits(batches: Iterator[pa.RecordBatch], code: Code, rows: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -263,10 +282,10 @@ class Model:
         unit = np.float32(1 / 64)
         gates = [np.ascontiguousarray((self.by_node[:, None, k] + self.by_seen[None, :, k]).ravel()) * unit for k in range(CONTEXTS)]
         step = np.float32(self.rate / 4) * unit * unit
-        sign, node_of = (2 * self.code.bits - 1).astype(np.float32), self.code.nodes.astype(np.int32)
+        sign, node_of = (2 * self.code.bits - 1).astype(np.float32), self.code.nodes
         for data, row, place, skip in texts_of(column):
-            far = np.maximum(place[skip:], SEGMENT - 1) // SEGMENT
-            part = np.ceil(np.log2(far + 1)).astype(np.int8)
+            far = place[skip:] // SEGMENT
+            part = np.ceil(np.log2(np.arange(int(far.max()) + 1) + 1)).astype(np.int8).take(far)
             last = int(part.max(initial=0))
             order = np.argsort(part, kind="stable") if last else slice(None)
             size, at, slots = bit_events(self.code, data, place, skip, order)
@@ -301,7 +320,7 @@ class Model:
                 np.rint(cell, out=cell)
                 g >>= 2 * CONTEXTS
                 g *= 33
-                g += cell.astype(np.int32)
+                g += cell.astype(np.int64)
                 g += 16
                 z += self.refined.take(g)
                 z *= y
@@ -347,7 +366,7 @@ def count_evidence(batches: Iterator[pa.RecordBatch], code: Code, evidence: Evid
     """(cell, n) of one task's texts; a cell's number holds the branch, the level of every predictor, and the bit."""
     held = np.zeros(512 * LEVELS ** CONTEXTS, np.int64)
     for at, slots, times in grouped_bits(batches, code, rows):
-        cell = code.nodes.astype(np.int32)[at]
+        cell = code.nodes.take(at)
         for k, s in enumerate(slots):
             cell *= LEVELS
             cell += evidence.level[k].take(s)
@@ -522,8 +541,8 @@ def lm_scores(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "te
                 found.append(np.bincount(row[has], minlength=rows))
                 base.append(np.bincount(row[has], _logs(c[has], n, v), rows))
                 size.append(np.diff(w.offsets))
-                cut = np.searchsorted(row[~has], np.arange(rows + 1))
-                rest += [h[~has][a:b].view(np.int64) if b > a else None for a, b in zip(cut[:-1], cut[1:])]
+                cut, left = np.searchsorted(row[~has], np.arange(rows + 1)), h[~has].view(np.int64)
+                rest += [left[a:b] if b > a else None for a, b in zip(cut[:-1], cut[1:])]
             whole = [np.concatenate(c) if c else np.zeros(0) for c in (n_words, found, size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in whole], pa.array(np.concatenate(base) if base else [], pa.float64()), pa.array(bits),
                                               pa.array(rest, pa.list_(pa.int64()))], names=["doc_id", "held_out", "n_words", "found", "bytes", "base", "bits", "rest"])
