@@ -63,3 +63,19 @@ def test_a_micro_batch_is_a_part_of_many_files(spark):
                   lambda s: s.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/ck").trigger(availableNow=True).start())
     assert [seen[n][0] for n in sorted(seen)] == [150, 2, 148]
     assert seen[0][1] > 1 and seen[2][1] > 1
+
+
+def test_candles_of_one_timeframe_are_those_of_all(spark):
+    state = st.bar_state(minute_bars(spark).union(minute_bars(spark).withColumn("et_date", F.date_add("et_date", 1))))
+    columns = sorted(co.candles(state).columns)
+    rows = lambda c: sorted((tuple(r) for r in c.select(*columns).collect()), key=repr)
+    for tf in (2, 5, 60):
+        assert rows(co.candles(state, (tf,))) == rows(co.candles(state).where(F.col("tf") == tf))
+
+
+def test_alerts_build_the_candles_they_read(spark, monkeypatch):
+    from barwright.plans import q_rules, tables
+    asked, made = [], co.candles
+    monkeypatch.setattr(tables.candle_ops, "candles", lambda state, *tfs: asked.append(tfs) or made(state, *tfs))
+    q_rules.all_fires(tables.Tables(spark.newSession(), "/root/testdata/sf0.001/."))
+    assert asked == [((5,),)]
