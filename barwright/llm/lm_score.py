@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .store import written
@@ -59,12 +60,21 @@ class Code:
         """A slot value per place in the code, the same for the same branch."""
         return slot_of((self.nodes.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1))
 
+    @property
+    def known(self) -> np.ndarray:
+        """All that is known of a place in one number: the bit, eight bits of the branch, ``SLOT_BITS`` of the slot value."""
+        return (self.bits.astype(np.int32) << 8 | self.nodes.astype(np.int32)) << SLOT_BITS | self.salt
+
 
 def slot_of(h: np.ndarray) -> np.ndarray:
     """The upper ``SLOT_BITS`` bits of scrambled 32-bit values."""
-    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x2C1B3C6D)
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x297A2D39)
-    return (h >> np.uint32(32 - SLOT_BITS)).astype(np.int32)
+    s = h >> np.uint32(16)
+    s ^= h
+    s *= np.uint32(0x2C1B3C6D)
+    s ^= s >> np.uint32(15)
+    s *= np.uint32(0x297A2D39)
+    s >>= np.uint32(32 - SLOT_BITS)
+    return s.view(np.int32)
 
 
 def huffman(counts: np.ndarray) -> Code:
@@ -166,27 +176,30 @@ def contexts(data: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def places(code: Code, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bits per byte; the byte and the place in the code of every bit."""
+def _at(table: pa.Array, at: np.ndarray | pa.Array) -> np.ndarray:
+    """``table`` at 32-bit places that lie inside it; not to be written to."""
+    return pc.take(table, pa.array(at), boundscheck=False).to_numpy()
+
+
+def places(code: Code, data: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(where every byte's bits begin, and their end, the byte of every bit, ``known`` of its place in the code)."""
     size = code.size.take(data)
-    of = np.repeat(np.arange(len(data)), size)
-    at = (code.start.take(data) - np.cumsum(size) + size).take(of)
-    at += np.arange(len(at))
-    return size, of, at
+    ends = np.concatenate([[0], np.cumsum(size)])
+    of = pa.array(np.repeat(np.arange(len(data), dtype=np.int32), size))
+    at = _at(pa.array((code.start.take(data) - ends[:-1]).astype(np.int32)), of) + np.arange(ends[-1], dtype=np.int32)
+    return ends, of, _at(pa.array(code.known), at)
 
 
 def bit_events(code: Code, data: np.ndarray, place: np.ndarray, skip: int, order: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(bits per byte, places in the code, slot per predictor) of all bits after the first ``skip`` bytes, which are context only.
+    """(where every byte's bits begin, and their end, ``known`` of the place in the code, slot per predictor) of all bits after the first ``skip`` bytes, which are context only.
 
     A bit's slot is that of its context, crossed with that of its branch: contexts are scrambled once a byte.  ``order``: the bytes after those in the order their bits are wanted.
     """
-    size, of, at = places(code, data[skip:][order])
-    salt, slots = code.salt.take(at), []
+    ends, of, known = places(code, data[skip:][order])
+    salt, slots = known & np.int32((1 << SLOT_BITS) - 1), []
     for h in contexts(data, place):
-        s = slot_of(h[skip:])[order].take(of)
-        s ^= salt
-        slots.append(s)
-    return size, at, slots
+        slots.append(_at(pa.array(slot_of(h[skip:])[order]), of) ^ salt)
+    return ends, known, slots
 
 
 def grouped(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -224,20 +237,18 @@ def _runs(held: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndar
 
 
 def grouped_bits(batches: Iterator[pa.RecordBatch], code: Code, rows: int | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-    """(places in the code, twice the slot and the bit per predictor, times) of all bits."""
-    bit = code.bits.astype(np.int32)
+    """(``known`` of the place in the code, twice the slot and the bit per predictor, times) of all bits."""
     for slots, data, times in grouped(batches, rows):
         for lo in range(0, len(data), 1 << 18):
             own = data[lo:lo + (1 << 18)]
-            _, of, at = places(code, own)
-            salt, bit_of, out = code.salt.take(at), bit.take(at), []
+            _, of, known = places(code, own)
+            salt, bit, out = known & np.int32((1 << SLOT_BITS) - 1), known >> SLOT_BITS + 8, []
             for s in slots:
-                s = s[lo:lo + (1 << 18)].take(of)
-                s ^= salt
+                s = _at(pa.array(s[lo:lo + (1 << 18)]), of) ^ salt
                 s <<= 1
-                s |= bit_of
+                s |= bit
                 out.append(s)
-            yield at, out, times[lo:lo + (1 << 18)].take(of)
+            yield known, out, _at(pa.array(times[lo:lo + (1 << 18)]), of)
 
 
 def count_bits(batches: Iterator[pa.RecordBatch], code: Code, rows: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -280,59 +291,66 @@ class Model:
         total, adapted = np.zeros(len(column)), np.zeros((CONTEXTS, len(column)), np.float32)
         # log odds stay in 1/64: the weights carry the factor, a power of two
         unit = np.float32(1 / 64)
-        gates = [np.ascontiguousarray((self.by_node[:, None, k] + self.by_seen[None, :, k]).ravel()) * unit for k in range(CONTEXTS)]
+        gates = [pa.array(np.ascontiguousarray((self.by_node[:, None, k] + self.by_seen[None, :, k]).ravel()) * unit) for k in range(CONTEXTS)]
+        packed, refined = [pa.array(p) for p in self.packed], pa.array(self.refined)
         step = np.float32(self.rate / 4) * unit * unit
-        sign, node_of = (2 * self.code.bits - 1).astype(np.float32), self.code.nodes
         for data, row, place, skip in texts_of(column):
-            far = place[skip:] // SEGMENT
-            part = np.ceil(np.log2(np.arange(int(far.max()) + 1) + 1)).astype(np.int8).take(far)
-            last = int(part.max(initial=0))
-            order = np.argsort(part, kind="stable") if last else slice(None)
-            size, at, slots = bit_events(self.code, data, place, skip, order)
-            of, bytes_of = row[skip:][order], np.cumsum(np.bincount(part, minlength=last + 1))
-            ends = np.concatenate([[0], np.cumsum(size)])
-            gate, xs = node_of.take(at), []
+            row, place_of = row[skip:], place[skip:]
+            # documents by parts: from which byte on, how many
+            docs = np.arange(row[0], row[-1] + 1)
+            begins = np.searchsorted(row, np.append(docs, row[-1] + 1))
+            low, length = place_of[begins[:-1]].astype(np.int64), np.diff(begins)
+            last = max(0, int((low + length).max() - 1) // SEGMENT).bit_length()
+            edges = np.concatenate([[0], SEGMENT << np.arange(last + 1)])[:, None]
+            from_, upto = np.clip(edges[:-1], low, low + length), np.clip(edges[1:], low, low + length)
+            length, starts = upto - from_, from_ - low + begins[:-1]
+            bytes_of = np.concatenate([[0], np.cumsum(length)])
+            order = np.repeat(starts.ravel() - bytes_of[:-1], length.ravel()) + np.arange(len(row)) if last else slice(None)
+            ends, known, slots = bit_events(self.code, data, place, skip, order)
+            seen, xs = np.zeros(len(known), np.int16), []
             for k, s in enumerate(slots):
-                v = self.packed[k].take(s)
-                gate <<= 2
-                gate |= v & 3
-                v >>= 2
-                xs.append(v.astype(np.float32))
-            sign_of = sign.take(at)
+                v = _at(packed[k], s)
+                seen <<= 2
+                seen |= v & 3
+                xs.append((v >> 2).astype(np.float32))
+            known = known >> SLOT_BITS
+            away = (1 - (known >> 8 << 1)).astype(np.float32)    # -1 for a bit that is 1
+            known &= 255
+            gate = known << 2 * CONTEXTS
+            gate |= seen
+            known *= 33
+            known += 16
+            weights = [_at(g, gate) for g in gates]
             for k in range(last + 1):
-                lo, hi = int(bytes_of[k - 1]) if k else 0, int(bytes_of[k])
-                if lo == hi:
+                some = np.flatnonzero(length[k])
+                if not len(some):
                     continue
-                # the first byte of every document in this part, and where its bits begin
-                first = lo + np.flatnonzero(np.diff(of[lo:hi], prepend=-1))
-                mine, begin, here = of[first], ends[first] - ends[lo], slice(ends[lo], ends[hi])
-                n = np.diff(begin, append=ends[hi] - ends[lo])
-                g, x, y = gate[here], [c[here] for c in xs], sign_of[here]
-                z = np.zeros(len(g), np.float32)
+                # the documents in this part, and where their bits begin
+                mine, begin = docs[some], ends[bytes_of[k * len(docs) + some]]
+                here = slice(begin[0], ends[bytes_of[(k + 1) * len(docs)]])
+                begin = begin - here.start
+                n = np.diff(begin, append=here.stop - here.start)
+                cell, x, y = known[here], [c[here] for c in xs], away[here]
+                z = np.zeros(len(cell), np.float32)
                 for c in range(CONTEXTS):
-                    w = gates[c].take(g)
+                    w = weights[c][here]
                     if k or skip:
-                        w += np.repeat(adapted[c][mine], n)
-                    w *= x[c]
-                    z += w
-                cell = z * np.float32(2)
-                np.clip(cell, -16, 16, out=cell)
-                np.rint(cell, out=cell)
-                g >>= 2 * CONTEXTS
-                g *= 33
-                g += cell.astype(np.int64)
-                g += 16
-                z += self.refined.take(g)
+                        w = w + np.repeat(adapted[c][mine], n)
+                    z += w * x[c]
+                level = z * np.float32(2)
+                np.clip(level, -16, 16, out=level)
+                np.rint(level, out=level)
+                cell += level.astype(np.int32)
+                z += _at(refined, cell)
                 z *= y
                 np.clip(z, -14, 14, out=z)
-                np.negative(z, out=z)
                 e = np.exp(z, out=z)
                 odds = e + 1
                 if k < last or skip or len(data) >= _CHUNK:
                     e *= y
                     e /= odds
                     for c in range(CONTEXTS):
-                        adapted[c][mine] += step * np.add.reduceat(e * x[c], begin) / (n + np.float32(256))
+                        adapted[c][mine] -= step * np.add.reduceat(e * x[c], begin) / (n + np.float32(256))
                 total[mine] += np.add.reduceat(np.log(odds, out=odds), begin) / np.log(2)
         return total
 
@@ -365,13 +383,13 @@ class Evidence:
 def count_evidence(batches: Iterator[pa.RecordBatch], code: Code, evidence: Evidence, rows: int | None = None) -> Iterator[pa.RecordBatch]:
     """(cell, n) of one task's texts; a cell's number holds the branch, the level of every predictor, and the bit."""
     held = np.zeros(512 * LEVELS ** CONTEXTS, np.int64)
-    for at, slots, times in grouped_bits(batches, code, rows):
-        cell = code.nodes.take(at)
+    for known, slots, times in grouped_bits(batches, code, rows):
+        cell = known >> SLOT_BITS & 255
         for k, s in enumerate(slots):
             cell *= LEVELS
-            cell += evidence.level[k].take(s)
+            cell += _at(pa.array(evidence.level[k]), s)
         cell <<= 1
-        cell |= code.bits[at]
+        cell |= known >> SLOT_BITS + 8
         np.add.at(held, cell, times)
     some = np.flatnonzero(held)
     for at in range(0, len(some), 1 << 16):
@@ -484,8 +502,8 @@ class Known:
     def of(cls, keys: np.ndarray, counts: np.ndarray) -> Known:
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
-        table = np.zeros(1 << 20, np.int32)
-        table[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = np.arange(len(keys))
+        table, rising = np.zeros(1 << 20, np.int32), np.argsort(counts, kind="stable")
+        table[(keys[rising] & np.uint64((1 << 20) - 1)).astype(np.int64)] = rising    # the last one stays: of words in one place the most frequent
         return cls(keys, counts, table)
 
     def count(self, h: np.ndarray) -> np.ndarray:
