@@ -181,25 +181,31 @@ def _at(table: pa.Array, at: np.ndarray | pa.Array) -> np.ndarray:
     return pc.take(table, pa.array(at), boundscheck=False).to_numpy()
 
 
-def places(code: Code, data: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(where every byte's bits begin, and their end, the byte of every bit, ``known`` of its place in the code)."""
+def places(code: Code, data: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(where every byte's bits begin, and their end, the byte of every bit, its place in the code, what is ``known`` of that)."""
     size = code.size.take(data)
     ends = np.concatenate([[0], np.cumsum(size)])
     of = pa.array(np.repeat(np.arange(len(data), dtype=np.int32), size))
     at = _at(pa.array((code.start.take(data) - ends[:-1]).astype(np.int32)), of) + np.arange(ends[-1], dtype=np.int32)
-    return ends, of, _at(pa.array(code.known), at)
+    return ends, of, at, _at(pa.array(code.known), at)
 
 
-def bit_events(code: Code, data: np.ndarray, place: np.ndarray, skip: int, order: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(where every byte's bits begin, and their end, ``known`` of the place in the code, slot per predictor) of all bits after the first ``skip`` bytes, which are context only.
+def known_bits(code: Code, data: np.ndarray, place: np.ndarray, skip: int, order: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(where every byte's bits begin, and their end, places in the code, what is ``known`` of these, slot per predictor) of all bits after the first ``skip`` bytes, which are context only.
 
     A bit's slot is that of its context, crossed with that of its branch: contexts are scrambled once a byte.  ``order``: the bytes after those in the order their bits are wanted.
     """
-    ends, of, known = places(code, data[skip:][order])
+    ends, of, at, known = places(code, data[skip:][order])
     salt, slots = known & np.int32((1 << SLOT_BITS) - 1), []
     for h in contexts(data, place):
         slots.append(_at(pa.array(slot_of(h[skip:])[order]), of) ^ salt)
-    return ends, known, slots
+    return ends, at, known, slots
+
+
+def bit_events(code: Code, data: np.ndarray, place: np.ndarray, skip: int, order: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(bits per byte, places in the code, slot per predictor) of the same bits."""
+    ends, at, _, slots = known_bits(code, data, place, skip, order)
+    return np.diff(ends), at, slots
 
 
 def grouped(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -241,7 +247,7 @@ def grouped_bits(batches: Iterator[pa.RecordBatch], code: Code, rows: int | None
     for slots, data, times in grouped(batches, rows):
         for lo in range(0, len(data), 1 << 18):
             own = data[lo:lo + (1 << 18)]
-            _, of, known = places(code, own)
+            _, of, _, known = places(code, own)
             salt, bit, out = known & np.int32((1 << SLOT_BITS) - 1), known >> SLOT_BITS + 8, []
             for s in slots:
                 s = _at(pa.array(s[lo:lo + (1 << 18)]), of) ^ salt
@@ -306,7 +312,7 @@ class Model:
             length, starts = upto - from_, from_ - low + begins[:-1]
             bytes_of = np.concatenate([[0], np.cumsum(length)])
             order = np.repeat(starts.ravel() - bytes_of[:-1], length.ravel()) + np.arange(len(row)) if last else slice(None)
-            ends, known, slots = bit_events(self.code, data, place, skip, order)
+            ends, _, known, slots = known_bits(self.code, data, place, skip, order)
             seen, xs = np.zeros(len(known), np.int16), []
             for k, s in enumerate(slots):
                 v = _at(packed[k], s)

@@ -10,9 +10,10 @@ def test_what_a_bit_needs_is_one_number():
     data = np.frombuffer(b"abc\0de\0", np.uint8)
     place = np.array([0, 1, 2, 3, 0, 1, 2], np.int32)
     order = np.array([4, 5, 6, 0, 1, 2, 3])
-    ends, known, slots = lm_score.bit_events(code, data, place, 0, order)
+    ends, places, known, slots = lm_score.known_bits(code, data, place, 0, order)
     at = np.concatenate([np.arange(code.start[b], code.start[b] + code.size[b]) for b in data[order]])
     of = np.repeat(order, code.size[data[order]])
+    assert (places == at).all() and (lm_score.bit_events(code, data, place, 0, order)[0] == np.diff(ends)).all()
     assert known.dtype == np.int32 and ends.tolist() == [0, *np.cumsum(code.size[data[order]])]
     assert (known >> lm_score.SLOT_BITS + 8 == code.bits[at]).all() and (known >> lm_score.SLOT_BITS & 255 == code.nodes[at]).all()
     for s, h in zip(slots, lm_score.contexts(data, place)):
