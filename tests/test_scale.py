@@ -79,3 +79,15 @@ def test_alerts_build_the_candles_they_read(spark, monkeypatch):
     monkeypatch.setattr(tables.candle_ops, "candles", lambda state, *tfs: asked.append(tfs) or made(state, *tfs))
     q_rules.all_fires(tables.Tables(spark.newSession(), "/root/testdata/sf0.001/."))
     assert asked == [((5,),)]
+
+
+def test_minutes_of_a_combination_are_spread_without_a_sort_or_a_second_exchange(spark):
+    rows = [("s", mode, "X", D, m, 0, 2, 2, 2, ["rth"], i, f"t{i}", "t", "", "long", 0) for mode in ("and", "or") for m, i in ((600, 0), (600, 1), (602, 1))]
+    matched = spark.createDataFrame(rows, "setup string, mode string, symbol string, et_date date, et_min int, repeat_sec int, and_window_min int, min_triggers int, n_triggers int, "
+                                          "sessions array<string>, idx int, instance string, trigger string, option string, direction string, trigger_repeat int")
+    spread = ru.evaluation_rows(matched)
+    plan = physical(spread)
+    assert "SortAggregate" not in plan and plan.count("Exchange") == 1
+    got = sorted((r["mode"], r.et_min, [h.instance for h in r.hits or []]) for r in spread.collect())
+    assert got == [("and", 600, ["t0", "t1"]), ("and", 601, []), ("and", 602, ["t1"]), ("and", 603, []), ("and", 604, []), ("and", 605, []),
+                   ("or", 600, ["t0", "t1"]), ("or", 602, ["t1"])]
