@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, unmeasured_batches
 from ..streaming import live, streams as sm
 from . import q_market as qm
 from . import q_rules as qr
@@ -13,10 +13,13 @@ from .registry import CTES, out, query
 from .tables import BASE_DATE
 
 
+SMALL_FILES = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}  # stamps and numbers that count on are stored as differences
+
+
 def as_stream(t, df, name: str, files: int | None = None):
     """Write ``df`` as parquet files and open the folder as a stream."""
     path = f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}/stream-{t.tag}/{name}-{uuid.uuid4().hex[:8]}"
-    (df if files is None else df.repartition(files)).write.parquet(f"{path}/in")
+    (df if files is None else df.repartition(files)).write.options(**SMALL_FILES).parquet(f"{path}/in")
     return t.spark.readStream.schema(df.schema).parquet(f"{path}/in"), path
 
 
@@ -163,9 +166,10 @@ def _(t):
 
 @query("stream_trade_cross", "select symbol, day, interval, et_min, trade_ms, or_high, round(price, 6) as price from crossing")
 def _(t):
-    tr_ = qm.trades(t).join(qm.openings(t).select("symbol", "et_date", "interval", "or_high", "range_id"), ["symbol", "et_date"])
-    s, path = as_stream(t, tr_, "trades")
-    return out(finish(sm.trade_cross(s), path), "symbol day interval et_min trade_ms or_high", "price")
+    s, path = as_stream(t, qm.trades(t), "trades")
+    with unmeasured_batches(t.spark):
+        crossed = finish(sm.trade_cross(s, qm.openings(t)), path)
+    return out(crossed, "symbol day interval et_min trade_ms or_high", "price")
 
 
 @query("stream_current_session", "select symbol, day, et_min, close from bars where day >= 4")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import clock, ticks
@@ -213,27 +213,105 @@ def merge_quotes(quotes: DataFrame, delay: str = "1 day") -> DataFrame:
     return timed.groupBy(*QUOTE_KEYS).applyInPandasWithState(run, MERGED, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+PACK_ROWS = 1 << 18  # rows of a task that are packed together; a buffer of that size is all that a task holds
+
+
+def packed(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows with equal ``keys`` that meet in a task as one row with an array per column, so that a shuffle carries the keys once and little else.
+
+    Nothing is dropped or merged and no order of arrival is needed: keys that meet nobody travel as arrays of one.  Whole numbers go as differences
+    (``_steps``), which compress to almost nothing when a feed counts on; ``unpacked`` gives the rows back.
+    """
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("_steps", T.BooleanType()), *[T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in columns]])
+
+    def pack(batches: Iterator):
+        import numpy as np
+        import pyarrow as pa
+
+        def together(held: list):
+            table = pa.Table.from_batches(held).combine_chunks()
+            group, n = np.zeros(len(table), np.int64), 1
+            for k in keys:
+                code = table[k].combine_chunks().dictionary_encode(null_encoding="encode")
+                group, n = group * len(code.dictionary) + code.indices.to_numpy(), n * len(code.dictionary)
+                if n > 1 << 40:     # numbered anew, before the next column could overflow
+                    group = np.unique(group, return_inverse=True)[1]
+                    n = len(group)
+            values = {c: table[c].combine_chunks() for c in columns}
+            whole = {c for c, v in values.items() if pa.types.is_integer(v.type)}
+            steps = not any(values[c].null_count for c in whole)
+            at = np.lexsort([*[values[c].to_numpy() for c in reversed(columns) if steps and c in whole], group])
+            starts = np.flatnonzero(np.append(True, np.diff(group[at]) != 0))
+            values = {c: v.take(pa.array(at)) for c, v in values.items()}
+            for c in whole if steps else ():
+                v = values[c].to_numpy()
+                d = np.append(v[:1], v[1:] - v[:-1])
+                d[starts] = v[starts]
+                values[c] = pa.array(d)
+            offsets, first = pa.array(np.append(starts, len(table)), pa.int32()), pa.array(at[starts])
+            out = [*[table[k].combine_chunks().take(first) for k in keys], pa.array(np.full(len(starts), steps)), *[pa.ListArray.from_arrays(offsets, v) for v in values.values()]]
+            return pa.RecordBatch.from_arrays(out, schema.names)
+
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, b], n + len(b)
+            if n >= PACK_ROWS:
+                yield together(held)
+                held, n = [], 0
+        if n:
+            yield together(held)
+    return rows.select(*keys, *columns).mapInArrow(pack, schema)
+
+
+def unpacked(packs, keys: list[str], columns: list[str]):
+    """The rows of a ``packed`` frame."""
+    import numpy as np
+    import pandas as pd
+    sizes = packs[columns[0]].map(len).to_numpy()
+    out = {k: np.repeat(packs[k].to_numpy(), sizes) for k in keys}
+    for c in columns:
+        out[c] = np.concatenate([np.cumsum(v, dtype=v.dtype) if s and v.dtype.kind in "iu" else v for v, s in zip(map(np.asarray, packs[c]), packs["_steps"])])
+    return pd.DataFrame(out)
+
+
 CROSSES = "symbol string, et_date date, interval int, et_min int, trade_ms bigint, price double, or_high double"
-_CROSS_STATE = "trade_ms bigint, price double, generation bigint, range_id string, held boolean, fired boolean"
+_CROSS_STATE = "interval array<int>, trade_ms array<bigint>, price array<double>, generation array<bigint>, range_id array<string>, held array<boolean>, fired array<boolean>"
 
 
-def trade_cross(trades: DataFrame, delay: str = "2 days") -> DataFrame:
-    """First trusted, continuous crossing of the opening range; ``trades`` carry interval, or_high and range_id from the finished range.
+def trade_cross(trades: DataFrame, opening: DataFrame | None = None, delay: str = "2 days") -> DataFrame:
+    """First trusted, continuous crossing of the opening range, for every interval; interval, or_high and range_id of the finished ranges come from the table
+    ``opening`` or, without it, with every trade.
 
-    The rule is ``ticks.first_cross``; the state holds the last trade of the session and goes two days later.
+    The rule is ``ticks.first_cross``; the state holds the last trade of the session for each interval and goes two days later.  Trades travel packed, once
+    for all intervals, and meet their ranges as they are sent to the state.  ``session.unmeasured_batches`` speeds the packing.
     """
+    ranges, columns = ["interval", "or_high", "range_id"], ["receipt_ms", "seq", "trade_ms", "et_min", "price", "generation", "trusted"]
+    if opening is None:
+        packs = packed(trades, [*KEYS, *ranges], columns).withColumns({c: F.array(c) for c in ranges})
+    else:
+        known = opening.groupBy(*KEYS).agg(F.collect_list(F.struct(*ranges)).alias("_r")).select(*KEYS, *[F.col(f"_r.{c}").alias(c) for c in ranges])
+        packs = packed(trades, KEYS, columns).join(known, KEYS)
+
     def run(key, frames, state: GroupState):
         import pandas as pd
         if state.hasTimedOut:
             state.remove()
             return
-        carry = dict(zip(ticks.CROSS_CARRY, state.get)) if state.exists else None
-        found, carry = ticks.first_cross(pd.concat(list(frames)).sort_values(["receipt_ms", "seq"]), carry)
-        state.update(tuple(carry[k] for k in ticks.CROSS_CARRY))
+        carries = {i: dict(zip(ticks.CROSS_CARRY, c)) for i, *c in zip(*state.get)} if state.exists else {}
+        rows = {}
+        for f in frames:
+            for n, known in enumerate(zip(*[f[c] for c in ranges])):
+                own = unpacked(f.iloc[n:n + 1], KEYS, columns)
+                for r in zip(*known):
+                    rows.setdefault(int(r[0]), []).append(own.assign(**dict(zip(ranges, r))))
+        for i in sorted(rows):
+            found, carries[i] = ticks.first_cross(pd.concat(rows[i]).sort_values(["receipt_ms", "seq"]), carries.get(i))
+            if len(found):
+                yield found[names(CROSSES)]
+        state.update((list(carries), *[[c[k] for c in carries.values()] for k in ticks.CROSS_CARRY]))
         expire(state, _midnight(key[1]) + 2 * DAY_MS)
-        yield found[names(CROSSES)]
-    timed = by_session_date(trades, F.col("et_date"), delay)
-    return timed.groupBy("symbol", "et_date", "interval").applyInPandasWithState(run, CROSSES, _CROSS_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    timed = by_session_date(packs, F.col("et_date"), delay)
+    return timed.groupBy(*KEYS).applyInPandasWithState(run, CROSSES, _CROSS_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def current_session_only(bars: DataFrame, opened) -> DataFrame:

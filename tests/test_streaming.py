@@ -95,3 +95,39 @@ def test_rules_of_a_repeated_batch_stand_once(spark):
     write(b.where("et_min <= 650"), 1)
     assert sorted(live.outcomes(spark, path).collect()) == sorted(first) and first
     assert live.received(spark, path, 2).count() == b.where("et_min <= 700").count()
+
+
+def test_trade_crosses_over_micro_batches(spark):
+    """Trades of a session in several batches and files, ranges from the table or with every trade: the crossings of the window form."""
+    t = tables(spark, SF)
+    trades, opening = qm.trades(t), qm.openings(t)
+    cols = ["symbol", "et_date", "interval", "et_min", "trade_ms", "price", "or_high"]
+    want = sorted(qt.trade_cross(trades, opening).select(*cols).collect())
+    cuts = lambda df: [df.where(F.col("et_min").between(lo, hi)) for lo, hi in ((540, 590), (591, 640), (641, 959))]
+    s, path = in_batches(spark, cuts(trades))
+    assert sorted(sm.run_to_table(sm.trade_cross(s, opening), f"{path}/out", f"{path}/ck").select(*cols).collect()) == want and len(want) > 5
+    ranged = trades.join(opening.select("symbol", "et_date", "interval", "or_high", "range_id"), ["symbol", "et_date"])
+    s, path = in_batches(spark, cuts(ranged))
+    assert sorted(sm.run_to_table(sm.trade_cross(s), f"{path}/out", f"{path}/ck").select(*cols).collect()) == want
+
+
+def test_packed_rows_come_back_and_a_key_travels_once_a_task(spark):
+    rows = [(f"K{n % 3}" if n % 3 else None, 10 ** 12 + 250 * n, n if n % 5 else None, n % 7, None if n % 4 == 0 else n / 3, n % 2 == 0) for n in range(2000)]
+    names = ["k", "ms", "seq", "low", "price", "good"]
+    df = spark.createDataFrame(rows, "k string, ms long, seq long, low int, price double, good boolean").repartition(3)
+    for columns in (names[1:], ["ms", "low", "price", "good"]):         # with and without a missing whole number
+        packs = sm.packed(df, ["k"], columns)
+        assert packs.count() <= 9 and packs.select("_steps").distinct().collect()[0][0] == ("seq" not in columns)
+        back = sm.unpacked(packs.toPandas(), ["k"], columns)
+        plain = lambda frame: sorted([tuple(None if v is None or v != v else v for v in r) for r in frame[["k", *columns]].itertuples(index=False)], key=repr)
+        assert plain(back.astype({"ms": "int64", "low": "int64"})) == plain(df.toPandas().astype({"ms": "int64", "low": "int64"}))
+
+
+def test_stored_streams_take_few_bytes_a_row(spark):
+    import os
+    from barwright.plans import q_streaming as qs
+    n, t = 200_000, tables(spark, SF)
+    stamps = spark.range(n).select(*[(F.col("id") * 250 + F.lit(10 ** 12 + c)).alias(f"ms{c}") for c in range(3)])
+    s, path = qs.as_stream(t, stamps.coalesce(1), "few-bytes")
+    assert sum(os.path.getsize(f"{path}/in/{f}") for f in os.listdir(f"{path}/in")) < 2 * n
+    assert sorted(spark.read.schema(s.schema).parquet(f"{path}/in").agg(F.sum("ms0"), F.max("ms2")).collect()[0]) == sorted(stamps.agg(F.sum("ms0"), F.max("ms2")).collect()[0])
