@@ -366,7 +366,7 @@ def _(t):
 
 @query("alerts_published", """select setup, symbol, day, et_min, 1000 + row_number() over (order by day, et_min, setup, symbol) as seq from alerts""")
 def _(t):
-    p = archive.publish(qr.alerts(t), "s1", 1000, ["et_date", "et_min", "setup", "symbol"], "et_date")
+    p = archive.publish(archive.stored(qr.alerts(t), folder(t, "published")), "s1", 1000, ["et_date", "et_min", "setup", "symbol"], "et_date")
     return out(p, "setup symbol day et_min seq")
 
 

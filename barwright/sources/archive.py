@@ -144,6 +144,12 @@ def merge_provider(entries: DataFrame, provider: DataFrame) -> DataFrame:
                            F.coalesce("p_cap", "market_cap").alias("market_cap")))
 
 
+def stored(alerts: DataFrame, path: str) -> DataFrame:
+    """``alerts`` written once and read back: ``publish`` counts the dates and then numbers the rows, and the acceptance behind them would run for each."""
+    alerts.write.mode("overwrite").parquet(path)
+    return alerts.sparkSession.read.schema(alerts.schema).parquet(path)
+
+
 def publish(alerts: DataFrame, session_id: str, offset: int, order: list[str], chunk: str) -> DataFrame:
     """Sequence numbers and event ids continuing after ``offset``, numbered chunk by chunk."""
     from ..functions.ordered import position

@@ -138,3 +138,29 @@ def test_values_still_warming_up_pass_every_operator(spark):
     values = spark.createDataFrame([("X", D, 600, float("nan")), ("X", D, 601, None), ("X", D, 602, 1.0)], "symbol string, et_date date, et_min int, c double")
     got = {(r.setup, r.et_min): r.ok for r in ru.with_verdict(rows, values, setups, ["c"]).collect()}
     assert all(got[op, 600] and not got[op, 601] for op in ("gte", "lte", "gt", "lt")) and [got[op, 602] for op in ("gte", "lte", "gt", "lt")] == [True, True, False, False]
+
+
+def test_published_alerts_are_accepted_once(spark, monkeypatch):
+    """The numbers are those of the accepted alerts in order, and the plan that numbers them holds no acceptance: it reads stored rows."""
+    from barwright.plans import q_rules, q_sources  # noqa: F401
+    from barwright.plans.registry import QUERIES
+    from barwright.plans.tables import tables
+    t = tables(spark, "/root/testdata/sf0.001")
+    want = sorted((r.et_date, r.et_min, r.setup, r.symbol) for r in q_rules.alerts(t).collect())
+    p = QUERIES["alerts_published"](t)
+    assert not [x for x in ("MapInArrow", "aggregate(", "bw_state") if x in p._jdf.queryExecution().executedPlan().toString()]
+    got = [(r.et_min, r.setup, r.symbol, r.seq) for r in p.orderBy("seq").collect()]
+    assert got == [(m, s, x, 1001 + n) for n, (_, m, s, x) in enumerate(want)] and got
+
+
+def test_acceptance_of_odd_rows():
+    """Two rows of a minute, a missing repeat time, nothing but early hits, no window and evidence that ran out unseen while bars were missing."""
+    hit = lambda i, side="long", repeat=0: (i, f"t{i}", side, repeat)
+    run = lambda rows, *how: [x[:3] + x[4:6] for x in ru.acceptance(rows, *how, 300)]
+    assert run([(600, True, [hit(0, repeat=None)]), (600, True, [hit(0)])], "or", None, None, None, 1) == [(600, "sent", "long", 1, ""), (600, "repeat", "long", 1, "feed cooldown")]
+    early = [(600, True, [hit(0, repeat=600)]), (606, True, [hit(0, repeat=600)]), (610, True, [hit(0, repeat=600)])]
+    assert run(early, "or", 0, 5, 1, 1) == [(600, "sent", "long", 1, ""), (606, "repeat", "long", 1, "trigger repeat"), (610, "sent", "long", 1, "")]
+    pair = [(600, True, [hit(0)]), (605, None, [hit(1)]), (606, True, ()), (607, True, ())]
+    assert run(pair, "and", 600, 5, 2, 2) == [(600, "waiting", "long", 1, "combination"), (605, "blocked", "long", 2, "screen")]
+    assert run([(600, True, [hit(0)]), (620, True, [hit(1)])], "and", 0, 5, 2, 2) == [(600, "waiting", "long", 1, "combination"), (620, "waiting", "long", 1, "combination")]
+    assert run([(600, False, [hit(0)]), (601, True, ())], "atleast", 0, None, 1, 1) == [(600, "blocked", "long", 1, "screen")]
