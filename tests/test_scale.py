@@ -91,3 +91,14 @@ def test_minutes_of_a_combination_are_spread_without_a_sort_or_a_second_exchange
     got = sorted((r["mode"], r.et_min, [h.instance for h in r.hits or []]) for r in spread.collect())
     assert got == [("and", 600, ["t0", "t1"]), ("and", 601, []), ("and", 602, ["t1"]), ("and", 603, []), ("and", 604, []), ("and", 605, []),
                    ("or", 600, ["t0", "t1"]), ("or", 602, ["t1"])]
+
+
+def test_alerts_store_the_columns_they_read(spark):
+    """Not the whole state, which has twice as many; where the whole state is there it is read."""
+    from barwright.plans import q_rules, tables
+    t = tables.Tables(spark.newSession(), "/root/testdata/sf0.001/./")
+    alerts = q_rules.alerts(t)
+    assert "state" not in t.__dict__ and t.alert_state.columns == tables.ALERT_STATE and t.alert_state.count() == t.bars.count()
+    u = tables.Tables(spark.newSession(), "/root/testdata/sf0.001/././")
+    assert len(u.state.columns) > len(tables.ALERT_STATE) and u.alert_state is u.state
+    assert sorted(map(repr, alerts.collect())) == sorted(map(repr, q_rules.alerts(u).collect()))
