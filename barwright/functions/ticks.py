@@ -125,27 +125,32 @@ def first_cross(rows: pd.DataFrame, carry: dict | None) -> tuple[pd.DataFrame, d
     c = dict.fromkeys(CROSS_CARRY) | {"held": False, "fired": False} | (carry or {})
     if c["fired"] or not len(rows):
         return rows.iloc[:0], c
-    r = rows.reset_index(drop=True)
-    good = (r["trusted"] & (r["price"] > 0) & (r["et_min"] >= 570 + r["interval"]) & (r["et_min"] < 960) & (r["receipt_ms"] - r["trade_ms"]).between(0, TRADE_AGE_MS)).to_numpy()
-    chain = pd.concat([pd.DataFrame([{"trade_ms": c["trade_ms"] or 0, "price": c["price"] or 0.0, "generation": c["generation"] or 0, "range_id": c["range_id"] or "", "good": c["held"]}]),
-                       r.assign(good=good)[["trade_ms", "price", "generation", "range_id", "good"]]], ignore_index=True)
-    ms, is_good = chain["trade_ms"].to_numpy(np.int64), chain["good"].to_numpy(bool)
-    same = np.zeros(len(chain), bool)
-    same[1:] = (is_good[1:] & is_good[:-1] & (chain["generation"].to_numpy()[1:] == chain["generation"].to_numpy()[:-1]) & (chain["range_id"].to_numpy()[1:] == chain["range_id"].to_numpy()[:-1]))
+    got = {k: rows[k].to_numpy() for k in ("trade_ms", "receipt_ms", "price", "generation", "range_id", "et_min", "interval", "or_high")}
+    late = got["receipt_ms"] - got["trade_ms"]
+    trusted = rows["trusted"].to_numpy()
+    if trusted.dtype != bool:       # missing ones are not trusted
+        trusted = np.array([t is not None and t == True for t in trusted], bool)  # noqa: E712
+    good = trusted & (got["price"] > 0) & (got["et_min"] >= 570 + got["interval"]) & (got["et_min"] < 960) & (late >= 0) & (late <= TRADE_AGE_MS)
+    held_before = {"trade_ms": c["trade_ms"] or 0, "price": c["price"] or 0.0, "generation": c["generation"] or 0, "range_id": c["range_id"] or ""}
+    chain = {k: np.concatenate([np.array([v], {"price": float, "range_id": object}.get(k, got[k].dtype)), got[k]]) for k, v in held_before.items()}
+    ms, is_good, price, bound = chain["trade_ms"].astype(np.int64), np.append(c["held"], good), chain["price"], got["or_high"]
+    generation, range_id = chain["generation"], chain["range_id"]
+    same = np.zeros(len(ms), bool)
+    same[1:] = is_good[1:] & is_good[:-1] & (generation[1:] == generation[:-1]) & (range_id[1:] == range_id[:-1])
     # in a run of falling stamps every other trade breaks the stretch: after a break the next one starts anew
-    falls = np.zeros(len(chain), bool)
+    falls = np.zeros(len(ms), bool)
     falls[1:] = same[1:] & (ms[1:] < ms[:-1])
-    place = np.arange(len(chain)) - np.maximum.accumulate(np.where(~falls, np.arange(len(chain)), 0))
+    place = np.arange(len(ms)) - np.maximum.accumulate(np.where(~falls, np.arange(len(ms)), 0))
     breaks = falls & (place % 2 == 1)
     held = is_good & ~breaks
-    repeats = np.zeros(len(chain), bool)
+    repeats = np.zeros(len(ms), bool)
     repeats[1:] = same[1:] & (ms[1:] == ms[:-1])
     repeats &= held & np.append(False, held[:-1])
     keep = np.flatnonzero(~repeats)
     at, prev = keep[1:], keep[:-1]
-    linked = held[at] & held[prev] & (chain["generation"].to_numpy()[at] == chain["generation"].to_numpy()[prev]) & (chain["range_id"].to_numpy()[at] == chain["range_id"].to_numpy()[prev])
-    gap, price, bound = ms[at] - ms[prev], chain["price"].to_numpy(), r["or_high"].to_numpy()
+    linked = held[at] & held[prev] & (generation[at] == generation[prev]) & (range_id[at] == range_id[prev])
+    gap = ms[at] - ms[prev]
     crossing = at[linked & (gap > 0) & (gap <= TRADE_GAP_MS) & (price[prev] <= bound[at - 1]) & (price[at] > bound[at - 1])] if len(at) else at
-    last = chain.iloc[keep[-1]]
-    after = {"trade_ms": int(last["trade_ms"]), "price": float(last["price"]), "generation": int(last["generation"]), "range_id": str(last["range_id"]), "held": bool(held[keep[-1]]), "fired": bool(len(crossing))}
-    return r.iloc[crossing[:1] - 1], after
+    last = keep[-1]
+    after = {"trade_ms": int(ms[last]), "price": float(price[last]), "generation": int(generation[last]), "range_id": str(range_id[last]), "held": bool(held[last]), "fired": bool(len(crossing))}
+    return rows.iloc[crossing[:1] - 1], after

@@ -298,14 +298,16 @@ def trade_cross(trades: DataFrame, opening: DataFrame | None = None, delay: str
             state.remove()
             return
         carries = {i: dict(zip(ticks.CROSS_CARRY, c)) for i, *c in zip(*state.get)} if state.exists else {}
-        rows = {}
+        packs, rows, order = {}, {}, ["receipt_ms", "seq"]
         for f in frames:
             for n, known in enumerate(zip(*[f[c] for c in ranges])):
-                own = unpacked(f.iloc[n:n + 1], KEYS, columns)
-                for r in zip(*known):
-                    rows.setdefault(int(r[0]), []).append(own.assign(**dict(zip(ranges, r))))
+                packs.setdefault(tuple(zip(*known)), []).append(f.iloc[n:n + 1])
+        for known, own in packs.items():
+            own = unpacked(pd.concat(own) if len(own) > 1 else own[0], KEYS, columns).sort_values(order)
+            for r in known:
+                rows.setdefault(int(r[0]), []).append(own.assign(**dict(zip(ranges, r))))
         for i in sorted(rows):
-            found, carries[i] = ticks.first_cross(pd.concat(rows[i]).sort_values(["receipt_ms", "seq"]), carries.get(i))
+            found, carries[i] = ticks.first_cross(rows[i][0] if len(rows[i]) == 1 else pd.concat(rows[i]).sort_values(order), carries.get(i))
             if len(found):
                 yield found[names(CROSSES)]
         state.update((list(carries), *[[c[k] for c in carries.values()] for k in ticks.CROSS_CARRY]))
